@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, prints["fp"] == named["_fp"]).select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, reach: int = 3) -> DataFrame:
-    """docs without the rows whose component has a smaller id: one document of each group stays."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 3) -> DataFrame:
+    """docs without the rows whose component has a smaller id: one document of each group stays (rows without an id do)."""
     gone = near_duplicates(docs, id_col, text_col, width, reach).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prefforge.llm import queries_bpe, queries_exact_dedup, queries_mixing, queries_quality, queries_simhash
+from prefforge.llm import queries_bpe, queries_exact_dedup, queries_mixing, queries_quality, queries_simhash, queries_toxicity
 
-_MODULES = (queries_bpe, queries_exact_dedup, queries_mixing, queries_quality, queries_simhash)
+_MODULES = (queries_bpe, queries_exact_dedup, queries_mixing, queries_quality, queries_simhash, queries_toxicity)
 
 
 def queries() -> dict:

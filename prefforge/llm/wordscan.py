@@ -39,6 +39,11 @@ def pieces(texts: list[bytes], most: int = PIECE):
         yield np.array(index), parts
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
 class Words:
     """Words of texts: maximal runs of bytes that `kind` maps to a value above 0; that value enters the hash."""
 
@@ -59,13 +64,20 @@ class Words:
             at[self.starts] = np.diff(self.starts, prepend=0)
             place = np.arange(len(raw)) - np.cumsum(at)
             mixed = value.astype(np.uint64) * _RANDOM[place & 127] * inside
+            self._mixed = mixed
             h = np.add.reduceat(mixed, self.starts) + (self.ends - self.starts).astype(np.uint64) * _RANDOM[127]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            self.hashes = h ^ (h >> np.uint64(32))
+            self.hashes = _stir(h)
         else:
             self.hashes = np.empty(0, np.uint64)
 
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the words' first k bytes (of shorter words: all)."""
+        h = np.full(len(self.starts), k, np.uint64)
+        for at in range(k):
+            i = np.minimum(self.starts + at, len(self.raw) - 1)
+            h += np.where(self.starts + at < self.ends, self._mixed[i], np.uint64(0))
+        return _stir(h)
+
 
 def by_space() -> np.ndarray:
     """Words are what stands between white space."""

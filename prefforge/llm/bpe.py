@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,103 +31,131 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes many words at once."""
+    """Encodes many words at once. A pair of tokens a, b is known by the number a << 20 | b."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """Rank of the token that a and b make, or -1."""
-        key = (a, b)
-        r = self.pairs.get(key)
-        if r is None:
-            r = self.ranks.get(self.token[a] + self.token[b], -1)
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[key] = r
-        return r
+        self.text = {r: str(r) for r in self.token}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        #: every pair of tokens that together are a token, and that token's rank
+        self.pairs = {}
+        for t, r in ranks.items():
+            for cut in range(1, len(t)):
+                a, b = ranks.get(t[:cut]), ranks.get(t[cut:])
+                if a is not None and b is not None:
+                    self.pairs[a << 20 | b] = r
+        self.byte_pairs = np.full((256, 256), -1)
+        for x in range(256):
+            for y in range(256):
+                self.byte_pairs[x, y] = ranks.get(bytes([x, y]), -1)
+
+        self._keys = np.array(sorted(self.pairs))
+        self._made = np.array([self.pairs[k] for k in self._keys.tolist()])
+
+    def made_by(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, or -1."""
+        at = np.minimum(self._keys.searchsorted(keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._made[at], -1)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. A word that is a token is that token, as in tiktoken."""
-        ranks, byte, merged = self.ranks, self.byte, self.merged
-        out: list[list[int] | None] = []
-        tok: list[int] = []  # all words one after another, -1 behind each; -2 where a token was merged into the one before
-        starts = []
-        for w in words:
-            r = ranks.get(w)
-            out.append(None if r is None else [r])
-            if r is None:
-                starts.append((len(out) - 1, len(tok)))
-                tok.extend([byte[x] for x in w])
-                tok.append(-1)
-        after = list(range(1, len(tok) + 1))
-        before = list(range(-1, len(tok) - 1))
-        index: dict[int, list[int]] = {}  # by the rank that merging gives: the places of its pairs' left tokens
-        a = -1
-        for i, b in enumerate(tok):
-            if a >= 0 and b >= 0 and (r := merged(a, b)) >= 0:
-                index.setdefault(r, []).append(i - 1)
-            a = b
-        queue = list(index)
-        heapify(queue)
-        odd = set()  # places in words in which a merge made a pair of an earlier rank
+        ranks = self.ranks
+        out: list[list[int] | None] = [[r] if (r := ranks.get(w)) is not None else None for w in words]
+        todo = [n for n, ids in enumerate(out) if ids is None]
+        if not todo:
+            return out
+        # all words one after another, each with a place of -1 behind it
+        lengths = np.fromiter((len(words[n]) for n in todo), np.int64, len(todo))
+        raw = np.frombuffer(b"\0".join([words[n] for n in todo]) + b"\0", np.uint8)
+        ends = np.cumsum(lengths + 1) - 1
+        first = self.byte[raw]
+        first[ends] = -1
+        made = np.append(self.byte_pairs[raw[:-1], raw[1:]], -1)
+        made[ends] = -1
+        made[ends - 1] = -1
+        # the index: by the rank that merging gives, the places of its pairs' left tokens, with the pairs
+        tok = first
+        after = np.arange(1, len(tok) + 1)
+        before = np.arange(-1, len(tok) - 1)
+        index: dict[int, list] = {}
+        queue: list[int] = []
+
+        def note(places: np.ndarray, keys: np.ndarray, made: np.ndarray) -> None:
+            """Put pairs that are tokens into the index."""
+            if len(made) == 1:
+                groups = [(int(made[0]), places, keys)]
+            else:
+                order = made.argsort(kind="stable")
+                made, places, keys = made[order], places[order], keys[order]
+                cuts = [0, *(np.flatnonzero(made[1:] != made[:-1]) + 1).tolist(), len(made)]
+                groups = [(int(made[x]), places[x:y], keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for x, p, k in groups:
+                if x in index:
+                    index[x].append((p, k))
+                else:
+                    index[x] = [(p, k)]
+                    heappush(queue, x)
+
+        own = np.flatnonzero(made >= 0)
+        if len(own):
+            note(own, first[own] << 20 | first[own + 1], made[own])
+        marked = np.zeros(len(tok) + 1, bool)
+        odd: list[np.ndarray] = []  # places in words that a merge at a time has to encode
         while queue:
             r = heappop(queue)
-            for i in sorted(index.pop(r)):
-                a = tok[i]
-                if a < 0:
-                    continue
-                j = after[i]
-                b = tok[j]
-                if b < 0 or merged(a, b) != r:
-                    continue
-                tok[i], tok[j] = r, -2
-                k = after[i] = after[j]
-                before[k] = i
-                b = tok[k]
-                if b >= 0 and (x := merged(r, b)) >= 0:
-                    if x <= r:
-                        odd.add(i)
-                    elif x in index:
-                        index[x].append(i)
-                    else:
-                        index[x] = [i]
-                        heappush(queue, x)
-                h = before[i]
-                if h >= 0 and (a := tok[h]) >= 0 and (x := merged(a, r)) >= 0:
-                    if x <= r:
-                        odd.add(i)
-                    elif x in index:
-                        index[x].append(h)
-                    else:
-                        index[x] = [h]
-                        heappush(queue, x)
-        for n, s in starts:
-            ids = []
-            i = s
-            while (t := tok[i]) != -1:
-                ids.append(t)
-                i = after[i]
-            out[n] = ids
-        if odd:
-            places = sorted(odd)
-            k = 0
-            for n, s in starts:
-                e = s + len(words[n])
-                while k < len(places) and places[k] < s:
-                    k += 1
-                if k < len(places) and places[k] < e:
-                    out[n] = self.encode_alone(words[n])
+            found = index.pop(r)
+            if len(found) == 1:
+                here, keys = found[0]
+            else:
+                here, keys = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            there = after[here]
+            fits = (tok[here] << 20 | tok[there]) == keys  # places merged meanwhile hold negative numbers
+            if not fits.all():
+                here, there = here[fits], there[fits]
+            if not len(here):
+                continue
+            if len(found) > 1:
+                here = np.unique(here)
+                there = after[here]
+            marked[here] = True
+            if (lap := marked[there]).any():  # as in aaa: one token cannot be in two pairs
+                odd.append(here[lap])
+            behind = after[there]
+            old = tok[behind]
+            close = marked[behind]
+            marked[here] = False
+            tok[here], tok[there] = r, -2
+            after[here], before[behind] = behind, here
+            # between two merges that follow each other stands, for a moment, a pair that may come earlier still
+            if close.any() and (self.made_by(r << 20 | old[close]) >= 0).any():
+                x = self.made_by(r << 20 | old[close])
+                odd.append(here[close][(x >= 0) & (x <= r)])
+            front = before[here]
+            b, a = tok[behind], np.where(front >= 0, tok[front], -1)
+            right, left = b >= 0, (a >= 0) & (a != r)  # a pair of two merged tokens is seen from its left one
+            places = np.concatenate([here[right], front[left]])
+            keys = np.concatenate([r << 20 | b[right], a[left] << 20 | r])
+            x = self.made_by(keys)
+            if (early := (x >= 0) & (x <= r)).any():
+                odd.append(places[early])
+            if (later := x > r).any():
+                note(places[later], keys[later], x[later])
+        ids = tok[tok >= 0].tolist()
+        last = np.cumsum(tok >= 0)[ends].tolist()
+        at = 0
+        for n, end in zip(todo, last, strict=True):
+            out[n] = ids[at:end]
+            at = end
+        for n in np.unique(np.searchsorted(ends, np.concatenate(odd))).tolist() if odd else []:
+            out[todo[n]] = self.encode_alone(words[todo[n]])
         return out
 
     def encode_alone(self, word: bytes) -> list[int]:
         """One word, one merge at a time: the lowest rank first, leftmost first."""
-        ids = [self.byte[x] for x in word]
+        ids = [int(self.byte[x]) for x in word]
         while len(ids) > 1:
-            best = min(((r, i) for i in range(len(ids) - 1) if (r := self.merged(ids[i], ids[i + 1])) >= 0), default=None)
+            best = min(((r, i) for i in range(len(ids) - 1) if (r := self.pairs.get(ids[i] << 20 | ids[i + 1])) is not None), default=None)
             if best is None:
                 break
             ids[best[1] : best[1] + 2] = [best[0]]
@@ -140,16 +169,24 @@ def _state(key: str, raw: dict[bytes, int]):
     """The replay and the words known so far, kept by the Python worker from task to task."""
     if key not in _STATE:
         _STATE.clear()
-        _STATE[key] = (MergeReplay(raw), {})
+        _STATE[key] = (MergeReplay(raw), Known())
     return _STATE[key]
 
 
 
-def _learn(replay: MergeReplay, known: dict, words: set[str]) -> None:
-    fresh = [w for w in words if w not in known]
-    token = replay.token
-    for w, ids in zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True):
-        known[w] = (" ".join(map(str, ids)), len(ids), b"".join([token[i] for i in ids]))
+class Known:
+    """Words known so far: their ids as text, and the bytes that their ids decode to."""
+
+    def __init__(self):
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+
+    def learn(self, replay: MergeReplay, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.ids]
+        token, text = replay.token, replay.text
+        for w, ids in zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True):
+            self.ids[w] = " ".join([text[i] for i in ids])
+            self.raw[w] = b"".join([token[i] for i in ids])
 
 
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -177,14 +214,14 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
             # words of some texts at a time, so that what is held stays small
             for chunk in _chunks(texts):
                 words = [split(t) for t in chunk]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                _learn(replay, known, set().union(*words))
+                if len(known.ids) > CACHE_WORDS:
+                    known.ids.clear()
+                    known.raw.clear()
+                known.learn(replay, set().union(*words))
                 for ws in words:
-                    found = [known[w] for w in ws]
-                    text = " ".join([x[0] for x in found])
-                    raw = b"".join([x[2] for x in found])
-                    n_tokens.append(sum([x[1] for x in found]))
+                    text = " ".join(map(known.ids.__getitem__, ws))
+                    raw = b"".join(map(known.raw.__getitem__, ws))
+                    n_tokens.append(text.count(" ") + 1 if text else 0)
                     ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(raw).hexdigest())
                     if keep_ids:
@@ -201,7 +238,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     return out.select(*renamed, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)])
 
 
-def _chunks(texts: list[str], most: int = 1 << 20):
+def _chunks(texts: list[str], most: int = 1 << 22):
     """Lists of texts of about `most` characters together."""
     part, size = [], 0
     for t in texts:

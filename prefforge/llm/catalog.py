@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from prefforge.llm import queries_bpe, queries_exact_dedup, queries_line_dedup, queries_mixing, queries_pii, queries_quality, queries_simhash, queries_topk, queries_toxicity
+from prefforge.llm import queries_bpe, queries_exact_dedup, queries_line_dedup, queries_mixing, queries_pii, queries_quality, queries_simhash, queries_suffix_dedup, queries_topk, queries_toxicity
 
-_MODULES = (queries_bpe, queries_exact_dedup, queries_line_dedup, queries_mixing, queries_pii, queries_quality, queries_simhash, queries_topk, queries_toxicity)
+_MODULES = (queries_bpe, queries_exact_dedup, queries_line_dedup, queries_mixing, queries_pii, queries_quality, queries_simhash, queries_suffix_dedup, queries_topk, queries_toxicity)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in one batch.
 ARROW_BYTES = 16 << 20
@@ -39,3 +40,18 @@ def bounded_batches(spark: SparkSession, n_bytes: int = ARROW_BYTES) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def number_rows(df: DataFrame, order: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """(df with its place `at` from 0 by the order of a unique column, number of rows): sorted by ranges, numbered within
+    each, and shifted by the sizes of the ranges before. The driver sees one count of each range."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = shared_table(ranged.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1)), "numbered")
+    total, base = 0, []
+    for p, n in sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect()):
+        base.append((p, total))
+        total += n
+    bases = spark.createDataFrame(base or [(0, 0)], "_p long, _b long")
+    return ranged.join(F.broadcast(bases), "_p").withColumn("at", F.col("_b") + F.col("_i")).drop("_id", "_p", "_i", "_b"), total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefforge.plans import relational, scalars  # noqa: F401  they register their queries
+from prefforge.plans import pipelines, relational, scalars  # noqa: F401  they register their queries
 from prefforge.plans.registry import QUERIES, SQL
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
-from prefforge.llm.textops import lower_ascii, whole
+from prefforge.llm.textops import lower_ascii, named_columns, numbered_columns, whole
 
 #: Filter bits for each row, and the most bits: 2**28 bits are 32 MB, which is what the driver and each task hold at most.
 BITS_PER_ROW = 32
@@ -131,4 +131,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    return exact_dedup(docs, id_col, text_col, carry=docs.columns).filter("kept").select(*[f"`{c}`" for c in docs.columns])
+    plain, at = numbered_columns(docs)
+    out = exact_dedup(plain.withColumn("doc_id", F.col(at[id_col])), "doc_id", at[text_col], carry=plain.columns)
+    return named_columns(out.filter("kept"), at)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import shared_table
-from prefforge.llm.textops import whole
+from prefforge.llm.textops import named_columns, numbered_columns, whole
 
 #: Lines of the shortest run that is deleted.
 RUN = 3
@@ -68,7 +68,8 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with the repeated lines cut out of their texts; all columns stay. Ids must be unique."""
     spans = dedup_lines(docs, id_col, text_col, run).filter("n_removed > 0").select(F.col(id_col).alias("_i"), "removed")
     bounds = F.transform(F.split("removed", ","), lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("a"), F.split(x, "-")[1].cast("int").alias("b")))
-    joined = docs.join(spans.withColumn("_cut", bounds), F.col(f"`{id_col}`") == F.col("_i"), "left")
-    kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda line, i: ~F.exists("_cut", lambda c: (i >= c["a"]) & (i <= c["b"])))
-    text = F.when(F.col("_cut").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    plain, at = numbered_columns(docs)
+    text = F.col(at[text_col])
+    joined = plain.join(spans.withColumn("_cut", bounds), F.col(at[id_col]) == F.col("_i"), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.exists("_cut", lambda c: (i >= c["a"]) & (i <= c["b"])))
+    return named_columns(joined.withColumn(at[text_col], F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))), at)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefforge.llm.textops import n_words, whole
+from prefforge.llm.textops import n_words, named_columns, numbered_columns, whole
 
 #: Weights of the sources in code-point order, repeating; the mix's size and each source's most, as shares of what there is.
 WEIGHTS = (3, 1, 2)
@@ -73,19 +73,14 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     shares = mix(docs, id_col, text_col, source_col, seed=seed).groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("taken").alias("_most"), F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     # rows with the same id, source and size share what they take evenly as far as whole words allow
     each = shares.withColumn("_taken", F.floor(F.col("_sum") / F.col("_rows")).cast("long"))
-    sized = docs.withColumn("_size", n_words(F.col(f"`{text_col}`")))
-    joined = sized.join(each, F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & F.col(f"`{source_col}`").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))).filter("_taken > 0")
+    plain, at = numbered_columns(docs)
+    text = F.col(at[text_col])
+    joined = plain.withColumn("_size", n_words(text)).join(each, F.col(at[id_col]).eqNullSafe(F.col("_i")) & F.col(at[source_col]).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))).filter("_taken > 0")
     part = F.col("_taken") % F.col("_size")
     copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    cut = F.array_join(F.slice(F.filter(F.split(F.translate(whole(F.col(f"`{text_col}`")), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), F.lit(1), part.cast("int")), " ")
-    n_chars = {"n_chars"} & set(docs.columns)
+    cut = F.array_join(F.slice(F.filter(F.split(F.translate(whole(text), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), F.lit(1), part.cast("int")), " ")
     out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies + F.when(part > 0, 1).otherwise(0)))).withColumn("_cut", F.when(F.col("_copy") > copies, cut))
-    cols = []
-    for c in docs.columns:
-        if c == text_col:
-            cols.append(F.coalesce(F.col("_cut"), F.col(f"`{c}`")).alias(c))
-        elif c in n_chars:
-            cols.append(F.coalesce(F.length("_cut").cast("long"), F.col(f"`{c}`")).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return out.select(*cols)
+    out = out.withColumn(at[text_col], F.coalesce("_cut", text))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.coalesce(F.length("_cut").cast("long"), F.col(at["n_chars"])))
+    return named_columns(out, at)

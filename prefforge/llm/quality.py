@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
-from prefforge.llm.textops import whole
+from prefforge.llm.textops import named_columns, numbered_columns, whole
 from prefforge.llm.wordscan import Words, as_bytes, by_space, pieces
 
 #: Hash buckets of each of the two kinds of n-grams; parts in which the counts travel.
@@ -214,7 +214,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the resampling keeps, with all their columns."""
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"d_{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
-    out = resample(plain.withColumn("doc_id", F.col(at[id_col])), labels, "doc_id", at[text_col], carry=list(plain.columns))
-    return out.filter("kept").select(*[F.col(f"d_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    plain, at = numbered_columns(docs)
+    out = resample(plain.withColumn("doc_id", F.col(at[id_col])), labels, "doc_id", at[text_col], carry=plain.columns)
+    return named_columns(out.filter("kept"), at)

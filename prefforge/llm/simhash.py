@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
 from prefforge.llm.components import connected_components
-from prefforge.llm.textops import WORD, lower_ascii, whole
+from prefforge.llm.textops import WORD, lower_ascii, named_columns, numbered_columns, whole
 
 #: Fingerprints of the sample that the tree is laid over (a bound on what the driver sees, not on what is indexed),
 #: fingerprints that a shard is to have at home and that one task compares, and the fewest sample fingerprints of a shard.
@@ -208,4 +208,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 3) -> DataFrame:
     """docs without the rows whose component has a smaller id: one document of each group stays (rows without an id do)."""
     gone = near_duplicates(docs, id_col, text_col, width, reach).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    plain, at = numbered_columns(docs)
+    return named_columns(plain.join(gone, F.col(at[id_col]) == F.col("_gone"), "left_anti"), at)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in one batch.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ from prefforge.functions.tables import bounded_batches
 from prefforge.llm.textops import whole
 
 #: Distinct words that a Python worker keeps encoded; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -238,7 +238,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     return out.select(*renamed, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)])
 
 
-def _chunks(texts: list[str], most: int = 1 << 22):
+def _chunks(texts: list[str], most: int = 1 << 21):
     """Lists of texts of about `most` characters together."""
     part, size = [], 0
     for t in texts:

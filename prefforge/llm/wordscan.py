@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are scanned together. Longer texts are cut at white space into parts of that size, all of which are scanned.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefforge.functions.constants import COST_PER_1000_TOKENS, GENERIC_FAILURE_MODES, HARD_FAILURE_MODES, IGNORED_LABEL, OBJECTIVE_FIELDS, OVERALL_WEIGHTS
+from prefforge.functions.text import bound
 
 
 def win_probability(mine: Column, other: Column) -> Column:
@@ -130,17 +131,19 @@ def block_size(requested: int | None, model_max: int, cap: int = 1024) -> int:
 
 def mask_prompt_labels(labels: Column, separator: int) -> Column:
     """Labels up to the first separator are masked; nothing is if it is missing or comes first."""
-    at = F.array_position(labels, separator)
-    return F.when(at > 1, F.transform(labels, lambda y, i: F.when(i + 1 <= at, IGNORED_LABEL).otherwise(y))).otherwise(labels)
+
+    def mask(x: Column) -> Column:
+        return F.when(x["at"] > 1, F.transform(x["y"], lambda y, i: F.when(i + 1 <= x["at"], IGNORED_LABEL).otherwise(y))).otherwise(x["y"])
+
+    return bound(labels, lambda y: bound(F.struct(y.alias("y"), F.array_position(y, separator).alias("at")), mask))
 
 
 def dpo_encode(prompt: Column, completion: Column, max_length: int = 256) -> tuple[Column, Column]:
     """(ids, labels) of prompt and completion, the prompt masked, cut on the left to max_length."""
+    cut = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - max_length + 1), F.lit(max_length))
     ids = F.concat(prompt, completion)
-    labels = F.concat(F.array_repeat(F.lit(IGNORED_LABEL), F.size(prompt)), completion)
-    n = F.size(ids)
-    cut = lambda x: F.slice(x, F.greatest(F.lit(1), n - max_length + 1), F.lit(max_length))
-    return cut(ids), cut(labels)
+    labels = F.concat(F.transform(prompt, lambda _: F.lit(IGNORED_LABEL)), completion)
+    return bound(ids, cut), bound(labels, cut)
 
 
 def pad(x: Column, to: Column, value: int) -> Column:

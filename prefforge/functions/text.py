@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ DIGITS = r"\p{Nd}²³¹⁰⁴-⁹₀-₉"
 EMOJI = "[\U0001f000-\U0001faff☀-➿⬀-⯿️‍⃣\U000e0020-\U000e007f]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lower_columns(df: DataFrame) -> DataFrame:
     """All column names in lower case."""
     return df.toDF(*[c.lower() for c in df.columns])
@@ -48,7 +56,7 @@ def username(x: Column) -> Column:
 
 
 def without_last(x: Column) -> Column:
-    return F.when(F.length(x) > 0, F.left(x, F.length(x) - 1)).otherwise(x)
+    return F.regexp_replace(x, r"(?s).\z", "")
 
 
 def prompt_body(x: Column) -> Column:
@@ -62,11 +70,13 @@ def strip_arguments(x: Column) -> Column:
 
 
 def drop_prefix(x: Column, prefix: str = "prompt") -> Column:
-    return F.when(F.lower(x).startswith(prefix), F.substring(x, len(prefix) + 1, 1 << 30)).otherwise(x)
+    """Without a prefix in any case."""
+    return F.regexp_replace(x, "(?i)^" + re.escape(prefix), "")
 
 
 def trailing_seed(x: Column) -> Column:
-    return F.when(x.endswith("seed") & occurs_once(x, "seed"), before(x, "seed")).otherwise(x)
+    """Without a `seed` at the end, if there is no other one."""
+    return F.regexp_replace(x, r"(?s)\A((?:(?!seed).)*+)seed\z", "$1")
 
 
 def strip_emoji(x: Column) -> Column:
@@ -138,11 +148,7 @@ def truncate(x: Column, n: int, ellipsis: str = "") -> Column:
 
 def phrase_hits(x: Column, phrases: list[str]) -> Column:
     """Occurrences of all phrases in lower-cased text; a phrase within another counts for both."""
-    low = F.lower(x)
-    total = F.lit(0)
-    for p in phrases:
-        total = total + count_of(low, p)
-    return total
+    return bound(F.lower(x), lambda low: sum((count_of(low, p) for p in phrases), F.lit(0)))
 
 
 def tokens(x: Column) -> Column:
@@ -155,16 +161,23 @@ def token_count(x: Column) -> Column:
 
 def repeated_ngrams(x: Column, n: int = 3) -> Column:
     """Sum over n-grams of how often they repeat: all n-grams less the distinct ones."""
-    words = tokens(F.lower(x))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)))
-    return F.when(F.size(words) >= n, F.size(grams) - F.size(F.array_distinct(grams))).otherwise(0)
+
+    def count(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)))
+        return F.when(F.size(words) >= n, bound(grams, lambda g: F.size(g) - F.size(F.array_distinct(g)))).otherwise(0)
+
+    return bound(tokens(F.lower(x)), count)
 
 
 def copy_ratio(prompt: Column, text: Column) -> Column:
     """Share of the text's tokens that the prompt has; 0 for a text without tokens."""
-    own = tokens(F.lower(text))
-    known = tokens(F.lower(F.replace(prompt, F.lit(SEPARATOR), F.lit(""))))
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.array_contains(known, t))) / F.size(own)).otherwise(0.0)
+    known = F.array_distinct(tokens(F.lower(F.replace(prompt, F.lit(SEPARATOR), F.lit("")))))
+
+    def share(x: Column) -> Column:
+        own = x["own"]
+        return F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.array_contains(x["known"], t))) / F.size(own)).otherwise(0.0)
+
+    return bound(F.struct(tokens(F.lower(text)).alias("own"), known.alias("known")), share)
 
 
 def round_half_even(x: Column, digits: int = 3) -> Column:
@@ -206,5 +219,4 @@ def checkpoint_name(step: Column) -> Column:
 
 def tail_tokens(x: Column, n: int = 10) -> Column:
     """The last n tokens, joined: equal ends across a batch show a template (an extension)."""
-    t = tokens(F.lower(x))
-    return F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - (n - 1)), F.lit(n)), " ")
+    return bound(tokens(F.lower(x)), lambda t: F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - (n - 1)), F.lit(n)), " "))

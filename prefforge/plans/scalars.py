@@ -40,7 +40,10 @@ scalar("str_drop_prefix", "label_log", "line_no", lambda: t.drop_prefix(C("promp
 scalar("str_trailing_seed", "messages", "pos", lambda: t.trailing_seed(t.prompt_body(content())), f"case when ends_with(left({BODY}, greatest(length({BODY}) - 1, 0)), 'seed') and {_count(BODY, 'seed')} = 1 then split_part({BODY}, 'seed', 1) else left({BODY}, greatest(length({BODY}) - 1, 0)) end", HAVE)
 scalar("str_emoji_strip", "messages", "pos", lambda: t.strip_emoji(F.concat(F.lit("\U0001f600 ☀ "), content(), F.lit("❤️"))), "concat('  ', content)", HAVE)
 scalar("str_remove_chars", "messages", "pos", lambda: t.remove_characters(content()), "translate(content, '()[]{{}}|', '')", HAVE)
-register("str_glue_digits", lambda get: get("messages").filter(HAVE).select("pos", t.glue_digits(content()).alias("value")))
+# DuckDB has no look-behind, so each character is looked at with its neighbours
+_GLUE = r"""array_to_string(list_transform(range(1, length(content) + 1), lambda i: case when regexp_matches(substr(content, i, 1), '\s') and i > 1 and regexp_matches(substr(content, i - 1, 1), '[0-9]')
+  and (regexp_matches(substr(content, i + 1, 1), '[0-9]') or (substr(content, i + 1, 1) in ('K', 'k', 'd', 'D', 's') and (i + 1 = length(content) or not regexp_matches(substr(content, i + 2, 1), '[\p{{L}}\p{{N}}_]')))) then '' else substr(content, i, 1) end), '')"""
+scalar("str_glue_digits", "messages", "pos", lambda: t.glue_digits(content()), _GLUE, HAVE)
 scalar("str_space_comma", "messages", "pos", lambda: t.space_comma(content()), r"regexp_replace(content, '\s,', ',', 'g')", HAVE)
 scalar("str_squeeze_ws", "documents", "doc_id", lambda: t.squeeze_space(C("text")), r"regexp_replace(text, '\s+', ' ', 'g')")
 scalar("str_strip_charset", "messages", "pos", lambda: t.strip_characters(content()), "trim(content, ': =''.,\"')", HAVE)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths and tables that this process has written and not yet deleted.
+_WRITTEN: list[str] = []
+_TABLES: list[str] = []
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in one batch.
 ARROW_BYTES = 4 << 20
 
@@ -29,10 +32,34 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like shared_table, but dealt by a key: later joins and groupings by it find the rows in place. The table lies in the
+    warehouse, which all executors see; a row's files are those of one task, so there are as many as buckets."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"prefforge_{name}_{uuid.uuid4().hex}"
+    _TABLES.append(table_name)
+    df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def clean_shared(spark: SparkSession) -> int:
+    """Delete the shared tables of this process, and tell how many there were. Results that read them must have been written
+    before; they are kept until then, since a lost executor's part is read again."""
+    n = len(_WRITTEN) + len(_TABLES)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def bounded_batches(spark: SparkSession, n_bytes: int = ARROW_BYTES) -> None:
     """Limit Arrow batches by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))

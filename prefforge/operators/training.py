@@ -82,3 +82,10 @@ def hyperband_stop(runs: DataFrame, rung: str = "rung", loss: str = "loss", eta:
 def with_replacement(df: DataFrame, place: str, n_rows: int, draws: DataFrame) -> DataFrame:
     """Rows at the drawn places (column `draw`, taken modulo the number of rows), repeats included."""
     return draws.withColumn(place, F.pmod("draw", F.lit(n_rows))).join(df, place)
+
+
+def checkpoint_rows(steps: DataFrame, every: int = 500, last: int = 3, after: int = 20) -> DataFrame:
+    """(name, step, best_reward) of the periodic checkpoints that are kept, as the metadata beside the weights."""
+    best = running_best(steps, after=after)
+    reached = best.withColumn("best_reward", F.greatest("best_before", F.when(F.col("step") >= after, F.col("mean_reward"))))
+    return keep_last(reached, every, last).select(F.format_string("step-%06d", "step").alias("name"), "step", "best_reward")

@@ -19,7 +19,7 @@ from prefforge.operators import scorer as sc
 from prefforge.operators import tasks as tk
 from prefforge.operators import training as tr
 from prefforge.operators.dedup import near_dup_greedy
-from prefforge.plans.registry import register, scalar
+from prefforge.plans.registry import QUERIES, SQL, register, scalar
 from prefforge.plans.relational import _rounded
 from prefforge.plans.scalars import _T, _enc, _hits, _ids
 from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
@@ -345,6 +345,13 @@ register("sft_strings", lambda get: lab.sft_strings(get("label_log")).select("li
 scalar("perplexity", "runs", "run", lambda: F.round(n.perplexity(C("loss")), 6), "round(exp(loss), 6)")
 register("shared_tails", lambda get: ev.shared_tails(get("review"), "dpo", 3), f"SELECT tail, count(*) AS n FROM (SELECT array_to_string(list_slice({_T}, greatest(1, len({_T}) - 2), len({_T})), ' ') AS tail FROM {{review}}) GROUP BY tail HAVING count(*) >= 2")
 
+register("snk_checkpoint_meta", lambda get: tr.checkpoint_rows(get("train_steps").select("step", "mean_reward")), "SELECT printf('step-%06d', step) AS name, step, best_reward FROM (SELECT step, max(case when step >= 20 then mean_reward end) OVER (ORDER BY step) AS best_reward FROM {train_steps}) WHERE step % 500 = 0 AND step > 0 ORDER BY step DESC LIMIT 3")
+_LINES = "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(l_quantity) as bigint) AS quantity, count(DISTINCT l_suppkey) AS n_suppliers FROM {lineitem} GROUP BY "
+register("agg_distinct_sets", lambda get: get("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), F.countDistinct("l_suppkey").alias("n_suppliers")), _LINES + "CUBE (l_returnflag, l_linestatus)")
+register("agg_rollup", lambda get: get("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), F.countDistinct("l_suppkey").alias("n_suppliers")), _LINES + "ROLLUP (l_returnflag, l_linestatus)")
+for _key, _same in (("mask_labels", "arr_mask_labels"), ("dpo_encode", "arr_dpo_encode"), ("token_accuracy", "num_token_acc"), ("kl", "num_kl")):
+    QUERIES[_key], SQL[_key] = QUERIES[_same], SQL[_same]
+
 # streams (extensions)
 def _stream(get):
     log = get("score_log").select("line_no", "prompt_id", "candidate_id", "prompt", "expansion", "score", "overall", "fidelity")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
-from prefforge.functions.tables import number_rows
+from prefforge.functions.tables import clean_shared, number_rows, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import _jaro, exact_first, near_dup_greedy
 from prefforge.sources import files
@@ -291,3 +291,11 @@ def test_clean_pipeline_drops(spark):
     rows = [(i, c, "2024-01-01 00:00:00") for i, c in enumerate([None, " ", "Dreaming in 1s for @u... /dream prompt:x!", "Dreamt in 1s for @u... /dream prompt:A fine cat , 4 k steps:5!", "Dreamt for @v... /dream prompt:http here!"])]
     df = spark.createDataFrame(rows, "pos int, content string, d string").withColumn("date", F.to_timestamp("d"))
     assert [(r["pos"], r["content"]) for r in cleaning.clean_messages(df).collect()] == [(3, "A fine cat, 4k")]
+
+
+def test_shared_tables_go(spark):
+    df = shared_table(spark.range(3).toDF("i"), "three")
+    assert df.count() == 3
+    assert clean_shared(spark) >= 1 and clean_shared(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        spark.read.parquet(df.inputFiles()[0]).count()

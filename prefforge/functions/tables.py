@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Paths and tables that this process has written and not yet deleted.
@@ -82,3 +82,17 @@ def number_rows(df: DataFrame, order: str, parts: int | None = None) -> tuple[Da
         total += n
     bases = spark.createDataFrame(base or [(0, 0)], "_p long, _b long")
     return ranged.join(F.broadcast(bases), "_p").withColumn("at", F.col("_b") + F.col("_i")).drop("_id", "_p", "_i", "_b"), total
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
+    """df with the sum of `value` over all rows before it by a unique column: summed within ranges and shifted by the ranges
+    before. The driver sees one sum of each range."""
+    spark = df.sparkSession
+    ranged = shared_table(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id()), "ranged")
+    total, base = 0, []
+    for p, n in sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.sum(value).alias("n")).collect()):
+        base.append((p, total))
+        total += n or 0
+    bases = spark.createDataFrame(base or [(0, 0)], "_p int, _b " + ("double" if isinstance(total, float) else "long"))
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_s", F.coalesce(inside, F.lit(0))).join(F.broadcast(bases), "_p").withColumn(name, F.col("_b") + F.col("_s")).drop("_p", "_b", "_s")

@@ -56,7 +56,7 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
 
     A range join finds the pairs, so the similarity is computed only for rows of one user close in time; it is an equi
     join on (user, time bucket), with each row in its own and the bucket before. Only rows that conflict at all meet in
-    the fold that decides, one array for each user's connected rows at most.
+    the fold that decides, one array for each session of a user.
     """
     seconds = F.unix_timestamp(F.col(date).cast("timestamp"))
     begin = "timestamp'2000-01-01 00:00:00'"
@@ -65,9 +65,12 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
     late = rows.select("u", F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("p").alias("p2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
     near = rows.join(late, ["u", "bucket"]).filter(((F.col("d2") > F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("p2") > F.col("p")))) & ((F.col("d2") - F.col("d")) < F.expr(f"INTERVAL {interval}")))
     conflicts = near.filter(jaro("t", "t2") > threshold).groupBy("u", "d", "p").agg(F.collect_list("p2").alias("c"))
-    # rows that suppress others take part in the fold too, as they may be suppressed themselves
+    # rows an interval apart do not touch each other, so each session of a user is decided by itself
+    along = Window.partitionBy("u").orderBy("d", "p")
+    begins = F.coalesce(F.col("d") - F.lag("d").over(along) >= F.expr(f"INTERVAL {interval}"), F.lit(True))
+    sessions = conflicts.withColumn("begins", begins.cast("int")).withColumn("session", F.sum("begins").over(along))
     order = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("d").cast("timestamp"))).alias("d"), (-F.col("p")).alias("q"), "p", "c")))
-    folded = conflicts.groupBy("u").agg(order.alias("rows"))
+    folded = sessions.groupBy("u", "session").agg(order.alias("rows"))
     gone = F.aggregate("rows", F.array().cast("array<long>"), lambda acc, x: F.when(F.size(F.array_except(x["c"], acc)) > 0, F.concat(acc, F.array(x["p"].cast("long")))).otherwise(acc))
     dropped = folded.select(F.explode(gone).alias("_gone"))
     return df.join(dropped, F.col(pos) == F.col("_gone"), "left_anti")

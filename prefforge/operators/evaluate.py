@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
+from prefforge.functions.tables import prefix_sums
 
 FLAGS = ["tokens", "magic_word_hits", "artist_hits", "repeated_3grams", "prompt_copy_ratio"]
 
@@ -65,10 +66,9 @@ def paired_stats(pairs: DataFrame) -> DataFrame:
 
 def theta_win_rate(good: DataFrame, bad: DataFrame, column: str = "score") -> DataFrame:
     """Share of all (good, bad) pairs in which the good one scores higher, by ranks instead of a cross join: each good score
-    beats as many bad ones as have a smaller score. Scores are counted by value, so the sorted part is small."""
+    beats as many bad ones as have a smaller score. Scores are counted by value, and the counts summed up by ranges."""
     counts = good.select(F.col(column).alias("x"), F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(bad.select(F.col(column).alias("x"), F.lit(0).alias("g"), F.lit(1).alias("b"))).groupBy("x").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-    below = F.sum("b").over(Window.partitionBy(F.lit(0)).orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    won = counts.withColumn("won", F.col("g") * F.coalesce(below, F.lit(0))).agg(F.sum("won").alias("wins"), (F.sum("g") * F.sum("b")).alias("pairs"))
+    won = prefix_sums(counts.filter("x is not null"), "x", "b").withColumn("won", F.col("g") * F.col("before")).agg(F.sum("won").alias("wins"), (F.sum("g") * F.sum("b")).alias("pairs"))
     return won.select("wins", "pairs", (F.col("wins") / F.nullif(F.col("pairs"), F.lit(0))).alias("win_rate"))
 
 

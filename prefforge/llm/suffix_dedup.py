@@ -14,7 +14,6 @@ interval that the suffix array gives them, and the few bytes before its first an
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefforge.functions.tables import bounded_batches, shared_table
+from prefforge.functions.tables import bounded_batches, shared_buckets, shared_table
 from prefforge.llm.suffix_order import suffix_order
 from prefforge.llm.textops import whole
 
@@ -103,9 +102,9 @@ def _runs(first: np.ndarray, last: np.ndarray) -> bytes:
 _PIECE = np.dtype([("h", "<u8"), ("v", "<u8"), ("x", "<u4"), ("t", "<u4"), ("a", "u1"), ("c", "u1")])
 
 
-def _by_piece(h: np.ndarray, v: np.ndarray, order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places by class, piece and then order; whether each is the first of its class and piece)."""
-    by = np.lexsort([*order, v, h])
+def _by_piece(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places by class and piece, equal ones in the order in which they come; whether each is the first of its piece)."""
+    by = np.argsort(h ^ v * _MIX, kind="stable")
     first = np.ones(len(by), bool)
     first[1:] = (h[by][1:] != h[by][:-1]) | (v[by][1:] != v[by][:-1])
     return by, first
@@ -115,9 +114,11 @@ def _split(values: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(value, places) of each value."""
     if not len(values):
         return []
-    by = np.argsort(values, kind="stable")
-    own, at = np.unique(values[by], return_index=True)
-    return list(zip(own.tolist(), np.split(by, at[1:]), strict=True))
+    # small numbers are sorted by radix
+    by = np.argsort(values.astype(np.uint16) if 0 <= values.min() and values.max() < 1 << 16 else values, kind="stable")
+    line = values[by]
+    at = np.flatnonzero(line[1:] != line[:-1]) + 1
+    return list(zip(line[np.append(0, at)].tolist(), np.split(by, at), strict=True))
 
 
 def _scan(buckets: int, length: int, gram: int):
@@ -127,8 +128,9 @@ def _scan(buckets: int, length: int, gram: int):
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
-            for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+            parts, texts = [], batch.column(2).cast(pa.binary()).to_pylist()
+            for i in np.lexsort([rows, ids]).tolist():  # so that of equal pieces the earliest comes first
+                text = texts[i]
                 if len(text) >= length:
                     h, v, x, first, last = pieces_of(np.frombuffer(text, np.uint8), length, gram)
                     piece = np.empty(len(h), _PIECE)
@@ -137,10 +139,8 @@ def _scan(buckets: int, length: int, gram: int):
             if not parts:
                 continue
             piece = np.concatenate(parts)
-            del parts
-            rank = np.empty(len(rows), np.int64)
-            rank[np.lexsort([rows, ids])] = np.arange(len(rows))
-            by, first = _by_piece(piece["h"], piece["v"], [piece["x"], rank[piece["t"]]])
+            del parts, texts
+            by, first = _by_piece(piece["h"], piece["v"])
             out = [(int(rows[i]) % buckets, int(rows[i]), _runs(piece[by[~first]][g]), b"") for i, g in _split(piece["t"][by[~first]])]
             piece = piece[by[first]]
             for k, g in _split((piece["h"] >> np.uint64(8)) % np.uint64(buckets)):
@@ -195,7 +195,9 @@ def _classes(key, pdf: pd.DataFrame) -> pd.DataFrame:
         met = np.unique(h[1:][h[1:] == h[:-1]])
         piece = piece[met[np.minimum(np.searchsorted(met, piece["h"]), len(met) - 1)] == piece["h"]] if len(met) else piece[:0]
         t = piece["t"]
-        by, first = _by_piece(piece["h"], piece["v"], [piece["x"], rows[t], ids[t]])
+        piece = piece[np.lexsort([piece["x"], rows[t], ids[t]])]
+        t = piece["t"]
+        by, first = _by_piece(piece["h"], piece["v"])
         again = piece[by[~first]]
         found += [(r, _runs(again[g]), None, None, None, None, None, None) for r, g in _split(rows[again["t"]])]
         left = piece[by[first]]
@@ -358,12 +360,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bounded_batches(spark)
     last = (1 << 63) - 1
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one copy of the texts, dealt by row number: both joins below find it in place
     numbered = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)).alias("_order"), F.monotonically_increasing_id().alias("_row"), whole(F.col(f"`{text_col}`")).alias("_text"))
-    name = f"prefforge_texts_{uuid.uuid4().hex}"
-    numbered.repartition(buckets, "_row").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "_row").saveAsTable(name)
-    texts = spark.table(name)
+    texts = shared_buckets(numbered, "texts", "_row")
     n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = texts.select("_row", "_order", "_text").mapInArrow(_scan(max(1, -(-n_bytes // BUCKET_BYTES)), length, gram), "bucket int, row long, blob binary, docs binary")
     classes = shared_table(parts.groupBy("bucket").applyInPandas(_classes, _CLASSES), "suffix-classes")

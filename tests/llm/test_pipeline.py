@@ -8,7 +8,9 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
+from prefforge.functions.tables import shared_table
 from prefforge.llm.bpe import read_ranks
+from tests.llm.data import documents, frame
 from tests.llm.test_dedup import UPPER, components, plain_fingerprint
 from tests.llm.test_models import plain_targets
 
@@ -58,3 +60,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows and clashing names, and an empty table, go through all stages."""
+    odd = [*documents(21, 50), (None, None, None, None, None), (None, None, None, None, None), (5, "five words are here now", None, None, None)]
+    for rows in (odd, []):
+        docs = frame(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, shared_table(stage(spark, docs, FOLDER), "odd")
+            assert (docs.count() > 0) == bool(rows), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == before.columns

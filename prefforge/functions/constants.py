@@ -33,3 +33,33 @@ LOOSE_GUARDRAILS = {"fidelity": 5, "style_fit": 4, "non_genericness": 5, "anti_m
 OVERALL_WEIGHTS = {"fidelity": 0.25, "visual_specificity": 0.20, "style_fit": 0.15, "composition_lighting": 0.15, "non_genericness": 0.15, "coherence": 0.10}
 COST_PER_1000_TOKENS = 0.02
 IGNORED_LABEL = -100
+
+# Formats of chat-bot messages.
+DONE_WORD = "Dreamt"
+COMMAND = "/dream prompt:"
+AUTHOR_MARK = "for @"
+AUTHOR_END = "... "
+WARNING_MARK = "\n**WARNING:**"
+NEGATIVE_ARGUMENT = "negative_prompt:"
+NEGATIVE_MARKS = ["negative prompt", "negative _ prompt", "negative_prompt"]
+SCALE_MARK = "cfg _ scale"
+ARGUMENT_MARK = "--"
+LONGEST_MIDDLE_ARGUMENT = 20
+STATUS_TEXT = "dreamt in"
+STATUS_START = "dreaming for"
+BRACKETS = "()[]{}|"
+EDGE_CHARACTERS = ": ='.,\""
+# Patterns of the cleaning steps, in Java's syntax.
+ARGUMENTS = r"(?d) [^ ]*:.*"
+LOOSE_DIGITS = r"(?U)(?<=\d)\s(?=\d|[KkdDs][^\w]|[KkdDs]$)"
+SPACE_BEFORE_COMMA = r"(?U)\s,"
+# Patterns of judge replies.
+FENCE_BEGIN = r"```(?:json)?\s*"
+FENCE_END = "```"
+FLAT_OBJECT = r"\{[^{}]*\}"
+REASON_IN_PROSE = r'"?reason"?\s*[:=]\s*"([^"]*)"'
+SCORE_IN_PROSE = r'"?score"?\s*[:=]\s*(\d+)'
+OVERALL_IN_PROSE = r'"?(?:overall|score)"?\s*[:=]\s*(\d+)'
+# Formats of training texts and names.
+SFT_BEGIN, SFT_MIDDLE, SFT_END = "[BOS]", " = ", "<endoftext>"
+CHECKPOINT_FORMAT = "step-%06d"

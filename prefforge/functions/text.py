@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefforge.functions import constants as k
 from prefforge.functions.constants import END_OF_TEXT, SEPARATOR
 
 #: Characters that do not make a prompt suspicious, inside a character class.
@@ -52,7 +53,7 @@ def after(x: Column, part: str) -> Column:
 
 
 def username(x: Column) -> Column:
-    return before(after(x, "for @"), "... ")
+    return before(after(x, k.AUTHOR_MARK), k.AUTHOR_END)
 
 
 def without_last(x: Column) -> Column:
@@ -61,12 +62,12 @@ def without_last(x: Column) -> Column:
 
 def prompt_body(x: Column) -> Column:
     """What follows the command, without its last character."""
-    return without_last(after(x, "/dream prompt:"))
+    return without_last(after(x, k.COMMAND))
 
 
 def strip_arguments(x: Column) -> Column:
     """Cut ` key:...` to the end of the line."""
-    return F.regexp_replace(x, r"(?d) [^ ]*:.*", "")
+    return F.regexp_replace(x, k.ARGUMENTS, "")
 
 
 def drop_prefix(x: Column, prefix: str = "prompt") -> Column:
@@ -83,24 +84,24 @@ def strip_emoji(x: Column) -> Column:
     return F.regexp_replace(x, EMOJI, "")
 
 
-def remove_characters(x: Column, characters: str = "()[]{}|") -> Column:
+def remove_characters(x: Column, characters: str = k.BRACKETS) -> Column:
     return F.translate(x, characters, "")
 
 
 def glue_digits(x: Column) -> Column:
     """No white space between a digit and a digit or a size suffix."""
-    return F.regexp_replace(x, r"(?U)(?<=\d)\s(?=\d|[KkdDs][^\w]|[KkdDs]$)", "")
+    return F.regexp_replace(x, k.LOOSE_DIGITS, "")
 
 
 def space_comma(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s,", ",")
+    return F.regexp_replace(x, k.SPACE_BEFORE_COMMA, ",")
 
 
 def squeeze_space(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\s+", " ")
 
 
-def strip_characters(x: Column, characters: str = ": ='.,\"") -> Column:
+def strip_characters(x: Column, characters: str = k.EDGE_CHARACTERS) -> Column:
     return F.btrim(x, F.lit(characters))
 
 
@@ -123,7 +124,7 @@ def without_special_tokens(x: Column) -> Column:
 
 
 def sft_template(description: Column, prompt: Column) -> Column:
-    return F.concat(F.lit("[BOS]"), description, F.lit(" = "), prompt, F.lit("<endoftext>"))
+    return F.concat(F.lit(k.SFT_BEGIN), description, F.lit(k.SFT_MIDDLE), prompt, F.lit(k.SFT_END))
 
 
 def reward_text(description: Column, prompt: Column) -> Column:
@@ -214,7 +215,7 @@ def name_and_path(x: Column) -> tuple[Column, Column]:
 
 
 def checkpoint_name(step: Column) -> Column:
-    return F.format_string("step-%06d", step)
+    return F.format_string(k.CHECKPOINT_FORMAT, step)
 
 
 def tail_tokens(x: Column, n: int = 10) -> Column:

@@ -7,48 +7,48 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefforge.functions import constants as k
 from prefforge.functions import text as t
-from prefforge.functions.constants import NSFW_WARNING
 from prefforge.operators.dedup import exact_first, near_dup_greedy
 
 
 def completed(df: DataFrame) -> DataFrame:
     """Messages that are there and whose first token says that the job is done; blank ones do not match."""
-    return df.filter(F.col("content").isNotNull() & (t.first_token(F.col("content")) == "Dreamt"))
+    return df.filter(F.col("content").isNotNull() & (t.first_token(F.col("content")) == k.DONE_WORD))
 
 
 def not_nsfw(df: DataFrame) -> DataFrame:
     c = F.col("content")
-    return df.filter(~(c.contains(NSFW_WARNING) | c.contains("sex")))
+    return df.filter(~(c.contains(k.NSFW_WARNING) | c.contains("sex")))
 
 
 def one_prompt(df: DataFrame) -> DataFrame:
-    return df.filter(t.occurs_once(F.col("content"), "/dream prompt:"))
+    return df.filter(t.occurs_once(F.col("content"), k.COMMAND))
 
 
 def one_author(df: DataFrame) -> DataFrame:
-    return df.filter(t.occurs_once(F.col("content"), "for @"))
+    return df.filter(t.occurs_once(F.col("content"), k.AUTHOR_MARK))
 
 
-def without_middle_arguments(df: DataFrame, most: int = 20) -> DataFrame:
+def without_middle_arguments(df: DataFrame, most: int = k.LONGEST_MIDDLE_ARGUMENT) -> DataFrame:
     """Not those that have `--` with a long text behind the first one."""
     c = F.col("content")
-    return df.filter(~(c.contains("--") & (F.length(t.after(c, "--")) > most)))
+    return df.filter(~(c.contains(k.ARGUMENT_MARK) & (F.length(t.after(c, k.ARGUMENT_MARK)) > most)))
 
 
 def extract(df: DataFrame) -> DataFrame:
     """Selected messages as username and prompt body."""
     df = one_author(one_prompt(not_nsfw(completed(df))))
-    body = t.before(t.prompt_body(F.col("content")), "negative_prompt:")
-    body = t.before(t.strip_arguments(body), "\n**WARNING:**")
+    body = t.before(t.prompt_body(F.col("content")), k.NEGATIVE_ARGUMENT)
+    body = t.before(t.strip_arguments(body), k.WARNING_MARK)
     return df.withColumn("username", t.username(F.col("content"))).withColumn("content", body)
 
 
 def cut_arguments(df: DataFrame) -> DataFrame:
     """Prefixes, negative prompts, seeds and arguments are cut off."""
-    steps = [t.drop_prefix, *[lambda x, p=p: t.before(x, p) for p in ("negative prompt", "negative _ prompt", "negative_prompt")], t.trailing_seed, lambda x: t.before(x, "cfg _ scale")]
+    steps = [t.drop_prefix, *[lambda x, p=p: t.before(x, p) for p in k.NEGATIVE_MARKS], t.trailing_seed, lambda x: t.before(x, k.SCALE_MARK)]
     df = df.withColumn("content", reduce(lambda x, f: f(x), steps, F.col("content")))
-    return without_middle_arguments(df).withColumn("content", t.before(F.col("content"), "--"))
+    return without_middle_arguments(df).withColumn("content", t.before(F.col("content"), k.ARGUMENT_MARK))
 
 
 def filter_characters(df: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def tidy(df: DataFrame) -> DataFrame:
     """White space and edges; what is left of status lines and very short texts is dropped."""
     c = F.col("content")
     df = df.withColumn("content", t.squeeze_space(t.space_comma(t.glue_digits(c)))).filter(~t.has_non_ascii(c)).withColumn("content", t.strip_characters(c))
-    return df.filter(~c.contains("dreamt in") & (F.length(c) > 2) & ~c.startswith("dreaming for"))
+    return df.filter(~c.contains(k.STATUS_TEXT) & (F.length(c) > 2) & ~c.startswith(k.STATUS_START))
 
 
 def clean_messages(df: DataFrame, pos: str = "pos", date: str = "date") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefforge.functions import constants as k
 from prefforge.functions import numeric as n
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, OBJECTIVE_FIELDS
 from prefforge.operators.dedup import last_wins
@@ -18,16 +19,16 @@ _REPLY = T.StructType([T.StructField(f, T.IntegerType()) for f in ["overall", *O
 
 
 def without_fences(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)```(?:json)?\s*", ""), "```", "")
+    return F.regexp_replace(F.regexp_replace(x, "(?U)" + k.FENCE_BEGIN, ""), k.FENCE_END, "")
 
 
-def _number_after(x: Column, names: str) -> Column:
-    got = F.regexp_extract(x, rf'"?(?:{names})"?\s*[:=]\s*(\d+)', 1).try_cast("int")
+def _number_in(x: Column, pattern: str) -> Column:
+    got = F.regexp_extract(x, pattern, 1).try_cast("int")
     return F.when(got.between(1, 10), got)
 
 
 def _reason_after(x: Column) -> Column:
-    return F.regexp_extract(x, r'"?reason"?\s*[:=]\s*"([^"]*)"', 1)
+    return F.regexp_extract(x, k.REASON_IN_PROSE, 1)
 
 
 def parse_flat(reply: Column) -> Column:
@@ -35,9 +36,9 @@ def parse_flat(reply: Column) -> Column:
     there is none, no score and the beginning of the reply as reason."""
     text = F.trim(reply)
     clean = without_fences(text)
-    objects = F.reverse(F.regexp_extract_all(clean, F.lit(r"\{[^{}]*\}"), F.lit(0)))
+    objects = F.reverse(F.regexp_extract_all(clean, F.lit(k.FLAT_OBJECT), F.lit(0)))
     scored = F.filter(F.transform(objects, lambda o: F.struct(n.int_1_to_10(o, "$.score").alias("score"), F.coalesce(F.try_variant_get(F.try_parse_json(o), "$.reason", "string"), F.lit("")).alias("reason"))), lambda o: o["score"].isNotNull())
-    prose = _number_after(clean, "score")
+    prose = _number_in(clean, k.SCORE_IN_PROSE)
     found = F.when(F.size(scored) > 0, scored[0]).when(prose.isNotNull(), F.struct(prose.alias("score"), _reason_after(clean).alias("reason")))
     none = F.lit(None).cast("int")
     empty = F.coalesce(F.length(reply), F.lit(0)) == 0
@@ -85,7 +86,7 @@ def parse_nested(reply: pd.Series) -> pd.DataFrame:
             rows.append([None] * 9 + [[], "empty_response"])
             continue
         text = text.strip()
-        clean = re.sub("```", "", re.sub(r"```(?:json)?\s*", "", text))
+        clean = re.sub(k.FENCE_END, "", re.sub(k.FENCE_BEGIN, "", text))
         row = None
         for found in reversed(_nested_objects(clean)):
             overall = _whole(found.get("overall"))
@@ -94,9 +95,9 @@ def parse_nested(reply: pd.Series) -> pd.DataFrame:
                 row = [overall, *[_whole(found.get(f)) for f in OBJECTIVE_FIELDS], _modes(found.get("failure_modes")), str(found.get("reason", ""))]
                 break
         if row is None:
-            prose = re.search(r'"?(?:overall|score)"?\s*[:=]\s*(\d+)', clean)
+            prose = re.search(k.OVERALL_IN_PROSE, clean)
             if prose and _whole(prose[1]) is not None:
-                why = re.search(r'"?reason"?\s*[:=]\s*"([^"]*)"', clean)
+                why = re.search(k.REASON_IN_PROSE, clean)
                 row = [_whole(prose[1]), *[None] * 8, [], why[1] if why else ""]
         rows.append(row or [None] * 9 + [[], f"parse_failed: {text[:150]}"])
     out = pd.DataFrame(rows, columns=["overall", *OBJECTIVE_FIELDS, "failure_modes", "reason"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
-from prefforge.functions.tables import clean_shared, number_rows, shared_table
+from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import _jaro, exact_first, near_dup_greedy
 from prefforge.sources import files
@@ -282,6 +282,12 @@ def test_numbered_rows(spark):
     assert total == 200 and got == list(range(200))
 
 
+def test_prefix_sums(spark):
+    rows = [(k, k % 7) for k in random.Random(4).sample(range(500), 120)]
+    got = {r["k"]: r["before"] for r in prefix_sums(spark.createDataFrame(rows, "k int, v int"), "k", "v").collect()}
+    assert got == {k: sum(v for other, v in rows if other < k) for k, _ in rows}
+
+
 def test_first_of_key(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), (None, 3)], "k string, i int")
     assert {(r["k"], r["i"]) for r in exact_first(df, ["k"], "i").collect()} == {("a", 1), (None, 3)}

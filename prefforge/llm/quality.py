@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
+from prefforge.llm.sampling import least_hashes
 from prefforge.llm.textops import named_columns, numbered_columns, whole
 from prefforge.llm.wordscan import Words, as_bytes, by_space, pieces
 
@@ -103,8 +104,7 @@ def label_sample(labels: DataFrame, column: str, rows: int = LABEL_ROWS, only=No
     """At most `rows` labelled ids, those of the least hashes."""
     found = labels.select("doc_id", F.col(column).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     found = found if only is None else found.filter(only)
-    top = found.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "y").limit(rows)
-    return {r["doc_id"]: r["y"] for r in top.toLocalIterator()}
+    return {r["doc_id"]: r["y"] for r in least_hashes(found, "doc_id", rows, 5).toLocalIterator()}
 
 
 def log_ratios(docs: DataFrame, sample: dict[int, int], id_col: str, text_col: str) -> np.ndarray:

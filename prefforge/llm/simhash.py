@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
 from prefforge.llm.components import connected_components
+from prefforge.llm.sampling import least_hashes
 from prefforge.llm.textops import WORD, lower_ascii, named_columns, numbered_columns, whole
 
 #: Fingerprints of the sample that the tree is laid over (a bound on what the driver sees, not on what is indexed),
@@ -149,9 +150,7 @@ def fingerprint_links(distinct: DataFrame, reach: int = 3, sample_rows: int = SA
     """(fp) distinct fingerprints -> (a, b): links that connect exactly the fingerprints that chains of distances up to
     reach connect. A spanning forest of each shard, never all pairs."""
     spark = distinct.sparkSession
-    # the least hashes: a uniform sample that does not depend on how the rows are dealt out
-    top = distinct.select("fp", F.xxhash64("fp", F.lit(7)).alias("h")).orderBy("h", "fp").limit(sample_rows)
-    sample = np.array([r["fp"] for r in top.toLocalIterator()], np.int64).view(np.uint64)
+    sample = np.array([r["fp"] for r in least_hashes(distinct.select("fp"), "fp", sample_rows, 7).toLocalIterator()], np.int64).view(np.uint64)
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
     # more fingerprints make a deeper tree: about shard_rows of them are at home in a shard
@@ -196,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component its name unless all ids of the component are null. An empty table gives no rows.
     """
     prints = shared_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    own = prints.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    own = shared_table(prints.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints")
     links = fingerprint_links(own.select("fp"), reach)
     roots = connected_components(links)
     named = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))

@@ -18,6 +18,7 @@ from prefforge.llm.mixing import mix, take_mix
 from prefforge.llm.pii import find_pii
 from prefforge.llm.quality import keep_good, kth_largest, level_of, resample
 from prefforge.llm.queries_topk import SQL
+from prefforge.llm.sampling import least_hashes
 from prefforge.llm.toxicity import fit, score_toxicity, train_on
 from prefforge.llm.topk import top_k
 from prefforge.llm.wordscan import Words, by_letters, by_space, pieces
@@ -103,6 +104,14 @@ def test_kth_largest(spark):
     assert kth_largest(df, 0) is None
 
 
+def test_least_hashes(spark):
+    df = spark.range(5000).toDF("i")
+    small = {r["i"] for r in least_hashes(df, "i", 200, 1).collect()}
+    assert len(small) == 200 and small < {r["i"] for r in least_hashes(df, "i", 400, 1).collect()}
+    assert small == {r["i"] for r in least_hashes(df.repartition(7), "i", 200, 1).collect()}
+    assert least_hashes(df, "i", 9000, 1).count() == 5000 and least_hashes(df.filter("i < 0"), "i", 5, 1).count() == 0
+
+
 # toxicity
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"

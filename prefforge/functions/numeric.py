@@ -148,9 +148,3 @@ def dpo_encode(prompt: Column, completion: Column, max_length: int = 256) -> tup
 
 def pad(x: Column, to: Column, value: int) -> Column:
     return F.concat(x, F.array_repeat(F.lit(value), F.greatest(F.lit(0), to - F.size(x))))
-
-
-def mean(x: Column) -> Column:
-    return F.round(F.avg(x), 6)
-
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
@@ -106,24 +106,10 @@ def one_of_group(df: DataFrame, group: str, order: Column) -> DataFrame:
 
 
 def mismatched(prompts: DataFrame, seed: Column) -> DataFrame:
-    """Own prompt against one of another description: descriptions in hash order, each with the next one's.
-
-    The order is cut into ranges whose ends are joined on their numbers, so no task sees all descriptions.
-    """
-    own = one_of_group(prompts, "descr", seed)
-    n_rows = max(1, own.count())
-    ranges = max(1, n_rows // 10_000)
-    keyed = own.withColumn("k", F.pmod(seed, F.lit(1 << 30))).withColumn("bucket", F.floor(F.col("k") * ranges / (1 << 30)).cast("int"))
-    w = Window.partitionBy("bucket").orderBy("k", "descr")
-    placed = keyed.withColumn("i", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    sizes = {r["bucket"]: r["m"] for r in placed.select("bucket", "m").distinct().collect()}
-    before, base = 0, []
-    for b in sorted(sizes):
-        base.append((b, before))
-        before += sizes[b]
-    bases = prompts.sparkSession.createDataFrame(base or [(0, 0)], "bucket int, base long")
-    lined = placed.join(F.broadcast(bases), "bucket").withColumn("at", F.col("base") + F.col("i") - 1)
-    other = lined.select(F.pmod(F.col("at") - 1, F.lit(before or 1)).alias("at"), F.col("prompt").alias("other"))
+    """Own prompt against one of another description: descriptions in hash order, each with the next one's."""
+    own = one_of_group(prompts, "descr", seed).select("descr", "prompt", F.struct(F.pmod(seed, F.lit(1 << 30)).alias("k"), "descr").alias("place"))
+    lined, total = number_rows(own, "place")
+    other = lined.select(F.pmod(F.col("at") - 1, F.lit(max(1, total))).alias("at"), F.col("prompt").alias("other"))
     return lined.join(other, "at").select("descr", t.reward_text(F.col("descr"), F.col("prompt")).alias("left"), t.reward_text(F.col("descr"), F.col("other")).alias("right"), F.lit(1.0).alias("y"))
 
 

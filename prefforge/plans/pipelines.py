@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
-from prefforge.functions.tables import number_rows, shared_folder, shared_table
+from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
+from prefforge.functions.tables import number_rows, shared_folder
 from prefforge.operators import cleaning as cl
 from prefforge.operators import evaluate as ev
 from prefforge.operators import judge as j
@@ -22,7 +23,6 @@ from prefforge.operators.dedup import near_dup_greedy
 from prefforge.plans.registry import QUERIES, SQL, register, scalar
 from prefforge.plans.relational import _rounded
 from prefforge.plans.scalars import _T, _enc, _hits, _ids
-from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
 from prefforge.sources import files as fs
 from prefforge.streaming.score_log import current_scores, read_score_stream, upsert_stream, windowed_means
 
@@ -216,9 +216,6 @@ for _key in ("near_dup_greedy", "near_dup", "dedup_near_time"):
     register(_key, _near, _NEAR)
 
 # comparison tasks
-def _images(get):
-    return get("img_map")
-
 
 register("arr_replicate4", lambda get: tk.image_map(get("part").select((C("p_partkey") - 1).alias("i"), C("p_name").alias("prompt")), "i", name=F.concat_ws("_", C("i") + 1, "img_id_in_prompt")).select("img_idx", "prompt", "img_id_in_prompt", "image_name"), "SELECT (p_partkey - 1) * 4 + j AS img_idx, p_name AS prompt, j AS img_id_in_prompt, concat(cast(p_partkey as string), '_', cast(j as string)) AS image_name FROM {part} CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(j)")
 register("image_map", lambda get: get("img_map"), "SELECT * FROM {img_map}")

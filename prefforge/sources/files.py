@@ -43,7 +43,7 @@ def read_channels(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     df = read_csv(spark, folder, schema=schema).withColumn("_file", F.col("_metadata.file_name"))
     names = sorted(r["_file"] for r in df.select("_file").distinct().collect())
     numbers = spark.createDataFrame([(f, f"dreambot-{i + 1}") for i, f in enumerate(names)] or [("", "")], "_file string, channel string")
-    return df.drop("channel").join(F.broadcast(numbers), "_file").drop("_file").toDF(*[c.lower() for c in df.columns if c not in ("_file", "channel")], "channel")
+    return df.drop("channel").join(numbers, "_file").drop("_file").toDF(*[c.lower() for c in df.columns if c not in ("_file", "channel")], "channel")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

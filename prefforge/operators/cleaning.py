@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions import constants as k
@@ -30,10 +30,15 @@ def one_author(df: DataFrame) -> DataFrame:
     return df.filter(t.occurs_once(F.col("content"), k.AUTHOR_MARK))
 
 
-def without_middle_arguments(df: DataFrame, most: int = k.LONGEST_MIDDLE_ARGUMENT) -> DataFrame:
-    """Not those that have `--` with a long text behind the first one."""
-    c = F.col("content")
-    return df.filter(~(c.contains(k.ARGUMENT_MARK) & (F.length(t.after(c, k.ARGUMENT_MARK)) > most)))
+def without_middle_arguments(x: Column, most: int = k.LONGEST_MIDDLE_ARGUMENT) -> Column:
+    """Null for a text that has `--` with a long text behind the first one."""
+    return t.bound(x, lambda v: F.when(~(v.contains(k.ARGUMENT_MARK) & (F.length(t.after(v, k.ARGUMENT_MARK)) > most)), v))
+
+
+def with_content(df: DataFrame, content: Column) -> DataFrame:
+    """df with new texts, without the rows whose text becomes null. One expression for each group of steps: a filter for each
+    step would be pushed below all steps before it, and compute them again."""
+    return df.withColumn("content", content).filter(F.col("content").isNotNull())
 
 
 def extract(df: DataFrame) -> DataFrame:
@@ -47,23 +52,23 @@ def extract(df: DataFrame) -> DataFrame:
 def cut_arguments(df: DataFrame) -> DataFrame:
     """Prefixes, negative prompts, seeds and arguments are cut off."""
     steps = [t.drop_prefix, *[lambda x, p=p: t.before(x, p) for p in k.NEGATIVE_MARKS], t.trailing_seed, lambda x: t.before(x, k.SCALE_MARK)]
-    df = df.withColumn("content", reduce(lambda x, f: f(x), steps, F.col("content")))
-    return without_middle_arguments(df).withColumn("content", t.before(F.col("content"), k.ARGUMENT_MARK))
+    cut = without_middle_arguments(reduce(lambda x, f: f(x), steps, F.col("content")))
+    return with_content(df, t.before(cut, k.ARGUMENT_MARK))
 
 
 def filter_characters(df: DataFrame) -> DataFrame:
     """Emoji and brackets go; texts without letters, with links or with odd characters are dropped."""
-    df = df.withColumn("content", t.strip_emoji(F.col("content")))
-    c = F.col("content")
-    df = df.filter(~t.all_non_ascii(c) & ~t.all_not_alpha(c) & ~c.contains("http")).withColumn("content", t.remove_characters(c))
-    return df.filter(~t.suspicious(c))
+    fine = lambda v: F.when(~t.all_non_ascii(v) & ~t.all_not_alpha(v) & ~v.contains("http"), t.remove_characters(v))
+    bare = t.bound(t.strip_emoji(F.col("content")), fine)
+    return with_content(df, t.bound(bare, lambda v: F.when(~t.suspicious(v), v)))
 
 
 def tidy(df: DataFrame) -> DataFrame:
     """White space and edges; what is left of status lines and very short texts is dropped."""
-    c = F.col("content")
-    df = df.withColumn("content", t.squeeze_space(t.space_comma(t.glue_digits(c)))).filter(~t.has_non_ascii(c)).withColumn("content", t.strip_characters(c))
-    return df.filter(~c.contains(k.STATUS_TEXT) & (F.length(c) > 2) & ~c.startswith(k.STATUS_START))
+    even = t.squeeze_space(t.space_comma(t.glue_digits(F.col("content"))))
+    plain = t.bound(even, lambda v: F.when(~t.has_non_ascii(v), t.strip_characters(v)))
+    status = lambda v: v.contains(k.STATUS_TEXT) | v.startswith(k.STATUS_START)
+    return with_content(df, t.bound(plain, lambda v: F.when(~status(v) & (F.length(v) > 2), v)))
 
 
 def clean_messages(df: DataFrame, pos: str = "pos", date: str = "date") -> DataFrame:

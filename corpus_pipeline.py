@@ -18,22 +18,28 @@ from prefforge.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the resampling keeps. Empty texts weigh nothing, which is enough; equal keys are kept together."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (empty ones too) the row with the largest id; of rows that repeat it, one."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id. Rows without an id stay."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: rows as often as it takes them, one row of a source in part. Rows without words are not taken; a null
+    source is a source of its own; rows equal in id, source and size share what they take."""
     return take_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row."""
     return encode_documents(docs)
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from prefforge.functions.tables import shared_table, table
 from prefforge.llm.exact_dedup import drop_exact_copies
 from prefforge.llm.mixing import take_mix
+from prefforge.llm.near_copies import drop_similar
 from prefforge.llm.quality import keep_good
 from prefforge.llm.queries_bpe import encode_documents
-from prefforge.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id. Rows without an id stay."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (chains of texts with a 5-word similarity of 0.8 at least) the document with the smallest
+    id. Rows without an id stay."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,22 +33,28 @@ LEAST_LEAF = 8
 LEAST_SIDE = 0.15
 
 
-def fingerprint(text: str, width: int, words=regex.compile(WORD.encode()).findall) -> int:
-    """SimHash of one text whose A-Z are in lower case already."""
+def shingle_hashes(text: str, width: int, words=regex.compile(WORD.encode()).findall):
+    """XXH64 of the shingles of one text whose A-Z are in lower case already, in arrays of up to 50,000; none without words.
+    A text of fewer words than `width` is one shingle."""
     found = words(text.encode())
     if not found:
-        return 0
+        return
+    width = min(width, len(found))
     joined = b" ".join(found)
-    if len(found) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     n = len(found) - width + 1
-    votes = np.zeros(64, np.int64)
     for at in range(0, n, 50_000):
         s, e = starts[at : min(n, at + 50_000)].tolist(), ends[at + width - 1 : min(n, at + 50_000) + width - 1].tolist()
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(s, e, strict=True)], np.uint64)
+        yield np.array([digest(joined[i:j], 42) for i, j in zip(s, e, strict=True)], np.uint64)
+
+
+def fingerprint(text: str, width: int) -> int:
+    """SimHash of one text whose A-Z are in lower case already."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
+        n += len(h)
         # bits of up to 255 hashes at a time are summed as bytes
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for b in range(0, len(bits), 255):

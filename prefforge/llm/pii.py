@@ -29,6 +29,8 @@ FORMS = {
 }
 #: A token that looks like an identifier: it holds a digit or an @.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A token that can be a part of an identifier written with blanks.
+NUMBER = r"^\+?[0-9().-]+$"
 #: Rounds; distinct seeds that a pattern needs; confidence from which its tokens are added; weight of what is not a seed.
 ROUNDS = 3
 LEAST_SEEDS = 3
@@ -64,11 +66,11 @@ def _placed(found: DataFrame, column: str) -> DataFrame:
 
 
 def _seeds(found: DataFrame) -> DataFrame:
-    """(_row, kind no., start, end) of the base entities."""
+    """(_row, kind no., start, end, entity in lower case) of the base entities."""
     parts = []
     for n, kind in enumerate(KINDS):
         rows = _placed(found, kind).filter(passes(kind, F.col("match")))
-        parts.append(rows.select("_row", F.lit(n).alias("kind"), "start", "end"))
+        parts.append(rows.select("_row", F.lit(n).alias("kind"), "start", "end", F.lower("match").alias("entity")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -92,12 +94,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the word in front of a token is the last one of the gap before it
     gaps = F.split(F.col("_text"), TOKEN, -1)
     front = lambda g: F.regexp_extract(F.right(g, F.lit(80)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-    tokens = F.zip_with(F.regexp_extract_all(F.col("_text"), F.lit(TOKEN), F.lit(0)), F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), lower_ascii(front(g)).alias("front"))), lambda m, g: F.struct(g["gap"].alias("gap"), m.alias("match"), g["front"].alias("front")))
-    no_tokens = F.from_json(F.lit("[]"), "array<struct<gap:int,match:string,front:string>>")
+    tokens = F.zip_with(F.regexp_extract_all(F.col("_text"), F.lit(TOKEN), F.lit(0)), F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), lower_ascii(front(g)).alias("front"), (g == " ").alias("spaced"))), lambda m, g: F.struct(g["gap"].alias("gap"), m.alias("match"), g["front"].alias("front"), g["spaced"].alias("spaced")))
+    no_tokens = F.from_json(F.lit("[]"), "array<struct<gap:int,match:string,front:string,spaced:boolean>>")
     found = shared_table(source.select(F.monotonically_increasing_id().alias("_row"), "_id", *arrays, F.when(some, tokens).otherwise(no_tokens).alias("tokens")), "pii-found")
     seeds = shared_table(_seeds(found), "pii-seeds")
     added = _bootstrap(source, _placed(found, "tokens"), seeds)
-    spans = seeds.withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False)))
+    spans = seeds.drop("entity").withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False)))
     names = F.array(*[F.lit(k) for k in KINDS])
     as_text = lambda a: F.array_join(F.transform(a, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
     grouped = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base"))).alias("s"))
@@ -117,17 +119,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _bootstrap(source: DataFrame, tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """(_row, kind, start, end) of tokens that no form knows but a confident pattern announces."""
     # which tokens touch a seed: one that begins before and ends in or behind them, or one that begins within
-    marks = tokens.select("_row", "start", "end", F.lower("match").alias("token"), "front", F.lit(None).cast("int").alias("kind")).unionByName(
-        seeds.select("_row", "start", "end", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("front"), "kind")
+    marks = tokens.select("_row", "start", "end", F.lower("match").alias("token"), "front", "spaced", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("string").alias("entity")).unionByName(
+        seeds.select("_row", "start", "end", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("front"), F.lit(None).cast("boolean").alias("spaced"), "kind", "entity")
     )
     order = Window.partitionBy("_row").orderBy("start", F.col("kind").asc_nulls_last())
     seed = F.col("kind").isNotNull()
-    before = F.max(F.when(seed, F.struct("end", "kind"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.min(F.when(seed, F.struct("start", "kind"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    before = F.max(F.when(seed, F.struct("end", "kind", "entity"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.min(F.when(seed, F.struct("start", "kind", "entity"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     touched = marks.withColumn("_b", before).withColumn("_f", behind).filter("token is not null")
-    kind = F.when(F.col("_b.end") > F.col("start"), F.col("_b.kind")).when(F.col("_f.start") < F.col("end"), F.col("_f.kind"))
+    owner = F.when(F.col("_b.end") > F.col("start"), F.struct("_b.kind", "_b.entity")).when(F.col("_f.start") < F.col("end"), F.struct("_f.kind", "_f.entity"))
+    # a token that touches a seed stands for the whole entity; numbers of no seed with one blank between them are one identifier
+    touched = touched.select("_row", "start", "end", F.coalesce(owner["entity"], F.col("token")).alias("token"), "front", owner["kind"].alias("kind"), "spaced")
+    touched = touched.withColumn("_number", F.col("kind").isNull() & F.col("token").rlike(NUMBER))
+    along = Window.partitionBy("_row").orderBy("start")
+    goes_on = F.col("_number") & F.col("spaced") & F.coalesce(F.lag("_number").over(along), F.lit(False))
+    touched = touched.withColumn("_head", F.when(~goes_on, F.col("start"))).withColumn("_head", F.max("_head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    whole_token = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "token"))), lambda x: x["token"]), " ")
+    runs = touched.groupBy("_row", F.col("_head").alias("start")).agg(F.max("end").alias("end"), whole_token.alias("token"), F.max("front").alias("front"), F.max("kind").alias("kind"))
     # a token behind another token has no word in front
-    places = shared_table(touched.select("_row", "start", "end", "token", "front", kind.alias("kind")).filter("front <> ''"), "pii-places")
+    places = shared_table(runs.filter("front <> ''"), "pii-places")
     # patterns worth a look have enough distinct seeds; how often their word stands in the corpus at all decides with
     seeded = places.filter("kind is not null").select("front", "token").distinct().groupBy("front").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SEEDS).select("front")
     seeded = shared_table(seeded, "pii-patterns")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
@@ -319,9 +318,9 @@ for _key in ("agg_layer3_avg", "layer3_averages"):
 
 
 def _markdown(get):
-    top = ev.layer3(get("review")).filter("doc_id < 20")
-    numbered = top.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(C("dpo_risk") - C("sft_risk")), F.desc("dpo_risk"), "doc_id")) - 1)
-    return fs.layer3_markdown(numbered, ev.layer3_averages(top), "i")
+    rows = ev.layer3(get("review"))
+    numbered, _ = number_rows(rows.withColumn("_order", F.struct(C("sft_risk") - C("dpo_risk"), -C("dpo_risk"), "doc_id")), "_order")
+    return fs.layer3_markdown(numbered.withColumn("i", C("at").cast("int")).drop("at", "_order"), ev.layer3_averages(rows), "i")
 
 
 register("snk_layer3_md", _markdown)

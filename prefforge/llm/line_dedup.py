@@ -1,11 +1,9 @@
-"""Line dedup by winnowing over line hashes, with DataFrame functions only.
+"""Line dedup by grouping windows of lines, with DataFrame functions only.
 
 A run of at least `run` consecutive lines that stood before (in a document with a smaller id, or earlier in the same one) is
-deleted where it stands later. Of every `run` consecutive lines the one with the least hash (leftmost of equals) is a
-fingerprint. Equal runs have equal fingerprints in equal places, so winnowing guarantees that each repeated run is met.
-Where a fingerprint's hash is met more than once, its place is extended both ways, line by line, as far as the window
-of lines that it stands for goes: each of these windows is compared with those at the other places of the hash, and all
-but the first of equal windows mark their lines.
+deleted where it stands later. Every window of `run` consecutive lines is hashed whole; of equal windows all but the first
+mark their lines. This plain grouping replaces winnowing: places are neither joined with each other nor extended. The least
+line hash of a window (leftmost of equals) only thins out what is grouped, as equal windows have equal least hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, run: int = RUN)
     # places of a fingerprint are joined by its hash: only hashes that are met at more than one place go on
     met = windows.groupBy("print").agg(F.min(F.struct("_row", "at")).alias("a"), F.max(F.struct("_row", "at")).alias("b")).filter("a <> b").select(F.col("print").alias("p"))
     near = windows.join(met, F.col("print") == F.col("p"))
-    # what the extension of a place by so many lines either way reads: the offset and the lines' hashes
+    # equal windows also have their least hash at equal offsets
     near = near.withColumn("off", F.col("at") - F.col("_line"))
     order = F.struct(F.col("_id").isNotNull().alias("x"), "_id", "_row", "_line")
     first = near.groupBy("print", "off", "g1", "g2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -16,12 +16,16 @@ ARROW_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, a laptop) a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Only where that is unset and all runs in one JVM (tests, a laptop) a temporary one
+    is set; on a cluster the executors could not read it, so that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="prefforge-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -84,15 +88,26 @@ def number_rows(df: DataFrame, order: str, parts: int | None = None) -> tuple[Da
     return ranged.join(F.broadcast(bases), "_p").withColumn("at", F.col("_b") + F.col("_i")).drop("_id", "_p", "_i", "_b"), total
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
-    """df with the sum of `value` over all rows before it by a unique column: summed within ranges and shifted by the ranges
-    before. The driver sees one sum of each range."""
+def running(df: DataFrame, order: str, value: str, name: str, how: str = "sum") -> DataFrame:
+    """df with the sum (of no rows: 0) or the largest (of no rows: null) of `value` over all rows before it by a unique
+    column: formed within ranges of the order and joined with what the ranges before give. The driver sees one value of
+    each range, and no task more than a range."""
     spark = df.sparkSession
+    add = {"sum": F.sum, "max": F.max}[how]
     ranged = shared_table(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id()), "ranged")
-    total, base = 0, []
-    for p, n in sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.sum(value).alias("n")).collect()):
+    made = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(add(value).alias("n")).collect())
+    total, base = (0 if how == "sum" else None), []
+    for p, n in made:
         base.append((p, total))
-        total += n or 0
-    bases = spark.createDataFrame(base or [(0, 0)], "_p int, _b " + ("double" if isinstance(total, float) else "long"))
-    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.withColumn("_s", F.coalesce(inside, F.lit(0))).join(F.broadcast(bases), "_p").withColumn(name, F.col("_b") + F.col("_s")).drop("_p", "_b", "_s")
+        if n is not None:
+            total = n if total is None else total + n if how == "sum" else max(total, n)
+    kind = ranged.groupBy().agg(add(value).alias("n")).schema["n"].dataType.simpleString()
+    bases = spark.createDataFrame(base, f"_p int, _b {kind}")
+    inside = add(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    both = F.coalesce("_s", F.lit(0)) + F.coalesce("_b", F.lit(0)) if how == "sum" else F.greatest("_s", "_b")
+    return ranged.withColumn("_s", inside).join(F.broadcast(bases), "_p").withColumn(name, both).drop("_p", "_b", "_s")
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
+    """df with the sum of `value` over all rows before it by a unique column."""
+    return running(df, order, value, name)

@@ -160,25 +160,30 @@ def token_count(x: Column) -> Column:
     return F.size(tokens(x))
 
 
+def repeated_in(words: Column, n: int = 3) -> Column:
+    """Sum over n-grams of a list of words of how often they repeat: all n-grams less the distinct ones. Words hold no blanks,
+    so an n-gram is a text, which is told apart by hashing."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
+    return F.when(F.size(words) >= n, bound(grams, lambda g: F.size(g) - F.size(F.array_distinct(g)))).otherwise(0)
+
+
 def repeated_ngrams(x: Column, n: int = 3) -> Column:
-    """Sum over n-grams of how often they repeat: all n-grams less the distinct ones."""
+    return bound(tokens(F.lower(x)), lambda words: repeated_in(words, n))
 
-    def count(words: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, F.lit(n)))
-        return F.when(F.size(words) >= n, bound(grams, lambda g: F.size(g) - F.size(F.array_distinct(g)))).otherwise(0)
 
-    return bound(tokens(F.lower(x)), count)
+def known_words(prompt: Column) -> Column:
+    """The distinct words of a prompt."""
+    return F.array_distinct(tokens(F.lower(F.replace(prompt, F.lit(SEPARATOR), F.lit("")))))
 
 
-def copy_ratio(prompt: Column, text: Column) -> Column:
-    """Share of the text's tokens that the prompt has; 0 for a text without tokens."""
-    known = F.array_distinct(tokens(F.lower(F.replace(prompt, F.lit(SEPARATOR), F.lit("")))))
+def share_known(words: Column, known: Column) -> Column:
+    """Share of the words that are among the known ones; 0 for no words."""
+    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda t: F.array_contains(known, t))) / F.size(words)).otherwise(0.0)
 
-    def share(x: Column) -> Column:
-        own = x["own"]
-        return F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.array_contains(x["known"], t))) / F.size(own)).otherwise(0.0)
 
-    return bound(F.struct(tokens(F.lower(text)).alias("own"), known.alias("known")), share)
+def copy_ratio(prompt: Column, text: Column) -> Column:
+    """Share of the text's tokens that the prompt has; 0 for a text without tokens."""
+    return bound(F.struct(tokens(F.lower(text)).alias("own"), known_words(prompt).alias("known")), lambda x: share_known(x["own"], x["known"]))
 
 
 def round_half_even(x: Column, digits: int = 3) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefforge.functions import constants as k
 from prefforge.functions import text as t
+from prefforge.functions.tables import shared_table
 from prefforge.operators.dedup import exact_first, near_dup_greedy
 
 
@@ -73,7 +74,8 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def clean_messages(df: DataFrame, pos: str = "pos", date: str = "date") -> DataFrame:
     """The whole pipeline: columns pos, content, username, date, ordered by date; pos is the order of the rows."""
-    df = exact_first(extract(df), ["content"], pos)
+    # written once: the near-duplicate step reads it several times, and the steps behind it are not pushed below the window
+    df = shared_table(exact_first(extract(df).select(pos, date, "username", "content"), ["content"], pos), "first-messages")
     df = near_dup_greedy(df, "username", date, "content", pos)
     df = tidy(filter_characters(cut_arguments(df)))
     return exact_first(df, ["content"], pos).orderBy(date, pos)

@@ -22,25 +22,31 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 
 def _jaro(a: str, b: str) -> float:
+    """Jaro similarity in linear time: a character of a takes the first free equal one of b within reach. What lies before
+    the reach of one character lies before that of all later ones, so each character's places in b are gone through once."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
     if a == b:
         return 1.0
     reach = max(max(n, m) // 2 - 1, 0)
-    used = bytearray(m)
-    mine = []
+    places: dict[str, list[int]] = {}
+    for j in range(m - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    mine, taken = [], []
     for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = 1
+        free = places.get(x)
+        if free:
+            while free and free[-1] < i - reach:
+                free.pop()
+            if free and free[-1] <= i + reach:
+                taken.append(free.pop())
                 mine.append(x)
-                break
-    if not mine:
-        return 0.0
-    other = [b[j] for j in range(m) if used[j]]
     k = len(mine)
-    moved = sum(x != y for x, y in zip(mine, other, strict=True)) // 2
+    if not k:
+        return 0.0
+    taken.sort()
+    moved = sum(x != b[j] for x, j in zip(mine, taken, strict=True)) // 2
     return (k / n + k / m + (k - moved) / k) / 3
 
 
@@ -64,7 +70,12 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
     rows = df.select(F.col(user).alias("u"), F.col(date).alias("d"), F.col(text).alias("t"), F.col(pos).alias("p"), F.floor(seconds / width).alias("bucket"))
     late = rows.select("u", F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("p").alias("p2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
     near = rows.join(late, ["u", "bucket"]).filter(((F.col("d2") > F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("p2") > F.col("p")))) & ((F.col("d2") - F.col("d")) < F.expr(f"INTERVAL {interval}")))
-    conflicts = near.filter(jaro("t", "t2") > threshold).groupBy("u", "d", "p").agg(F.collect_list("p2").alias("c"))
+    # equal texts need no similarity, and what several pairs compare is compared once
+    same = near.filter("t = t2 and t <> ''").select("u", "d", "p", "p2")
+    others = near.filter("t <> t2")
+    alike = others.select("t", "t2").distinct().filter(jaro("t", "t2") > threshold).select(F.col("t").alias("x"), F.col("t2").alias("y"))
+    found = others.join(alike, (F.col("t") == F.col("x")) & (F.col("t2") == F.col("y"))).select("u", "d", "p", "p2")
+    conflicts = same.unionByName(found).groupBy("u", "d", "p").agg(F.collect_list("p2").alias("c"))
     # rows an interval apart do not touch each other, so each session of a user is decided by itself
     along = Window.partitionBy("u").orderBy("d", "p")
     begins = F.coalesce(F.col("d") - F.lag("d").over(along) >= F.expr(f"INTERVAL {interval}"), F.lit(True))

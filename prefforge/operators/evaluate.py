@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
-from prefforge.functions.tables import prefix_sums
+from prefforge.functions.tables import prefix_sums, shared_table
 
 FLAGS = ["tokens", "magic_word_hits", "artist_hits", "repeated_3grams", "prompt_copy_ratio"]
 
@@ -131,24 +131,29 @@ def rm_separation(labelled: DataFrame) -> DataFrame:
     return wide.join(F.broadcast(rate)).withColumn("passed", (F.col("gap") > 0) & (F.col("win_rate") > 0.9))
 
 
-def text_flags(prompt: Column, text: Column) -> dict[str, Column]:
-    return {
-        "tokens": t.token_count(text),
-        "magic_word_hits": t.phrase_hits(text, MAGIC_WORDS),
-        "artist_hits": t.phrase_hits(text, ARTIST_WORDS),
-        "repeated_3grams": t.repeated_ngrams(text, 3),
-        "prompt_copy_ratio": t.round_half_even(t.copy_ratio(prompt, text), 3),
-    }
+def text_flags(prompt: Column, text: Column) -> Column:
+    """The flags of a text as a struct; it is cut into words once for all of them."""
+    flags = lambda x: F.struct(
+        F.size(x["words"]).alias("tokens"),
+        t.phrase_hits(x["text"], MAGIC_WORDS).alias("magic_word_hits"),
+        t.phrase_hits(x["text"], ARTIST_WORDS).alias("artist_hits"),
+        t.repeated_in(x["words"], 3).alias("repeated_3grams"),
+        t.round_half_even(t.share_known(x["words"], x["known"]), 3).alias("prompt_copy_ratio"),
+    )
+    parts = F.struct(t.tokens(F.lower(text)).alias("words"), t.known_words(prompt).alias("known"), text.alias("text"))
+    return t.bound(parts, flags)
 
 
 def layer3(texts: DataFrame) -> DataFrame:
     """prompt, sft and dpo texts with their flags and risks, those first whose dpo text is most suspicious."""
-    out = texts
-    for side in ("sft", "dpo"):
-        out = out.withColumns({f"{side}_{k}": v for k, v in text_flags(F.col("prompt"), F.col(side)).items()})
-        c = lambda k, s=side: F.col(f"{s}_{k}")
-        out = out.withColumn(f"{side}_risk", n.heuristic_risk(c("magic_word_hits"), c("artist_hits"), c("repeated_3grams"), c("tokens"), c("prompt_copy_ratio")))
-    return out.orderBy(F.desc(F.col("dpo_risk") - F.col("sft_risk")), F.desc("dpo_risk"))
+    sides = ("sft", "dpo")
+    # written once: a range sort reads its input twice, first to find the ranges
+    out = shared_table(texts.withColumns({f"_{s}": text_flags(F.col("prompt"), F.col(s)) for s in sides}), "flags")
+    for s in sides:
+        c = lambda k, s=s: F.col(f"_{s}")[k]
+        risk = n.heuristic_risk(c("magic_word_hits"), c("artist_hits"), c("repeated_3grams"), c("tokens"), c("prompt_copy_ratio"))
+        out = out.withColumns({f"{s}_{k}": c(k) for k in FLAGS} | {f"{s}_risk": risk})
+    return out.drop(*[f"_{s}" for s in sides]).orderBy(F.desc(F.col("dpo_risk") - F.col("sft_risk")), F.desc("dpo_risk"))
 
 
 def layer3_averages(reviewed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import NO_OBJECT
+from prefforge.functions.tables import prefix_sums
 from prefforge.operators.dedup import last_wins
 
 
@@ -30,9 +31,10 @@ def total_tokens(log: DataFrame) -> DataFrame:
 
 
 def running_tokens(log: DataFrame, position: str = "line_no", partition: str | None = None) -> DataFrame:
-    """Tokens so far, as they are written to the log of one labeller."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(position)
-    return log.withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Tokens so far, as they are written to the log of one labeller, or of each labeller (`partition`)."""
+    if partition:
+        return log.withColumn("running", F.sum("tokens").over(Window.partitionBy(partition).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)))
+    return prefix_sums(log, position, "tokens", "_before").withColumn("running", F.col("_before") + F.coalesce("tokens", F.lit(0))).drop("_before")
 
 
 def to_label(prompts: DataFrame, log: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ engine; the stubs give reproducible values from the text alone."""
 
 from __future__ import annotations
 
+import hashlib
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def _number(text: str | None) -> int:
+    """32 bits of a text's MD5."""
+    return int(hashlib.md5((text or "").encode()).hexdigest()[:8], 16)
+
+
 def stub_score(texts: list[str]) -> list[float]:
     """Scores in [-1, 1)."""
-    return [zlib.crc32((t or "").encode()) % 2000 / 1000 - 1 for t in texts]
+    return [_number(t) % 2000 / 1000 - 1 for t in texts]
 
 
 def stub_generate(prompts: list[str], k: int) -> list[list[str]]:
@@ -23,7 +28,7 @@ def stub_generate(prompts: list[str], k: int) -> list[list[str]]:
 
 
 def stub_judge(text: str) -> str:
-    return f'{{"score": {zlib.crc32((text or "").encode()) % 10 + 1}, "reason": "stub"}}'
+    return f'{{"score": {_number(text) % 10 + 1}, "reason": "stub"}}'
 
 
 def with_scores(df: DataFrame, column: str, score: Callable[[list[str]], list[float]] = stub_score, batch: int = 32, name: str = "rm_score") -> DataFrame:

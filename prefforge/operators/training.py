@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
+from prefforge.functions.tables import running
 
 
 def pack_blocks(df: DataFrame, tokens: str, position: str, block: int, batch_rows: int = 1000) -> DataFrame:
@@ -40,11 +41,15 @@ def dpo_metrics(df: DataFrame, beta: float = 0.1) -> DataFrame:
 
 def running_best(steps: DataFrame, step: str = "step", value: str = "mean_reward", after: int = 20, partition: str | None = None) -> DataFrame:
     """Best value so far and whether a step is saved: a strict improvement from the warm-up on. One run is one ordered
-    sequence; several runs go by `partition`."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(step)
+    sequence of unique steps, which ranges of steps share out; several runs go by `partition`."""
     seen = F.when(F.col(step) >= after, F.col(value))
-    best = F.max(seen).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return steps.withColumn("best_before", best).withColumn("is_best", seen.isNotNull() & (best.isNull() | (seen > best)))
+    if partition:
+        before = Window.partitionBy(partition).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        out = steps.withColumn("best_before", F.max(seen).over(before))
+    else:
+        out = running(steps.withColumn("_seen", seen), step, "_seen", "best_before", "max").drop("_seen")
+    best = F.col("best_before")
+    return out.withColumn("is_best", seen.isNotNull() & (best.isNull() | (seen > best)))
 
 
 def keep_last(steps: DataFrame, every: int = 500, last: int = 3, step: str = "step") -> DataFrame:

@@ -28,7 +28,7 @@ _LETTERS = "case (doc_id % 9) when 0 then 'magic_words' when 1 then 'too_generic
 VIEWS = {
     "judged": f"""
 SELECT doc_id, cast(floor(doc_id / 8) as bigint) AS prompt_id, doc_id % 8 AS candidate_id,
-  concat('concept ', cast(cast(floor(doc_id / 8) as bigint) as string), '</s>') AS prompt, substr(text, 1, 160) AS expansion,
+  concat('concept ', cast(cast(floor(doc_id / 8) as bigint) as string), '</s>') AS prompt, text AS expansion,
   case when doc_id % 37 = 5 then null else {_OV} end AS overall, {", ".join(map(_objective, OBJECTIVE_FIELDS))},
   {_LETTERS} AS failure_modes_csv, concat('because ', cast(doc_id % 5 as string)) AS reason
 FROM {{documents}}""",
@@ -36,12 +36,15 @@ FROM {{documents}}""",
 SELECT event_id AS pos, ts AS date, user_id, case when event_id % 31 = 0 then null else concat(
   case when event_id % 13 = 0 then 'Dreaming' else 'Dreamt' end, ' in ', cast(event_id % 90 as string), 's for @user', cast(user_id as string), '... ',
   case when event_id % 29 = 0 then 'There were naughty dreams that had to be popped ' else '' end,
-  case when event_id % 37 = 0 then '/dream prompt:twice ' else '' end, '/dream prompt:', replace(substr(text, 1, 60), chr(10), ' '),
+  case when event_id % 37 = 0 then '/dream prompt:twice ' else '' end, '/dream prompt:', replace(text, chr(10), ' '),
   case (event_id % 11) when 0 then ' negative_prompt: blurry' when 1 then ' steps:50 seed:7' when 2 then ' --ar 16 9' when 3 then ' 4 k , 3 d' when 4 then ' {{portrait}} (art)' when 5 then ' see http' when 8 then ' seed' when 9 then ' cfg _ scale 7' else '' end, '!') end AS content
-FROM {events} e JOIN {documents} d ON d.doc_id = (case when event_id % 3 = 0 then event_id else user_id end) % 200""",
+FROM (SELECT event_id, ts, user_id, conv, cast(floor(event_id / 256) as bigint) % turns AS place
+  FROM (SELECT event_id, ts, user_id, (case when event_id % 3 = 0 then event_id else user_id end) % n_convs AS conv FROM {events} CROSS JOIN (SELECT max(conv_id) + 1 AS n_convs FROM {conversations}) s) e
+  JOIN (SELECT conv_id, count(*) AS turns FROM {conversations} GROUP BY conv_id) t ON t.conv_id = e.conv) m
+JOIN {conversations} c ON c.conv_id = m.conv AND c.turn = m.place""",
     "checkpoint_scores": """
 SELECT checkpoint, ord, cast(floor(doc_id / 3) as bigint) AS prompt_idx, doc_id % 3 AS sample_idx, concat('concept ', cast(cast(floor(doc_id / 3) as bigint) as string)) AS prompt,
-  substr(text, 1, 80) AS gen, cast((doc_id * 37 + ord * 53) % 200 - 100 + ord * 20 as double) / 100 AS rm_score
+  text AS gen, cast((doc_id * 37 + ord * 53) % 200 - 100 + ord * 20 as double) / 100 AS rm_score
 FROM {documents} CROSS JOIN (VALUES ('base', 0), ('mid', 1), ('final', 2)) AS c(checkpoint, ord)""",
     "sft_text": """
 SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, concat(u.text, '</s>', a.text) AS text, u.text AS prompt, a.text AS completion
@@ -75,7 +78,7 @@ SELECT DISTINCT concat('d', cast(p_partkey % 17 as string)) AS descr, concat('p'
     "label_log": "SELECT o_orderkey AS line_no, concat('prompt ', cast(o_orderkey % 5000 as string)) AS prompt, case when o_orderkey % 7 = 0 then '_no_object' else o_orderpriority end AS description, o_custkey % 100 AS tokens FROM {orders}",
     "token_logps": "SELECT doc_id, cast(0 - (doc_id * 7) % 50 - 1 as double) / 10 AS chosen_logp, cast(0 - (doc_id * 13) % 60 - 1 as double) / 10 AS rejected_logp, cast(0 - (doc_id * 3) % 40 - 1 as double) / 10 AS ref_chosen_logp, cast(0 - (doc_id * 11) % 45 - 1 as double) / 10 AS ref_rejected_logp FROM {documents}",
     "runs": "SELECT concat('run', cast(s_suppkey as string)) AS run, s_suppkey % 4 AS rung, cast((s_suppkey * 37) % 101 as double) / 20 AS loss FROM {supplier}",
-    "review": "SELECT doc_id, concat(substr(text, 1, 40), '</s>') AS prompt, substr(text, 30, 200) AS sft, concat(substr(text, 20, 220), case when doc_id % 4 = 0 then ' 8k Artstation by greg rutkowski HD' else '' end) AS dpo FROM {documents}",
+    "review": "SELECT doc_id, concat(source, ' ', split_part(text, '.', 1), '</s>') AS prompt, text AS sft, concat('a ', lang, ' picture of ', text, case when doc_id % 4 = 0 then ' 8k Artstation by greg rutkowski HD' else '' end) AS dpo FROM {documents}",
 }
 _NAMES = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
-from prefforge.functions.tables import number_rows, shared_folder
+from prefforge.functions.tables import number_rows, shared_folder, shared_table
 from prefforge.operators import cleaning as cl
 from prefforge.operators import evaluate as ev
 from prefforge.operators import judge as j
@@ -21,7 +21,7 @@ from prefforge.operators import training as tr
 from prefforge.operators.dedup import near_dup_greedy
 from prefforge.plans.registry import QUERIES, SQL, register, scalar
 from prefforge.plans.relational import _rounded
-from prefforge.plans.scalars import _T, _enc, _hits, _ids
+from prefforge.plans.scalars import _GLUE, _T, _WORDS, _enc, _grams, _hits, _ids, _ratio, one_byte
 from prefforge.sources import files as fs
 from prefforge.streaming.score_log import current_scores, read_score_stream, upsert_stream, windowed_means
 
@@ -34,11 +34,11 @@ def _path(df, name: str) -> str:
 
 # sources and sinks: what is written is read back
 _DOC = "doc_id long, text string, lang string"
-_DOC_SQL = "SELECT doc_id, text, lang FROM {documents} WHERE doc_id < 300"
+_DOC_SQL = "SELECT doc_id, text, lang FROM {documents}"
 
 
 def _docs(get):
-    return get("documents").filter("doc_id < 300").select("doc_id", "text", "lang")
+    return get("documents").select("doc_id", "text", "lang")
 
 
 def _csv(get, sep=",", index=None):
@@ -55,37 +55,29 @@ register("snk_tsv", lambda get: _csv(get, "\t", "doc_id"), _DOC_SQL)
 
 
 def _channels(get):
-    df = get("label_log").filter("line_no < 600").select(C("line_no").alias("Pos"), C("prompt").alias("Content"))
+    df = get("label_log").select(C("line_no").alias("Pos"), C("prompt").alias("Content"))
     path = _path(df, "channels")
     for k in range(3):
-        df.filter(C("Pos") % 3 == k).coalesce(1).write.option("header", True).csv(f"{path}/tmp{k}")
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for k in range(3):
-        for f in system.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/tmp{k}")):
-            if f.getPath().getName().startswith("part-"):
-                system.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/export-{k}.csv"))
-        system.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/tmp{k}"), True)
-    return fs.read_channels(spark, path, "Pos long, Content string")
+        fs.write_csv(df.filter(C("Pos") % 3 == k), f"{path}/export-{k}.csv")
+    return fs.read_channels(df.sparkSession, path, "Pos long, Content string")
 
 
-register("src_csv_multi", _channels, "SELECT line_no AS pos, prompt AS content, concat('dreambot-', cast(line_no % 3 + 1 as string)) AS channel FROM {label_log} WHERE line_no < 600")
+register("src_csv_multi", _channels, "SELECT line_no AS pos, prompt AS content, concat('dreambot-', cast(line_no % 3 + 1 as string)) AS channel FROM {label_log}")
 
 
 def _jsonl(get):
     df = _docs(get)
     path = _path(df, "jsonl")
-    fs.write_jsonl(df.coalesce(1).sortWithinPartitions("doc_id"), path)
+    fs.write_jsonl(df.orderBy("doc_id"), path)
     return fs.read_jsonl_strict(df.sparkSession, path, _DOC)
 
 
-register("src_jsonl_strict", lambda get: _jsonl(get), "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, doc_id, text, lang FROM {documents} WHERE doc_id < 300")
+register("src_jsonl_strict", lambda get: _jsonl(get), "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, doc_id, text, lang FROM {documents}")
 register("snk_jsonl", lambda get: _jsonl(get).drop("row_no"), _DOC_SQL)
 
 
 def _tolerant(get):
-    df = get("score_log").filter("line_no < 1000000300").select("prompt_id", "candidate_id", "prompt", "expansion", "score", "overall", "fidelity")
+    df = get("score_log").select("prompt_id", "candidate_id", "prompt", "expansion", "score", "overall", "fidelity")
     path = _path(df, "scores")
     fs.append_jsonl(df, path)
     df.sparkSession.createDataFrame([("{broken",), ("",), ("[1]",)], "value string").write.mode("append").text(path)
@@ -93,19 +85,19 @@ def _tolerant(get):
     return got.select("prompt_id", "candidate_id", F.coalesce("overall", "score").alias("overall"), C("fidelity").cast("long").alias("fidelity"))
 
 
-_TOLERANT = "SELECT prompt_id, candidate_id, coalesce(overall, score) AS overall, fidelity FROM {score_log} WHERE line_no < 1000000300"
+_TOLERANT = "SELECT prompt_id, candidate_id, coalesce(overall, score) AS overall, fidelity FROM {score_log}"
 register("src_jsonl_tolerant", _tolerant, _TOLERANT)
 register("snk_append_log", _tolerant, _TOLERANT)
 
 
 def _log(get):
-    rows = get("label_log").filter("line_no between 1 and 2999")
+    rows = get("label_log").withColumn("line_no", C("line_no") + 1)  # line 0 is the header
     line = F.concat(F.lit("2022-10-01 10:00:00,000: "), "prompt", F.lit(" | "), "description", F.lit(" | "), C("tokens").cast("string"), F.lit(" | 0"))
     lines = rows.select("line_no", line.alias("value")).unionByName(rows.sparkSession.createDataFrame([(0, "time: log begins")], "line_no long, value string"))
     return lab.replay(lab.parse_log(lines)).select("prompt", "description", "tokens")
 
 
-register("src_log_replay", _log, "SELECT prompt, description, tokens FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY line_no DESC) AS n FROM {label_log} WHERE line_no BETWEEN 1 AND 2999) WHERE n = 1")
+register("src_log_replay", _log, "SELECT prompt, description, tokens FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY line_no DESC) AS n FROM {label_log}) WHERE n = 1")
 
 
 def _text(get):
@@ -124,16 +116,18 @@ def _cache(get):
     kind = "prompt_id long, prompt string, candidates array<string>"
     n_rows = df.count()
     for _ in range(2):  # the second time the cache is there
-        got = fs.cached_candidates(df.sparkSession, path, kind, n_rows, lambda: sc.with_candidates(df.coalesce(1).sortWithinPartitions("prompt_id"), "prompt", 3))
+        got = fs.cached_candidates(df.sparkSession, path, kind, n_rows, lambda: sc.with_candidates(df.orderBy("prompt_id"), "prompt", 3))
     return got.select("prompt_id", F.array_join("candidates", "|").alias("c"))
 
 
 _VARIANTS = "SELECT prompt_id, concat(p, ' variant 0|', p, ' variant 1|', p, ' variant 2') AS c FROM (SELECT prompt_id, split_part(prompt, '</s>', 1) AS p FROM {judged} WHERE candidate_id = 0)"
+#: The number that the stubs make of a text: 32 bits of its MD5.
+_STUB = "cast(concat('0x', substr(md5(coalesce(expansion, '')), 1, 8)) as bigint)"
 register("src_cache_reuse", _cache, _VARIANTS)
 register("src_model_generate", lambda get: sc.with_candidates(get("judged").filter("candidate_id = 0").select("prompt_id", "prompt"), "prompt", 3).select("prompt_id", F.array_join("candidates", "|").alias("c")), _VARIANTS)
-register("src_model_score", lambda get: sc.with_scores(get("judged").select("doc_id", "expansion"), "expansion").select("doc_id", "rm_score"))
-register("src_llm_judge", lambda get: sc.with_replies(get("judged").select("doc_id", "expansion"), "expansion").select("doc_id", "reply", "error"))
-register("snk_text_concat", lambda get: fs.concat_text(get("bt_scores").withColumn("k", F.concat("descr", "prompt")), "prompt", "k"), "SELECT string_agg(prompt, '' ORDER BY concat(descr, prompt)) AS text FROM {bt_scores}")
+register("src_model_score", lambda get: sc.with_scores(get("judged").select("doc_id", "expansion"), "expansion").select("doc_id", "rm_score"), f"SELECT doc_id, {_STUB} % 2000 / 1000 - 1 AS rm_score FROM {{judged}}")
+register("src_llm_judge", lambda get: sc.with_replies(get("judged").select("doc_id", "expansion"), "expansion").select("doc_id", "reply", "error"), f"""SELECT doc_id, concat('{{{{"score": ', {_STUB} % 10 + 1, ', "reason": "stub"}}}}') AS reply, cast(null as string) AS error FROM {{judged}}""")
+register("snk_text_concat", lambda get: fs.concat_text(get("bt_scores").withColumn("k", F.concat("descr", F.lit(" "), "prompt")), "prompt", "k", 20), "SELECT block, string_agg(prompt, '' ORDER BY k) AS text FROM (SELECT prompt, concat(descr, ' ', prompt) AS k, cast(floor((row_number() OVER (ORDER BY concat(descr, ' ', prompt)) - 1) / 20) as bigint) AS block FROM {bt_scores}) GROUP BY block")
 
 
 def _pairs_table(get):
@@ -187,32 +181,40 @@ WHERE content IS NOT NULL AND string_split(content, ' ')[1] = 'Dreamt' AND NOT c
 _EXTRACT = f"SELECT pos, username, split_part(regexp_replace(split_part(left(body, greatest(length(body) - 1, 0)), 'negative_prompt:', 1), ' [^ ]*:.*', '', 'g'), concat(chr(10), '**WARNING:**'), 1) AS content FROM ({_SELECT})"
 register("clean_filters", lambda get: cl.one_author(cl.one_prompt(cl.not_nsfw(cl.completed(get("messages"))))).select("pos"), f"SELECT pos FROM ({_SELECT})")
 register("clean_bodies", lambda get: cl.extract(get("messages")).select("pos", "username", "content"), _EXTRACT)
-_CUT = f"""SELECT pos, split_part(c, '--', 1) AS content FROM (SELECT pos, split_part(case when ends_with(b, 'seed') and len(string_split(b, 'seed')) = 2 then split_part(b, 'seed', 1) else b end, 'cfg _ scale', 1) AS c
-FROM (SELECT pos, split_part(split_part(split_part(case when starts_with(lower(content), 'prompt') then substr(content, 7) else content end, 'negative prompt', 1), 'negative _ prompt', 1), 'negative_prompt', 1) AS b FROM ({_EXTRACT}))) WHERE NOT (contains(c, '--') AND length(split_part(c, '--', 2)) > 20)"""
-register("clean_cut", lambda get: cl.cut_arguments(cl.extract(get("messages"))).select("pos", "content"), _CUT)
+_CUT = """SELECT pos, split_part(c, '--', 1) AS content FROM (SELECT pos, split_part(case when ends_with(b, 'seed') and len(string_split(b, 'seed')) = 2 then split_part(b, 'seed', 1) else b end, 'cfg _ scale', 1) AS c
+FROM (SELECT pos, split_part(split_part(split_part(case when starts_with(lower(content), 'prompt') then substr(content, 7) else content end, 'negative prompt', 1), 'negative _ prompt', 1), 'negative_prompt', 1) AS b FROM (<rows>))) WHERE NOT (contains(c, '--') AND length(split_part(c, '--', 2)) > 20)"""
+register("clean_cut", lambda get: cl.cut_arguments(cl.extract(get("messages"))).select("pos", "content"), _CUT.replace("<rows>", _EXTRACT))
 _PLAIN = " .,\"\\-''!–/;&?"
 _DIGITS = "\\p{{Nd}}²³¹⁰⁴-⁹₀-₉"
-_CHARS = f"SELECT pos, translate(content, '()[]{{{{}}}}|', '') AS content FROM ({_CUT}) WHERE regexp_matches(regexp_replace(content, '[ .,\"\\-''!/;&?0-9]', '', 'g'), '[\\x00-\\x7F]') AND regexp_matches(content, '\\p{{{{L}}}}') AND NOT contains(content, 'http')"
+_CHARS = f"SELECT pos, translate(content, '()[]{{{{}}}}|', '') AS content FROM (<rows>) WHERE regexp_matches(regexp_replace(content, '[ .,\"\\-''!/;&?0-9]', '', 'g'), '[\\x00-\\x7F]') AND regexp_matches(content, '\\p{{{{L}}}}') AND NOT contains(content, 'http')"
 _CHARS = f"SELECT pos, content FROM ({_CHARS}) WHERE NOT regexp_matches(content, '[^\\p{{{{L}}}}{_DIGITS}{_PLAIN}+*_#|]')".replace("{{{{", "{{").replace("}}}}", "}}")
-register("clean_characters", lambda get: cl.filter_characters(cl.cut_arguments(cl.extract(get("messages")))).select("pos", "content"), _CHARS)
-# digits are glued with a look-behind, which DuckDB lacks
-register("clean_final", lambda get: cl.clean_messages(get("messages")).select("pos", "username", "content"))
+register("clean_characters", lambda get: cl.filter_characters(cl.cut_arguments(cl.extract(get("messages")))).select("pos", "content"), _CHARS.replace("<rows>", _CUT.replace("<rows>", _EXTRACT)))
 
 
 def _near(get):
-    rows = get("messages").filter("content is not null").select("pos", C("user_id").alias("username"), "date", F.left(F.regexp_replace(t.after(C("content"), "/dream prompt:"), "[^ -~]", ""), F.lit(40)).alias("content"))
+    rows = get("messages").filter("content is not null").select("pos", C("user_id").alias("username"), "date", t.after(C("content"), "/dream prompt:").alias("content"))
     return near_dup_greedy(rows, "username", "date", "content", "pos").select("pos")
 
 
-_NEAR = """WITH RECURSIVE m AS MATERIALIZED (SELECT pos, user_id, date, left(regexp_replace(split_part(content, '/dream prompt:', 2), '[^ -~]', '', 'g'), 40) AS body, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, pos DESC) AS i FROM {messages} WHERE content IS NOT NULL),
+#: Of rows m(pos, user_id, date, body): those that near-duplicates leave, as kept(pos).
+_NEAR = """m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, pos DESC) AS i FROM (<rows>)),
 c AS MATERIALIZED (SELECT a.pos, list(b.pos) AS against FROM m a JOIN m b ON a.user_id = b.user_id AND b.i < a.i AND b.date - a.date < INTERVAL 1 HOUR AND jaro_similarity(a.body, b.body) > 0.6 GROUP BY a.pos),
 x AS MATERIALIZED (SELECT m.user_id, m.pos, against, row_number() OVER (PARTITION BY m.user_id ORDER BY m.i) AS k FROM c JOIN m ON m.pos = c.pos),
 f AS (SELECT user_id, cast(0 as bigint) AS k, cast([] as bigint[]) AS gone FROM (SELECT DISTINCT user_id FROM x)
   UNION ALL SELECT x.user_id, x.k, case when len(list_filter(x.against, lambda p: NOT list_contains(gone, p))) > 0 then list_append(gone, x.pos) else gone end FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1),
-g AS (SELECT unnest(gone) AS pos FROM (SELECT gone, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM f) WHERE r = 1)
-SELECT pos FROM m WHERE pos NOT IN (SELECT pos FROM g)"""
+g AS (SELECT unnest(gone) AS pos FROM (SELECT gone, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM f) WHERE r = 1),
+kept AS MATERIALIZED (SELECT pos FROM m WHERE pos NOT IN (SELECT pos FROM g))"""
+_NEAR_ROWS = f"SELECT pos, user_id, date, {one_byte('content')} AS body FROM (SELECT pos, user_id, date, split_part(content, '/dream prompt:', 2) AS content FROM {{messages}} WHERE content IS NOT NULL)"
 for _key in ("near_dup_greedy", "near_dup", "dedup_near_time"):
-    register(_key, _near, _NEAR)
+    register(_key, _near, f"WITH RECURSIVE {_NEAR.replace('<rows>', _NEAR_ROWS)} SELECT pos FROM kept")
+_FIRSTS = "SELECT pos, username, content FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY pos) AS n FROM (<rows>)) WHERE n = 1"
+_EVEN = f"SELECT pos, regexp_replace(regexp_replace(content, '\\s,', ',', 'g'), '\\s+', ' ', 'g') AS content FROM (SELECT pos, {_GLUE} AS content FROM (<rows>))"
+_TIDY = f"SELECT pos, trim(content, ': =''.,\"') AS content FROM ({_EVEN}) WHERE NOT regexp_matches(content, '[^\\x00-\\x7F–{_DIGITS}]')"
+_TIDY = f"SELECT * FROM ({_TIDY}) WHERE NOT contains(content, 'dreamt in') AND NOT starts_with(content, 'dreaming for') AND length(content) > 2"
+_STEPS = _TIDY.replace("<rows>", _CHARS.replace("<rows>", _CUT.replace("<rows>", "SELECT d.pos, d.content FROM d JOIN kept ON kept.pos = d.pos")))
+_CLEAN_ROWS = f"SELECT d.pos, d.username AS user_id, o.date, {one_byte('d.content')} AS body FROM d JOIN {{messages}} o ON o.pos = d.pos"
+_CLEAN = f"WITH RECURSIVE d AS MATERIALIZED ({_FIRSTS.replace('<rows>', _EXTRACT)}), {_NEAR.replace('<rows>', _CLEAN_ROWS)} {_FIRSTS.replace('<rows>', 'SELECT y.pos, d.username, y.content FROM (' + _STEPS + ') y JOIN d ON d.pos = y.pos')}"
+register("clean_final", lambda get: cl.clean_messages(get("messages")).select("pos", "username", "content"), _CLEAN)
 
 # comparison tasks
 
@@ -238,7 +240,7 @@ register(
     lambda get: tk.wide_tasks(_sampled(get), get("img_map")).select("descr", "task", C("`INPUT:left_0`").alias("l0"), C("`INPUT:left_3`").alias("l3"), C("`INPUT:right_0`").alias("r0"), C("`INPUT:right_3`").alias("r3")),
     _SAMPLED + ', w AS (SELECT descr, prompt, image_name, row_number() OVER (PARTITION BY descr, prompt ORDER BY img_idx) - 1 AS k FROM {img_map}) SELECT o.descr, task, a.image_name AS l0, b.image_name AS l3, c.image_name AS r0, d.image_name AS r3 FROM o JOIN w a ON a.descr = o.descr AND a.prompt = o."left" AND a.k = 0 JOIN w b ON b.descr = o.descr AND b.prompt = o."left" AND b.k = 3 JOIN w c ON c.descr = o.descr AND c.prompt = o."right" AND c.k = 0 JOIN w d ON d.descr = o.descr AND d.prompt = o."right" AND d.k = 3',
 )
-register("flt_correct_classifier", lambda get: sc.with_scores(get("judged").select("doc_id", "prompt_id", "candidate_id", "expansion"), "expansion").filter("rm_score > 0 and candidate_id < 10").groupBy("prompt_id").agg(F.min("candidate_id").alias("candidate_id")))
+register("flt_correct_classifier", lambda get: sc.with_scores(get("judged").select("doc_id", "prompt_id", "candidate_id", "expansion"), "expansion").filter("rm_score > 0 and candidate_id < 10").groupBy("prompt_id").agg(F.min("candidate_id").alias("candidate_id")), f"SELECT prompt_id, min(candidate_id) AS candidate_id FROM {{judged}} WHERE {_STUB} % 2000 > 1000 GROUP BY prompt_id")
 
 # reward-model data
 _first_prompt = "SELECT descr, prompt, k FROM (SELECT descr, prompt, (img_idx * 7919 + 17) % 1009 * 100000 + img_idx % 100000 AS k, row_number() OVER (PARTITION BY descr ORDER BY (img_idx * 7919 + 17) % 1009 * 100000 + img_idx % 100000) AS n FROM {img_map} WHERE img_id_in_prompt = 0) WHERE n = 1"
@@ -290,40 +292,43 @@ s AS (SELECT descr, p AS prompt, sum(won) / count(*) AS r FROM b GROUP BY descr,
 )
 
 # reports
-_FLAGS = lambda c: f"len(regexp_extract_all({c}, '[\\p{{{{L}}}}\\p{{{{N}}}}_]+')) AS {c}_tokens, {_hits(c, MAGIC_WORDS)} AS {c}_magic_word_hits, {_hits(c, ARTIST_WORDS)} AS {c}_artist_hits"
-register("text_flags", lambda get: ev.layer3(get("review")).select("doc_id", *[f"{s}_{k}" for s in ("sft", "dpo") for k in ("tokens", "magic_word_hits", "artist_hits")]), f"SELECT doc_id, {_FLAGS('sft')}, {_FLAGS('dpo')} FROM {{review}}")
-
-
-def _low(c):
-    return _T.replace("dpo", c)
-
-
-def _full_flags(c):
-    grams = f"list_transform(range(1, len({_low(c)}) - 1), lambda i: array_to_string(list_slice({_low(c)}, i, i + 2), ' '))"
-    known = _T.replace("lower(dpo)", "lower(replace(prompt, '</s>', ''))")
-    copy = f"round_even(case when len({_low(c)}) > 0 then len(list_filter({_low(c)}, lambda x: list_contains({known}, x))) / len({_low(c)}) else 0 end, 3)"
-    return f"{_FLAGS(c)}, len({grams}) - len(list_distinct({grams})) AS {c}_repeated_3grams, {copy} AS {c}_prompt_copy_ratio"
+def _flags(c: str) -> str:
+    grams = _grams(c)
+    return f"len({c}_words) AS {c}_tokens, {_hits(c, MAGIC_WORDS)} AS {c}_magic_word_hits, {_hits(c, ARTIST_WORDS)} AS {c}_artist_hits, len({grams}) - len(list_distinct({grams})) AS {c}_repeated_3grams, round_even({_ratio(c)}, 3) AS {c}_prompt_copy_ratio"
 
 
 def _risk(s):
     return f"2.0 * {s}_magic_word_hits + 2.5 * {s}_artist_hits + {s}_repeated_3grams + greatest(0, {s}_tokens - 70) / 10 + greatest(0, {s}_prompt_copy_ratio - 0.45) * 4"
 
 
-_REVIEWED = f"SELECT *, {_risk('sft')} AS sft_risk, {_risk('dpo')} AS dpo_risk FROM (SELECT doc_id, prompt, {_full_flags('sft')}, {_full_flags('dpo')} FROM {{review}})"
+_FLAGGED = f"SELECT doc_id, prompt, sft, dpo, {_flags('sft')}, {_flags('dpo')} FROM {_WORDS}"
+_REVIEWED = f"SELECT *, {_risk('sft')} AS sft_risk, {_risk('dpo')} AS dpo_risk FROM ({_FLAGGED})"
+_TEXT_FLAGS = [f"{s}_{k}" for s in ("sft", "dpo") for k in ("tokens", "magic_word_hits", "artist_hits")]
+register("text_flags", lambda get: ev.layer3(get("review")).select("doc_id", *_TEXT_FLAGS), f"SELECT doc_id, {', '.join(_TEXT_FLAGS)} FROM ({_FLAGGED})")
 for _key in ("layer3_report", "srt_layer3"):
     register(_key, lambda get: _rounded(ev.layer3(get("review")), "sft_risk", "dpo_risk").select("doc_id", "sft_risk", "dpo_risk", "sft_repeated_3grams", "dpo_repeated_3grams", "sft_prompt_copy_ratio", "dpo_prompt_copy_ratio"), f"SELECT doc_id, round(sft_risk, 6) AS sft_risk, round(dpo_risk, 6) AS dpo_risk, sft_repeated_3grams, dpo_repeated_3grams, sft_prompt_copy_ratio, dpo_prompt_copy_ratio FROM ({_REVIEWED})")
-_AVG = " UNION ALL ".join(f"SELECT '{k}' AS metric, round(avg(sft_{k}), 4) AS sft, round(avg(dpo_{k}), 4) AS dpo FROM r" for k in ev.FLAGS)
+_AVG = lambda digits: " UNION ALL ".join(f"SELECT '{k}' AS metric, round(avg(sft_{k}), {digits}) AS sft, round(avg(dpo_{k}), {digits}) AS dpo, {i} AS i FROM r" for i, k in enumerate(ev.FLAGS))
 for _key in ("agg_layer3_avg", "layer3_averages"):
-    register(_key, lambda get: ev.layer3_averages(ev.layer3(get("review"))).select("metric", F.round("sft", 4).alias("sft"), F.round("dpo", 4).alias("dpo")), f"WITH r AS MATERIALIZED ({_REVIEWED}) {_AVG}")
+    register(_key, lambda get: ev.layer3_averages(ev.layer3(get("review"))).select("metric", F.round("sft", 4).alias("sft"), F.round("dpo", 4).alias("dpo")), f"WITH r AS MATERIALIZED ({_REVIEWED}) SELECT metric, sft, dpo FROM ({_AVG(4)})")
 
 
 def _markdown(get):
-    rows = ev.layer3(get("review"))
+    rows = shared_table(_rounded(ev.layer3(get("review")), "sft_risk", "dpo_risk"), "reviewed")
     numbered, _ = number_rows(rows.withColumn("_order", F.struct(C("sft_risk") - C("dpo_risk"), -C("dpo_risk"), "doc_id")), "_order")
-    return fs.layer3_markdown(numbered.withColumn("i", C("at").cast("int")).drop("at", "_order"), ev.layer3_averages(rows), "i")
+    averages = ev.layer3_averages(rows).select("metric", F.round("sft", 6).alias("sft"), F.round("dpo", 6).alias("dpo"))
+    return fs.layer3_markdown(numbered.withColumn("i", C("at").cast("int")).drop("at", "_order"), averages, "i")
 
 
-register("snk_layer3_md", _markdown)
+_JSON = lambda s: ", ',', chr(10), ".join(f"""'    "{k}": ', cast({s}_{k} as string)""" for k in ev.FLAGS)
+_HEAD = "concat(" + ", chr(10), ".join(f"'{x}'" for x in fs.REVIEW_HEAD.split("\n")) + ")"
+_EXAMPLE = f"""concat('## Example ', cast(place + 1 as string), chr(10), chr(10), '**Prompt**: `', prompt, '`', chr(10), chr(10), '**SFT output**', chr(10), chr(10), '> ', sft, chr(10), chr(10), '**DPO output**', chr(10), chr(10), '> ', dpo, chr(10), chr(10), '**Flags**', chr(10), chr(10), '```json', chr(10),
+  '{{{{', chr(10), '  "sft": {{{{', chr(10), {_JSON('sft')}, chr(10), '  }}}},', chr(10), '  "dpo": {{{{', chr(10), {_JSON('dpo')}, chr(10), '  }}}}', chr(10), '}}}}', chr(10), '```', chr(10), chr(10))"""
+register(
+    "snk_layer3_md",
+    _markdown,
+    f"""WITH r AS MATERIALIZED ({_REVIEWED}), o AS (SELECT *, cast(row_number() OVER (ORDER BY round(sft_risk, 6) - round(dpo_risk, 6), -round(dpo_risk, 6), doc_id) - 1 as bigint) AS place FROM r)
+SELECT cast(-1000 as bigint) AS place, {_HEAD} AS block UNION ALL SELECT cast(i - 100 as bigint), concat(printf('| %s | %.3f | %.3f |', metric, sft, dpo), chr(10), case when i = {len(ev.FLAGS) - 1} then chr(10) else '' end) FROM ({_AVG(6)}) UNION ALL SELECT place, {_EXAMPLE} FROM o""",
+)
 
 # packing
 def _packed(get):
@@ -353,7 +358,7 @@ def _stream(get):
     log = get("score_log").select("line_no", "prompt_id", "candidate_id", "prompt", "expansion", "score", "overall", "fidelity")
     spark, folder = log.sparkSession, _path(log, "stream-in")
     for k in (0, 1):  # old records arrive first
-        fs.append_jsonl(log.filter((C("line_no") >= 1000000000) == F.lit(bool(k))).drop("line_no").coalesce(1), folder)
+        fs.append_jsonl(log.filter((C("line_no") >= 1000000000) == F.lit(bool(k))).drop("line_no"), folder)
     out = _path(log, "stream-out")
     upsert_stream(read_score_stream(spark, folder), out, out + "-checkpoint").awaitTermination()
     return current_scores(spark, out).select("prompt_id", "candidate_id", C("overall").cast("long").alias("overall"))

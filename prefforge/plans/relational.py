@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prefforge.functions import text as t
 from prefforge.functions.constants import LOOSE_GUARDRAILS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
+from prefforge.functions.tables import number_rows
 from prefforge.operators import evaluate as ev
 from prefforge.operators import judge as j
 from prefforge.operators import labelling as lab
@@ -69,7 +70,7 @@ register("join_time_range", _time_range, "SELECT a.pos, b.pos AS later FROM {mes
 _TODO = "SELECT prompt_id, candidate_id FROM {judged} j WHERE NOT EXISTS (SELECT 1 FROM {score_log} l WHERE l.prompt_id = j.prompt_id AND l.candidate_id = j.candidate_id)"
 for _key in ("join_anti_done", "scores_resume_todo"):
     register(_key, lambda get: j.todo(get("judged").select("prompt_id", "candidate_id"), get("score_log")), _TODO)
-_LOGGED = "line_no % 3 = 0"
+_LOGGED = "cast(substr(prompt, 8) as bigint) % 3 = 0"
 for _key in ("join_anti_labelled", "label_todo"):
     register(_key, lambda get: lab.to_label(get("label_log").select("prompt").distinct(), get("label_log").filter(_LOGGED)), f"SELECT DISTINCT prompt FROM {{label_log}} WHERE prompt NOT IN (SELECT prompt FROM {{label_log}} WHERE {_LOGGED})")
 _VAL = "substr(descr, 2) IN ('3', '5', '11')"
@@ -177,7 +178,14 @@ for _key in ("pair_greedy_multi", "pairs_greedy_multi"):
 _TARGET = 100
 for _key in ("pair_round_robin", "pairs_round_robin", "win_slot_round_robin", "lim_target_pairs"):
     register(_key, lambda get: p.round_robin(p.greedy_multi(judged(get)), _TARGET).select("prompt_id", "slot", "chosen_id", "rejected_id"), f"{_GREEDY.replace('SELECT e.prompt_id, row', 'SELECT prompt_id, slot, chosen_id, rejected_id FROM (SELECT e.prompt_id, row')}) ORDER BY slot, prompt_id LIMIT {_TARGET}")
-register("greedy_skip_reasons", lambda get: p.greedy_skips(judged(get)))
+# pairs that the matching looked at in vain: of candidates before the fourth pair, with those not rejected yet, from the worst on
+_LOOKED = f"""WITH RECURSIVE {_EDGES}, t AS (SELECT e.prompt_id, e.a, e.b FROM f JOIN e ON f.prompt_id = e.prompt_id AND f.i = e.i WHERE took),
+u AS (SELECT prompt_id, count(*) AS n_pairs, max(a) AS last FROM t GROUP BY prompt_id), h AS (SELECT k.*, {_guard_sql(STRICT_GUARDRAILS)} AS guard, n_pairs, last FROM k LEFT JOIN u ON u.prompt_id = k.prompt_id WHERE overall IS NOT NULL),
+s AS (SELECT * FROM h WHERE coalesce(n_pairs, 0) < 4 OR rank <= last),
+q AS (SELECT guard AS reason FROM s WHERE guard IS NOT NULL UNION ALL SELECT case when c.overall - r.overall < 2 then 'gap_too_small' else {_CORE} end FROM s c JOIN h r ON r.prompt_id = c.prompt_id AND r.rank > c.rank WHERE c.guard IS NULL
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.prompt_id = c.prompt_id AND t.a = c.rank AND t.b >= r.rank) AND NOT EXISTS (SELECT 1 FROM t WHERE t.prompt_id = c.prompt_id AND t.b = r.rank AND t.a < c.rank))
+SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY reason"""
+register("greedy_skip_reasons", lambda get: p.greedy_skips(judged(get)), _LOOKED)
 register("agg_pair_quality", lambda get: p.greedy_multi(judged(get)).groupBy("pair_quality").agg(F.count(F.lit(1)).alias("n")), f"{_GREEDY.replace('SELECT e.prompt_id, row', 'SELECT pair_quality, count(*) AS n FROM (SELECT e.prompt_id, row')}) GROUP BY pair_quality")
 _PRIO_ALL = f"""
 WITH s AS (SELECT * FROM (SELECT *, count(overall) OVER (PARTITION BY prompt_id) AS k FROM {{judged}}) WHERE overall IS NOT NULL AND k >= 2),
@@ -271,8 +279,6 @@ for _key in ("win_keep_last_n", "keep_last_n"):
 
 
 def _numbered(get):
-    from prefforge.functions.tables import number_rows
-
     return number_rows(get("img_map").select("image_name"), "image_name")[0]
 
 
@@ -284,7 +290,7 @@ register("win_group_random", lambda get: rw.one_of_group(get("img_map").withColu
 
 # sorts, limits, samples
 register("srt_user_date_desc", lambda get: get("messages").select("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("date"), F.desc("pos"))).alias("place")), "SELECT pos, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, pos DESC) AS place FROM {messages}")
-register("srt_date", lambda get: get("messages").orderBy("date", "pos").limit(100).select("pos"), "SELECT pos FROM {messages} ORDER BY date, pos LIMIT 100")
+register("srt_date", lambda get: number_rows(get("messages").select("pos", F.struct("date", "pos").alias("o")), "o")[0].select("pos", C("at").alias("place")), "SELECT pos, row_number() OVER (ORDER BY date, pos) - 1 AS place FROM {messages}")
 register("lim_n", lambda get: get("label_log").orderBy("line_no").limit(50).select("line_no"), "SELECT line_no FROM {label_log} ORDER BY line_no LIMIT 50")
 register("lim_max_samples", lambda get: get("sft_text").orderBy("id").limit(100).select("id"), "SELECT id FROM {sft_text} ORDER BY id LIMIT 100")
 register("src_limit_prompts", lambda get: get("judged").orderBy("doc_id").limit(100).select("doc_id"), "SELECT doc_id FROM {judged} ORDER BY doc_id LIMIT 100")
@@ -293,14 +299,12 @@ register("smp_shuffle", lambda get: exact_first(get("judged").withColumn("k", F.
 
 
 def _replaced(get):
-    from prefforge.functions.tables import number_rows
-
     rows, n = number_rows(get("documents").select("doc_id"), "doc_id")
-    draws = get("events").filter("event_id < 300").select("event_id", ((C("event_id") * 7919 + 17) % 1009).alias("draw"))
+    draws = get("events").select("event_id", ((C("event_id") * 7919 + 17) % 1009).alias("draw"))
     return tr.with_replacement(rows, "at", n, draws).select("event_id", "doc_id")
 
 
-register("smp_with_replacement", _replaced, "SELECT event_id, d.doc_id FROM {events} JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM {documents}) d ON place = ((event_id * 7919 + 17) % 1009) % n WHERE event_id < 300")
+register("smp_with_replacement", _replaced, "SELECT event_id, d.doc_id FROM {events} JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM {documents}) d ON place = ((event_id * 7919 + 17) % 1009) % n")
 for _key in ("smp_holdout_group", "rm_split"):
     register(_key, lambda get: get("bt_scores").select("descr", "prompt", (F.expr("(cast(substr(descr, 2) as bigint) * 7919 + 17) % 1009 % 10") < 2).alias("held_out")), "SELECT descr, prompt, (cast(substr(descr, 2) as bigint) * 7919 + 17) % 1009 % 10 < 2 AS held_out FROM {bt_scores}")
 
@@ -318,8 +322,6 @@ for _key in ("flt_top_reward", "top_reward", "layer3_check"):
 
 
 def _split(get):
-    from prefforge.functions.tables import number_rows
-
     rows, n = number_rows(get("sft_text").select("id"), "id")
     return split_percent(rows, "at", n)[1].select("id")
 

@@ -43,6 +43,7 @@ scalar("str_remove_chars", "messages", "pos", lambda: t.remove_characters(conten
 # DuckDB has no look-behind, so each character is looked at with its neighbours
 _GLUE = r"""array_to_string(list_transform(range(1, length(content) + 1), lambda i: case when regexp_matches(substr(content, i, 1), '\s') and i > 1 and regexp_matches(substr(content, i - 1, 1), '[0-9]')
   and (regexp_matches(substr(content, i + 1, 1), '[0-9]') or (substr(content, i + 1, 1) in ('K', 'k', 'd', 'D', 's') and (i + 1 = length(content) or not regexp_matches(substr(content, i + 2, 1), '[\p{{L}}\p{{N}}_]')))) then '' else substr(content, i, 1) end), '')"""
+_GLUE = f"case when regexp_matches(content, '[0-9]\\s') then {_GLUE} else content end"
 scalar("str_glue_digits", "messages", "pos", lambda: t.glue_digits(content()), _GLUE, HAVE)
 scalar("str_space_comma", "messages", "pos", lambda: t.space_comma(content()), r"regexp_replace(content, '\s,', ',', 'g')", HAVE)
 scalar("str_squeeze_ws", "documents", "doc_id", lambda: t.squeeze_space(C("text")), r"regexp_replace(text, '\s+', ' ', 'g')")
@@ -60,10 +61,20 @@ scalar("str_phrase_hits", "review", "doc_id", lambda: {"magic": t.phrase_hits(C(
 TOKENS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
 scalar("str_token_len", "documents", "doc_id", lambda: t.token_count(C("text")), "len(" + TOKENS.replace("{x}", "text") + ")")
 _T = TOKENS.replace("{x}", "dpo")
-_GRAMS = f"list_transform(range(1, len({_T}) - 1), lambda i: array_to_string(list_slice({_T}, i, i + 2), ' '))"
-scalar("str_repeat_ngrams", "review", "doc_id", lambda: t.repeated_ngrams(C("dpo"), 3), f"len({_GRAMS}) - len(list_distinct({_GRAMS}))")
-_RATIO = f"case when len({_T}) > 0 then len(list_filter({_T}, lambda x: list_contains({TOKENS.replace('{x}', chr(39).join(['replace(prompt, ', '</s>', ', ', '', ')']))}, x))) / len({_T}) else 0 end"
-scalar("str_copy_ratio", "review", "doc_id", lambda: F.round(t.copy_ratio(C("prompt"), C("dpo")), 6), f"round({_RATIO}, 6)")
+# lists of words are columns of their own, as a lambda computes what it refers to for each of its elements
+_WORDS = f"(SELECT *, {TOKENS.replace('{x}', 'sft')} AS sft_words, {_T} AS dpo_words, {TOKENS.replace('{x}', chr(39).join(['replace(prompt, ', '</s>', ', ', '', ')']))} AS known FROM {{review}})"
+
+
+def _grams(c: str) -> str:
+    return f"list_transform(list_zip({c}_words, {c}_words[2:], {c}_words[3:], true), lambda g: concat_ws(' ', g[1], g[2], g[3]))"
+
+
+def _ratio(c: str) -> str:
+    return f"case when len({c}_words) > 0 then len(list_filter({c}_words, lambda x: list_contains(known, x))) / len({c}_words) else 0 end"
+
+
+register("str_repeat_ngrams", lambda get: get("review").select("doc_id", t.repeated_ngrams(C("dpo"), 3).alias("value")), f"SELECT doc_id, len(g) - len(list_distinct(g)) AS value FROM (SELECT doc_id, {_grams('dpo')} AS g FROM {_WORDS})")
+register("str_copy_ratio", lambda get: get("review").select("doc_id", F.round(t.copy_ratio(C("prompt"), C("dpo")), 6).alias("value")), f"SELECT doc_id, round({_ratio('dpo')}, 6) AS value FROM {_WORDS}")
 scalar("str_round3", "documents", "doc_id", lambda: t.round_half_even((C("doc_id") % 1000).cast("double") / 16), "round_even(cast(doc_id % 1000 as double) / 16, 3)")
 _MIXED = "concat(case (doc_id % 6) when 0 then '' when 1 then '12 3!' when 2 then 'é–à' when 3 then 'a: b' else '' end, case when doc_id % 2 = 0 then substr(text, 1, 30) else '' end)"
 scalar(
@@ -71,12 +82,17 @@ scalar(
     lambda: {k: f(F.expr(_MIXED)) for k, f in (("non_ascii", t.all_non_ascii), ("not_alpha", t.all_not_alpha), ("odd", t.suspicious), ("some_non_ascii", t.has_non_ascii))},
     f"NOT regexp_matches(regexp_replace({_MIXED}, '[ .,\"\\-''!/;&?0-9]', '', 'g'), '[\\x00-\\x7F]') AS non_ascii, NOT regexp_matches({_MIXED}, '\\p{{{{L}}}}') AS not_alpha, regexp_matches({_MIXED}, '[^\\p{{{{L}}}}\\p{{{{Nd}}}}²³¹⁰⁴-⁹₀-₉ .,\"\\-''!–/;&?+*_#|]') AS odd, regexp_matches({_MIXED}, '[^\\x00-\\x7F–\\p{{{{Nd}}}}²³¹⁰⁴-⁹₀-₉]') AS some_non_ascii".replace("{{{{", "{{").replace("}}}}", "}}"),
 )
-_ascii = lambda c: F.left(F.regexp_replace(c, "[^ -~]", ""), F.lit(40))  # noqa: E731  DuckDB compares bytes, so only ASCII agrees
-register(
-    "str_jaro",
-    lambda get: get("review").select("doc_id", F.round(jaro(_ascii("sft"), _ascii("dpo")), 6).alias("value")),
-    "SELECT doc_id, round(jaro_similarity(left(regexp_replace(sft, '[^ -~]', '', 'g'), 40), left(regexp_replace(dpo, '[^ -~]', '', 'g'), 40)), 6) AS value FROM {review}",
-)
+#: The letters beyond ASCII of the test tables. DuckDB compares bytes, so its texts get one byte for each.
+BEYOND_ASCII = "ÁÄÇÈÉÊÍÑÓÖÚÜßáäçèéêíñóöúü"
+
+
+def one_byte(x: str) -> str:
+    """SQL of a text with one byte for each character, on which byte-wise similarity is that of characters."""
+    spare = [k for k in range(1, 32) if k not in (9, 10, 13)]
+    return f"translate({x}, '{BEYOND_ASCII}', concat({', '.join(f'chr({k})' for k in spare[: len(BEYOND_ASCII)])}))"
+
+
+register("str_jaro", lambda get: get("review").select("doc_id", F.round(jaro("sft", "dpo"), 6).alias("value")), f"SELECT doc_id, round(jaro_similarity({one_byte('sft')}, {one_byte('dpo')}), 6) AS value FROM {{review}}")
 scalar("str_tail_fingerprint", "review", "doc_id", lambda: t.tail_tokens(C("dpo"), 5), f"array_to_string(list_slice({_T}, greatest(1, len({_T}) - 4), len({_T})), ' ')")
 scalar("str_name_path", "label_log", "line_no", lambda: dict(zip(("name", "path"), t.name_and_path(F.concat("prompt", F.lit(":/a:b/"), "description")), strict=True)), "prompt AS name, concat('/a:b/', description) AS path")
 scalar("str_display_ckpt", "train_steps", "step", lambda: t.checkpoint_name(C("step")), "printf('step-%06d', step)")

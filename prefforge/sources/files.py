@@ -39,8 +39,10 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_channels(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All CSV files of a folder, column names in lower case, with channel dreambot-1, -2, ... by the order of the names."""
-    df = read_csv(spark, folder, schema=schema).withColumn("_file", F.col("_metadata.file_name"))
+    """All CSV exports of a folder, column names in lower case, with channel dreambot-1, -2, ... by the order of their names.
+    An export is a file, or a folder of part files."""
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).schema(schema).csv(folder)
+    df = read.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)(?:/part-[^/]*)?$", 1))
     names = sorted(r["_file"] for r in df.select("_file").distinct().collect())
     numbers = spark.createDataFrame([(f, f"dreambot-{i + 1}") for i, f in enumerate(names)] or [("", "")], "_file string, channel string")
     return df.drop("channel").join(numbers, "_file").drop("_file").toDF(*[c.lower() for c in df.columns if c not in ("_file", "channel")], "channel")
@@ -119,16 +121,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", index: str | None = None) -> None:
-    """With header; index names a column that goes first, under an empty name."""
-    if index is not None:
-        df = df.select(F.col(index).alias("_c"), *[c for c in df.columns if c != index])
-        head = sep.join(["", *df.columns[1:]])
-        # Spark writes no header for an unnamed column: the head is a line of its own
-        body = df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"sep": sep, "escape": '"'}).alias("value"), F.col("_c").alias("o"))
-        line = df.sparkSession.createDataFrame([(head, -1)], "value string, o long")
-        line.unionByName(body.withColumn("o", F.col("o").cast("long"))).orderBy("o").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """With header. index names a column that orders the rows and goes first, under an empty name. Every part file begins with
+    the header, as readers of a folder expect."""
+    options = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if index is None:
+        df.write.mode("overwrite").options(header=True, **options).csv(path)
         return
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    names = [index, *[c for c in df.columns if c != index]]
+    # Spark writes no header for an unnamed column: it is a line in front of a part's first row
+    head = sep.join(["", *names[1:]]) + "\n"
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]), options)
+    rows = df.select(line.alias("value"), F.col(f"`{index}`").alias("o")).repartitionByRange("o").sortWithinPartitions("o")
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    rows.select(F.when(first, F.concat(F.lit(head), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_tsv(df: DataFrame, path: str, index: str | None = None) -> None:
@@ -145,9 +150,12 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def concat_text(df: DataFrame, column: str, position: str) -> DataFrame:
-    """All strings in order as one, with nothing between them. One string is one row: meant for what fits one file."""
-    return df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, column))), lambda x: x[column]), "").alias("text"))
+def concat_text(df: DataFrame, column: str, position: str, rows: int = 100_000) -> DataFrame:
+    """(block, text): all strings in order with nothing between them, a block for every `rows` of them, so that no task holds
+    more; the blocks in order are the whole text."""
+    numbered, _ = number_rows(df.select(F.col(position).alias("o"), F.col(column).alias("x")), "o")
+    blocks = numbered.groupBy(F.floor(F.col("at") / rows).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))
+    return blocks.select("block", F.array_join(F.transform("s", lambda r: r["x"]), "").alias("text"))
 
 
 def audit_json(pairs: DataFrame, position: str, n_rows: int = 50) -> DataFrame:
@@ -166,11 +174,27 @@ def audit_markdown(pairs: DataFrame, position: str, n_rows: int = 100) -> DataFr
     return rows.select(position, block.alias("block"))
 
 
+#: Headings, prose and table of the review file.
+REVIEW_HEAD = """# Layer 3 Review: SFT vs Judge-DPO
+
+This file is sorted with the most suspicious DPO outputs first. Use it for manual inspection, not as an automatic pass/fail.
+
+## Aggregate diagnostics
+
+| Metric | SFT avg | DPO avg |
+|---|---:|---:|
+"""
+
+
 def layer3_markdown(reviewed: DataFrame, averages: DataFrame, position: str) -> DataFrame:
-    """(place, block): a table of averages, then a block for each example."""
-    order = F.element_at(F.create_map(*[x for i, f in enumerate(FLAGS) for x in (F.lit(f), F.lit(i))]), F.col("metric"))
-    head = averages.select((order - 100).cast("long").alias("place"), F.format_string("| %s | %.3f | %.3f |\n", "metric", "sft", "dpo").alias("block"))
-    title = reviewed.sparkSession.createDataFrame([(-1000, "# Layer 3 Review\n\n| Metric | SFT avg | DPO avg |\n|---|---:|---:|\n")], "place long, block string")
-    flags = lambda s: F.to_json(F.struct(*[F.col(f"{s}_{k}").alias(k) for k in FLAGS]), {"pretty": "true"})
-    block = F.concat(F.lit("## Example "), (F.col(position) + 1).cast("string"), F.lit("\n\n**Prompt**: `"), F.col("prompt"), F.lit("`\n\n**SFT output**\n\n> "), F.col("sft"), F.lit("\n\n**DPO output**\n\n> "), F.col("dpo"), F.lit("\n\n**Flags**\n\n"), flags("sft"), F.lit("\n"), flags("dpo"), F.lit("\n\n"))
-    return title.unionByName(head).unionByName(reviewed.select(F.col(position).cast("long").alias("place"), block.alias("block")))
+    """(place, block): the head, a line of averages for each flag, and a block for each example, which position numbers from 0.
+    The blocks in order are the file."""
+    order = F.array_position(F.array(*map(F.lit, FLAGS)), F.col("metric")) - 1
+    end = F.when(F.col("metric") == FLAGS[-1], "\n").otherwise("")
+    lines = averages.select((order - 100).cast("long").alias("place"), F.concat(F.format_string("| %s | %.3f | %.3f |\n", "metric", "sft", "dpo"), end).alias("block"))
+    head = reviewed.sparkSession.createDataFrame([(-1000, REVIEW_HEAD)], "place long, block string")
+    fields = lambda s: F.concat_ws(",\n", *[F.concat(F.lit(f'    "{k}": '), F.col(f"{s}_{k}").cast("string")) for k in FLAGS])
+    flags = F.concat(F.lit('{\n  "sft": {\n'), fields("sft"), F.lit('\n  },\n  "dpo": {\n'), fields("dpo"), F.lit("\n  }\n}"))
+    title = F.concat(F.lit("## Example "), (F.col(position) + 1).cast("string"), F.lit("\n\n**Prompt**: `"), F.col("prompt"))
+    block = F.concat(title, F.lit("`\n\n**SFT output**\n\n> "), F.col("sft"), F.lit("\n\n**DPO output**\n\n> "), F.col("dpo"), F.lit("\n\n**Flags**\n\n```json\n"), flags, F.lit("\n```\n\n"))
+    return head.unionByName(lines).unionByName(reviewed.select(F.col(position).cast("long").alias("place"), block.alias("block")))

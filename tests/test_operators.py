@@ -188,6 +188,34 @@ def test_near_duplicates_against_a_loop(spark):
     assert got == {k[0] for k in kept}
 
 
+def slow_jaro(a: str, b: str) -> float:
+    """The definition, place by place."""
+    if not a or not b:
+        return 0.0
+    reach, used, mine = max(max(len(a), len(b)) // 2 - 1, 0), [False] * len(b), []
+    if a == b:
+        return 1.0
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == x:
+                used[j] = True
+                mine.append(x)
+                break
+    if not mine:
+        return 0.0
+    other, k = [b[j] for j in range(len(b)) if used[j]], len(mine)
+    return (k / len(a) + k / len(b) + (k - sum(x != y for x, y in zip(mine, other, strict=True)) // 2) / k) / 3
+
+
+def test_jaro_is_linear_and_right():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcé"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 30))) for _ in range(2))
+        assert _jaro(a, b) == pytest.approx(slow_jaro(a, b), abs=1e-12), (a, b)
+    long = "abcdefghij" * 30_000
+    assert _jaro(long, long[:-1]) > 0.99 and 0 < _jaro(long, long[1:]) < 1
+
+
 def test_jaro():
     assert _jaro("MARTHA", "MARHTA") == pytest.approx(0.9444, abs=1e-4)
     assert _jaro("", "a") == 0.0
@@ -234,6 +262,12 @@ def test_training_logs(spark):
     steps = spark.createDataFrame([(i, v) for i, v in enumerate([9.0, 1.0, 2.0, 2.0, 3.0])], "step int, mean_reward double")
     got = [r["is_best"] for r in training.running_best(steps, after=1).orderBy("step").collect()]
     assert got == [False, True, True, False, True]
+    many = [(i, (i * 37) % 101 / 10) for i in range(300)]
+    rows = training.running_best(spark.createDataFrame(many, "step int, mean_reward double"), after=20).orderBy("step").collect()
+    best = [max([v for j, v in many if 20 <= j < i], default=None) for i, _ in many]
+    assert [r["best_before"] for r in rows] == best
+    log = spark.createDataFrame([(i, i % 9) for i in range(200)], "line_no long, tokens long")
+    assert [r["running"] for r in labelling.running_tokens(log).orderBy("line_no").collect()] == [sum(j % 9 for j in range(i + 1)) for i in range(200)]
     short = spark.createDataFrame([(0, [1, 2]), (1, [3]), (2, [4, 5, 6, 7, 8])], "at int, t array<int>")
     packed = training.pack_blocks(short, "t", "at", 4, 2).orderBy("batch", "block").collect()
     assert [list(r["input_ids"]) for r in packed] == [[1, 2, 3], [4, 5, 6, 7]]
@@ -252,6 +286,11 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([(0, 'a "b"\nc, d'), (1, None)], "i int, x string")
     files.write_csv(df, f"{tmp_path}/c")
     assert {r["x"] for r in files.read_csv(spark, f"{tmp_path}/c", schema="i int, x string").collect()} == {'a "b"\nc, d', None}
+    odd = spark.createDataFrame([(i, x) for i, x in enumerate([" a ", "", None, 'x"\t"y', "l\r\nm", "\\", "end\\"] * 9)], "i int, x string")
+    for index in (None, "i"):
+        files.write_tsv(odd.repartition(3), f"{tmp_path}/t{index}", index)
+        assert sorted((r["i"], r["x"]) for r in files.read_tsv(spark, f"{tmp_path}/t{index}", "i int, x string").collect() if r["x"] is not None) == sorted((r["i"], r["x"]) for r in odd.collect() if r["x"] is not None)
+        assert files.read_tsv(spark, f"{tmp_path}/t{index}", "i int, x string").filter("x is null").count() == 9
     assert files.read_scores(spark, f"{tmp_path}/none").count() == 0
     (tmp_path / "l.txt").write_text("a\n\nb\n")
     assert [r["value"] for r in files.read_lines(spark, f"{tmp_path}/l.txt").orderBy("line_no").collect()] == ["a", "", "b"]

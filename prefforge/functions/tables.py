@@ -96,15 +96,16 @@ def running(df: DataFrame, order: str, value: str, name: str, how: str = "sum")
     add = {"sum": F.sum, "max": F.max}[how]
     ranged = shared_table(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id()), "ranged")
     made = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(add(value).alias("n")).collect())
-    total, base = (0 if how == "sum" else None), []
+    kind = ranged.groupBy().agg(add(value).alias("n")).schema["n"].dataType.simpleString()
+    zero = 0.0 if kind == "double" else 0
+    total, base = (zero if how == "sum" else None), []
     for p, n in made:
         base.append((p, total))
         if n is not None:
             total = n if total is None else total + n if how == "sum" else max(total, n)
-    kind = ranged.groupBy().agg(add(value).alias("n")).schema["n"].dataType.simpleString()
     bases = spark.createDataFrame(base, f"_p int, _b {kind}")
     inside = add(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    both = F.coalesce("_s", F.lit(0)) + F.coalesce("_b", F.lit(0)) if how == "sum" else F.greatest("_s", "_b")
+    both = F.coalesce("_s", F.lit(zero)) + F.coalesce("_b", F.lit(zero)) if how == "sum" else F.greatest("_s", "_b")
     return ranged.withColumn("_s", inside).join(F.broadcast(bases), "_p").withColumn(name, both).drop("_p", "_b", "_s")
 
 

@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every row gets a hash-random key. Within a source the rows are range-sorted by it: equal ranges of the key, each summed up
-by itself, then prefix sums of the ranges' totals give each range its offset. A source's rows are taken in that order, in
-whole epochs and then up to the exact word at which its budget ends.
+Every row gets a hash-random key. Within a source the rows are range-sorted by it: equal ranges of the key are summed up by
+themselves, and prefix sums of the ranges' totals tell in which range the source's budget ends. Rows of the ranges before it
+are taken, rows of those behind it are not, and only the rows of that one range are sorted and summed up one by one, to cut
+at the exact word. Rows move neither for the ranges (sums do) nor for the cut (one range of each source does).
 """
 
 from __future__ import annotations
@@ -10,74 +11,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefforge.functions.tables import number_rows, prefix_sums, shared_table
 from prefforge.llm.textops import n_words, named_columns, numbered_columns, whole
 
 #: Weights of the sources in code-point order, repeating; the mix's size and each source's most, as shares of what there is.
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
-#: Ranges of the key within one source: a source of 10**10 rows has 10**7 rows in a range, which one task sorts.
-RANGE_BITS = 10
+#: Hexadecimal digits of the key that tell its range: 4,096 ranges of each source, one of which is sorted.
+RANGE_DIGITS = 3
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """(source, source_size) -> also target (double).
 
     A target is min(most * size, level * weight): what sources cannot take is reshared by weight among the others until
-    none is above its most. The level is found by going through the sources by most * size / weight.
+    none is above its most. The level is found by going through the sources by most * size / weight, ties by their place;
+    places and sums come from range sorts, so there may be any number of sources.
     """
-    everything = Window.partitionBy(F.lit(0))
-    n = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((n - 1) % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("most") / F.col("weight"))
-    order = everything.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    levels = (
-        ranked.withColumn("left", F.sum("source_size").over(everything) * F.lit(total_share) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("weights_left"))
-        .withColumn("open", F.col("level") <= F.col("ratio"))
-    )
+    numbered, _ = number_rows(sources.withColumn("_o", F.struct(F.col("source").isNull(), "source")), "_o")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    ranked = numbered.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(most)))
+    ranked = ranked.withColumn("ratio", F.struct((F.col("most") / F.col("weight")).alias("r"), F.col("at").alias("p")))
+    lined = prefix_sums(prefix_sums(ranked.drop("_o", "at"), "ratio", "most", "_most"), "ratio", "weight", "_weight")
+    all_ = lined.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
+    left, weights_left = F.lit(float(all_["s"] or 0) * total_share) - F.col("_most"), F.lit(all_["w"] or 0.0) - F.col("_weight")
     # the first source that the level leaves below its most fixes the level for all after it
-    first = F.min(F.when(F.col("open"), F.struct("ratio", F.col("left"), F.col("weights_left")))).over(everything)
-    share = F.col("weight") * F.col("first.left") / F.col("first.weights_left")
-    return levels.withColumn("first", first).select("source", "source_size", F.least(F.col("most"), F.coalesce(share, F.col("most"))).alias("target"))
+    open_ = lined.select("ratio", left.alias("l"), weights_left.alias("w")).filter(F.col("l") / F.col("w") <= F.col("ratio.r"))
+    first = open_.agg(F.min(F.struct("ratio", "l", "w")).alias("f")).first()["f"]
+    share = F.col("most") if first is None else F.col("weight") * F.lit(first["l"]) / F.lit(first["w"])
+    return lined.select("source", "source_size", F.least("most", share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 42, range_bits: int = RANGE_BITS) -> DataFrame:
-    """One row for each row of docs: id, size, source_size, target, taken, with source beside them.
+def mix_key(row_id: Column, text: Column, seed: int) -> Column:
+    """The key of a row: rows without an id, or with the same one, are told apart by their texts."""
+    return F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), F.md5(whole(text)), F.lit(f":{seed}")))
 
-    A null text has size 0, a null source is a source of its own (the last), an empty table gives no rows. Equal keys are
-    ordered by id and size; rows that agree in all of these are interchangeable, so reruns agree.
-    """
-    sizes = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), (n_words(F.col(f"`{text_col}`")) if size is None else size).alias("size"))
-    # no text from here on; the key is a 64-bit hash, its upper bits are the range
-    keyed = sizes.withColumn("_key", F.xxhash64("_id", F.lit(seed))).withColumn("_range", F.shiftrightunsigned("_key", 64 - range_bits))
-    ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")))
-    along = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_words").over(along), F.lit(0))).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    offsets = offsets.select("_s", F.col("_range").alias("_r"), "_offset", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy(F.shiftleft("_key", range_bits), "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+
+def _cuts(keyed: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """keyed (source, size, key) -> ((_s, source_size, target, epochs, budget, cut): where each source's budget ends; (_gs,
+    _gk, rows, before): the keys of the ranges in which they end, how many rows have each, and the words before them)."""
+    ranges = shared_table(keyed.groupBy("source", F.left("key", F.lit(digits)).alias("range")).agg(F.sum("size").alias("words")), "mix-ranges")
+    targets = shared_table(source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-targets")
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("_offset") - F.col("_before")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return placed.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"))
+    plan = targets.select(F.col("source").alias("_s"), "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
+    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 16 ** digits ranges
+    placed = ranges.withColumn("offset", F.coalesce(F.sum("words").over(along), F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    # the range whose words hold the end: at or before it is the rest, behind it is not
+    ends = placed.filter((F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("words")))
+    cuts = ends.select("_s", "source_size", "target", "epochs", "rest", F.col("range").alias("cut"), "offset")
+    # sources without words have no such range, and nothing is taken of them
+    empty = plan.filter("source_size = 0").select("_s", "source_size", "target", "epochs", "rest", F.lit("").alias("cut"), F.lit(0).cast("long").alias("offset"))
+    cuts = shared_table(cuts.unionByName(empty), "mix-cuts")
+    at_end = keyed.join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.left("key", F.lit(digits)) == F.col("cut")))
+    groups = at_end.groupBy(F.col("source").alias("_gs"), F.col("key").alias("_gk")).agg(F.count(F.lit(1)).alias("rows"), F.first("size").alias("each"), F.first("offset").alias("offset"))
+    inside = Window.partitionBy("_gs").orderBy("_gk").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("before", F.col("offset") + F.coalesce(F.sum(F.col("rows") * F.col("each")).over(inside), F.lit(0)))
+    return cuts, shared_table(groups.select("_gs", "_gk", "rows", "before"), "mix-ends")
+
+
+def _taken(keyed: DataFrame, digits: int) -> DataFrame:
+    """keyed (source, size, key, ...) with source_size, target and taken. Only rows of the ranges at which budgets end are
+    joined by their key."""
+    cuts, groups = _cuts(keyed.select("source", "size", "key"), digits)
+    rows = keyed.join(cuts.drop("offset"), F.col("source").eqNullSafe(F.col("_s")))
+    range_ = F.left("key", F.lit(digits))
+    whole_epochs = F.col("epochs") * F.col("size")
+    apart = rows.filter(range_ != F.col("cut")).withColumn("taken", whole_epochs + F.when(range_ < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    at_end = rows.filter(range_ == F.col("cut")).join(groups, F.col("source").eqNullSafe(F.col("_gs")) & (F.col("key") == F.col("_gk")))
+    # rows that repeat id and text share what is left of the budget for them evenly, the odd words by chance
+    left = F.greatest(F.lit(0).cast("long"), F.least(F.col("rows") * F.col("size"), F.col("rest") - F.col("before")))
+    odd = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("rows")) < left % F.col("rows")
+    at_end = at_end.withColumn("taken", whole_epochs + F.floor(left / F.col("rows")).cast("long") + odd.cast("long"))
+    columns = [*keyed.columns, "source_size", "target", "taken"]
+    return apart.select(*columns).unionByName(at_end.select(*columns))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 42, digits: int = RANGE_DIGITS) -> DataFrame:
+    """One row for each row of docs: id, size, source_size, target, taken, with source beside them.
+
+    A null text has size 0, a null source is a source of its own (the last), an empty table gives no rows. Rows that repeat
+    both id and text are interchangeable, and share what the mix takes of them; all others are taken in the order of their
+    keys, so reruns agree.
+    """
+    row_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    # no text from here on
+    keyed = docs.select(row_id.alias("_id"), F.col(f"`{source_col}`").alias("source"), (n_words(text) if size is None else size).alias("size"), mix_key(row_id, text, seed).alias("key"))
+    out = _taken(shared_table(keyed, "mix-keys"), digits)
+    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken")
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The mix itself: docs with each row as often as whole epochs take it, and the first words of the row at which a
     source's budget ends (joined by single spaces). The columns are those of docs. Rows without words are not taken."""
-    shares = mix(docs, id_col, text_col, source_col, seed=seed).groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("taken").alias("_most"), F.sum("taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    # rows with the same id, source and size share what they take evenly as far as whole words allow
-    each = shares.withColumn("_taken", F.floor(F.col("_sum") / F.col("_rows")).cast("long"))
     plain, at = numbered_columns(docs)
     text = F.col(at[text_col])
-    joined = plain.withColumn("_size", n_words(text)).join(each, F.col(at[id_col]).eqNullSafe(F.col("_i")) & F.col(at[source_col]).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))).filter("_taken > 0")
-    part = F.col("_taken") % F.col("_size")
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    keyed = plain.select("*", F.col(at[source_col]).alias("source"), n_words(text).alias("size"), mix_key(F.col(at[id_col]), text, seed).alias("key"))
+    joined = _taken(keyed, RANGE_DIGITS).filter("taken > 0")
+    part = F.col("taken") % F.col("size")
+    copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.filter(F.split(F.translate(whole(text), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), F.lit(1), part.cast("int")), " ")
     out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies + F.when(part > 0, 1).otherwise(0)))).withColumn("_cut", F.when(F.col("_copy") > copies, cut))
     out = out.withColumn(at[text_col], F.coalesce("_cut", text))

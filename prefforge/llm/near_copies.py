@@ -1,147 +1,154 @@
-"""Near copies by the similarity of whole texts: equal shares of five-word shingles, found and decided exactly.
+"""Near copies by the similarity of whole texts, decided exactly.
 
-Two texts link if the Jaccard similarity of their sets of shingles is 0.8 at least. A SimHash of 64 bits cannot find all such
-pairs: short ones lie up to half of the bits apart, where any two texts do. Candidates are therefore found by a prefix
-filter. Shingles have one order for all texts; two sets that similar share one of the first n - ceil(0.8 n) + 1 of
-each (n is the size of the set). Any order will do; shingles that are common in a sample come last, so that passages which
-many texts share bring few texts together. A pair goes on if even all shingles behind both prefixes could make it similar
-enough; it is decided on the whole sets.
+Two texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 at least. A SimHash of 64 bits shows the
+closest pairs only: at a similarity of 0.8 two fingerprints lie some ten bits apart, where very many others do. Candidates
+are therefore the links of the SimHash operator (5-word fingerprints within 3 bits) and the pairs that share a band: each
+text has 32 bands of 4 least hashes, and two texts of a similarity of 0.8 share none of them once in 2 * 10**7 pairs, while
+of texts that share a tenth of their shingles (a passage) 3 in 1,000 do. Whole sets decide about every candidate.
 
-Texts that share the same shingles first meet a few pivots. Only those that this leaves in different components are compared
-all with each other, so a large group of near copies does not cost its square.
+The texts of a band first meet a pivot. Only those that this leaves in different components are compared with each other, so
+a large group of near copies does not cost its square.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
 from prefforge.llm.components import connected_components
-from prefforge.llm.simhash import shingle_hashes
+from prefforge.llm.simhash import fingerprint_links, majority, shingle_hashes
 from prefforge.llm.textops import lower_ascii, named_columns, numbered_columns, whole
 
-#: Words of a shingle.
+#: Words of a shingle; bands of a text, and least hashes of a band.
 WIDTH = 5
-#: Texts of the sample that tells common shingles, how many of them must have one, and the most that are put last. These
-#: decide the order only, never the result.
-SAMPLE = 4_000
-COMMON = 3
-MOST_COMMON = 50_000
+BANDS = 32
+ROWS = 4
+_RANDOM = np.random.default_rng(5)
+_MIX = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
+_ODD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
 
 
-def shingle_set(text: str, common: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The text's distinct shingles as sorted numbers: 62 bits of the hash, and a higher bit for those in the sorted array
-    common, which therefore come last. A text without words has a shingle of its own, the empty one."""
-    found = [(h >> np.uint64(2)).view(np.int64) for h in shingle_hashes(text, width)] or [np.zeros(1, np.int64)]
-    hashes = np.unique(np.concatenate(found))
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last] | (1 << 62)])
-    return hashes
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """The text's distinct shingles as sorted 64-bit hashes. A text without words has a shingle of its own, the empty one."""
+    found = list(shingle_hashes(text, width)) or [np.zeros(1, np.uint64)]
+    return np.unique(np.concatenate(found))
 
 
-def prefix(hashes: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 numbers of a set."""
-    n = len(hashes)
-    return hashes[: n - (4 * n + 4) // 5 + 1]
+def bands(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The band keys of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), block):
+        mixed = hashes[None, at : at + block] ^ _MIX
+        mixed *= _ODD
+        least = np.minimum(least, mixed.min(axis=1))
+    of_band = (least * _ODD[::-1, 0]).reshape(BANDS, ROWS)
+    keys = of_band[:, 0].copy()
+    for k in range(1, ROWS):
+        keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + of_band[:, k]
+    # bands of different places do not meet
+    return (keys ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _sets(texts: DataFrame, common: np.ndarray, pick=None) -> DataFrame:
-    """(_node, _text, ...) -> (_node, ..., _n long, _hashes array<long>): the size of each set, and what `pick` takes of it."""
-    bounded_batches(texts.sparkSession)
-    others = [c for c in texts.columns if c != "_text"]
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(_node, _id, _text) -> (_node, _id, _n, _fp, _bands): the size of each text's set, its fingerprint and its bands."""
 
     def run(batches):
         for batch in batches:
-            sets = (shingle_set(t.as_py(), common) for t in batch.column("_text"))
-            sizes, taken = [], []
-            for s in sets:
-                sizes.append(len(s))
-                taken.append(pick(s) if pick else s)
-            values = pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, taken)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, values)], [*others, "_n", "_hashes"])
+            sizes, prints, keys = [], [], []
+            for t in batch.column("_text"):
+                found = list(shingle_hashes(t.as_py(), WIDTH))
+                hashes = np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
+                sizes.append(len(hashes))
+                prints.append(majority(found))
+                keys.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys)], ["_node", "_id", "_n", "_fp", "_bands"])
 
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others)
-    return texts.mapInArrow(run, f"{kinds}, _n long, _hashes array<long>")
+    bounded_batches(texts.sparkSession)
+    return texts.select("_node", "_id", "_text").mapInArrow(run, f"_node long, _id {texts.schema['_id'].dataType.simpleString()}, _n long, _fp long, _bands array<long>")
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    """The sorted hashes of shingles that several texts of a sample have."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    some = texts.select("_node", "_text").filter(F.shiftrightunsigned(F.xxhash64("_node", F.lit(5)), 1) <= F.lit(int(((1 << 63) - 1024) * share)))
-    counts = _sets(some, np.zeros(0, np.int64)).select(F.explode("_hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy())
+def _sets(texts: DataFrame) -> DataFrame:
+    """(_node, _text) -> (_node, _hashes)."""
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), _lists([shingle_set(t.as_py()).view(np.int64) for t in batch.column("_text")])], ["_node", "_hashes"])
 
-def _once(sets: DataFrame) -> DataFrame:
+    bounded_batches(texts.sparkSession)
+    return texts.select("_node", "_text").mapInArrow(run, "_node long, _hashes array<long>")
+
+
+def _once(rows: DataFrame, name: str) -> DataFrame:
     """One row of each node; nothing moves if there are no more."""
-    if sets.count() == sets.select("_node").distinct().count():
-        return sets
-    return shared_table(sets.dropDuplicates(["_node"]), "shingle-sets")
+    if rows.count() == rows.select("_node").distinct().count():
+        return rows
+    return shared_table(rows.dropDuplicates(["_node"]), name)
 
 
-def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda x: sets.select(F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"n_{x}"), F.col("_hashes").alias(f"h_{x}"))
+def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) whose whole sets have a similarity of 0.8 at least."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
+    wanted = texts.select("_node", "_text").join(nodes, F.col("_node") == F.col("_wanted"), "left_semi")
+    sets = _once(shared_table(_sets(wanted), "shingle-sets"), "shingle-sets")
+    side = lambda x: sets.select(F.col("_node").alias(f"_{x}"), F.col("_hashes").alias(f"h_{x}"))
     both = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    return both.withColumn("same", F.size(F.array_intersect("h_a", "h_b")))
+    same = F.size(F.array_intersect("h_a", "h_b"))
+    return both.filter(9 * same >= 4 * (F.size("h_a") + F.size("h_b"))).select("a", "b")
 
 
-def _decided(pairs: DataFrame, texts: DataFrame, prefixes: DataFrame, common: np.ndarray) -> DataFrame:
-    """The (a, b) whose whole sets have a similarity of 0.8 at least."""
-    wanted = F.ceil(4 * (F.col("n_a") + F.col("n_b")) / F.lit(9))
-    # all numbers up to the lesser end are known of both; behind it at most the rest of the smaller one is shared
-    end = F.least(F.element_at("h_a", -1), F.element_at("h_b", -1))
-    rest = lambda x: F.col(f"n_{x}") - F.size(F.filter(f"h_{x}", lambda v: v <= F.col("end")))
-    maybe = _both(pairs, prefixes).withColumn("end", end).filter(F.col("same") + F.least(rest("a"), rest("b")) >= wanted).select("a", "b")
-    maybe = shared_table(maybe, "maybe-similar")
-    nodes = maybe.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
-    some = texts.select("_node", "_text").join(nodes, F.col("_node") == F.col("_wanted"), "left_semi")
-    return _both(maybe, _once(shared_table(_sets(some, common), "shingle-sets"))).filter(9 * F.col("same") >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-
-def similar_links(texts: DataFrame, prefixes: DataFrame, common: np.ndarray) -> DataFrame:
-    """(_node, _text) and the prefixes of each node (_node, _n, _hashes) -> (a, b): links that connect exactly the nodes
-    which chains of similar texts connect."""
-    items = prefixes.select("_node", F.explode("_hashes").alias("h")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    met = shared_table(items.filter("c > 1").select("h", "_node"), "shared-shingles")
-    # shingles of the same texts: one of them is enough
-    groups = met.groupBy("h").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("_node", F.lit(k))).alias(f"s{k}") for k in (1, 2)])
-    groups = groups.groupBy("c", "s1", "s2").agg(F.min("h").alias("k")).select("k")
-    sizes = prefixes.select(F.col("_node").alias("_s"), "_n")
-    met = shared_table(met.join(groups, F.col("h") == F.col("k"), "left_semi").join(sizes, F.col("_node") == F.col("_s")).select("h", "_node", "_n"), "shared-shingles")
+def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(_node, _text) and one sketch of each node -> (a, b): links that connect the nodes which chains of similar texts
+    connect."""
     fits = (5 * F.least("_n", "_m") >= 4 * F.greatest("_n", "_m")) & (F.col("_node") != F.col("_other"))
     pair = (F.least("_node", "_other").alias("a"), F.greatest("_node", "_other").alias("b"))
-    pivot = lambda *order: F.min(F.struct(*order, "_node", "_n"))
-    pivots = met.groupBy("h").agg(F.array(*[F.struct(p["_node"].alias("o"), p["_n"].alias("m")) for p in (pivot(), pivot(F.xxhash64("_node", F.lit(3)).alias("r")))]).alias("p"))
-    pivots = pivots.select(F.col("h").alias("k"), F.explode(F.array_distinct("p")).alias("p")).select("k", F.col("p.o").alias("_other"), F.col("p.m").alias("_m"))
-    tried = shared_table(met.join(pivots, F.col("h") == F.col("k")).filter(fits).select(*pair).distinct(), "pivot-pairs")
-    links = shared_table(_decided(tried, texts, prefixes, common), "pivot-links")
+    keyed = sketches.select("_node", "_n", F.explode("_bands").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
+    met = shared_table(keyed.join(counts, F.col("key") == F.col("k"), "left_semi"), "shared-bands")
+    # bands of the same texts: one of them is enough
+    groups = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("_node", F.lit(k))).alias(f"s{k}") for k in (1, 2)], F.min(F.struct("_node", "_n")).alias("p"))
+    groups = groups.groupBy("c", "s1", "s2").agg(F.min("key").alias("k"), F.first("p").alias("p"))
+    groups = shared_table(groups.select("k", F.col("p._node").alias("_other"), F.col("p._n").alias("_m")), "band-pivots")
+    met = shared_table(met.join(groups.select("k"), F.col("key") == F.col("k"), "left_semi"), "shared-bands")
+    tried = met.join(groups, F.col("key") == F.col("k")).filter(fits).select(*pair)
+    # the links of the SimHash operator, and texts of equal fingerprints
+    prints = shared_table(sketches.groupBy("_fp").agg(F.min("_node").alias("first")), "distinct-fingerprints")
+    equal = sketches.join(prints.withColumnRenamed("_fp", "f"), F.col("_fp") == F.col("f")).select("_node", F.col("first").alias("_other"))
+    close = fingerprint_links(prints.select(F.col("_fp").alias("fp")))
+    end = lambda x, y: prints.select(F.col("_fp").alias(x), F.col("first").alias(y))
+    close = close.join(end("a", "_node"), "a").join(end("b", "_other"), "b").select("_node", "_other")
+    tried = tried.unionByName(equal.unionByName(close).filter("_node <> _other").select(*pair))
+    tried = shared_table(tried.distinct(), "pivot-pairs")
+    links = shared_table(_decided(tried, texts), "pivot-links")
     # what is not connected yet is compared pair by pair
     roots = connected_components(links)
-    placed = met.join(roots, F.col("_node") == F.col("node"), "left").select("h", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
-    apart = placed.groupBy("h").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).filter("x <> y").select(F.col("h").alias("k"))
-    placed = shared_table(placed.join(apart, F.col("h") == F.col("k"), "left_semi"), "apart")
-    others = placed.select(F.col("h").alias("k"), F.col("_node").alias("_other"), F.col("_n").alias("_m"), F.col("_root").alias("_beyond"))
-    pairs = placed.join(others, F.col("h") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other")) & (F.col("_root") != F.col("_beyond"))).select(*pair).distinct()
+    placed = met.join(roots, F.col("_node") == F.col("node"), "left").select("key", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
+    apart = placed.groupBy("key").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).filter("x <> y").select(F.col("key").alias("k"))
+    placed = shared_table(placed.join(apart, F.col("key") == F.col("k"), "left_semi"), "apart")
+    others = placed.select(F.col("key").alias("k"), F.col("_node").alias("_other"), F.col("_n").alias("_m"), F.col("_root").alias("_beyond"))
+    pairs = placed.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other")) & (F.col("_root") != F.col("_beyond"))).select(*pair).distinct()
     pairs = shared_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-    return links.unionByName(_decided(pairs, texts, prefixes, common))
+    return links.unionByName(_decided(pairs, texts))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that chains of links lead to a smaller id: one document of each group stays (rows without an id
     do). Upper-case A-Z count as lower case, null texts as empty; texts without words are copies of each other, and texts
-    of fewer than five words have one shingle. A text is known by its 64-bit hash."""
+    of fewer than five words have one shingle. A text is known by its 64-bit hash, so rows that share an id are decided each
+    by its own text."""
     plain, at = numbered_columns(docs)
     text = lower_ascii(whole(F.col(at[text_col])))
     texts = plain.select(F.xxhash64(text).alias("_node"), F.col(at[id_col]).alias("_id"), text.alias("_text"))
-    common = _common(texts)
-    prefixes = shared_table(_sets(texts, common, prefix), "prefixes")
-    roots = connected_components(similar_links(texts, _once(prefixes.select("_node", "_n", "_hashes")), common))
-    rooted = prefixes.select("_node", "_id").join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_id", F.coalesce("root", "_node").alias("_root"))
+    sketches = shared_table(_sketches(texts), "sketches")
+    roots = connected_components(similar_links(texts, _once(sketches, "sketches")))
+    rooted = sketches.select("_node", "_id").join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_id", F.coalesce("root", "_node").alias("_root"))
     rooted = shared_table(rooted, "rooted")
     least = rooted.groupBy("_root").agg(F.min("_id").alias("_least")).select(F.col("_root").alias("_r"), "_least")
     gone = rooted.join(least, F.col("_root") == F.col("_r")).filter("_id > _least").select("_node", "_id").distinct()

@@ -4,7 +4,8 @@ Fingerprints are 64 bits, a majority vote of the hashes of a text's word shingle
 one of their two halves is within reach // 2 bits, so each half has a vantage-point tree of its own, laid over a bounded
 sample. Every fingerprint goes down both trees by the Hamming distance of its half to the vantage points. Halves at distance
 d differ by at most d in their distance to any vantage point (triangle bound), so what is that near to a boundary also
-visits the shard beyond it, and no link is lost. (One tree over all 64 bits has three times as wide boundaries: its visits
+visits the shard beyond it, and no link is lost. Shards that the sample leaves too large are divided further, by vantage points
+of their own. (One tree over all 64 bits has three times as wide boundaries: its visits
 grow as the rows to the power 1.6.) A shard compares whole fingerprints through a vantage-point search of its own; only a
 spanning forest leaves it.
 """
@@ -16,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import bounded_batches, shared_table
@@ -52,8 +53,13 @@ def shingle_hashes(text: str, width: int, words=regex.compile(WORD.encode()).fin
 
 def fingerprint(text: str, width: int) -> int:
     """SimHash of one text whose A-Z are in lower case already."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(parts) -> int:
+    """The fingerprint of shingle hashes that come in arrays: a bit is set if it is in over half of them."""
     votes, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in parts:
         n += len(h)
         # bits of up to 255 hashes at a time are summed as bytes
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -152,6 +158,39 @@ def local_forest(points: np.ndarray, reach: int, block: int = 64) -> np.ndarray:
     return out
 
 
+def deepened(visits: DataFrame, reach: int, shard_rows: int, most_levels: int = 40) -> DataFrame:
+    """(fp, shard, side) with every shard of more than shard_rows fingerprints divided by a vantage point of its own, again and
+    again, until it is small or no point divides it well (a dense neighbourhood).
+
+    The sample's tree has a bounded number of shards, so that with more fingerprints they grow; a subtree goes on from there.
+    A level takes the point of least hash of each large shard, counts the distances of its half to it (33 values at most), and
+    sends each fingerprint inside or outside of the radius that divides best, and to both where it is within reach of it.
+    """
+    half = lambda x: F.when(F.col("side") == 0, F.col(x).bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned(x, 32))
+    done = None
+    for level in range(most_levels):
+        sizes = visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(level)).alias("h"), "fp")).alias("v"))
+        large = shared_table(sizes.filter(F.col("n") > shard_rows).select(F.col("shard").alias("s"), "n", F.col("v.fp").alias("v")), "large-shards")
+        if large.isEmpty():
+            break
+        measured = shared_table(visits.join(large, F.col("shard") == F.col("s")).withColumn("d", F.bit_count(half("fp").bitwiseXOR(half("v")))).drop("s", "v"), "measured")
+        small = visits.join(large, F.col("shard") == F.col("s"), "left_anti")
+        counts = measured.groupBy("shard", "d").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        up_to = Window.partitionBy("shard").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
+        lap = Window.partitionBy("shard").orderBy("d").rangeBetween(1 - reach, 0)  # radius - reach < d <= radius
+        share = counts.select("shard", F.col("d").alias("radius"), (F.sum("c").over(up_to) / F.col("n")).alias("p"), (F.sum("c").over(lap) / F.col("n")).alias("q"))
+        share = share.filter(F.col("p").between(LEAST_SIDE, 1 - LEAST_SIDE)).withColumn("cost", F.col("p") * F.col("p") + (1 - F.col("p") + F.col("q")) * (1 - F.col("p") + F.col("q")))
+        best = share.filter("cost < 0.95").groupBy("shard").agg(F.min(F.struct("cost", "radius")).alias("b")).select(F.col("shard").alias("s"), F.col("b.radius").alias("radius"))
+        cut = measured.join(best, F.col("shard") == F.col("s"), "left")
+        whole_ = cut.filter("radius is null").select("fp", "shard", "side")
+        sides = F.array_compact(F.array(F.when(F.col("d") <= F.col("radius"), 0), F.when(F.col("d") > F.col("radius") - reach, 1)))
+        parts = cut.filter("radius is not null").withColumn("part", F.explode(sides))
+        parts = parts.select("fp", F.xxhash64("shard", "part", F.lit(level)).alias("shard"), "side")
+        closed = shared_table(small.unionByName(whole_) if done is None else done.unionByName(small).unionByName(whole_), "closed-shards")
+        done, visits = closed, shared_table(parts, "subtree")
+    return visits if done is None else done.unionByName(visits)
+
+
 def fingerprint_links(distinct: DataFrame, reach: int = 3, sample_rows: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(fp) distinct fingerprints -> (a, b): links that connect exactly the fingerprints that chains of distances up to
     reach connect. A spanning forest of each shard, never all pairs."""
@@ -173,7 +212,8 @@ def fingerprint_links(distinct: DataFrame, reach: int = 3, sample_rows: int = SA
                 yield pa.RecordBatch.from_arrays([pa.array(points[own[at : at + 100_000]]), pa.array(shard[at : at + 100_000].astype(np.int64))], ["fp", "shard"])
 
     visits = shared_table(distinct.select("fp").mapInArrow(route, "fp long, shard long"), "visits")
-    # a shard beyond shard_rows is cut into blocks, and every two blocks meet in a task of their own
+    visits = deepened(visits.select("fp", "shard", F.pmod("shard", F.lit(2)).cast("int").alias("side")), reach // 2, shard_rows)
+    # what no vantage point divides is cut into blocks, and every two blocks meet in a task of their own
     sizes = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -194,24 +234,47 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 3) -> DataFrame:
-    """(id, fingerprint, component_id) of each row: the component is the smallest id that chains of links reach.
-
-    Equal fingerprints link (also those of texts without words, which are 0). A null id takes part, but gives no
-    component its name unless all ids of the component are null. An empty table gives no rows.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """((id, fp) of each row, (_fp, component_id) of each fingerprint)."""
     prints = shared_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
     own = shared_table(prints.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints")
     links = fingerprint_links(own.select("fp"), reach)
     roots = connected_components(links)
     named = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = named.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
+    return prints, named.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 3) -> DataFrame:
+    """(id, fingerprint, component_id) of each row: the component is the smallest id that chains of links reach.
+
+    Equal fingerprints link (also those of texts without words, which are 0). A null id takes part, but gives no
+    component its name unless all ids of the component are null. An empty table gives no rows.
+    """
+    prints, named = _components(docs, id_col, text_col, width, reach)
     return prints.join(named, prints["fp"] == named["_fp"]).select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 3) -> DataFrame:
-    """docs without the rows whose component has a smaller id: one document of each group stays (rows without an id do)."""
-    gone = near_duplicates(docs, id_col, text_col, width, reach).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    """docs without the rows whose component has a smaller id. Rows are told apart by id and fingerprint, so one that shares
+    its id with a near copy stays if it is none itself; rows without an id stay."""
     plain, at = numbered_columns(docs)
-    return named_columns(plain.join(gone, F.col(at[id_col]) == F.col("_gone"), "left_anti"), at)
+    id_, text = at[id_col], at[text_col]
+    prints, named = _components(plain.select(id_, text), id_, text, width, reach)
+    gone = prints.join(named, prints["fp"] == named["_fp"]).filter(F.col(id_) != F.col("component_id")).select(F.col(id_).alias("_gone"), F.col("fp").alias("_fp")).distinct()
+    mine = _with_fingerprints(plain, text, width)
+    return named_columns(mine.join(gone, (F.col(id_) == F.col("_gone")) & (F.col("_print") == F.col("_fp")), "left_anti"), at)
+
+
+def _with_fingerprints(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """rows with a column _print beside their own."""
+    lowered = rows.withColumn("_lower", lower_ascii(whole(F.col(text))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            fp = [fingerprint(t.as_py(), width) for t in batch.column("_lower")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rows_columns], pa.array(np.array(fp, np.uint64).view(np.int64))], [*rows_columns, "_print"])
+
+    rows_columns = rows.columns
+    return lowered.mapInArrow(run, f"{kinds}, _print long")

@@ -19,6 +19,8 @@ from prefforge.llm.exact_dedup import drop_exact_copies, exact_dedup
 from prefforge.llm.line_dedup import dedup_lines, remove_lines
 from prefforge.llm.queries_exact_dedup import SQL as EXACT_SQL
 from prefforge.llm.queries_line_dedup import SQL as LINE_SQL
+from prefforge.llm.components import connected_components
+from prefforge.llm.near_copies import drop_similar
 from prefforge.llm.simhash import VantageTree, drop_near_copies, fingerprint, fingerprint_links, halves, local_forest, near_duplicates
 from prefforge.llm.suffix_dedup import suffix_dedup
 from prefforge.llm.suffix_order import suffix_order
@@ -93,6 +95,39 @@ def test_near(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(3, "a b c d", "en", "a", 0), (5, "a b c d", "en", "a", 0), (5, "something else altogether", "en", "a", 0), (None, "a b c d", "en", "a", 0)]
+    wanted = sorted(((3, "a b c d"), (5, "something else altogether"), (-1, "a b c d")))
+    for drop in (drop_near_copies, drop_similar):
+        left = drop(frame(spark, rows))
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in left.collect()) == wanted
+        assert left.columns == frame(spark, rows).columns
+
+
+def test_components_agree(spark):
+    rng = random.Random(8)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1090)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few, many = ({(r["node"], r["root"]) for r in connected_components(df, local_links=n).collect()} for n in (10**6, 0))
+    assert few == many and (1090, 1000) in few
+    with pytest.raises(RuntimeError, match="not found"):
+        connected_components(df, most_rounds=1, local_links=0)
+
+
+def test_shards_are_divided(spark):
+    """Small shards only, and the same links as of all pairs."""
+    points = _clustered(5, 3000)
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    links = fingerprint_links(df, sample_rows=200, shard_rows=150)
+    got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    wanted = components([int(x) for x in points])
+    of: dict = {}
+    for x, k in zip(points.view(np.int64).tolist(), wanted, strict=True):
+        of.setdefault(k, []).append(x)
+    assert all(len({got.get(x, x) for x in own}) == 1 for own in of.values())
+    assert len({got.get(x, x) for own in of.values() for x in own}) == len(of)
+
+
 def test_fingerprint_of_long_text():
     text = " ".join(f"w{i % 997}" for i in range(1000))
     assert fingerprint(text, 3) == plain_fingerprint(text)

@@ -1,10 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Candidates are dealt to blocks, queries to batches; every batch meets every block in one task. In a block each dimension is
-a list of the candidates' values, sorted. A query reads all its lists from their better end to the same depth, round
-after round. What it has read of a candidate gives a lower bound of its score (unread values are at least the lists'
-last ones) and an upper bound (unread values are at most the values at the depth reached). It stops when no candidate but
-a few has an upper bound that reaches the k-th best lower bound, and only those few scores are resolved.
+Candidates are dealt to blocks. Each block is written once as its sorted lists: for every dimension, the order of the
+candidates by their values. A query reads every list sequentially from its better end (large values where its component is
+positive, small ones where it is negative), to depths that grow round by round. What it has read of a candidate gives bounds
+of its score: an unread value is at least the list's last one, and at most the value at the depth reached. A query stops in
+a block when no candidate but a few has an upper bound that reaches the k-th best lower bound, and the scores of those few
+are resolved. Blocks are searched in groups of growing size; the k-th best score of the groups before is a floor from which a
+query starts in the next ones, so that most of later blocks drops out early.
 """
 
 from __future__ import annotations
@@ -16,75 +18,94 @@ from pyspark.sql import functions as F
 
 from prefforge.functions.tables import shared_table
 
-#: Candidates of a block and queries of a batch.
-BLOCK = 2_048
-BATCH = 512
+#: Candidates of a block; queries that a task holds, and that it searches at once.
+BLOCK = 4_096
+BATCH = 16_384
+AT_ONCE = 128
 #: Depths of the rounds, as shares of the lists, and the share of candidates that is few enough to resolve.
-DEPTHS = (0.5, 0.7)
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
 FEW = 0.02
 
 
 class SortedLists:
-    """The lists of one block, a row of `columns` each, ascending; a depth is a place counted from either end."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type):
-        order = np.argsort(ids, kind="stable")  # ties of scores go to the smaller id
-        self.ids = ids[order]
-        self.values = np.ascontiguousarray(vectors[order].T.astype(kind))
-        self.columns = np.sort(self.values, axis=1)
-
-    def best(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the block's k best for one query without its own id, best first; floor: scores below it need
-        not be found, as k others are at least that good."""
-        m = len(self.ids)
-        weight = query[:, None]
-        # a list is read from its large end where the query's component is positive, else from its small end
-        up = query >= 0
-        x, open_ = self.values, None
-        for depth in DEPTHS:
-            if x.shape[1] <= max(2 * k, FEW * m):
-                break
-            at = min(m - 1, int(depth * m))
-            reached = (np.where(up, self.columns[:, m - 1 - at], self.columns[:, at]) * query)[:, None]
-            parts = x * weight
-            if floor is None:
-                # read is what stands before the depth in its list, ties included; unread values are at least the last ones
-                last = (np.where(up, self.columns[:, 0], self.columns[:, -1]) * query)[:, None]
-                lower = np.where(parts >= reached, parts, last).sum(axis=0, dtype=parts.dtype)
-                lower = lower[self.ids != own] if open_ is None else lower
-                floor = int(np.partition(lower, len(lower) - k)[len(lower) - k]) if len(lower) > k else None
-            upper = np.maximum(parts, reached, out=parts).sum(axis=0, dtype=parts.dtype)
-            stay = np.flatnonzero(upper >= floor) if floor is not None else np.arange(x.shape[1])
-            open_ = stay if open_ is None else open_[stay]
-            x = x[:, stay]
-        ids = self.ids if open_ is None else self.ids[open_]
-        scores = (x * weight).sum(axis=0, dtype=np.int64)
-        other = ids != own
-        ids, scores = ids[other], scores[other]
-        top = np.lexsort((ids, -scores))[:k]
-        return ids[top], scores[top]
+    """The lists of one block: values (dimensions, candidates), and each dimension's order of the candidates, ascending."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, order: np.ndarray):
+        self.ids, self.values, self.order = ids, values.astype(float), order.astype(np.int64)
+        self.line = np.arange(len(values))[:, None]
+
+    def read(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray):
+        """(row of queries, ids, scores) of the k best candidates of each query but its own id, best first; those with a
+        score below the query's floor need not be found."""
+        d, m = self.values.shape
+        first, last = self.values[self.line[:, 0], self.order[:, 0]], self.values[self.line[:, 0], self.order[:, -1]]
+        # what has been read from the large and from the small end of the lists, and which places that is
+        read_up, read_down, seen_up, seen_down = (np.zeros((d, m)) for _ in range(4))
+        up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+        active, before = np.arange(len(queries)), 0
+        for share in DEPTHS:
+            depth = max(1, int(np.ceil(share * m)))
+            for places, read, seen in ((self.order[:, m - depth : m - before], read_up, seen_up), (self.order[:, before:depth], read_down, seen_down)):
+                read[self.line, places] = self.values[self.line, places]
+                seen[self.line, places] = 1
+            before = depth
+            p, n = up[active], down[active]
+            known = p @ read_up + n @ read_down
+
+            def bound(a: np.ndarray, b: np.ndarray, p=p, n=n, known=known) -> np.ndarray:
+                """Scores if unread values are a (of lists read from the large end) and b (from the small end)."""
+                x, y = p * a, n * b
+                return known + (x.sum(axis=1) + y.sum(axis=1))[:, None] - x @ seen_up - y @ seen_down
+
+            lower = bound(first, last)
+            upper = bound(self.values[self.line[:, 0], self.order[:, m - depth]], self.values[self.line[:, 0], self.order[:, depth - 1]])
+            mine = self.ids[None, :] == own[active][:, None]
+            lower[mine] = upper[mine] = -np.inf
+            if m > k:
+                floor[active] = np.maximum(floor[active], np.partition(lower, m - k, axis=1)[:, m - k])
+            open_ = (upper >= floor[active][:, None]) & ~mine
+            done = (open_.sum(axis=1) <= max(2 * k, FEW * m)) | (depth == m)
+            for i in np.flatnonzero(done):
+                left = np.flatnonzero(open_[i])
+                scores = (queries[active[i]] @ self.values[:, left]).astype(np.int64)
+                top = np.lexsort((self.ids[left], -scores))[:k]
+                yield active[i], self.ids[left][top], scores[top]
+            active = active[~done]
+            if not len(active):
+                return
+
+
+_LISTS = "block int, n int, width int, kind string, ids binary, data binary, sorted binary"
+
+
+def _sort(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row of lists."""
+    pdf = pdf.sort_values("id", kind="stable")
+    values = _matrix(pdf["v"]).T
+    most = int(np.abs(values).max(initial=0))
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    order = np.argsort(values, axis=1, kind="stable").astype("<u4")
+    return pd.DataFrame({"block": [key[0]], "n": [len(pdf)], "width": [len(values)], "kind": [kind], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "data": [values.astype(kind).tobytes()], "sorted": [order.tobytes()]})
+
+
+def _lists(row) -> SortedLists:
+    shape = (row.width, row.n)
+    return SortedLists(np.frombuffer(row.ids, "<i8"), np.frombuffer(row.data, row.kind).reshape(shape), np.frombuffer(row.sorted, "<u4").reshape(shape))
 
 
 def _search(k: int):
-    def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def run(key, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(queries) and len(candidates):
-            ids, vectors = candidates["id"].to_numpy(np.int64), _matrix(candidates["v"])
-            wanted, weights = queries["id"].to_numpy(np.int64), _matrix(queries["v"])
-            width = max(vectors.shape[1], weights.shape[1])
-            vectors, weights = _wide(vectors, width), _wide(weights, width)
-            # 32-bit sums where no sum can leave them
-            kind = np.int32 if width * int(np.abs(vectors).max(initial=1)) * int(np.abs(weights).max(initial=1)) < 1 << 31 else np.int64
-            weights = weights.astype(kind)
-            parts = [SortedLists(ids[a : a + BLOCK], vectors[a : a + BLOCK], kind) for a in range(0, len(ids), BLOCK)]
-            for own, q in zip(wanted, weights, strict=True):
-                best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-                for part in parts:
-                    i, s = part.best(q, own, k, int(best[k - 1]) if len(best) == k else None)
-                    i, s = np.concatenate([best_ids, i]), np.concatenate([best, s])
-                    top = np.lexsort((i, -s))[:k]
-                    best_ids, best = i[top], s[top]
-                found.append(pd.DataFrame({"query_id": own, "vec_id": best_ids, "score": best}))
+        for row in blocks.itertuples() if len(queries) else ():
+            lists = _lists(row)
+            width = len(lists.values)
+            wanted, weights = queries["id"].to_numpy(np.int64), _wide(_matrix(queries["v"]), width)[:, :width]  # beyond it all values are 0
+            floor = queries["floor"].astype(float).fillna(-np.inf).to_numpy().copy()
+            for at in range(0, len(wanted), AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                for i, ids, scores in lists.read(weights[part], wanted[part], k, floor[part]):
+                    if len(ids):
+                        found.append(pd.DataFrame({"query_id": wanted[at + i], "vec_id": ids, "score": scores}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return run
@@ -96,26 +117,38 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _wide(x: np.ndarray, width: int) -> np.ndarray:
-    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+    return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: str, k: int = 5, scale: int = 256, block_rows: int = 4 * BLOCK, batch_rows: int = BATCH) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: str, k: int = 5, scale: int = 256, block_rows: int = BLOCK, batch_rows: int = BATCH) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates by integer inner product, ties to the smaller id.
 
     Components x become floor(scale * x). Rows whose vector is null, or holds a null or a component that is not finite,
     take no part, nor do rows without an id. Of vectors of different lengths the shorter one counts as filled up with
-    zeros. A query's own id is no candidate. Scores are 64-bit integers: |scale * x| must stay below 2**27 or so.
+    zeros. A query's own id is no candidate. Scores are exact up to 2**53.
     """
+    spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`").cast("array<double>")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.filter(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size(v) > 0)
+    whole_numbers = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
+    empty = v.isNotNull() & (F.size(v) == 0)
+    rows = vectors.filter((fine | empty) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(empty, F.array(F.lit(0).cast("long"))).otherwise(whole_numbers).alias("v"))
     rows = shared_table(rows, "vectors")
     queries = rows.filter(is_query.format(id="id"))
     n, n_queries = rows.count(), queries.count()
     blocks, batches = max(1, -(-n // block_rows)), max(1, -(-n_queries // batch_rows))
     spread = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
-    asked = queries.withColumn("batch", spread(batches, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    given = rows.withColumn("block", spread(blocks, 2)).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-    found = asked.groupBy("batch", "block").cogroup(given.groupBy("batch", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    lists = shared_table(rows.withColumn("block", spread(blocks, 2)).groupBy("block").applyInPandas(_sort, _LISTS), "sorted-lists")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, first, many = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int"), 0, 1
+    while first < blocks:
+        last = min(blocks, first + many)
+        # a query that has k candidates so far need not look for scores below the least of theirs
+        floors = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).select(F.col("query_id").alias("q"), F.when(F.col("c") == k, F.col("s").cast("double")).alias("floor"))
+        asked = queries.join(floors, F.col("id") == F.col("q"), "left").select("id", "v", "floor", spread(batches, 1).alias("batch"), F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("block"))
+        given = lists.filter(F.col("block").between(first, last - 1)).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        found = asked.groupBy("batch", "block").cogroup(given.groupBy("batch", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+        merged = found.unionByName(best.select("query_id", "vec_id", "score"))
+        best = shared_table(merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+        first, many = last, 2 * many
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -152,14 +152,29 @@ class MergeReplay:
         return out
 
     def encode_alone(self, word: bytes) -> list[int]:
-        """One word, one merge at a time: the lowest rank first, leftmost first."""
+        """One word, one merge at a time: the lowest rank first, leftmost first. Pairs wait in a heap, and tokens know their
+        neighbours, so n bytes take n log n steps."""
         ids = [int(self.byte[x]) for x in word]
-        while len(ids) > 1:
-            best = min(((r, i) for i in range(len(ids) - 1) if (r := self.pairs.get(ids[i] << 20 | ids[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            ids[best[1] : best[1] + 2] = [best[0]]
-        return ids
+        n = len(ids)
+        pairs = self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapify(waiting)
+        while waiting:
+            r, i = heappop(waiting)
+            j = after[i]
+            # a pair whose tokens were merged meanwhile is no more
+            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 20 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (x := pairs.get(r << 20 | ids[k])) is not None:
+                    heappush(waiting, (x, i))
+            if (k := before[i]) >= 0 and (x := pairs.get(ids[k] << 20 | r)) is not None:
+                heappush(waiting, (x, k))
+        return [x for x in ids if x >= 0]
 
 
 _STATE: dict[str, tuple] = {}
@@ -198,7 +213,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary file: its size does not depend on the input
-    name = hashlib.sha256(b"".join(sorted(ranks)[:2000])).hexdigest()
+    name = hashlib.sha256(b"".join(b"%d %d " % (r, len(t)) + t for t, r in sorted(ranks.items()))).hexdigest()
     extra = carry or []
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), whole(F.col(f"`{text_col}`")).alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(extra)])
     fields = [f"_id {rows.schema['_id'].dataType.simpleString()}", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]

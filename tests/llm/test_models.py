@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -152,6 +153,7 @@ def test_topk_sql(spark):
 
 @pytest.mark.parametrize("blocks", [(64, 8), (100_000, 1000)])
 def test_topk(spark, blocks):
+    """Of one block and of many, whose later ones begin with a floor."""
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(0, 1, (900, 6)), 1)
     rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
@@ -205,6 +207,18 @@ def test_bpe_of_odd_vocabularies():
             assert ids == ([ranks[w]] if w in ranks else replay.encode_alone(w))
 
 
+def test_bpe_of_very_long_words(spark):
+    """A million letters of one kind take seconds, and vocabularies that differ only in ranks are told apart."""
+    for word in ("a" * 1_000_000, "=" * 100_000, "ab" * 50_000):
+        began = time.time()
+        assert MergeReplay(RANKS).encode([word.encode()])[0] == TIKTOKEN.encode_ordinary(word)
+        assert time.time() - began < 60
+    small = {bytes([b]): b for b in range(256)}
+    for ranks in (small | {b"ab": 256, b"bc": 257}, small | {b"ab": 257, b"bc": 256}):
+        got = encode_texts(frame(spark, [(1, "abc", "en", "a", 3)]).repartition(1), ranks, ".+", keep_ids=True).first()
+        assert list(got["ids"]) == ([256, 99] if ranks[b"ab"] == 256 else [97, 256])
+
+
 # personal data
 def luhn(digits: str) -> bool:
     each = [int(c) for c in reversed(digits)]

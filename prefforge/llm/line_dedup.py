@@ -1,73 +1,108 @@
-"""Line dedup by grouping windows of lines, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A run of at least `run` consecutive lines that stood before (in a document with a smaller id, or earlier in the same one) is
-deleted where it stands later. Every window of `run` consecutive lines is hashed whole; of equal windows all but the first
-mark their lines. This plain grouping replaces winnowing: places are neither joined with each other nor extended. The least
-line hash of a window (leftmost of equals) only thins out what is grouped, as equal windows have equal least hashes.
+What is deleted are runs of lines that stood before (in a document with a smaller id, or earlier in the same one). The
+shortest run that counts is measured by content: from a line on it has as many lines as hold `words` words, and three at
+most. So one long line, or two, count as well as three short ones.
+
+A window is such a shortest run from each line on. Its fingerprint is the least of its line hashes, leftmost of equals
+(the window minimum): equal windows have the same fingerprint at the same place in them, so every repeated run is sure to
+show one, and neighbouring windows mostly share theirs, which thins them out. Only fingerprints that stand at several places
+go on. There the match is extended from the fingerprint to both sides over the line hashes, as far as the window reaches: of
+places whose lines are equal on both sides, all but the first are later repeats. Matches that follow each other join to
+longer runs, which are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefforge.functions.tables import shared_table
-from prefforge.llm.textops import named_columns, numbered_columns, whole
+from prefforge.llm.textops import n_words, named_columns, numbered_columns, whole
 
-#: Lines of the shortest run that is deleted.
+#: Most lines of the shortest run that is deleted, and the words from which fewer lines are enough.
 RUN = 3
+WORDS = 20
+
+
+def _windows(hashes: Column, counts: Column, run: int, words: int) -> Column:
+    """Of each line from which a window fits into the text: (i, m, at, print): its first line, its number of lines, where its
+    least line hash stands, and that hash."""
+
+    def window(i: Column) -> Column:
+        so_far, m = F.get(counts, i), F.lit(run)
+        tests = []
+        for k in range(1, run):
+            tests.append((so_far >= words, k))
+            so_far = so_far + F.get(counts, i + k)
+        for test, k in reversed(tests):
+            m = F.when(test, k).otherwise(m)
+        m = m.cast("int")
+        line = lambda k: F.when(m > k, F.struct(F.get(hashes, i + k).alias("print"), (i + k).alias("at")))
+        # nulls of lines beyond the window do not count
+        least = F.array_min(F.array(*[line(k) for k in range(run)])) if run > 1 else line(0)
+        return F.struct(i.alias("i"), m.alias("m"), least["at"].alias("at"), least["print"].alias("print"))
 
+    all_ = F.transform(F.sequence(F.lit(0), F.size(hashes) - 1), window)
+    return F.filter(all_, lambda w: w["i"] + w["m"] <= F.size(hashes))
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, run: int = RUN) -> tuple[DataFrame, DataFrame]:
-    """(texts by row number, (_row, _line) of the lines to delete). Row numbers tell rows with equal ids apart; which of
-    them counts as earlier is their order in the table as it was read."""
-    text = whole(F.col(f"`{text_col}`"))
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x)).alias("_hashes"))
-    rows = shared_table(base, "line-hashes")
-    lines = rows.select("_id", "_row", F.posexplode("_hashes").alias("_line", "h"), F.size("_hashes").alias("_n"))
-    # the fingerprint of the window that begins at each line: the least hash, leftmost; a window ends within its text
-    ahead = Window.partitionBy("_row").orderBy("_line").rowsBetween(0, run - 1)
-    windows = lines.withColumn("_least", F.min(F.struct("h", "_line")).over(ahead)).withColumn("_gram", F.collect_list("h").over(ahead)).filter(F.col("_line") + run <= F.col("_n"))
-    windows = shared_table(windows.select("_id", "_row", "_line", F.col("_least.h").alias("print"), F.col("_least._line").alias("at"), F.xxhash64("_gram", F.lit(1)).alias("g1"), F.xxhash64("_gram", F.lit(2)).alias("g2")), "line-windows")
-    # places of a fingerprint are joined by its hash: only hashes that are met at more than one place go on
-    met = windows.groupBy("print").agg(F.min(F.struct("_row", "at")).alias("a"), F.max(F.struct("_row", "at")).alias("b")).filter("a <> b").select(F.col("print").alias("p"))
-    near = windows.join(met, F.col("print") == F.col("p"))
-    # equal windows also have their least hash at equal offsets
-    near = near.withColumn("off", F.col("at") - F.col("_line"))
-    order = F.struct(F.col("_id").isNotNull().alias("x"), "_id", "_row", "_line")
-    first = near.groupBy("print", "off", "g1", "g2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select(*[F.col(c).alias(f"k_{c}") for c in ("print", "off", "g1", "g2")], F.col("first._row").alias("first_row"), F.col("first._line").alias("first_line"))
-    same = (F.col("print") == F.col("k_print")) & (F.col("off") == F.col("k_off")) & (F.col("g1") == F.col("k_g1")) & (F.col("g2") == F.col("k_g2"))
-    later = near.join(first, same).filter("_row <> first_row or _line <> first_line")
-    gone = later.select("_row", F.explode(F.sequence(F.col("_line"), F.col("_line") + (run - 1))).alias("_line")).distinct()
+
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(texts by row number, (_row, _line) of the lines to delete). Rows without an id come last; row numbers tell rows with
+    equal ids apart, of which that counts as earlier which was read first."""
+    lines = F.split(whole(F.col(f"`{text_col}`")), "\n", -1)
+    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), lines.alias("_lines"))
+    hashed = base.select("_id", "_row", F.transform("_lines", lambda x: F.xxhash64(x)).alias("_hashes"), F.transform("_lines", lambda x: n_words(x).cast("int")).alias("_counts"))
+    rows = shared_table(hashed, "line-hashes")
+    windows = rows.select("_id", "_row", "_hashes", F.explode(_windows(F.col("_hashes"), F.col("_counts"), run, words)).alias("w")).select("_id", "_row", "_hashes", "w.*")
+    # places of the window minima: each once, however many windows have it
+    places = rows.select("_row", F.explode(F.array_distinct(F.transform(_windows(F.col("_hashes"), F.col("_counts"), run, words), lambda w: F.struct(w["at"], w["print"])))).alias("p"))
+    met = shared_table(places.select("p.print").groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("print").alias("p")), "repeated-prints")
+    # the match around the fingerprint: the lines before and behind it as far as the window reaches, as two hashes
+    around = F.slice("_hashes", F.col("i") + 1, F.col("m"))
+    near = windows.select("_id", "_row", "i", "m", "print", *[F.xxhash64(F.col("at") - F.col("i"), "m", around, F.lit(k)).alias(f"g{k}") for k in (1, 2)])
+    near = shared_table(near.join(met, F.col("print") == F.col("p"), "left_semi").drop("print"), "line-matches")
+    order = F.struct(F.col("_id").isNull().alias("x"), "_id", "_row", F.col("i").alias("_line"))
+    first = near.groupBy("g1", "g2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = shared_table(first.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), F.col("first._row").alias("first_row"), F.col("first._line").alias("first_line")), "first-matches")
+    later = near.join(first, (F.col("g1") == F.col("k1")) & (F.col("g2") == F.col("k2"))).filter("_row <> first_row or i <> first_line")
+    gone = later.select("_row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("_line")).distinct()
     return rows, gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
     """id, n_lines, n_removed, n_spans (maximal removed runs) and removed (line numbers as first-last from 0, joined by
-    commas) of each row. Lines end at \\n; null texts count as empty, which is one empty line. An empty table gives no
-    rows."""
-    rows, gone = repeated_lines(docs, id_col, text_col, run)
+    commas) of each row. Lines end at \\n; null texts count as empty, which is one empty line. Of repeated rows all but the
+    first lose what repeats. An empty table gives no rows."""
+    rows, gone = repeated_lines(docs, id_col, text_col, run, words)
+    return _spans(rows, gone).select(F.col("_id").alias(id_col), "n_lines", "n_removed", "n_spans", "removed")
+
+
+def _spans(rows: DataFrame, gone: DataFrame) -> DataFrame:
     along = Window.partitionBy("_row").orderBy("_line")
     runs = gone.withColumn("_g", F.col("_line") - F.row_number().over(along)).groupBy("_row", "_g").agg(F.min("_line").alias("a"), F.max("_line").alias("b"))
     spans = runs.groupBy(F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     out = rows.select("_row", "_id", F.size("_hashes").cast("long").alias("n_lines")).join(spans, F.col("_row") == F.col("_r"), "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("_id").alias(id_col),
+        "_row",
+        "_id",
         "n_lines",
         F.coalesce(F.aggregate("s", zero, lambda t, x: t + x["b"] - x["a"] + 1), zero).alias("n_removed"),
         F.when(F.col("s").isNull(), zero).otherwise(F.size("s").cast("long")).alias("n_spans"),
         F.coalesce(F.array_join(F.transform("s", lambda x: F.concat(x["a"].cast("string"), F.lit("-"), x["b"].cast("string"))), ","), F.lit("")).alias("removed"),
+        "s",
     )
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """docs with the repeated lines cut out of their texts; all columns stay. Ids must be unique."""
-    spans = dedup_lines(docs, id_col, text_col, run).filter("n_removed > 0").select(F.col(id_col).alias("_i"), "removed")
-    bounds = F.transform(F.split("removed", ","), lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("a"), F.split(x, "-")[1].cast("int").alias("b")))
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
+    """docs with the repeated lines cut out of their texts; all columns stay. Rows are known by a number, so ids may repeat."""
     plain, at = numbered_columns(docs)
+    numbered = shared_table(plain.withColumn("_place", F.monotonically_increasing_id()), "numbered-texts")
+    keyed = numbered.select(F.struct(F.col(at[id_col]).isNull().alias("x"), F.col(at[id_col]).alias("i"), F.col("_place").alias("p")).alias("key"), F.col(at[text_col]).alias("t"))
+    rows, gone = repeated_lines(keyed, "key", "t", run, words)
+    spans = _spans(rows, gone).filter("n_removed > 0").select(F.col("_id.p").alias("_p"), "s")
     text = F.col(at[text_col])
-    joined = plain.join(spans.withColumn("_cut", bounds), F.col(at[id_col]) == F.col("_i"), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.exists("_cut", lambda c: (i >= c["a"]) & (i <= c["b"])))
-    return named_columns(joined.withColumn(at[text_col], F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))), at)
+    joined = numbered.join(spans, F.col("_place") == F.col("_p"), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.exists("s", lambda c: (i >= c["a"]) & (i <= c["b"])))
+    return named_columns(joined.withColumn(at[text_col], F.when(F.col("s").isNull(), text).otherwise(F.array_join(kept, "\n"))), at)

@@ -38,9 +38,9 @@ _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
 
 
-def features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of some texts and, for either kind, where each text's n-grams begin: (byte buckets, byte
-    bounds, shape buckets, shape bounds); text i has bounds[2i] up to bounds[2i + 1]."""
+def features(parts: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of some parts of texts and, for either kind, where those begin and end that begin within a
+    part's own range: (byte buckets, byte bounds, shape buckets, shape bounds); part i has bounds[2i] up to bounds[2i + 1]."""
     w = Words(parts, _KIND)
     raw = w.raw
     x = raw.astype(np.uint32)
@@ -48,20 +48,24 @@ def features(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(16)
     ends = w.text_ends - 1
     starts = np.concatenate([[0], w.text_ends[:-1]])
-    byte_bounds = np.stack([starts, np.maximum(starts, ends - 3)], axis=1).ravel()
+    low = starts + own[:, 0]
+    byte_bounds = np.stack([low, np.maximum(low, np.minimum(ends - 3, starts + own[:, 1]))], axis=1).ravel()
+    byte_bounds = np.minimum(byte_bounds, len(gram))  # of empty texts at the end
     n = len(w.starts)
     if n:
         upper = np.add.reduceat(_UPPER[raw], w.starts)
         length = w.ends - w.starts
         same = np.concatenate([[0], (w.hashes[1:] == w.hashes[:-1])]).astype(np.int64)
+        same[w.first[:-1][w.first[:-1] < n]] = 0  # a text's first word follows none
         shape = same | (_UPPER[raw[w.starts]] << 1) | ((upper > 1).astype(np.int64) << 2) | (_CLASS[raw[w.ends - 1]].astype(np.int64) << 3) | (_CLASS[raw[w.starts]].astype(np.int64) << 5) | (np.minimum(length // 4, 3) << 7)
         s = shape.astype(np.uint32)
         tri = (s[:-2] + s[1:-1] * np.uint32(521) + s[2:] * np.uint32(521 * 521)) if n > 2 else np.empty(0, np.uint32)
         tri = (tri * np.uint32(0x85EBCA6B)) >> np.uint32(16)
     else:
         tri = np.empty(0, np.uint32)
-    first, last = w.first[:-1], np.maximum(w.first[:-1], w.first[1:] - 2)
-    return gram.astype(np.int64), byte_bounds, tri.astype(np.int64) + BUCKETS, np.stack([first, last], axis=1).ravel()
+    first, last = w.of_parts(own)
+    last = np.maximum(first, np.minimum(last, w.first[1:] - 2))
+    return gram.astype(np.int64), byte_bounds, tri.astype(np.int64) + BUCKETS, np.minimum(np.stack([first, last], axis=1).ravel(), len(tri))
 
 
 def _within(bounds: np.ndarray, n: int, texts: np.ndarray | None = None) -> np.ndarray:
@@ -82,8 +86,8 @@ def _counts(sample: dict):
         total = np.zeros((2, 2 * BUCKETS), np.int64)
         for batch in batches:
             good = np.array([sample.get(i) == 1 for i in batch.column(0).to_pylist()], bool)
-            for index, parts in pieces(as_bytes(batch.column(1))):
-                g, gb, s, sb = features(parts)
+            for index, parts, own in pieces(as_bytes(batch.column(1))):
+                g, gb, s, sb = features(parts, own)
                 chosen = np.flatnonzero(good[index])
                 for f, b in ((g, gb), (s, sb)):
                     total[0] += np.bincount(f[_within(b, len(f))], minlength=2 * BUCKETS)
@@ -138,8 +142,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             weight = np.zeros(batch.num_rows)
-            for index, parts in pieces(as_bytes(batch.column(1))):
-                g, gb, s, sb = features(parts)
+            for index, parts, own in pieces(as_bytes(batch.column(1))):
+                g, gb, s, sb = features(parts, own)
                 for f, b in ((g, gb), (s, sb)):
                     along = np.concatenate([[0.0], np.cumsum(table[f])])
                     np.add.at(weight, index, along[b[1::2]] - along[b[::2]])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
-#: Bytes that are scanned together. Longer texts are cut at white space into parts of that size, all of which are scanned.
+#: Bytes that are scanned together. Longer texts are cut at white space into parts of about that size.
 PIECE = 1 << 18
+_SPACE = re.compile(rb"[ \n\t\r]")
+_NEXT_WORD = re.compile(rb"[ \n\t\r]*[^ \n\t\r]+")
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
 
@@ -15,28 +19,39 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], most: int = PIECE):
-    """(index of the text of each part, parts): lists of about `most` bytes that together hold all of every text."""
-    index, parts, size = [], [], 0
+def pieces(texts: list[bytes], most: int = PIECE, back: int = 1, ahead: int = 2):
+    """(index of the text of each part, parts, own): lists of about `most` bytes. own (from, to) is what a part has for
+    itself: these ranges together are all of every text, once. Around it a part of a longer text also holds the `back` words
+    before and the `ahead` words behind, so that n-grams over a cut are seen whole by the part in which they begin."""
+    index, parts, own, size = [], [], [], 0
     for i, t in enumerate(texts):
         at = 0
         while True:
-            end = len(t)
+            end = low = high = len(t)
             if end - at > 2 * most:
-                end = at + most
-                while end < len(t) and t[end] not in b" \n\t\r":
-                    end += 1
+                found = _SPACE.search(t, at + most)
+                end = high = found.start() if found else len(t)
+                for _ in range(ahead):
+                    found = _NEXT_WORD.match(t, high)
+                    high = found.end() if found else len(t)
+            low = at
+            for _ in range(back if at else 0):
+                while low > 0 and t[low - 1] in b" \n\t\r":
+                    low -= 1
+                while low > 0 and t[low - 1] not in b" \n\t\r":
+                    low -= 1
             index.append(i)
-            parts.append(t[at:end])
-            size += end - at
+            parts.append(t[low:high])
+            own.append((at - low, end - low))
+            size += high - low
             if size >= most:
-                yield np.array(index), parts
-                index, parts, size = [], [], 0
+                yield np.array(index), parts, np.array(own)
+                index, parts, own, size = [], [], [], 0
             at = end
             if at >= len(t):
                 break
     if index:
-        yield np.array(index), parts
+        yield np.array(index), parts, np.array(own)
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -70,6 +85,11 @@ class Words:
         else:
             self.hashes = np.empty(0, np.uint64)
 
+    def of_parts(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last): the words of part i that begin within its own range are first[i] up to last[i]."""
+        begin = np.concatenate([[0], self.text_ends[:-1]])
+        return np.searchsorted(self.starts, begin + own[:, 0]), np.searchsorted(self.starts, begin + own[:, 1])
+
     def prefixes(self, k: int) -> np.ndarray:
         """Hashes of the words' first k bytes (of shorter words: all)."""
         h = np.full(len(self.starts), k, np.uint64)

@@ -14,7 +14,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prefforge.llm.catalog import queries
-from prefforge.llm.components import connected_components
 from prefforge.llm.exact_dedup import drop_exact_copies, exact_dedup
 from prefforge.llm.line_dedup import dedup_lines, remove_lines
 from prefforge.llm.queries_exact_dedup import SQL as EXACT_SQL
@@ -185,14 +184,19 @@ def test_components_of_chains(spark):
     assert found == {**dict.fromkeys(range(1, 201), 1), **dict.fromkeys(range(1000, 1050), 1000)}
 
 
-def plain_lines(rows, run=3):
+def plain_lines(rows, run=3, words=20):
+    """Lines to delete, by place in rows, which are in order."""
     seen, gone = set(), {}
     for i, (_, text, *_rest) in enumerate(rows):
         lines = (text or "").split("\n")
-        for k in range(len(lines) - run + 1):
-            gram = tuple(lines[k : k + run])
+        count = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        for k in range(len(lines)):
+            m = next((m for m in range(1, run) if k + m <= len(lines) and sum(count[k : k + m]) >= words), run)
+            gram = tuple(lines[k : k + m])
+            if len(gram) < m:
+                continue
             if gram in seen:
-                gone.setdefault(i, set()).update(range(k, k + run))
+                gone.setdefault(i, set()).update(range(k, k + m))
             seen.add(gram)
     return gone
 
@@ -200,15 +204,23 @@ def plain_lines(rows, run=3):
 def test_lines(spark):
     rng = random.Random(6)
     texts = ["\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "\n\n\n\n", "p\nq\nr\ns", "x\np\nq\nr\ns\ny"]
+    long = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("s", 20), ("t", 19), ("u", 12), ("v", 8))]
+    texts += ["\n".join(rng.choice([*long, "a", "b"]) for _ in range(rng.randint(1, 8))) for _ in range(40)] + [f"new\n{long[0]}", f"{long[2]}\n{long[3]}", long[1]]
     rows = [(i, x, "en", "a", 0) for i, x in enumerate(texts)]
+    # a repeated id, and rows without one, which come last
+    rows += [(7, "only\nhere\nnow", "en", "a", 0), (None, "only\nhere\nnow", "en", "a", 0)]
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     gone = plain_lines(rows)
-    got = {r["doc_id"]: r for r in dedup_lines(frame(spark, rows)).collect()}
-    for i, r in enumerate(rows):
-        removed = {k for part in got[i]["removed"].split(",") if part for k in range(int(part.split("-")[0]), int(part.split("-")[1]) + 1)}
-        assert removed == gone.get(i, set()) and got[i]["n_removed"] == len(removed) and got[i]["n_lines"] == len((r[1] or "").split("\n"))
-    cut = {r["doc_id"]: r["text"] for r in remove_lines(frame(spark, rows)).collect()}
-    assert cut[len(texts) - 1] == "x\ny" and cut[len(texts) - 5] is None
-    assert dedup_lines(frame(spark, [])).count() == 0
+    got = sorted(dedup_lines(frame(spark, rows).coalesce(1)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"]))
+    mine = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, len((rows[i][1] or "").split("\n"))))
+    for r, i in zip(got, mine, strict=True):
+        removed = {k for part in r["removed"].split(",") if part for k in range(int(part.split("-")[0]), int(part.split("-")[1]) + 1)}
+        assert r["doc_id"] == rows[i][0] and removed == gone.get(i, set()) and r["n_removed"] == len(removed) and r["n_lines"] == len((rows[i][1] or "").split("\n"))
+    wanted = sorted("\n".join(x for k, x in enumerate((r[1] or "").split("\n")) if k not in gone.get(i, ())) for i, r in enumerate(rows))
+    left = remove_lines(frame(spark, rows).coalesce(1))
+    assert sorted(r["text"] or "" for r in left.collect()) == wanted and left.columns == frame(spark, rows).columns
+    assert left.filter("text is null").count() == 1
+    assert dedup_lines(frame(spark, [])).count() == 0 and remove_lines(frame(spark, [])).count() == 0
 
 
 def plain_strings(rows, length):

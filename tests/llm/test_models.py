@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from prefforge.llm.bpe import MergeReplay, encode_texts, read_ranks
 from prefforge.llm.catalog import queries
-from prefforge.llm.mixing import mix, take_mix
+from prefforge.llm.mixing import mix, source_targets, take_mix
 from prefforge.llm.pii import find_pii
-from prefforge.llm.quality import keep_good, kth_largest, level_of, resample
+from prefforge.llm import toxicity
+from prefforge.llm.quality import BUCKETS, features, keep_good, kth_largest, level_of, resample
+from prefforge.llm.queries_mixing import SQL as MIX_SQL
 from prefforge.llm.queries_topk import SQL
 from prefforge.llm.sampling import least_hashes
-from prefforge.llm.toxicity import fit, score_toxicity, train_on
+from prefforge.llm.toxicity import FILTERS, LANGUAGE_WORDS, WIDTHS, ConvNet, fit, rows_of, score_toxicity, train_on
 from prefforge.llm.topk import top_k
 from prefforge.llm.wordscan import Words, by_letters, by_space, pieces
 from tests.llm.data import documents, frame
@@ -50,6 +52,29 @@ def plain_targets(sizes: dict, weights=(3, 1, 2)):
             open_.remove(s)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 30, "b": 10}, {"a": 30, "b": 10, "c": 20}, {"a": 6, "b": 2, "c": 4, "d": 6, "e": 2}, *[dict(zip("abcdefg", map(int, np.random.default_rng(n).integers(0, 30, 7)), strict=True)) for n in range(4)]])
+def test_targets_with_ties(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in source_targets(df).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_mix_sql(spark):
+    same(queries()["op4_mix_sources"](spark, SMALL), connect(), MIX_SQL["op4_mix_sources"])
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows without an id, and rows that repeat one, with equal and with different texts."""
+    rows = [(None, "a b c", "en", "s", 0)] * 50 + [(4, "a b c d e", "en", "s", 0)] * 30 + [(None, f"w{i} x", "en", "t", 0) for i in range(40)]
+    got = mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and all(0 <= g["taken"] <= 2 * g["size"] for g in got)
+    for s in ("s", "t"):
+        own = [g for g in got if g["source"] == s]
+        assert abs(sum(g["taken"] for g in own) - own[0]["target"]) <= len(own) / 2 + 1
+    mixed = take_mix(frame(spark, rows)).collect()
+    assert abs(sum(len(r["text"].split()) for r in mixed) - sum(g["taken"] for g in got)) <= 50
+
+
 def test_mix(spark):
     rows = documents(11, 120) + [(900, "a b c", "en", "empty?", 5), (901, None, "en", "nothing", None)]
     got = mix(frame(spark, rows)).collect()
@@ -124,6 +149,55 @@ def test_toxicity_held_out(spark):
     assert np.mean([p for p, y in own if y == 0]) <= 0.02 and np.mean([p for p, y in own if y == 1]) >= 0.7
 
 
+def plain_score(net: ConvNet, text: bytes) -> float:
+    """The forward pass word by word and filter by filter."""
+    w = Words([text], by_letters())
+    rows = rows_of(w)
+    words = [sum(net.embedding[r] for r in own) for own in rows]
+    response = []
+    for k, filters, bias in zip(WIDTHS, net.filters, net.bias, strict=True):
+        for f in range(FILTERS):
+            windows = [sum(float(words[a + o] @ filters[o][:, f]) for o in range(k)) for a in range(len(words) - k + 1)]
+            response.append(max(max(windows) + float(bias[f]), 0.0) if windows else 0.0)
+    counts = [sum(x.lower() in known.split() for x in re.findall("[A-Za-z0-9\x80-\xff]+", text.decode("latin-1"))) for known in LANGUAGE_WORDS.values()]
+    lang = counts.index(max(counts)) if max(counts) else len(LANGUAGE_WORDS)
+    return 1 / (1 + np.exp(-(np.dot(response, net.out) + float(net.out_bias) - net.shift[lang])))
+
+
+def test_forward_pass_against_a_loop(spark):
+    """With fixed arrays; also where a window of three words lies over the cut of a very long text."""
+    net, rng = ConvNet(3), np.random.default_rng(3)
+    net.embedding[:] = rng.normal(0, 1, net.embedding.shape)
+    for x in [*net.filters, *net.bias]:
+        x[:] = rng.normal(0, 0.3, x.shape)
+    net.out[:], net.shift[:] = rng.normal(0, 0.05, len(net.out)), [0.1, -0.2, 0.3, 0.0, -0.1]
+    texts = ["", "one", "one two", "the cat is on the mat", "der Hund und die Katze", "Le chat, et la souris. " * 30]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(frame(spark, rows), net).collect()}
+    assert got == pytest.approx({i: plain_score(net, t.encode()) for i, t, *_ in rows}, abs=1e-5)
+    long = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)).encode() for _ in range(3)]
+    for t in long:
+        whole_text, parts = Words([t], by_letters()), [p for _, ps, _ in pieces([t], 100, back=0, ahead=2) for p in ps]
+        w = Words(parts, by_letters())
+        assert np.allclose(net.pooled(rows_of(whole_text), whole_text.first)[0], net.pooled(rows_of(w), w.first).max(axis=0), atol=1e-5) and len(parts) > 9
+
+
+def test_training_rows(spark):
+    """Long texts are trained on, and of rows that repeat an id only one."""
+    rows = [(i, ("vile " if i % 2 else "nice ") * (90_000 if i < 4 else 9), "en", "a", 0) for i in range(40)] + [(5, f"nice copy {k}", "en", "a", 0) for k in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = {}
+    mine = fit
+    try:
+        toxicity.fit = lambda texts, y, seed=42: seen.update(texts=texts) or mine(texts, y, seed)
+        train_on(frame(spark, rows), labels, "doc_id", "text", held_out=False)
+        assert len(seen["texts"]) == 40 and sum(len(t) > 400_000 for t in seen["texts"]) == 4
+        train_on(frame(spark, rows), labels, "doc_id", "text", train_bytes=500, held_out=False)
+        assert 0 < sum(map(len, seen["texts"])) <= 500
+    finally:
+        toxicity.fit = mine
+
+
 def test_toxicity_edges(spark):
     net = fit([b"good day", b"nice words here"] * 30 + [b"a vile word", b"so vile"] * 30, np.array([0, 0] * 30 + [1, 1] * 30))
     rows = [(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, "such a VILE thing", "en", "a", 0), (4, "nice", "en", "a", 0), (None, "vile", "en", "a", 0), (6, "nice " * 300_000 + "vile", "en", "a", 0)]
@@ -142,10 +216,65 @@ def test_words():
         assert np.diff(w.first).tolist() == [len(re.findall(pattern, t.encode())) for t in texts]
     w = Words([texts[0].encode()], by_letters())
     assert w.hashes[0] == w.hashes[2] and w.hashes[1] == w.hashes[3] and w.prefixes(3)[0] != w.prefixes(3)[1]
-    parts = [(i, p) for index, ps in pieces([t.encode() for t in texts], 600) for i, p in zip(index, ps, strict=True)]
+    parts = [(i, p[a:b]) for index, ps, own in pieces([t.encode() for t in texts], 600) for i, p, (a, b) in zip(index, ps, own, strict=True)]
     assert all(b"".join(p for i, p in parts if i == k) == t.encode() for k, t in enumerate(texts))
 
 
+def plain_features(text: bytes) -> list[int]:
+    """The n-gram buckets of one text, one after another."""
+    mask = (1 << 32) - 1
+    out = [(int.from_bytes(text[i : i + 4], "little") * 0x9E3779B1 & mask) >> 16 for i in range(len(text) - 3)]
+    found = re.findall(rb"[^\x00\x09-\x0D\x20]+", text)
+    shapes = []
+    for k, w in enumerate(found):
+        kind = lambda c: 1 if chr(c) in ".,;:?" else 2 if chr(c) in "!%$#&*|=<>{}[]~^_\\/+" else 0
+        upper = sum(65 <= c <= 90 for c in w)
+        same = k > 0 and w == found[k - 1]
+        shapes.append(same | (65 <= w[0] <= 90) << 1 | (upper > 1) << 2 | kind(w[-1]) << 3 | kind(w[0]) << 5 | min(len(w) // 4, 3) << 7)
+    for a, b, c in zip(shapes, shapes[1:], shapes[2:], strict=False):
+        out.append((((a + b * 521 + c * 521 * 521) & mask) * 0x85EBCA6B & mask) >> 16 | BUCKETS)
+    return out
+
+
+def test_features_of_long_texts():
+    """Each n-gram once, also those over the cuts, whatever stands beside a text."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "Bb", "b", "long,", "WORD!", "x\ny", "="], n).tolist()).encode() for n in (0, 1, 2, 3, 30, 400, 4000)] + [b"", b"b b b"]
+    got = [[] for _ in texts]
+    for index, parts, own in pieces(texts, 300):
+        g, gb, s, sb = features(parts, own)
+        for k, i in enumerate(index):
+            got[i] += g[gb[2 * k] : gb[2 * k + 1]].tolist() + s[sb[2 * k] : sb[2 * k + 1]].tolist()
+    for t, f in zip(texts, got, strict=True):
+        assert sorted(f) == sorted(plain_features(t))
+
+
+def test_resampling_against_loops(spark):
+    """Counts, weights, noise, level and the kept rows, as plain loops give them."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["good", "fine", "and", "the"], 40).tolist()) if i % 3 else " ".join(rng.choice(["!!", "##", "BUY", "the"], 40).tolist()) for i in range(80)] + ["", None]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 80, 2)]
+    got = {r["doc_id"]: r for r in resample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    sample = {i: y for i, y in labels if not held(i)}
+    grams = {i: plain_features((t or "").encode()) for i, t, *_ in rows}
+    raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+    for i, f in grams.items():
+        for b in f:
+            raw[b] += 1
+            target[b] += sample.get(i) == 1
+    ratio = np.zeros(2 * BUCKETS)
+    for kind in (slice(0, BUCKETS), slice(BUCKETS, None)):
+        ratio[kind] = np.log((target[kind] + 20) / (raw[kind] * target[kind].sum() / raw[kind].sum() + 20))
+    weight = {i: sum(ratio[b] for b in f) * 500 / (len(f) + 500) for i, f in grams.items()}
+    for i, r in got.items():
+        assert r["n_grams"] == len(grams[i]) and r["log_weight"] == pytest.approx(weight[i], abs=1e-5)
+    level = level_of([(got[i]["log_weight"], y) for i, y in sample.items()])
+    k = sum(r["log_weight"] >= level for r in got.values())
+    cut = sorted((r["gumbel_key"] for r in got.values()), reverse=True)[k - 1]
+    assert {i for i, r in got.items() if r["kept"]} == {i for i, r in got.items() if r["gumbel_key"] >= cut} and 0 < k < len(rows)
+
+
 # top-k
 def test_topk_sql(spark):
     same(queries()["op8_topk_search"](spark, SMALL), connect(), SQL["op8_topk_search"])

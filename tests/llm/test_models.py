@@ -406,6 +406,26 @@ def test_pii_contexts(spark):
     assert got[101]["n_added"] == 0 and got[102]["n_added"] == 0 and all(got[i]["n_added"] == 0 for i in range(40))
 
 
+def test_pii_patterns(spark):
+    """Long announcing words, two words in front, a word behind, secrets, and punctuation that does not belong to a token."""
+    long = "announcing" * 12
+    rows = [(i, f"some text {long} user{i}@mail.example.com and more text to read here number {i}x", "en", "a", 0) for i in range(20)]
+    rows += [(100, f"then {long} someone@intranet, and", "en", "a", 0)]
+    rows += [(200 + i, f"the call went from 10.0.{i}.7 via the old line, via nothing at all, from nobody, via air via sea from me from us", "en", "a", 0) for i in range(20)]
+    rows += [(300, "the call went from (host-77). Then", "en", "a", 0), (301, "it came from host-78 again", "en", "a", 0)]
+    rows += [(400 + i, f"write to me+{i}@mail.example.org privately please", "en", "a", 0) for i in range(20)]
+    rows += [(500, "we met 7up@home privately here", "en", "a", 0)]
+    rows += [(600, 'set token = "0123456789abcdef0123"### now', "en", "a", 0), (601, "token 0123456789abcdef0123", "en", "a", 0)]
+    got = {r["doc_id"]: r for r in find_pii(frame(spark, rows)).collect()}
+    check_base(rows, got.values())
+    cut = lambda i: [(s.split(":")[0], rows[[r[0] for r in rows].index(i)][1][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in got[i]["spans"].split(",") if s]
+    assert cut(100) == [("email", "someone@intranet")]
+    assert cut(300) == [("ip", "host-77")] and cut(301) == []
+    assert cut(500) == [("email", "7up@home")]
+    assert cut(600) == [("secret", "0123456789abcdef0123")] and cut(601) == []
+    assert all(got[i]["n_found"] == len(cut(i)) for i in got)
+
+
 def test_pii_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     check_base([(r["doc_id"], r["text"]) for r in docs.collect()], queries()["op3_pii"](spark, SMALL).collect())

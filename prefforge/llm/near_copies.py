@@ -4,7 +4,9 @@ Two texts link if the Jaccard similarity of their sets of five-word shingles is
 closest pairs only: at a similarity of 0.8 two fingerprints lie some ten bits apart, where very many others do. Candidates
 are therefore the links of the SimHash operator (5-word fingerprints within 3 bits) and the pairs that share a band: each
 text has 32 bands of 4 least hashes, and two texts of a similarity of 0.8 share none of them once in 2 * 10**7 pairs, while
-of texts that share a tenth of their shingles (a passage) 3 in 1,000 do. Whole sets decide about every candidate.
+of texts that share a tenth of their shingles (a passage) 3 in 1,000 do. A candidate goes on if at least 80 of the 128 least
+hashes agree, by a byte of each; of pairs of a similarity of 0.8, where 102 are expected, one in a million does not. Whole
+sets decide about all that go on.
 
 The texts of a band first meet a pivot. Only those that this leaves in different components are compared with each other, so
 a large group of near copies does not cost its square.
@@ -26,6 +28,8 @@ from prefforge.llm.textops import lower_ascii, named_columns, numbered_columns,
 WIDTH = 5
 BANDS = 32
 ROWS = 4
+#: Of BANDS * ROWS least hashes, how many of a candidate must agree.
+AGREE = 80
 _RANDOM = np.random.default_rng(5)
 _MIX = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 _ODD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -37,8 +41,8 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def bands(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The band keys of a set of hashes."""
+def bands(hashes: np.ndarray, block: int = 4096) -> tuple[np.ndarray, bytes]:
+    """The band keys of a set of hashes, and a byte of each least hash."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), block):
         mixed = hashes[None, at : at + block] ^ _MIX
@@ -49,7 +53,8 @@ def bands(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
     for k in range(1, ROWS):
         keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + of_band[:, k]
     # bands of different places do not meet
-    return (keys ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    keys ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64), (least * _ODD[:, 0] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -58,21 +63,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(_node, _id, _text) -> (_node, _id, _n, _fp, _bands): the size of each text's set, its fingerprint and its bands."""
+    """(_node, _id, _text) -> (_node, _id, _n, _fp, _bands, _least): the size of each text's set, its fingerprint, its bands and
+    the bytes of its least hashes."""
 
     def run(batches):
         for batch in batches:
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, least = [], [], [], []
             for t in batch.column("_text"):
                 found = list(shingle_hashes(t.as_py(), WIDTH))
                 hashes = np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
                 sizes.append(len(hashes))
                 prints.append(majority(found))
-                keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys)], ["_node", "_id", "_n", "_fp", "_bands"])
+                own, raw = bands(hashes)
+                keys.append(own)
+                least.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys), pa.array(least, pa.binary())], ["_node", "_id", "_n", "_fp", "_bands", "_least"])
 
     bounded_batches(texts.sparkSession)
-    return texts.select("_node", "_id", "_text").mapInArrow(run, f"_node long, _id {texts.schema['_id'].dataType.simpleString()}, _n long, _fp long, _bands array<long>")
+    return texts.select("_node", "_id", "_text").mapInArrow(run, f"_node long, _id {texts.schema['_id'].dataType.simpleString()}, _n long, _fp long, _bands array<long>, _least binary")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -104,6 +112,19 @@ def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(9 * same >= 4 * (F.size("h_a") + F.size("h_b"))).select("a", "b")
 
 
+def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The (a, b) of which at least AGREE least hashes agree."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("l_a", "l_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    side = lambda x: sketches.select(F.col("_node").alias(f"_{x}"), F.col("_least").alias(f"l_{x}"))
+    both = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return both.select("a", "b", "l_a", "l_b").mapInArrow(run, "a long, b long")
+
+
 def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """(_node, _text) and one sketch of each node -> (a, b): links that connect the nodes which chains of similar texts
     connect."""
@@ -126,7 +147,7 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     close = close.join(end("a", "_node"), "a").join(end("b", "_other"), "b").select("_node", "_other")
     tried = tried.unionByName(equal.unionByName(close).filter("_node <> _other").select(*pair))
     tried = shared_table(tried.distinct(), "pivot-pairs")
-    links = shared_table(_decided(tried, texts), "pivot-links")
+    links = shared_table(_decided(shared_table(_agreeing(tried, sketches), "agreeing"), texts), "pivot-links")
     # what is not connected yet is compared pair by pair
     roots = connected_components(links)
     placed = met.join(roots, F.col("_node") == F.col("node"), "left").select("key", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
@@ -135,7 +156,7 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     others = placed.select(F.col("key").alias("k"), F.col("_node").alias("_other"), F.col("_n").alias("_m"), F.col("_root").alias("_beyond"))
     pairs = placed.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other")) & (F.col("_root") != F.col("_beyond"))).select(*pair).distinct()
     pairs = shared_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-    return links.unionByName(_decided(pairs, texts))
+    return links.unionByName(_decided(shared_table(_agreeing(pairs, sketches), "agreeing"), texts))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

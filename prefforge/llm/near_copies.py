@@ -9,7 +9,8 @@ hashes agree, by a byte of each; of pairs of a similarity of 0.8, where 102 are
 sets decide about all that go on.
 
 The texts of a band first meet a pivot. Only those that this leaves in different components are compared with each other, so
-a large group of near copies does not cost its square.
+a large group of near copies does not cost its square. Pairs are dealt to cells of neighbouring texts, so that least hashes
+and sets move once for each cell and not once for each pair.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ BANDS = 32
 ROWS = 4
 #: Of BANDS * ROWS least hashes, how many of a candidate must agree.
 AGREE = 80
+#: Bytes of a block of nodes, bytes that a node counts for at least, and bytes that one task compares.
+BLOCK_BYTES = 4 << 20
+LEAST_WEIGHT = 4 << 10
+TASK_BYTES = 8 << 20
 _RANDOM = np.random.default_rng(5)
 _MIX = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 _ODD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -101,28 +106,85 @@ def _once(rows: DataFrame, name: str) -> DataFrame:
     return shared_table(rows.dropDuplicates(["_node"]), name)
 
 
-def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) whose whole sets have a similarity of 0.8 at least."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
-    wanted = texts.select("_node", "_text").join(nodes, F.col("_node") == F.col("_wanted"), "left_semi")
+def _judged(pairs: DataFrame, nodes: DataFrame, labels: DataFrame, judge) -> DataFrame:
+    """The (a, b) of pairs that judge keeps. nodes are (_node, _root, _w, _what): one row of each node of a pair, with what it
+    is judged by and that one's bytes. Nodes of a label are dealt to blocks, and pairs to cells of two blocks, so what a node
+    is judged by moves once for each cell and not once for each pair."""
+    spark = pairs.sparkSession
+    weight = F.greatest(F.col("_w"), F.lit(LEAST_WEIGHT))
+    named = nodes.select("_node", weight.alias("_w")).join(labels, F.col("_node") == F.col("_named"), "left").select("_node", "_w", F.coalesce("_label", "_node").alias("_label"))
+    blocks = named.groupBy("_label").agg(F.ceil(F.sum("_w") / BLOCK_BYTES).alias("_blocks")).select(F.col("_label").alias("_l"), "_blocks")
+    block = F.xxhash64("_label", F.pmod(F.xxhash64("_node", F.lit(7)), F.col("_blocks")))
+    dealt = shared_table(named.join(blocks, F.col("_label") == F.col("_l")).select("_node", "_w", block.alias("_block")), "blocks")
+    side = lambda x: dealt.select(F.col("_node").alias(f"_{x}"), F.col("_block").alias(f"b_{x}"), F.col("_w").alias(f"w_{x}"))
+    cells = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    cell = F.xxhash64(F.least("b_a", "b_b"), F.greatest("b_a", "b_b"))
+    cells = shared_table(cells.select("a", "b", "w_a", "w_b", cell.alias("cell")), "cells")
+    visits = cells.select("cell", F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("w_a").alias("w")), F.struct(F.col("b").alias("n"), F.col("w_b").alias("w")))).alias("v"))
+    visits = shared_table(visits.select("cell", "v.n", "v.w").distinct(), "visits")
+    total = visits.agg(F.sum("w")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    task = F.pmod("cell", F.lit(tasks)).alias("task")
+    held = visits.select("n", task).distinct().join(nodes, F.col("n") == F.col("_node")).select("task", "_node", "_root", "_what")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(node := left.column("_node").to_numpy())
+        a, b = (order[np.searchsorted(node, right.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        kept = judge(left.column("_what").combine_chunks(), left.column("_root").to_numpy(), a, b)
+        return right.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return held.groupBy("task").cogroup(cells.select("a", "b", task).groupBy("task")).applyInArrow(run, "a long, b long")
+
+
+def _similar(what: pa.Array, roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of whole sets have a similarity of 0.8 at least. Those that others connect already are not looked at."""
+    ends, values = what.offsets.to_numpy(), what.values.to_numpy()
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    kept = np.zeros(len(a), bool)
+    named = roots.tolist()
+    for n, (i, k) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(named[i]), root(named[k])
+        if x == y:
+            continue
+        both = np.concatenate([values[ends[i] : ends[i + 1]], values[ends[k] : ends[k + 1]]])
+        both.sort()
+        if 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both):
+            kept[n] = True
+            above[max(x, y)] = min(x, y)
+    return kept
+
+
+def _agree(what: pa.Array, roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of which pairs at least AGREE least hashes agree."""
+    least = np.frombuffer(b"".join(what.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    kept = [(least[a[at : at + 50_000]] == least[b[at : at + 50_000]]).sum(axis=1) >= AGREE for at in range(0, len(a), 50_000)]
+    return np.concatenate(kept) if kept else np.zeros(0, bool)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
+
+
+def _decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Of the (a, b), links that connect all that the similar ones among them connect: least hashes decide first, then whole
+    sets. What the roots connect counts as connected."""
+    of = sketches.join(_ends(pairs), F.col("_node") == F.col("_wanted"), "left_semi")
+    of = shared_table(of.select("_node", F.col("_node").alias("_root"), F.octet_length("_least").cast("long").alias("_w"), F.col("_least").alias("_what")), "least-hashes")
+    pairs = shared_table(_judged(pairs, of, labels, _agree), "agreeing")
+    wanted = texts.select("_node", "_text").join(_ends(pairs), F.col("_node") == F.col("_wanted"), "left_semi")
     sets = _once(shared_table(_sets(wanted), "shingle-sets"), "shingle-sets")
-    side = lambda x: sets.select(F.col("_node").alias(f"_{x}"), F.col("_hashes").alias(f"h_{x}"))
-    both = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    same = F.size(F.array_intersect("h_a", "h_b"))
-    return both.filter(9 * same >= 4 * (F.size("h_a") + F.size("h_b"))).select("a", "b")
-
-
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The (a, b) of which at least AGREE least hashes agree."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("l_a", "l_b"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-    side = lambda x: sketches.select(F.col("_node").alias(f"_{x}"), F.col("_least").alias(f"l_{x}"))
-    both = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    return both.select("a", "b", "l_a", "l_b").mapInArrow(run, "a long, b long")
+    if roots is None:
+        sets = sets.withColumn("_root", F.col("_node"))
+    else:
+        sets = sets.join(roots, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node"))
+    return _judged(pairs, sets.select("_node", "_root", (8 * F.size("_hashes")).cast("long").alias("_w"), F.col("_hashes").alias("_what")), labels, _similar)
 
 
 def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -147,7 +209,9 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     close = close.join(end("a", "_node"), "a").join(end("b", "_other"), "b").select("_node", "_other")
     tried = tried.unionByName(equal.unionByName(close).filter("_node <> _other").select(*pair))
     tried = shared_table(tried.distinct(), "pivot-pairs")
-    links = shared_table(_decided(shared_table(_agreeing(tried, sketches), "agreeing"), texts), "pivot-links")
+    # texts of a neighbourhood have the same label, mostly: it decides only which of them meet in one task
+    labels = shared_table(tried.groupBy(F.col("b").alias("_named")).agg(F.min("a").alias("_label")), "labels")
+    links = shared_table(_decided(tried, texts, sketches, labels), "pivot-links")
     # what is not connected yet is compared pair by pair
     roots = connected_components(links)
     placed = met.join(roots, F.col("_node") == F.col("node"), "left").select("key", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
@@ -156,7 +220,7 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     others = placed.select(F.col("key").alias("k"), F.col("_node").alias("_other"), F.col("_n").alias("_m"), F.col("_root").alias("_beyond"))
     pairs = placed.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other")) & (F.col("_root") != F.col("_beyond"))).select(*pair).distinct()
     pairs = shared_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-    return links.unionByName(_decided(shared_table(_agreeing(pairs, sketches), "agreeing"), texts))
+    return links.unionByName(_decided(pairs, texts, sketches, labels, roots))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

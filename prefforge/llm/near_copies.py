@@ -35,6 +35,8 @@ AGREE = 80
 BLOCK_BYTES = 4 << 20
 LEAST_WEIGHT = 4 << 10
 TASK_BYTES = 8 << 20
+#: Bits of a filter of ids.
+FILTER_BITS = 1 << 26
 _RANDOM = np.random.default_rng(5)
 _MIX = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
 _ODD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
@@ -99,6 +101,19 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("_node", "_text").mapInArrow(run, "_node long, _hashes array<long>")
 
 
+def _perhaps(rows: DataFrame, key, wanted: DataFrame) -> DataFrame:
+    """rows with `_maybe`: false only where the hash of key is not among those of the one column of wanted. The filter has one
+    bit a place and 8 MB at most (FILTER_BITS), which is broadcast; a full one costs speed, never rows."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(FILTER_BITS - 1)
+    marks = wanted.select(place(F.col(f"`{wanted.columns[0]}`")).alias("p"))
+    marks = marks.groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("_bits"))
+    marks = F.broadcast(shared_table(marks, "filter"))
+    at = rows.withColumn("_place", place(key))
+    at = at.join(marks, F.shiftright("_place", 15) == F.col("_bucket"), "left")
+    byte = "cast(conv(hex(substring(_bits, cast(((_place & 32767) div 8) + 1 as int), 1)), 16, 10) as int)"
+    return at.withColumn("_maybe", F.coalesce(F.expr(f"getbit({byte}, cast(_place % 8 as int)) = 1"), F.lit(False))).drop("_place", "_bucket", "_bits")
+
+
 def _once(rows: DataFrame, name: str) -> DataFrame:
     """One row of each node; nothing moves if there are no more."""
     if rows.count() == rows.select("_node").distinct().count():
@@ -178,7 +193,9 @@ def _decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, labels: Da
     of = sketches.join(_ends(pairs), F.col("_node") == F.col("_wanted"), "left_semi")
     of = shared_table(of.select("_node", F.col("_node").alias("_root"), F.octet_length("_least").cast("long").alias("_w"), F.col("_least").alias("_what")), "least-hashes")
     pairs = shared_table(_judged(pairs, of, labels, _agree), "agreeing")
-    wanted = texts.select("_node", "_text").join(_ends(pairs), F.col("_node") == F.col("_wanted"), "left_semi")
+    ends = shared_table(_ends(pairs), "ends")
+    ids = sketches.join(ends, F.col("_node") == F.col("_wanted"), "left_semi").select("_id")
+    wanted = _perhaps(texts, F.col("_id"), ids).filter("_maybe").select("_node", "_text").join(ends, F.col("_node") == F.col("_wanted"), "left_semi")
     sets = _once(shared_table(_sets(wanted), "shingle-sets"), "shingle-sets")
     if roots is None:
         sets = sets.withColumn("_root", F.col("_node"))
@@ -237,4 +254,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rooted = shared_table(rooted, "rooted")
     least = rooted.groupBy("_root").agg(F.min("_id").alias("_least")).select(F.col("_root").alias("_r"), "_least")
     gone = rooted.join(least, F.col("_root") == F.col("_r")).filter("_id > _least").select("_node", "_id").distinct()
-    return named_columns(plain.join(gone, (F.col(at[id_col]) == F.col("_id")) & (F.xxhash64(text) == F.col("_node")), "left_anti"), at)
+    # rows whose id cannot be among those that go pass straight through
+    gone = shared_table(gone, "gone")
+    tested = _perhaps(plain, F.col(at[id_col]), gone.select("_id"))
+    asked = tested.filter("_maybe").join(gone, (F.col(at[id_col]) == F.col("_id")) & (F.xxhash64(text) == F.col("_node")), "left_anti")
+    return named_columns(tested.filter("not _maybe").unionByName(asked), at)

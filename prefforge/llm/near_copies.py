@@ -8,9 +8,13 @@ of texts that share a tenth of their shingles (a passage) 3 in 1,000 do. A candi
 hashes agree, by a byte of each; of pairs of a similarity of 0.8, where 102 are expected, one in a million does not. Whole
 sets decide about all that go on.
 
-The texts of a band first meet a pivot. Only those that this leaves in different components are compared with each other, so
-a large group of near copies does not cost its square. Pairs are dealt to cells of neighbouring texts, so that least hashes
-and sets move once for each cell and not once for each pair.
+The texts of a band first meet a pivot. Those that this leaves in different components get finer bands, 80 of 8 least hashes,
+which texts of a similarity of 0.8 all miss once in 2 * 10**6 pairs, while of texts of a similarity of 0.35, which are 38 in
+100 in a band of the first kind, 2 in 100 share one. They meet the pivot of each finer band, and only those that are still
+in different components are compared with each other. A shingle that only one of them has is in no intersection, so texts
+are not compared where their other shingles are too few for 0.8: this, which is exact, keeps texts with many changes of
+their own apart, however many have the same origin. Pairs are dealt to cells of neighbouring texts, so that least hashes and
+sets move once for each cell and not once for each pair.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from prefforge.llm.textops import lower_ascii, named_columns, numbered_columns,
 WIDTH = 5
 BANDS = 32
 ROWS = 4
+#: The same of the finer bands, which only texts have that the first ones leave apart.
+FINE_BANDS = 80
+FINE_ROWS = 8
 #: Of BANDS * ROWS least hashes, how many of a candidate must agree.
 AGREE = 80
 #: Bytes of a block of nodes, bytes that a node counts for at least, and bytes that one task compares.
@@ -38,8 +45,16 @@ TASK_BYTES = 8 << 20
 #: Bits of a filter of ids.
 FILTER_BITS = 1 << 26
 _RANDOM = np.random.default_rng(5)
-_MIX = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
-_ODD = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
+
+
+def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n hash functions mix and multiply a hash with."""
+    mix, odd = (_RANDOM.integers(1, 1 << 63, n, dtype=np.uint64)[:, None] for _ in range(2))
+    return mix, odd | np.uint64(1)
+
+
+_COARSE = _mixers(BANDS * ROWS)
+_FINE = _mixers(FINE_BANDS * FINE_ROWS)
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -48,20 +63,31 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def bands(hashes: np.ndarray, block: int = 4096) -> tuple[np.ndarray, bytes]:
-    """The band keys of a set of hashes, and a byte of each least hash."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def least_hashes(hashes: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of a set of hashes under each of the hash functions."""
+    mix, odd = mixers
+    block = max(1, (1 << 19) // len(mix))
+    least = np.full(len(mix), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), block):
-        mixed = hashes[None, at : at + block] ^ _MIX
-        mixed *= _ODD
+        mixed = hashes[None, at : at + block] ^ mix
+        mixed *= odd
         least = np.minimum(least, mixed.min(axis=1))
-    of_band = (least * _ODD[::-1, 0]).reshape(BANDS, ROWS)
+    return least
+
+
+def band_keys(least: np.ndarray, mixers: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """A key of each band of so many least hashes. Bands of different places do not meet."""
+    of_band = (least * mixers[1][::-1, 0]).reshape(-1, rows)
     keys = of_band[:, 0].copy()
-    for k in range(1, ROWS):
+    for k in range(1, rows):
         keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + of_band[:, k]
-    # bands of different places do not meet
-    keys ^= np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return keys.view(np.int64), (least * _ODD[:, 0] >> np.uint64(56)).astype(np.uint8).tobytes()
+    keys ^= np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def least_bytes(least: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A byte of each least hash."""
+    return (least * mixers[1][:, 0] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -78,12 +104,12 @@ def _sketches(texts: DataFrame) -> DataFrame:
             sizes, prints, keys, least = [], [], [], []
             for t in batch.column("_text"):
                 found = list(shingle_hashes(t.as_py(), WIDTH))
+                prints.append(majority(found))
                 hashes = np.unique(np.concatenate(found)) if found else np.zeros(1, np.uint64)
                 sizes.append(len(hashes))
-                prints.append(majority(found))
-                own, raw = bands(hashes)
-                keys.append(own)
-                least.append(raw)
+                found = least_hashes(hashes, _COARSE)
+                keys.append(band_keys(found, _COARSE, ROWS))
+                least.append(least_bytes(found, _COARSE))
             yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys), pa.array(least, pa.binary())], ["_node", "_id", "_n", "_fp", "_bands", "_least"])
 
     bounded_batches(texts.sparkSession)
@@ -101,6 +127,19 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("_node", "_text").mapInArrow(run, "_node long, _hashes array<long>")
 
 
+def _finer(texts: DataFrame) -> DataFrame:
+    """(_node, _text) -> (_node, _n, _bands, _hashes): the size of each text's set, the keys of its finer bands, and the set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column("_text")]
+            keys = [band_keys(least_hashes(s, _FINE), _FINE, FINE_ROWS) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array([len(s) for s in sets], pa.int64()), _lists(keys), _lists([s.view(np.int64) for s in sets])], ["_node", "_n", "_bands", "_hashes"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.select("_node", "_text").mapInArrow(run, "_node long, _n long, _bands array<long>, _hashes array<long>")
+
+
 def _perhaps(rows: DataFrame, key, wanted: DataFrame) -> DataFrame:
     """rows with `_maybe`: false only where the hash of key is not among those of the one column of wanted. The filter has one
     bit a place and 8 MB at most (FILTER_BITS), which is broadcast; a full one costs speed, never rows."""
@@ -187,6 +226,12 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
 
 
+def _texts_of(wanted: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(_node, _text) of the nodes of wanted, a table of one column `_wanted`: a filter of ids keeps others in place."""
+    ids = sketches.join(wanted, F.col("_node") == F.col("_wanted"), "left_semi").select("_id")
+    return _perhaps(texts, F.col("_id"), ids).filter("_maybe").select("_node", "_text").join(wanted, F.col("_node") == F.col("_wanted"), "left_semi")
+
+
 def _decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, labels: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Of the (a, b), links that connect all that the similar ones among them connect: least hashes decide first, then whole
     sets. What the roots connect counts as connected."""
@@ -194,9 +239,7 @@ def _decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, labels: Da
     of = shared_table(of.select("_node", F.col("_node").alias("_root"), F.octet_length("_least").cast("long").alias("_w"), F.col("_least").alias("_what")), "least-hashes")
     pairs = shared_table(_judged(pairs, of, labels, _agree), "agreeing")
     ends = shared_table(_ends(pairs), "ends")
-    ids = sketches.join(ends, F.col("_node") == F.col("_wanted"), "left_semi").select("_id")
-    wanted = _perhaps(texts, F.col("_id"), ids).filter("_maybe").select("_node", "_text").join(ends, F.col("_node") == F.col("_wanted"), "left_semi")
-    sets = _once(shared_table(_sets(wanted), "shingle-sets"), "shingle-sets")
+    sets = _once(shared_table(_sets(_texts_of(ends, texts, sketches)), "shingle-sets"), "shingle-sets")
     if roots is None:
         sets = sets.withColumn("_root", F.col("_node"))
     else:
@@ -204,6 +247,13 @@ def _decided(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, labels: Da
     return _judged(pairs, sets.select("_node", "_root", (8 * F.size("_hashes")).cast("long").alias("_w"), F.col("_hashes").alias("_what")), labels, _similar)
 
 
+def _apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the bands (key, _node, ...) whose texts are not all connected, with the `_root` of each node."""
+    placed = keyed.join(roots, F.col("_node") == F.col("node"), "left").select(*keyed.columns, F.coalesce("root", "_node").alias("_root"))
+    ends = placed.groupBy("key").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).filter("x <> y").select(F.col("key").alias("k"))
+    return shared_table(placed.join(ends, F.col("key") == F.col("k"), "left_semi"), "apart")
+
+
 def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """(_node, _text) and one sketch of each node -> (a, b): links that connect the nodes which chains of similar texts
     connect."""
@@ -229,14 +279,27 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     # texts of a neighbourhood have the same label, mostly: it decides only which of them meet in one task
     labels = shared_table(tried.groupBy(F.col("b").alias("_named")).agg(F.min("a").alias("_label")), "labels")
     links = shared_table(_decided(tried, texts, sketches, labels), "pivot-links")
-    # what is not connected yet is compared pair by pair
+    # what is not connected yet meets the pivots of finer bands, and what these leave apart is compared pair by pair
+    roots = connected_components(links)
+    apart = shared_table(_apart(met, roots).select(F.col("_node").alias("_wanted")).distinct(), "nodes-apart")
+    finer = _once(shared_table(_finer(_texts_of(apart, texts, sketches)), "finer-bands"), "finer-bands")
+    # `_e` shingles of a node are in another one of these nodes too
+    alone = finer.select("_node", F.explode("_hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("_node").alias("_owner"))
+    alone = alone.filter("c = 1").groupBy("_owner").agg(F.count(F.lit(1)).alias("_alone"))
+    shared = finer.select("_node", "_n", "_bands").join(alone, F.col("_node") == F.col("_owner"), "left").withColumn("_e", F.col("_n") - F.coalesce("_alone", F.lit(0)))
+    keyed = shared.filter("5 * _e >= 4 * _n").select("_node", "_n", "_e", F.explode("_bands").alias("key"))
+    met = _apart(keyed, roots)
+    fits = (9 * F.least("_e", "_f") >= 4 * (F.col("_n") + F.col("_m"))) & (F.col("_root") != F.col("_beyond"))
+    beyond = lambda x: [F.col(f"{x}{c}").alias(d) for c, d in (("_node", "_other"), ("_n", "_m"), ("_e", "_f"), ("_root", "_beyond"))]
+    pivots = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("_node", "key").alias("h"), "_node", "_n", "_e", "_root")).alias("p")).select(F.col("key").alias("k"), *beyond("p."))
+    fresh = met.join(pivots, F.col("key") == F.col("k")).filter(fits).select(*pair).distinct()
+    fresh = shared_table(fresh.join(tried, ["a", "b"], "left_anti"), "finer-pivot-pairs")
+    links = shared_table(links.unionByName(_decided(fresh, texts, sketches, labels, roots)), "finer-pivot-links")
     roots = connected_components(links)
-    placed = met.join(roots, F.col("_node") == F.col("node"), "left").select("key", "_node", "_n", F.coalesce("root", "_node").alias("_root"))
-    apart = placed.groupBy("key").agg(F.min("_root").alias("x"), F.max("_root").alias("y")).filter("x <> y").select(F.col("key").alias("k"))
-    placed = shared_table(placed.join(apart, F.col("key") == F.col("k"), "left_semi"), "apart")
-    others = placed.select(F.col("key").alias("k"), F.col("_node").alias("_other"), F.col("_n").alias("_m"), F.col("_root").alias("_beyond"))
-    pairs = placed.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other")) & (F.col("_root") != F.col("_beyond"))).select(*pair).distinct()
-    pairs = shared_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+    met = _apart(met.drop("_root"), roots)
+    others = met.select(F.col("key").alias("k"), *beyond(""))
+    pairs = met.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other"))).select(*pair).distinct()
+    pairs = shared_table(pairs.join(tried.unionByName(fresh), ["a", "b"], "left_anti"), "pairs-apart")
     return links.unionByName(_decided(pairs, texts, sketches, labels, roots))
 
 

@@ -59,3 +59,21 @@ def test_near_stage_of_longer_distances(spark):
         own = [f"w{i}x{k}" for k in range(12 + i)]
         rows += [(2 * i, " ".join(own), "en", "a", 0), (2 * i + 1, " ".join([*own, "more"]), "en", "a", 0)]
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()} == {2 * i for i in range(30)}
+
+
+def test_near_stage_of_a_crowd(spark):
+    """Copies of one text with two or three changes of their own: most pairs lie under 0.8, some copies of copies over it."""
+    rng = random.Random(5)
+    origin, texts = words(rng, 120, 10**6), []
+    for _ in range(60):
+        own = origin.copy()
+        for at in rng.sample(range(120), rng.choice((2, 3, 3, 4))):
+            own[at] = f"c{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+        if rng.random() < 0.3:
+            own[rng.randrange(120)] = f"c{rng.randint(0, 10**6)}"
+            texts.append(" ".join(own))
+    root = plain_groups(texts)
+    assert 10 < len(set(root)) < len(texts)
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()} == set(root)

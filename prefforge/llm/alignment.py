@@ -24,10 +24,12 @@ from prefforge.functions.tables import bounded_batches, shared_table
 from prefforge.llm.textops import whole
 from prefforge.llm.vocab import ByteLevel, Pieces, in_worker
 
-#: Salts of a pair, pairs whose counts are broadcast, and levels of counts for each power of two.
+#: Salts of a pair, pairs whose counts are broadcast, levels of counts for each power of two, and characters of texts that are
+#: aligned together.
 SALTS = 16
 FREQUENT = 1 << 19
 LEVELS = 4
+ALIGN_CHARS = 1 << 18
 
 
 class Aligner:
@@ -38,39 +40,42 @@ class Aligner:
         #: ids as text, with the sign behind them: within a group, at the end of the one side, at the end of the other
         self._text = [f"{i}{sign}" for side, end in ((a, "|"), (b, ";")) for i in range(len(side.token)) for sign in (",", end)]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both, or nothing where the text is empty or either's bytes differ from those of a blank and the text."""
-        if not text:
-            return None
-        spaced = f" {text}"
-        ids_a, ids_b = self.a.encode(spaced, special=False), self.b.encode(text)
-        raw = spaced.encode()
-        for ids, side in ((ids_a, self.a), (ids_b, self.b)):
-            if side.length[ids].sum() != len(raw) or b"".join(map(side.token.__getitem__, ids.tolist())) != raw:
-                return None
-        return ids_a, ids_b
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of both for each text, or nothing where it is empty or either's bytes differ from those of a blank and it."""
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, ids_b in zip(texts, self.b.encode(texts), strict=True):
+            ids_a = self.a.encode(f" {text}", special=False) if text and ids_b is not None else None
+            if ids_a is not None and not self.a.lossless and b"".join(map(self.a.token.__getitem__, ids_a.tolist())) != f" {text}".encode():
+                ids_a = None
+            out.append(None if ids_a is None else (ids_a, ids_b))
+        return out
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(cuts, group of each token of a, of b, and the places of the linked tokens in a and in b)."""
+        """(cuts, group of each token of a, of b, and the places of the linked tokens in a and in b), of one text or of
+        several laid end to end: where texts end, tokens of both end."""
         ends_a, ends_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
-        cuts = np.intersect1d(ends_a, ends_b)
-        starts_a = ends_a - self.a.length[ids_a]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty
+        starts_a = np.append(0, ends_a[:-1])
         first = np.searchsorted(ends_b, starts_a, side="right")  # the first of b that ends behind the start
         last = np.searchsorted(ends_b, ends_a)  # the first that reaches the end
         many = last - first + 1
         of_a = np.repeat(np.arange(len(ids_a)), many)
-        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        of_b = np.arange(len(of_a)) + np.repeat(first - np.cumsum(many) + many, many)
         return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), of_a, of_b
 
-    def written(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-        """The groups as `a1,a2|b1;a3|b2,b3`."""
+    def written(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, texts: np.ndarray) -> list[str]:
+        """The groups of each text as `a1,a2|b1;a3|b2,b3`; texts: the number of tokens of both of each."""
+        if not len(ids_a):
+            return []
         n_a, n_b = (np.bincount(g, minlength=int(group_a[-1]) + 1) for g in (group_a, group_b))
         before_a, before_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         end_a, end_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
         out = np.empty(len(ids_a) + len(ids_b), np.int64)
         out[np.arange(len(ids_a)) + before_b[group_a]] = 2 * ids_a.astype(np.int64) + end_a
         out[np.arange(len(ids_b)) + (before_a + n_a)[group_b]] = 2 * (ids_b.astype(np.int64) + len(self.a.token)) + end_b
-        return "".join(map(self._text.__getitem__, out.tolist()))[:-1]
+        signs = list(map(self._text.__getitem__, out.tolist()))
+        ends = np.cumsum(texts).tolist()
+        return ["".join(signs[s:e])[:-1] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -100,31 +105,48 @@ def aligned(docs: DataFrame, raw_a: bytes, raw_b: bytes, id_col: str = "doc_id",
         aligner = _aligner(*shared.value)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, digests, pairs, times = [], [], [], []
-            for text in batch.column(1):
-                found = aligner.tokens(text.as_py())
-                if found is None:
-                    counts.append((0, 0, 0, 0))
-                    digests.append("")
-                    pairs.append(np.zeros(0, np.int64))
-                    times.append(np.zeros(0, np.int32))
-                    continue
-                ids_a, ids_b = found
+            for own, texts in _some(batch):
+                found = aligner.tokens(texts)
+                with_tokens = [x for x in found if x is not None]
+                has = np.array([x is not None for x in found])
+                ids_a, ids_b = (np.concatenate([x[k] for x in with_tokens]) if with_tokens else np.zeros(0, np.uint32) for k in (0, 1))
+                n_a, n_b = (np.array([len(x[k]) for x in with_tokens], np.int64) for k in (0, 1))
                 cuts, group_a, group_b, of_a, of_b = aligner.align(ids_a, ids_b)
-                counts.append((len(ids_a), len(ids_b), len(cuts), len(of_a)))
-                digests.append(hashlib.sha256(aligner.written(ids_a, ids_b, group_a, group_b).encode()).hexdigest())
-                own, n = np.unique(ids_a[of_a].astype(np.int64) << 32 | ids_b[of_b].astype(np.int64), return_counts=True)
-                pairs.append(own)
-                times.append(n.astype(np.int32))
-            ends = pa.array(np.cumsum([0, *map(len, pairs)]).astype(np.int32))
-            cols = [pa.array(np.arange(at, at + len(counts))), batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*counts, strict=True)], pa.array(digests, pa.string())]
-            cols += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (pairs, times)]
-            at += len(counts)
-            yield pa.RecordBatch.from_arrays(cols, names)
+                end_a = np.cumsum(n_a)
+                n_groups = np.diff(group_a[end_a - 1] + 1, prepend=0)
+                end_link = np.searchsorted(of_a, end_a)
+                linked = ids_a[of_a].astype(np.int64) << 32 | ids_b[of_b].astype(np.int64)
+                pairs, times = zip(*[np.unique(x, return_counts=True) for x in np.split(linked, end_link)[:-1]], strict=True) if with_tokens else ((), ())
+                digests = np.full(len(texts), "", object)
+                digests[has] = [hashlib.sha256(x.encode()).hexdigest() for x in aligner.written(ids_a, ids_b, group_a, group_b, n_a + n_b)]
+                cols = [pa.array(np.arange(at, at + len(texts))), own]
+                cols += [pa.array(_spread(has, x)) for x in (n_a, n_b, n_groups, np.diff(end_link, prepend=0))] + [pa.array(digests, pa.string())]
+                ends = pa.array(np.cumsum(np.append(0, _spread(has, np.array([len(x) for x in pairs], np.int64)))).astype(np.int32))
+                cols += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind_), *x]).astype(kind_))) for x, kind_ in ((pairs, np.int64), (times, np.int32))]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, f"_row long, _id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>")
 
 
+def _some(batch: pa.RecordBatch):
+    """(ids, texts) of about ALIGN_CHARS characters at a time."""
+    texts = batch.column(1).to_pylist()
+    at = size = 0
+    for n, t in enumerate(texts):
+        size += len(t)
+        if size >= ALIGN_CHARS or n == len(texts) - 1:
+            yield batch.column(0)[at : n + 1], texts[at : n + 1]
+            at, size = n + 1, 0
+
+
+def _spread(has: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values where there are some, else 0."""
+    out = np.zeros(len(has), np.int64)
+    out[has] = values
+    return out
+
+
 def pair_counts(held: DataFrame, salts: int = SALTS) -> DataFrame:
     """aligned rows -> (pair, n, best): in how many documents each pair is linked, and whether no pair of its id of a is in more."""
     each = held.select(F.explode("pairs").alias("pair"), F.pmod("_row", F.lit(salts)).alias("salt"))

@@ -51,6 +51,8 @@ class ByteLevel:
         self._special = {True: set(added), False: set()}
         ordered = all(vocab["".join(m.split(" ") if isinstance(m, str) else m)] == 256 + n for n, m in enumerate(merges))
         plain = told.get("normalizer") is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        #: what is encoded are the text's bytes, whatever it is
+        self.lossless = plain
         self._fast = None
         if ordered and plain and len(vocab) == 256 + len(merges):
             self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={self.token[i]: i for i in vocab.values()}, special_tokens=added)
@@ -66,16 +68,20 @@ class ByteLevel:
 
 
 class Pieces:
-    """A sentencepiece model whose pieces stand for bytes: U+2581 is a blank, <0xHH> a byte."""
+    """A sentencepiece model whose pieces stand for bytes: U+2581 is a blank, <0xHH> a byte. It puts a blank in front of a text."""
 
     def __init__(self, raw: bytes):
         self._model = SentencePieceProcessor(model_proto=raw)
-        n = self._model.get_piece_size()
         self.token = []
-        for i in range(n):
+        for i in range(self._model.get_piece_size()):
             piece = self._model.id_to_piece(i)
-            self.token.append(bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace("▁", " ").encode())
+            self.token.append(bytes([int(piece[3:5], 16)]) if self._model.is_byte(i) else piece.replace("\u2581", " ").encode())
         self.length = np.array([len(t) for t in self.token])
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode(text), np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Each text's ids; None if their bytes are not those of a blank and the text."""
+        out: list[np.ndarray | None] = []
+        token = self.token.__getitem__
+        for text, ids in zip(texts, self._model.encode(texts, num_threads=1) if texts else [], strict=True):
+            out.append(np.array(ids, np.uint32) if b"".join(map(token, ids)) == f" {text}".encode() else None)
+        return out

@@ -8,6 +8,8 @@ at the exact word. Rows move neither for the ranges (sums do) nor for the cut (o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from prefforge.llm.textops import n_words, named_columns, numbered_columns, whol
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
-#: Hexadecimal digits of the key that tell its range: 4,096 ranges of each source, one of which is sorted.
-RANGE_DIGITS = 3
+#: Fewest hexadecimal digits of the key that tell its range.
+RANGE_DIGITS = 2
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -48,6 +50,12 @@ def mix_key(row_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), F.md5(whole(text)), F.lit(f":{seed}")))
 
 
+def range_digits(rows: int) -> int:
+    """Digits of the key that tell its range: there are about as many ranges of a source as rows in one of them, so that both
+    what is summed up by ranges and what is sorted at the cut grow as the square root of the rows."""
+    return max(RANGE_DIGITS, math.ceil(math.log(max(rows, 1), 16) / 2))
+
+
 def _cuts(keyed: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
     """keyed (source, size, key) -> ((_s, source_size, target, epochs, budget, cut): where each source's budget ends; (_gs,
     _gk, rows, before): the keys of the ranges in which they end, how many rows have each, and the words before them)."""
@@ -71,34 +79,50 @@ def _cuts(keyed: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
     return cuts, shared_table(groups.select("_gs", "_gk", "rows", "before"), "mix-ends")
 
 
-def _taken(keyed: DataFrame, digits: int) -> DataFrame:
-    """keyed (source, size, key, ...) with source_size, target and taken. Only rows of the ranges at which budgets end are
-    joined by their key."""
-    cuts, groups = _cuts(keyed.select("source", "size", "key"), digits)
+def _taken(slim: DataFrame, keyed: DataFrame) -> DataFrame:
+    """keyed (source, size, key, ...) with source_size, target and taken; slim is its written (source, size, key). Only rows of
+    the ranges at which budgets end are joined by their key."""
+    digits = range_digits(slim.count())
+    cuts, groups = _cuts(slim, digits)
     rows = keyed.join(cuts.drop("offset"), F.col("source").eqNullSafe(F.col("_s")))
     range_ = F.left("key", F.lit(digits))
     whole_epochs = F.col("epochs") * F.col("size")
     apart = rows.filter(range_ != F.col("cut")).withColumn("taken", whole_epochs + F.when(range_ < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))
     at_end = rows.filter(range_ == F.col("cut")).join(groups, F.col("source").eqNullSafe(F.col("_gs")) & (F.col("key") == F.col("_gk")))
-    # rows that repeat id and text share what is left of the budget for them evenly, the odd words by chance
+    # rows that repeat id and text share what is left of the budget for them evenly; the first ones take an odd word
     left = F.greatest(F.lit(0).cast("long"), F.least(F.col("rows") * F.col("size"), F.col("rest") - F.col("before")))
-    odd = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("rows")) < left % F.col("rows")
-    at_end = at_end.withColumn("taken", whole_epochs + F.floor(left / F.col("rows")).cast("long") + odd.cast("long"))
+    at_end = _numbered(at_end.withColumn("_left", left))
+    odd = (F.col("_number") < F.col("_left") % F.col("rows")).cast("long")
+    at_end = at_end.withColumn("taken", whole_epochs + F.floor(F.col("_left") / F.col("rows")).cast("long") + odd)
     columns = [*keyed.columns, "source_size", "target", "taken"]
     return apart.select(*columns).unionByName(at_end.select(*columns))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 42, digits: int = RANGE_DIGITS) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with `_number`, from 0 for each source and key: within the parts in which they are written, and behind the
+    parts before. However many rows repeat a key, none sorts more than a part of them."""
+    written = shared_table(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "mix-at-end")
+    key = ["source", "key"]
+    counts = written.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as parts
+    base = counts.select(F.col("source").alias("_bs"), F.col("key").alias("_bk"), F.col("_part").alias("_bp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_at")) - 1
+    placed = written.withColumn("_inside", inside).join(base, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("key") == F.col("_bk")) & (F.col("_part") == F.col("_bp")))
+    return placed.withColumn("_number", F.col("_base") + F.col("_inside"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 42) -> DataFrame:
     """One row for each row of docs: id, size, source_size, target, taken, with source beside them.
 
     A null text has size 0, a null source is a source of its own (the last), an empty table gives no rows. Rows that repeat
-    both id and text are interchangeable, and share what the mix takes of them; all others are taken in the order of their
-    keys, so reruns agree.
+    both id and text are interchangeable, and share what the mix takes of them evenly, the odd words going one each to some of
+    them; all others are taken in the order of their keys. So reruns agree, however the rows are dealt out.
     """
     row_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     # no text from here on
     keyed = docs.select(row_id.alias("_id"), F.col(f"`{source_col}`").alias("source"), (n_words(text) if size is None else size).alias("size"), mix_key(row_id, text, seed).alias("key"))
-    out = _taken(shared_table(keyed, "mix-keys"), digits)
+    keyed = shared_table(keyed, "mix-keys")
+    out = _taken(keyed.select("source", "size", "key"), keyed)
     return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken")
 
 
@@ -108,7 +132,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plain, at = numbered_columns(docs)
     text = F.col(at[text_col])
     keyed = plain.select("*", F.col(at[source_col]).alias("source"), n_words(text).alias("size"), mix_key(F.col(at[id_col]), text, seed).alias("key"))
-    joined = _taken(keyed, RANGE_DIGITS).filter("taken > 0")
+    joined = _taken(shared_table(keyed.select("source", "size", "key"), "mix-keys"), keyed).filter("taken > 0")
     part = F.col("taken") % F.col("size")
     copies = F.floor(F.col("taken") / F.col("size")).cast("int")
     cut = F.array_join(F.slice(F.filter(F.split(F.translate(whole(text), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""), F.lit(1), part.cast("int")), " ")

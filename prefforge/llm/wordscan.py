@@ -10,7 +10,9 @@ import pyarrow as pa
 #: Bytes that are scanned together. Longer texts are cut at white space into parts of about that size.
 PIECE = 1 << 18
 _SPACE = re.compile(rb"[ \n\t\r]")
-_NEXT_WORD = re.compile(rb"[ \n\t\r]*[^ \n\t\r]+")
+#: What stands before a word, and the word: of words between white space, and of words of letters.
+NEXT_WORD = re.compile(rb"[ \n\t\r]*[^ \n\t\r]+")
+NEXT_LETTERS = re.compile(rb"[^0-9A-Za-z\x80-\xff]*[0-9A-Za-z\x80-\xff]+")
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, 128, dtype=np.uint64) | np.uint64(1)
 
 
@@ -19,10 +21,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], most: int = PIECE, back: int = 1, ahead: int = 2):
+def pieces(texts: list[bytes], most: int = PIECE, back: int = 1, ahead: int = 2, next_word: re.Pattern = NEXT_WORD):
     """(index of the text of each part, parts, own): lists of about `most` bytes. own (from, to) is what a part has for
     itself: these ranges together are all of every text, once. Around it a part of a longer text also holds the `back` words
-    before and the `ahead` words behind, so that n-grams over a cut are seen whole by the part in which they begin."""
+    before (between white space) and the `ahead` words behind (which next_word finds), so that n-grams over a cut are seen whole
+    by the part in which they begin."""
     index, parts, own, size = [], [], [], 0
     for i, t in enumerate(texts):
         at = 0
@@ -32,7 +35,7 @@ def pieces(texts: list[bytes], most: int = PIECE, back: int = 1, ahead: int = 2)
                 found = _SPACE.search(t, at + most)
                 end = high = found.start() if found else len(t)
                 for _ in range(ahead):
-                    found = _NEXT_WORD.match(t, high)
+                    found = next_word.match(t, high)
                     high = found.end() if found else len(t)
             low = at
             for _ in range(back if at else 0):

@@ -99,14 +99,15 @@ def _search(k: int):
         for row in blocks.itertuples() if len(queries) else ():
             lists = _lists(row)
             width = len(lists.values)
+            rows = queries["row"].to_numpy(np.int64)
             wanted, weights = queries["id"].to_numpy(np.int64), _wide(_matrix(queries["v"]), width)[:, :width]  # beyond it all values are 0
             floor = queries["floor"].astype(float).fillna(-np.inf).to_numpy().copy()
             for at in range(0, len(wanted), AT_ONCE):
                 part = slice(at, at + AT_ONCE)
                 for i, ids, scores in lists.read(weights[part], wanted[part], k, floor[part]):
                     if len(ids):
-                        found.append(pd.DataFrame({"query_id": wanted[at + i], "vec_id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                        found.append(pd.DataFrame({"row": rows[at + i], "query_id": wanted[at + i], "vec_id": ids, "score": scores}))
+        return pd.concat(found) if found else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return run
 
@@ -125,30 +126,39 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: str, k: in
 
     Components x become floor(scale * x). Rows whose vector is null, or holds a null or a component that is not finite,
     take no part, nor do rows without an id. Of vectors of different lengths the shorter one counts as filled up with
-    zeros. A query's own id is no candidate. Scores are exact up to 2**53.
+    zeros. Each row whose id is a query's is a query of its own, also where several rows repeat an id; rows with its own id
+    are no candidates, and each of several rows that repeat another id is one. Scores are exact: vectors so large that an
+    inner product could pass 2**53 raise.
     """
     spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`").cast("array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.size(v) > 0)
     whole_numbers = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
     empty = v.isNotNull() & (F.size(v) == 0)
-    rows = vectors.filter((fine | empty) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(empty, F.array(F.lit(0).cast("long"))).otherwise(whole_numbers).alias("v"))
+    rows = vectors.filter((fine | empty) & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.when(empty, F.array(F.lit(0).cast("long"))).otherwise(whole_numbers).alias("v"),
+        F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x * F.lit(float(scale))))), F.lit(0.0)).alias("most"), F.monotonically_increasing_id().alias("row"),
+    )
     rows = shared_table(rows, "vectors")
+    of_all = rows.agg(F.max("most").alias("most"), F.max(F.size("v")).alias("width")).first()
+    if of_all["most"] is not None and of_all["width"] * (of_all["most"] + 1) ** 2 > 2**53:
+        raise ValueError(f"components up to {of_all['most'] / scale:g} give inner products beyond 2**53, which would not be exact")
+    rows = rows.drop("most")
     queries = rows.filter(is_query.format(id="id"))
     n, n_queries = rows.count(), queries.count()
     blocks, batches = max(1, -(-n // block_rows)), max(1, -(-n_queries // batch_rows))
     spread = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
     lists = shared_table(rows.withColumn("block", spread(blocks, 2)).groupBy("block").applyInPandas(_sort, _LISTS), "sorted-lists")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best, first, many = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int"), 0, 1
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best, first, many = spark.createDataFrame([], "row long, query_id long, vec_id long, score long, rank int"), 0, 1
     while first < blocks:
         last = min(blocks, first + many)
         # a query that has k candidates so far need not look for scores below the least of theirs
-        floors = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).select(F.col("query_id").alias("q"), F.when(F.col("c") == k, F.col("s").cast("double")).alias("floor"))
-        asked = queries.join(floors, F.col("id") == F.col("q"), "left").select("id", "v", "floor", spread(batches, 1).alias("batch"), F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("block"))
+        floors = best.groupBy("row").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).select(F.col("row").alias("q"), F.when(F.col("c") == k, F.col("s").cast("double")).alias("floor"))
+        asked = queries.join(floors, F.col("row") == F.col("q"), "left").select("row", "id", "v", "floor", spread(batches, 1).alias("batch"), F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("block"))
         given = lists.filter(F.col("block").between(first, last - 1)).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-        found = asked.groupBy("batch", "block").cogroup(given.groupBy("batch", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-        merged = found.unionByName(best.select("query_id", "vec_id", "score"))
+        found = asked.groupBy("batch", "block").cogroup(given.groupBy("batch", "block")).applyInPandas(_search(k), "row long, query_id long, vec_id long, score long")
+        merged = found.unionByName(best.select("row", "query_id", "vec_id", "score"))
         best = shared_table(merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
         first, many = last, 2 * many
     return best.select("query_id", "rank", "vec_id", "score")

@@ -130,12 +130,13 @@ def log_ratios(docs: DataFrame, sample: dict[int, int], id_col: str, text_col: s
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """_id, n_grams, log_weight and the columns to carry, as _c0, _c1, ..."""
+    """_id, n_grams, log_weight, _noise (of rows without an id a hash of the text) and the columns to carry, as _c0, _c1, ..."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ratio)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), whole(F.col(f"`{text_col}`")).alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
-    names = ["_id", "n_grams", "log_weight", *[f"_c{i}" for i in range(len(carry))]]
-    kinds = [rows.schema["_id"].dataType.simpleString(), "long", "double", *[rows.schema[f"_c{i}"].dataType.simpleString() for i in range(len(carry))]]
+    rows = rows.select("_id", "_text", F.when(F.col("_id").isNull(), F.xxhash64("_text")).alias("_noise"), *[f"_c{i}" for i in range(len(carry))])
+    names = ["_id", "n_grams", "log_weight", "_noise", *[f"_c{i}" for i in range(len(carry))]]
+    kinds = [rows.schema["_id"].dataType.simpleString(), "long", "double", "long", *[rows.schema[f"_c{i}"].dataType.simpleString() for i in range(len(carry))]]
 
     def run(batches):
         table = shared.value
@@ -197,19 +198,21 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """id, n_grams, log_weight, gumbel_key, kept and the columns to carry, for each row of docs.
 
     Labels are learnt only from rows whose crc32(id as text) mod 5 is not 0 (all rows with held_out=False). A null text
-    counts as empty: its weight is 0, and such texts are kept as far as the noise allows. Equal keys are kept together.
+    counts as empty: its weight is 0, and such texts are kept as far as the noise allows. Equal keys are kept together. Rows
+    without an id get their noise from their texts; of rows that repeat a labelled id, the least weight counts for the level.
     An empty table gives no rows; without labels of both kinds every row is kept.
     """
     bounded_batches(docs.sparkSession)
     carry = carry or []
     sample = label_sample(labels, label_col, only=F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0") if held_out else None)
     weighed = weigh(docs, log_ratios(docs, sample, id_col, text_col), id_col, text_col, carry)
-    # uniform in (0, 1) from the id
-    u = (F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+    # uniform in (0, 1) from the id, or from the text where there is none
+    u = (F.shiftrightunsigned(F.when(F.col("_id").isNull(), F.xxhash64("_noise", F.lit(seed))).otherwise(F.xxhash64("_id", F.lit(seed))), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     scored = shared_table(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "weights")
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(int(i), int(y)) for i, y in sample.items()] or [], "_i long, _y int")
-    level = level_of([(r["log_weight"], r["_y"]) for r in scored.select("_id", "log_weight").join(F.broadcast(wanted), F.col("_id") == F.col("_i")).toLocalIterator()])
+    labelled = scored.select("_id", "log_weight").join(F.broadcast(wanted), F.col("_id") == F.col("_i")).groupBy("_i", "_y").agg(F.min("log_weight").alias("w"))
+    level = level_of([(r["w"], r["_y"]) for r in labelled.toLocalIterator()])  # one row of each labelled id
     k = scored.filter(F.col("log_weight") >= F.lit(level)).count()
     cut = kth_largest(scored.select("key"), k)
     kept = F.lit(False) if cut is None else F.col("key") >= F.lit(cut[0])

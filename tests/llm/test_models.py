@@ -17,14 +17,14 @@ from prefforge.llm.bpe import MergeReplay, encode_texts, read_ranks
 from prefforge.llm.catalog import queries
 from prefforge.llm.mixing import mix, source_targets, take_mix
 from prefforge.llm.pii import find_pii
-from prefforge.llm import toxicity
+from prefforge.llm import quality, toxicity
 from prefforge.llm.quality import BUCKETS, features, keep_good, kth_largest, level_of, resample
 from prefforge.llm.queries_mixing import SQL as MIX_SQL
 from prefforge.llm.queries_topk import SQL
 from prefforge.llm.sampling import least_hashes
 from prefforge.llm.toxicity import FILTERS, LANGUAGE_WORDS, WIDTHS, ConvNet, fit, rows_of, score_toxicity, train_on
 from prefforge.llm.topk import top_k
-from prefforge.llm.wordscan import Words, by_letters, by_space, pieces
+from prefforge.llm.wordscan import NEXT_LETTERS, Words, by_letters, by_space, pieces
 from tests.llm.data import documents, frame
 from tests.oracle import SMALL, connect, same
 
@@ -75,6 +75,18 @@ def test_mix_of_repeated_rows(spark):
     assert abs(sum(len(r["text"].split()) for r in mixed) - sum(g["taken"] for g in got)) <= 50
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5, 9])
+def test_mix_of_repeated_rows_at_the_cut(spark, parts):
+    """Nine rows that repeat id and text, at the cut: the mix takes its budget to the word, however they are dealt out."""
+    rows = [(1, "a b c d e", "en", "s", 0)] * 9 + [(2, "w " * 36, "en", "t", 0)]
+    got = mix(frame(spark, rows).repartition(parts)).collect()
+    own = sorted(g["taken"] for g in got if g["source"] == "s")
+    target = next(g["target"] for g in got if g["source"] == "s")
+    assert sum(own) == int(target + 0.5) and own[-1] - own[0] <= 1
+    mixed = [r["text"] for r in take_mix(frame(spark, rows).repartition(parts)).collect() if r["source"] == "s"]
+    assert sum(len(t.split()) for t in mixed) == sum(own)
+
+
 def test_mix(spark):
     rows = documents(11, 120) + [(900, "a b c", "en", "empty?", 5), (901, None, "en", "nothing", None)]
     got = mix(frame(spark, rows)).collect()
@@ -176,8 +188,9 @@ def test_forward_pass_against_a_loop(spark):
     got = {r["doc_id"]: r["score"] for r in score_toxicity(frame(spark, rows), net).collect()}
     assert got == pytest.approx({i: plain_score(net, t.encode()) for i, t, *_ in rows}, abs=1e-5)
     long = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)).encode() for _ in range(3)]
+    long += [" ".join(rng.choice(["--", "* * *", "bad", "evil-thing", "...", "é"], 900).tolist()).encode() for _ in range(3)]
     for t in long:
-        whole_text, parts = Words([t], by_letters()), [p for _, ps, _ in pieces([t], 100, back=0, ahead=2) for p in ps]
+        whole_text, parts = Words([t], by_letters()), [p for _, ps, _ in pieces([t], 100, back=0, ahead=2, next_word=NEXT_LETTERS) for p in ps]
         w = Words(parts, by_letters())
         assert np.allclose(net.pooled(rows_of(whole_text), whole_text.first)[0], net.pooled(rows_of(w), w.first).max(axis=0), atol=1e-5) and len(parts) > 9
 
@@ -249,6 +262,23 @@ def test_features_of_long_texts():
         assert sorted(f) == sorted(plain_features(t))
 
 
+def test_resampling_of_repeated_and_missing_ids(spark):
+    """One weight of each labelled id reaches the driver, and rows without an id have noise of their own."""
+    rng = np.random.default_rng(8)
+    text = lambda good: " ".join(rng.choice(["good", "fine", "and", "the"] if good else ["!!", "##", "BUY", "the"], 40).tolist())
+    rows = [(i % 20, text(i % 20 % 3), "en", "a", 0) for i in range(600)] + [(None, text(True), "en", "a", 0) for _ in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(20)], "doc_id long, quality int")
+    seen, mine = [], quality.level_of
+    try:
+        quality.level_of = lambda pairs: seen.append(len(pairs)) or mine(pairs)
+        got = resample(frame(spark, rows), labels, held_out=False).collect()
+    finally:
+        quality.level_of = mine
+    assert seen == [20] and len(got) == len(rows)
+    noise = {round(r["gumbel_key"] - r["log_weight"], 6) for r in got if r["doc_id"] is None}
+    assert len(noise) == 60
+
+
 def test_resampling_against_loops(spark):
     """Counts, weights, noise, level and the kept rows, as plain loops give them."""
     rng = np.random.default_rng(7)
@@ -299,6 +329,20 @@ def test_topk(spark, blocks):
     assert top_k(df.filter("vec_id < 0"), "vec_id", "e", "{id} % 50 = 0").count() == 0
 
 
+def test_topk_of_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [-1.0, 0.5]), (1, [3.0, 1.0]), (1, [0.0, 4.0]), (7, [2.0, -3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(df, "vec_id", "e", "{id} % 50 = 0", k=2, block_rows=2).collect())
+    fixed = [(i, np.array(v) * 256) for i, v in rows]
+    want = []
+    for q in fixed[:2]:
+        best = sorted((-int(q[1] @ v), i) for i, v in fixed if i != 0)[:2]
+        want += [(0, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        top_k(spark.createDataFrame([(0, [1e20]), (1, [-1e20])], "vec_id long, e array<double>"), "vec_id", "e", "{id} % 50 = 0")
+
+
 # byte-level BPE
 RANKS = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})

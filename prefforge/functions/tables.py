@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,11 @@ _WRITTEN: list[str] = []
 _TABLES: list[str] = []
 #: Bytes of one Arrow batch sent to Python, so that very long texts do not pile up in one batch.
 ARROW_BYTES = 4 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other C libraries do not have it
+except (OSError, AttributeError):
+    _LIBC = None
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +54,9 @@ def shared_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like shared_table, but dealt by a key: later joins and groupings by it find the rows in place. The table lies in the
     warehouse, which all executors see; a row's files are those of one task, so there are as many as buckets."""
     spark = df.sparkSession
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if spark.sparkContext.master.split("[")[0] != "local" and warehouse.removeprefix("file:").rstrip("/") == os.path.join(os.getcwd(), "spark-warehouse"):
+        raise ValueError(f"spark.sql.warehouse.dir must name a folder that all executors of {spark.sparkContext.master} share")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table_name = f"prefforge_{name}_{uuid.uuid4().hex}"
     _TABLES.append(table_name)
@@ -69,6 +81,25 @@ def bounded_batches(spark: SparkSession, n_bytes: int = ARROW_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
 
 
+def release_memory() -> None:
+    """Give what this Python worker has freed back to the system: workers serve many tasks, and what Arrow and the C library
+    keep for later adds up to hundreds of megabytes in each."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """A function of Arrow batches that gives freed memory back before its task and behind it."""
+
+    def wrapped(batches):
+        release_memory()
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

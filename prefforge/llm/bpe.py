@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefforge.functions.tables import bounded_batches
+from prefforge.functions.tables import bounded_batches, releasing
 from prefforge.llm.textops import whole
 
 #: Distinct words that a Python worker keeps encoded; beyond that it starts anew.
@@ -248,12 +248,12 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
             names = [x.split(" ", 1)[0] for x in fields]
             yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names)
 
-    out = rows.mapInArrow(run, ", ".join(fields))
+    out = rows.mapInArrow(releasing(run), ", ".join(fields))
     renamed = [F.col("_id").alias(id_col)] + [F.col(c) for c in out.columns if c != "_id" and not c.startswith("_c")]
     return out.select(*renamed, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(extra)])
 
 
-def _chunks(texts: list[str], most: int = 1 << 21):
+def _chunks(texts: list[str], most: int = 1 << 20):
     """Lists of texts of about `most` characters together."""
     part, size = [], 0
     for t in texts:

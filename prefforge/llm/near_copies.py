@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefforge.functions.tables import bounded_batches, shared_table
+from prefforge.functions.tables import bounded_batches, release_memory, releasing, shared_table
 from prefforge.llm.components import connected_components
 from prefforge.llm.simhash import fingerprint_links, majority, shingle_hashes
 from prefforge.llm.textops import lower_ascii, named_columns, numbered_columns, whole
@@ -113,7 +113,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), _lists(keys), pa.array(least, pa.binary())], ["_node", "_id", "_n", "_fp", "_bands", "_least"])
 
     bounded_batches(texts.sparkSession)
-    return texts.select("_node", "_id", "_text").mapInArrow(run, f"_node long, _id {texts.schema['_id'].dataType.simpleString()}, _n long, _fp long, _bands array<long>, _least binary")
+    return texts.select("_node", "_id", "_text").mapInArrow(releasing(run), f"_node long, _id {texts.schema['_id'].dataType.simpleString()}, _n long, _fp long, _bands array<long>, _least binary")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_node"), _lists([shingle_set(t.as_py()).view(np.int64) for t in batch.column("_text")])], ["_node", "_hashes"])
 
     bounded_batches(texts.sparkSession)
-    return texts.select("_node", "_text").mapInArrow(run, "_node long, _hashes array<long>")
+    return texts.select("_node", "_text").mapInArrow(releasing(run), "_node long, _hashes array<long>")
 
 
 def _finer(texts: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _finer(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array([len(s) for s in sets], pa.int64()), _lists(keys), _lists([s.view(np.int64) for s in sets])], ["_node", "_n", "_bands", "_hashes"])
 
     bounded_batches(texts.sparkSession)
-    return texts.select("_node", "_text").mapInArrow(run, "_node long, _n long, _bands array<long>, _hashes array<long>")
+    return texts.select("_node", "_text").mapInArrow(releasing(run), "_node long, _n long, _bands array<long>, _hashes array<long>")
 
 
 def _perhaps(rows: DataFrame, key, wanted: DataFrame) -> DataFrame:
@@ -185,7 +185,10 @@ def _judged(pairs: DataFrame, nodes: DataFrame, labels: DataFrame, judge) -> Dat
         order = np.argsort(node := left.column("_node").to_numpy())
         a, b = (order[np.searchsorted(node, right.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
         kept = judge(left.column("_what").combine_chunks(), left.column("_root").to_numpy(), a, b)
-        return right.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        found = right.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        del left, right, order, node, a, b
+        release_memory()
+        return found
 
     return held.groupBy("task").cogroup(cells.select("a", "b", task).groupBy("task")).applyInArrow(run, "a long, b long")
 

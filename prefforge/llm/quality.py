@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefforge.functions.tables import bounded_batches, shared_table
+from prefforge.functions.tables import bounded_batches, releasing, shared_table
 from prefforge.llm.sampling import least_hashes
 from prefforge.llm.textops import named_columns, numbered_columns, whole
 from prefforge.llm.wordscan import Words, as_bytes, by_space, pieces
@@ -116,7 +116,7 @@ def log_ratios(docs: DataFrame, sample: dict[int, int], id_col: str, text_col: s
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sample)  # at most LABEL_ROWS ids
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), whole(F.col(f"`{text_col}`")).alias("_text"))
-    parts = rows.mapInArrow(lambda it: _counts(shared.value)(it), "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary")
+    parts = rows.mapInArrow(releasing(lambda it: _counts(shared.value)(it)), "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary")
     total = np.zeros((2, PARTS, 2 * BUCKETS // PARTS), np.int64)
     for r in parts.toLocalIterator():  # PARTS rows, whatever the input
         total[:, r["part"]] = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
@@ -151,7 +151,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry:
                     np.add.at(n, index, b[1::2] - b[::2])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(weight * (TEMPER / (n + TEMPER)), 6)), *batch.columns[2:]], names)
 
-    return rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
+    return rows.mapInArrow(releasing(run), ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
 
 
 def level_of(pairs: list[tuple[float, int]]) -> float:

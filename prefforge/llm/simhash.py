@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefforge.functions.tables import bounded_batches, shared_table
+from prefforge.functions.tables import bounded_batches, releasing, shared_table
 from prefforge.llm.components import connected_components
 from prefforge.llm.sampling import least_hashes
 from prefforge.llm.textops import WORD, lower_ascii, named_columns, numbered_columns, whole
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["_id", "fp"])
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(releasing(run), f"_id {rows.schema['_id'].dataType.simpleString()}, fp long").withColumnRenamed("_id", id_col)
 
 
 def halves(points: np.ndarray) -> list[np.ndarray]:
@@ -211,7 +211,7 @@ def fingerprint_links(distinct: DataFrame, reach: int = 3, sample_rows: int = SA
             for at in range(0, len(own), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(points[own[at : at + 100_000]]), pa.array(shard[at : at + 100_000].astype(np.int64))], ["fp", "shard"])
 
-    visits = shared_table(distinct.select("fp").mapInArrow(route, "fp long, shard long"), "visits")
+    visits = shared_table(distinct.select("fp").mapInArrow(releasing(route), "fp long, shard long"), "visits")
     visits = deepened(visits.select("fp", "shard", F.pmod("shard", F.lit(2)).cast("int").alias("side")), reach // 2, shard_rows)
     # what no vantage point divides is cut into blocks, and every two blocks meet in a task of their own
     sizes = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("blocks"))

@@ -8,17 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefforge.functions.tables import shared_table
 
-def exact_first(df: DataFrame, keys: list[str], order: str | list) -> DataFrame:
-    """The first row of each key. Ties of the order are broken arbitrarily, so it should be unique."""
+#: Rows of a session that a task visits at once.
+BLOCK_ROWS = 4096
+
+
+def exact_first(df: DataFrame, keys: list[str], order: str | list, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by some columns, an aggregate that Spark forms in part before it shuffles, so that a
+    key with many rows is no large task. Nulls come first. Ties of the order are broken arbitrarily, so it should be unique."""
     orders = [order] if isinstance(order, (str, Column)) else order
-    w = Window.partitionBy(*keys).orderBy(*orders)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    orders = [F.col(o) if isinstance(o, str) else o for o in orders]
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    pick = F.max_by if last else F.min_by
+    best = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(pick(rest, F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(orders)])).alias("_row"))
+    return best.select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The latest row of each key."""
-    return exact_first(df, keys, [F.desc(position)])
+    return exact_first(df, keys, position, last=True)
 
 
 def _jaro(a: str, b: str) -> float:
@@ -56,32 +65,163 @@ def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((np.nan if x is None or y is None else _jaro(x, y) for x, y in zip(a, b, strict=True)), float, len(a)))
 
 
-def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, interval: str = "1 HOUR", threshold: float = 0.6) -> DataFrame:
+class Profile:
+    """A text as bounds of its Jaro similarity need it: how often characters of each of 64 classes occur, and the places of
+    the first, second, ... occurrence of each character."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        self.text, self.n = text, len(codes)
+        self.counts = np.bincount(codes & 63, minlength=64)
+        self.places = np.argsort(codes, kind="stable")
+        line = codes[self.places]
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        self.keys = line << 32 | np.arange(self.n) - np.repeat(first, np.diff(np.append(first, self.n)))
+
+
+def most_similar(counts: np.ndarray, lengths: np.ndarray, other: Profile) -> np.ndarray:
+    """An upper bound of the Jaro similarity of each row of counts with another text: no more characters match than both have."""
+    both = np.minimum(counts, other.counts).sum(axis=1)
+    return np.where(both > 0, (both / lengths + both / other.n + 1) / 3, 0.0)
+
+
+def least_similar(a: Profile, b: Profile) -> float:
+    """A lower bound: equal occurrences of a character match where they are within reach, at worst all out of order. The
+    similarity matches as many characters as can be, hence as many at least."""
+    if a.n > b.n:
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b.keys, a.keys), b.n - 1)
+    reach = max(b.n // 2 - 1, 0)
+    k = np.count_nonzero((b.keys[at] == a.keys) & (np.abs(b.places[at] - a.places) <= reach))
+    return (k / a.n + k / b.n + 0.5) / 3 if k else 0.0
+
+
+class Kept:
+    """Texts that stay, latest first, each with its time. Bounds decide about most pairs; `exact` counts the others."""
+
+    def __init__(self, threshold: float, width: int):
+        self.threshold, self.width, self.exact, self.pairs = threshold, width, 0, 0
+        self.profiles: list[Profile] = []
+        self.last: dict[str, int] = {}
+        self._counts, self._lengths, self._times = np.zeros((64, 64), np.int64), np.zeros(64), np.zeros(64, np.int64)
+
+    def add(self, time: int, profile: Profile) -> None:
+        n = len(self.profiles)
+        if n == len(self._times):
+            self._counts, self._lengths, self._times = (np.concatenate([x, np.zeros_like(x)]) for x in (self._counts, self._lengths, self._times))
+        self._counts[n], self._lengths[n], self._times[n] = profile.counts, profile.n, time
+        self.profiles.append(profile)
+        self.last[profile.text] = time
+
+    def has_similar(self, time: int, text: str, profile: Profile) -> bool:
+        """Whether a text that stays is less than `width` later than `time` and more similar than the threshold."""
+        if self.threshold < 1 and text in self.last and self.last[text] - time < self.width:
+            return True
+        n = len(self.profiles)
+        low = int(np.searchsorted(-self._times[:n], -time - self.width, side="right"))  # those before are too late
+        most = most_similar(self._counts[low:n], self._lengths[low:n], profile)
+        self.pairs += n - low
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] <= self.threshold - 1e-9:
+                return False
+            other = self.profiles[low + i]
+            if least_similar(other, profile) > self.threshold + 1e-9:
+                return True
+            self.exact += 1
+            if _jaro(text, other.text) > self.threshold:
+                return True
+        return False
+
+
+def decide(times: list[int], texts: list[str], threshold: float, width: int, kept: Kept | None = None) -> list[bool]:
+    """Which of some texts stay, visited from the latest on."""
+    kept = kept or Kept(threshold, width)
+    stay = []
+    for time, text in zip(times, texts, strict=True):
+        profile = Profile(text)
+        stay.append(not kept.has_similar(time, text, profile))
+        if stay[-1]:
+            kept.add(time, profile)
+    return stay
+
+
+def _in_blocks(rows: DataFrame, width: int, block_rows: int) -> DataFrame:
+    """(u, d, p, t) with the session of each row and its block in the session, from the latest on. A session ends where a user
+    pauses for `width`; rows of different sessions do not touch each other.
+
+    A range sort puts the rows in order; what a range needs to know of those before it (the last row, the last beginning
+    of a session) is one row of each range on the driver. So no user's rows have to meet in one task.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "u", "d", "p").sortWithinPartitions("u", "d", "p").withColumn("_id", F.monotonically_increasing_id())
+    ranged = shared_table(ranged.withColumn("_p", F.shiftright("_id", 33)), "by-user-and-time")
+    ends = ranged.groupBy("_p").agg(F.max(F.struct("_id", "u", "d")).alias("e"), F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
+    user = ranged.schema["u"].dataType
+    before = [(r["_p"], last["u"] if last else None, last["d"] if last else None) for r, last in zip(ends, [None, *[r["e"] for r in ends]], strict=False)]
+    bases = spark.createDataFrame(before, T.StructType([T.StructField("_p", T.LongType()), T.StructField("_u", user), T.StructField("_d", T.LongType())]))
+    along = Window.partitionBy("_p").orderBy("_id")
+    last_u, last_d = F.coalesce(F.lag("u").over(along), "_u"), F.coalesce(F.lag("d").over(along), "_d")
+    begins = F.coalesce((last_u != F.col("u")) | (F.col("d") - last_d >= width), F.lit(True))
+    marked = ranged.join(F.broadcast(bases), "_p").withColumn("_begin", F.when(begins, F.col("_id"))).drop("_u", "_d")
+    carried, total, known = [], 0, None
+    begun = {r["_p"]: r["b"] for r in marked.groupBy("_p").agg(F.max("_begin").alias("b")).collect()}
+    for r in ends:
+        carried.append((r["_p"], known, total))
+        known, total = begun[r["_p"]] if begun[r["_p"]] is not None else known, total + r["n"]
+    carried = spark.createDataFrame(carried, "_p long, _known long, _base long")
+    so_far = F.last("_begin", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    placed = marked.join(F.broadcast(carried), "_p").withColumn("session", F.coalesce(so_far, "_known")).withColumn("_at", F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1))
+    placed = shared_table(placed.select("session", "d", "p", "t", "_at"), "sessions")
+    large = placed.groupBy("session").agg(F.max("_at").alias("_end"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows).select(F.col("session").alias("_s"), "_end")
+    block = F.coalesce(F.floor((F.col("_end") - F.col("_at")) / block_rows), F.lit(0)).cast("long")
+    return placed.join(large, F.col("session") == F.col("_s"), "left").select("session", block.alias("block"), "d", "p", "t")
+
+
+def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, interval: str = "1 HOUR", threshold: float = 0.6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows that stay when each user's rows are visited from the latest to the earliest (ties: larger pos first) and a row
-    goes if a row kept before is less than `interval` later and more similar than `threshold`.
+    goes if a row kept before is less than `interval` later and more similar than `threshold`. pos is unique. Rows without a
+    user, a date or a text, and empty texts, stay.
 
-    A range join finds the pairs, so the similarity is computed only for rows of one user close in time; it is an equi
-    join on (user, time bucket), with each row in its own and the bucket before. Only rows that conflict at all meet in
-    the fold that decides, one array for each session of a user.
+    Rows are decided in rounds. A round visits the next block of each session (see `_in_blocks`) in one task, and what stays
+    of it is compared with all later blocks in reach, each in a task of its own. Sessions of block_rows rows at most, which
+    are nearly all, are done after the first round; a task never holds more than two blocks.
     """
-    seconds = F.unix_timestamp(F.col(date).cast("timestamp"))
     begin = "timestamp'2000-01-01 00:00:00'"
-    width = df.sparkSession.range(1).select(F.expr(f"unix_timestamp({begin} + interval {interval}) - unix_timestamp({begin})")).first()[0]
-    rows = df.select(F.col(user).alias("u"), F.col(date).alias("d"), F.col(text).alias("t"), F.col(pos).alias("p"), F.floor(seconds / width).alias("bucket"))
-    late = rows.select("u", F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("p").alias("p2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    near = rows.join(late, ["u", "bucket"]).filter(((F.col("d2") > F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("p2") > F.col("p")))) & ((F.col("d2") - F.col("d")) < F.expr(f"INTERVAL {interval}")))
-    # equal texts need no similarity, and what several pairs compare is compared once
-    same = near.filter("t = t2 and t <> ''").select("u", "d", "p", "p2")
-    others = near.filter("t <> t2")
-    alike = others.select("t", "t2").distinct().filter(jaro("t", "t2") > threshold).select(F.col("t").alias("x"), F.col("t2").alias("y"))
-    found = others.join(alike, (F.col("t") == F.col("x")) & (F.col("t2") == F.col("y"))).select("u", "d", "p", "p2")
-    conflicts = same.unionByName(found).groupBy("u", "d", "p").agg(F.collect_list("p2").alias("c"))
-    # rows an interval apart do not touch each other, so each session of a user is decided by itself
-    along = Window.partitionBy("u").orderBy("d", "p")
-    begins = F.coalesce(F.col("d") - F.lag("d").over(along) >= F.expr(f"INTERVAL {interval}"), F.lit(True))
-    sessions = conflicts.withColumn("begins", begins.cast("int")).withColumn("session", F.sum("begins").over(along))
-    order = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("d").cast("timestamp"))).alias("d"), (-F.col("p")).alias("q"), "p", "c")))
-    folded = sessions.groupBy("u", "session").agg(order.alias("rows"))
-    gone = F.aggregate("rows", F.array().cast("array<long>"), lambda acc, x: F.when(F.size(F.array_except(x["c"], acc)) > 0, F.concat(acc, F.array(x["p"].cast("long")))).otherwise(acc))
-    dropped = folded.select(F.explode(gone).alias("_gone"))
-    return df.join(dropped, F.col(pos) == F.col("_gone"), "left_anti")
+    width = df.sparkSession.range(1).select(F.expr(f"unix_micros({begin} + interval {interval}) - unix_micros({begin})")).first()[0]
+    col = lambda c: F.col(f"`{c}`")
+    rows = df.filter(col(user).isNotNull() & col(date).isNotNull() & (col(text) != "")).select(col(user).alias("u"), F.unix_micros(col(date).cast("timestamp")).alias("d"), col(pos).cast("long").alias("p"), col(text).alias("t"))
+    placed = _in_blocks(rows, width, block_rows)
+    kind = "session long, block long, d long, p long, t string, stays boolean"
+
+    def first_round(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d", "p"], ascending=False)
+        return pdf.assign(stays=decide(pdf["d"].tolist(), pdf["t"].tolist(), threshold, width))
+
+    def against(key, kept_rows: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = Kept(threshold, width)
+        for r in kept_rows.sort_values(["d", "p"], ascending=False).itertuples():
+            kept.add(r.d, Profile(r.t))
+        gone = [kept.has_similar(r.d, r.t, Profile(r.t)) for r in pdf.itertuples()]
+        return pdf.loc[gone, ["p"]]
+
+    most = placed.agg(F.max("block")).first()[0] or 0
+    if most:
+        placed = shared_table(placed, "blocks")
+    gone = None
+    for k in range(most + 1):
+        todo = placed.filter(F.col("block") == k)
+        if gone is not None:
+            todo = todo.join(gone, "p", "left_anti")
+        decided = shared_table(todo.groupBy("session").applyInPandas(first_round, kind), "decided")
+        out = decided.filter("not stays").select("p")
+        if k < most:
+            later = placed.filter(F.col("block") > k)
+            later = later if gone is None else later.join(gone, "p", "left_anti")
+            tops = later.groupBy("session", "block").agg(F.max("d").alias("top"))
+            near = decided.filter("stays").drop("block").join(tops, "session").filter(F.col("d") - F.col("top") < width).select(F.col("session").alias("s"), F.col("block").alias("b"), "d", "p", "t")
+            # only blocks that kept rows reach are asked
+            pushed = near.groupBy("s", "b").cogroup(later.groupBy("session", "block")).applyInPandas(against, "p long")
+            out = out.unionByName(pushed)
+        out = shared_table(out, "gone")
+        gone = out if gone is None else gone.unionByName(out)
+    return df.join(gone.select(F.col("p").alias("_gone")), col(pos) == F.col("_gone"), "left_anti")

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prefforge.functions import constants as k
 from prefforge.functions import numeric as n
+from prefforge.functions import text as t
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, OBJECTIVE_FIELDS
 from prefforge.operators.dedup import last_wins
 
-_REPLY = T.StructType([T.StructField(f, T.IntegerType()) for f in ["overall", *OBJECTIVE_FIELDS]] + [T.StructField("failure_modes", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())])
-
-
 def without_fences(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "(?U)" + k.FENCE_BEGIN, ""), k.FENCE_END, "")
 
@@ -47,63 +40,96 @@ def parse_flat(reply: Column) -> Column:
     )
 
 
-def _whole(value) -> int | None:
-    try:
-        got = int(value)
-    except (TypeError, ValueError, OverflowError):
-        return None
-    return got if 1 <= got <= 10 else None
+#: An unescaped quote, within a stretch of text that does not begin behind a backslash.
+_QUOTE = r'(?<!\\)(?:\\\\)*"'
+#: Values that JSON does not know, where a value stands.
+_NOT_NUMBERS = r"(?<=[:\[,]\s{0,20})-?(?:NaN|Infinity)(?=\s*[,}\]])"
+
+
+def json_objects(text: Column) -> Column:
+    """The texts from each opening brace to the one that closes it, the last opening one first; braces within strings are no
+    brackets. An opening brace within a string begins an object of its own if it is one.
+
+    The text is cut in front of each brace. How many quotes stand before a brace tells whether it is within a string as
+    seen from another one: braces see those of their own parity. Depths are prefix sums over each parity, and an object ends
+    where the depth falls below that of its beginning.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"[{}][^{}]*"), F.lit(0))
+    places = "array<struct<parity: int, depth: int, opens: boolean>>"
+    zero = F.struct(F.lit(0).alias("quotes"), F.array(F.lit(0), F.lit(0)).alias("depth"), F.array().cast(places).alias("out"))
+
+    def scan(acc: Column, part: Column) -> Column:
+        parity, opens = acc["quotes"] % 2, part.startswith("{")
+        depth = F.transform(acc["depth"], lambda d, i: d + F.when(i == parity, F.when(opens, 1).otherwise(-1)).otherwise(0))
+        quotes = acc["quotes"] + F.regexp_count(part, F.lit(_QUOTE))
+        return F.struct(quotes.alias("quotes"), depth.alias("depth"), F.concat(acc["out"], F.array(F.struct(parity.alias("parity"), depth[parity].alias("depth"), opens.alias("opens")))).alias("out"))
+
+    def objects(x: Column) -> Column:
+        numbered = F.transform(x["places"], lambda p, i: F.struct(i.alias("at"), p["parity"].alias("parity"), p["depth"].alias("depth"), p["opens"].alias("opens")))
+
+        def whole(both: Column) -> Column:
+            ends = lambda p: F.filter(both, lambda e: ~e["opens"] & (e["at"] > p["at"]) & (e["parity"] == p["parity"]) & (e["depth"] == p["depth"] - 1))
+            spans = F.transform(F.filter(both, lambda p: p["opens"]), lambda p: F.struct(p["at"].alias("at"), F.get(ends(p), F.lit(0))["at"].alias("end")))
+            return F.transform(F.reverse(F.filter(spans, lambda s: s["end"].isNotNull())), lambda s: F.concat(F.array_join(F.slice(x["parts"], s["at"] + 1, s["end"] - s["at"]), ""), F.lit("}")))
 
+        return t.bound(numbered, whole)
 
-def _modes(value) -> list[str]:
-    items = [value] if isinstance(value, str) else value if isinstance(value, list) else []
-    named = [re.sub("[ -]", "_", x.strip().lower()) for x in items if isinstance(x, str)]
-    kept = list(dict.fromkeys(x for x in named if x in ALLOWED_FAILURE_MODES))
-    return [x for x in kept if x != "none"] if len(kept) > 1 else kept
+    return t.bound(parts, lambda p: t.bound(F.struct(p.alias("parts"), F.aggregate(p, zero, scan, lambda acc: acc["out"]).alias("places")), objects))
 
 
-def _nested_objects(text: str) -> list[dict]:
-    """All JSON objects that begin at some brace, inner ones too."""
-    scan, out, at = json.JSONDecoder().raw_decode, [], text.find("{")
-    while at >= 0:
-        try:
-            got = scan(text, at)[0]
-            if isinstance(got, dict):
-                out.append(got)
-        except ValueError:
-            pass
-        at = text.find("{", at + 1)
-    return out
+def _kind(v: Column, path: str) -> Column:
+    """The type of a part of a variant; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
-@F.pandas_udf(_REPLY)
-def parse_nested(reply: pd.Series) -> pd.DataFrame:
+def _whole(v: Column, path: str) -> Column:
+    """A whole number from 1 to 10: fractions are cut, true counts as 1, a text must be a whole number."""
+    text = F.try_variant_get(v, path, "string")
+    number = F.when(_kind(v, path) == "STRING", F.when(text.rlike(r"(?U)^\s*[+-]?\d+\s*$"), F.regexp_replace(text, r"(?U)\s", "").try_cast("int"))).otherwise(F.try_variant_get(v, path, "double").try_cast("int"))
+    return F.when(number.between(1, 10), number)
+
+
+def _modes(v: Column) -> Column:
+    """Failure modes that are allowed, of a text or of the texts of a list."""
+    path = "$.failure_modes"
+    items = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    found = F.when(_kind(v, path) == "STRING", F.array(F.try_variant_get(v, path, "string"))).otherwise(items)
+    return n.normalise_modes(found, ALLOWED_FAILURE_MODES)
+
+
+def _reason(v: Column) -> Column:
+    kind, text = _kind(v, "$.reason"), F.try_variant_get(v, "$.reason", "string")
+    return F.when(kind.isNull(), F.lit("")).when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def parse_nested(reply: Column | str) -> Column:
     """The scores of the last JSON object, nested ones included, with an overall (or old-style) score from 1 to 10; else
-    those of the prose."""
-    rows = []
-    for text in reply:
-        if not text:
-            rows.append([None] * 9 + [[], "empty_response"])
-            continue
-        text = text.strip()
-        clean = re.sub(k.FENCE_END, "", re.sub(k.FENCE_BEGIN, "", text))
-        row = None
-        for found in reversed(_nested_objects(clean)):
-            overall = _whole(found.get("overall"))
-            overall = _whole(found.get("score")) if overall is None else overall
-            if overall is not None:
-                row = [overall, *[_whole(found.get(f)) for f in OBJECTIVE_FIELDS], _modes(found.get("failure_modes")), str(found.get("reason", ""))]
-                break
-        if row is None:
-            prose = re.search(k.OVERALL_IN_PROSE, clean)
-            if prose and _whole(prose[1]) is not None:
-                why = re.search(k.REASON_IN_PROSE, clean)
-                row = [_whole(prose[1]), *[None] * 8, [], why[1] if why else ""]
-        rows.append(row or [None] * 9 + [[], f"parse_failed: {text[:150]}"])
-    out = pd.DataFrame(rows, columns=["overall", *OBJECTIVE_FIELDS, "failure_modes", "reason"])
-    for c in out.columns[:9]:
-        out[c] = out[c].astype("Int32")
-    return out
+    those of the prose. Of repeated keys the last counts, and NaN and Infinity count as null."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text = F.regexp_replace(F.col(reply) if isinstance(reply, str) else reply, r"(?U)^\s+|\s+$", "")
+    objectives = ", ".join(f"{f}: int" for f in OBJECTIVE_FIELDS)
+    no_modes = F.array().cast("array<string>")
+
+    def row(overall: Column, fields: list[Column], modes: Column, reason: Column) -> Column:
+        named = [f.cast("int").alias(c) for f, c in zip(fields, OBJECTIVE_FIELDS, strict=True)]
+        return F.struct(overall.cast("int").alias("overall"), *named, modes.alias("failure_modes"), reason.alias("reason")).cast(f"struct<overall: int, {objectives}, failure_modes: array<string>, reason: string>")
+
+    nothing = [F.lit(None)] * len(OBJECTIVE_FIELDS)
+
+    def of_clean(x: Column) -> Column:
+        clean = x["clean"]
+        parsed = F.transform(json_objects(clean), lambda o: F.coalesce(F.try_parse_json(o), F.try_parse_json(F.regexp_replace(o, _NOT_NUMBERS, "null"))))
+        scored = F.transform(parsed, lambda v: F.struct(F.coalesce(_whole(v, "$.overall"), _whole(v, "$.score")).alias("overall"), v.alias("v")))
+        best = F.get(F.filter(scored, lambda s: s["overall"].isNotNull()), F.lit(0))
+        prose = _number_in(clean, k.OVERALL_IN_PROSE)
+        of = lambda s: row(s["overall"], [_whole(s["v"], f"$.{f}") for f in OBJECTIVE_FIELDS], _modes(s["v"]), _reason(s["v"]))
+        failed = row(F.lit(None), nothing, no_modes, F.concat(F.lit("parse_failed: "), F.left(x["text"], F.lit(150))))
+        told = F.when(prose.isNotNull(), row(prose, nothing, no_modes, _reason_after(clean))).otherwise(failed)
+        return t.bound(best, lambda s: F.when(s.isNotNull(), of(s)).otherwise(told))
+
+    empty = F.coalesce(F.length(reply), F.lit(0)) == 0
+    found = t.bound(F.struct(text.alias("text"), without_fences(text).alias("clean")), of_clean)
+    return F.when(empty, row(F.lit(None), nothing, no_modes, F.lit("empty_response"))).otherwise(found)
 
 
 def upsert_scores(log: DataFrame, position: str = "line_no", missing_ids: str = "skip") -> DataFrame:

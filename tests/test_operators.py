@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prefforge.functions import constants as k
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
 from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
-from prefforge.operators.dedup import _jaro, exact_first, near_dup_greedy
+from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide, exact_first, least_similar, most_similar, near_dup_greedy
 from prefforge.sources import files
 
 
@@ -110,6 +114,68 @@ def test_judge_replies(spark):
     assert deep.select(judge.parse_nested("x").alias("r")).first()["r"]["overall"] == 2
 
 
+def loop_nested(text):
+    """A reply taken apart by Python's JSON reader, which is tried at every brace."""
+    def whole(value):
+        try:
+            got = int(value)
+        except (TypeError, ValueError, OverflowError):
+            return None
+        return got if 1 <= got <= 10 else None
+
+    if not text:
+        return [None] * 9 + [[], "empty_response"]
+    text = text.strip()
+    clean = re.sub(k.FENCE_END, "", re.sub(k.FENCE_BEGIN, "", text))
+    for at in reversed([i for i, c in enumerate(clean) if c == "{"]):
+        try:
+            found = json.JSONDecoder().raw_decode(clean, at)[0]
+        except ValueError:
+            continue
+        overall = whole(found.get("overall"))
+        overall = whole(found.get("score")) if overall is None else overall
+        if overall is not None:
+            modes = found.get("failure_modes")
+            modes = [modes] if isinstance(modes, str) else modes if isinstance(modes, list) else []
+            modes = [re.sub("[ -]", "_", m.strip().lower()) for m in modes if isinstance(m, str)]
+            modes = list(dict.fromkeys(m for m in modes if m in k.ALLOWED_FAILURE_MODES))
+            return [overall, *[whole(found.get(f)) for f in k.OBJECTIVE_FIELDS], [m for m in modes if m != "none"] if len(modes) > 1 else modes, str(found.get("reason", ""))]
+    prose = re.search(k.OVERALL_IN_PROSE, clean)
+    if prose and whole(prose[1]) is not None:
+        why = re.search(k.REASON_IN_PROSE, clean)
+        return [whole(prose[1]), *[None] * 8, [], why[1] if why else ""]
+    return [None] * 9 + [[], f"parse_failed: {text[:150]}"]
+
+
+def test_nested_replies_against_a_loop(spark):
+    """Objects within objects, in strings, cut off and broken ones, and all kinds of values."""
+    rng = random.Random(12)
+    values = [lambda: str(rng.randint(-2, 12)), lambda: f'"{rng.randint(0, 11)}"', lambda: f"{rng.randint(0, 11)}.7", lambda: rng.choice(["true", "null", "1e1", "NaN", "-Infinity", '" 7 "', '"7.5"', '"x"', "[3]", "{}", '"{"', '"}"', '"a\\\\"', '"\\"{"'])]
+    keys = ["overall", "score", *k.OBJECTIVE_FIELDS[:3], "x"]
+
+    def made(depth=0):
+        pairs = [f'"{rng.choice(keys)}": {made(depth + 1) if depth < 3 and rng.random() < 0.2 else rng.choice(values)()}' for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.5:
+            pairs.append('"failure_modes": ' + rng.choice(['"Too Generic"', '["none", "magic-words", 5, null, ["none"]]', '["none"]', "[]", "7", "null", '"other"']))
+        if rng.random() < 0.6:
+            pairs.append('"reason": ' + rng.choice(['"why {not}"', '"say \\"hi\\" {"', "12", "null", "true", '"é — ok"', '"{\\"score\\": 3}"', "\'a\'"]))
+        rng.shuffle(pairs)
+        return "{" + rng.choice([", ", ",", ",\n "]).join(pairs) + "}"
+
+    texts = ["", None, "   ", "{", "}{", '{"overall": 3', "overall: 7", "overall = 17"]
+    for _ in range(1500):
+        parts = [rng.choice(["", "Sure! ", "```json\n", 'he said "', "{", "}", "overall: 4 ", '"reason": "p"', "\u2003"]), made(), rng.choice(["", "\n```", " then ", '" {', "}"]), made() if rng.random() < 0.4 else "", rng.choice(["", " ", "}", " }]"])]
+        text = "".join(parts)
+        texts.append(text[: rng.randint(1, len(text))] if rng.random() < 0.15 else text)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    parsed = df.select("i", judge.parse_nested("x").alias("r"))
+    assert "Python" not in parsed._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: list(r["r"]) for r in parsed.collect()}
+    wrong = [(t, got[i], loop_nested(t)) for i, t in enumerate(texts) if got[i] != loop_nested(t)]
+    assert not wrong, (len(wrong), wrong[:3])
+    assert sum(r[0] is not None for r in got.values()) > 500
+
+
 def test_upsert_and_cache(spark):
     log = spark.createDataFrame([(0, 1, 1, 4, None), (1, 1, 1, None, 9), (2, None, 2, 5, None), (3, 2, 1, 77, None)], "line_no int, prompt_id int, candidate_id int, score int, overall int")
     got = {(r["prompt_id"], r["candidate_id"]): r["overall"] for r in judge.upsert_scores(log).collect()}
@@ -175,17 +241,60 @@ def test_best_worst_ties(spark):
     assert {r["reason"]: r["n"] for r in pairs.best_worst_skips(df).collect()} == {"no_scores": 1}
 
 
-def test_near_duplicates_against_a_loop(spark):
-    rng = random.Random(2)
-    words = ["a red cat", "a red cap", "blue dog", "a red catt", "the sea", ""]
-    rows = [(i, f"u{rng.randint(0, 5)}", rng.randint(0, 20_000), rng.choice(words)) for i in range(300)]
-    df = spark.createDataFrame(rows, "pos long, username string, s long, content string").withColumn("date", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+def loop_near(rows, width=3600, threshold=0.6):
+    """pos of the rows (pos, user, second, text) that stay, one after the other."""
     kept = []
-    for r in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True):
-        if not any(k[1] == r[1] and 0 <= k[2] - r[2] < 3600 and _jaro(r[3], k[3]) > 0.6 for k in kept):
+    for r in sorted((r for r in rows if None not in r[1:]), key=lambda r: (r[2], r[0]), reverse=True):
+        if not any(k[1] == r[1] and 0 <= k[2] - r[2] < width and _jaro(r[3], k[3]) > threshold for k in kept):
             kept.append(r)
-    got = {r["pos"] for r in near_dup_greedy(df, "username", "date", "content", "pos").collect()}
-    assert got == {k[0] for k in kept}
+    return {k[0] for k in kept} | {r[0] for r in rows if None in r[1:]}
+
+
+def near_frame(spark, rows):
+    return spark.createDataFrame(rows, "pos long, username string, s long, content string").withColumn("date", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+
+
+@pytest.mark.parametrize("block_rows", [20, 4096])
+def test_near_duplicates_against_a_loop(spark, block_rows):
+    """Users with pauses and without, in blocks of every size; repeated and missing values."""
+    rng = random.Random(2)
+    words = ["a red cat", "a red cap", "blue dog", "a red catt", "the sea", "", "qwertz", "zzz", "é漢", "xylophone of brass", None]
+    rows = [(i, f"u{rng.randint(0, 5)}", rng.randint(0, 20_000), rng.choice(words)) for i in range(300)]
+    rows += [(1000 + i, "busy", 10 * i, "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9)))) for i in range(120)]
+    rows += [(2000, None, 5, "a red cat"), (2001, "u1", None, "a red cat"), (2002, "u1", 9, None)]
+    got = {r["pos"] for r in near_dup_greedy(near_frame(spark, rows), "username", "date", "content", "pos", block_rows=block_rows).collect()}
+    assert got == loop_near(rows)
+    assert near_dup_greedy(near_frame(spark, []), "username", "date", "content", "pos").count() == 0
+
+
+def test_a_user_with_many_rows_in_an_hour(spark):
+    """No task visits more than a block: the rows of one user and hour are dealt to blocks."""
+    rng = random.Random(4)
+    rows = [(i, "one", rng.randint(0, 3599), f"{rng.choice(['cat', 'DOG', '1234', '....'])} {rng.randint(0, 300)}") for i in range(1200)]
+    got = {r["pos"] for r in near_dup_greedy(near_frame(spark, rows), "username", "date", "content", "pos", block_rows=400).collect()}
+    assert got == loop_near(rows)
+    blocks = _in_blocks(near_frame(spark, rows).select(F.col("username").alias("u"), F.unix_micros("date").alias("d"), F.col("pos").alias("p"), F.col("content").alias("t")), 3_600_000_000, 400)
+    assert sorted(r["count"] for r in blocks.groupBy("session", "block").count().collect()) == [400] * 3
+
+
+def test_bounds_decide_about_most_pairs():
+    """The bounds hold, and few pairs of ordinary texts need the similarity itself."""
+    rng = random.Random(6)
+    common = "the of and to in is that was for with are this be by a red cat sat on mat under blue sky".split()
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(1, 60))) for _ in range(60)] + [f"{rng.random()}" for _ in range(20)] + ["漢字" * 9, "abc", "cab", "z"]
+    profiles = [Profile(t) for t in texts]
+    counts, lengths = np.array([p.counts for p in profiles]), np.array([float(p.n) for p in profiles])
+    for p in profiles:
+        most = most_similar(counts, lengths, p)
+        for q, m in zip(profiles, most, strict=True):
+            assert least_similar(p, q) - 1e-9 <= _jaro(p.text, q.text) <= m + 1e-9
+    exact = pairs = 0
+    for width in (1, 5, 40):
+        kept = Kept(0.6, width)
+        stay = decide(list(range(len(texts), 0, -1)), texts, 0.6, width, kept)
+        exact, pairs = exact + kept.exact, pairs + kept.pairs
+        assert [t for t, s in zip(range(len(texts)), stay, strict=True) if s] == sorted(loop_near([(i, "u", len(texts) - i, t) for i, t in enumerate(texts)], width))
+    assert pairs > 50 and exact <= pairs / 4
 
 
 def slow_jaro(a: str, b: str) -> float:

@@ -82,12 +82,22 @@ def top_reward(wide: DataFrame, column: str, least: float = 0.9) -> DataFrame:
 
 
 def degenerate(texts: DataFrame, key: str, column: str, share: float = 0.6, least: int = 5) -> DataFrame:
-    """(key, n_tokens, top_share, degenerate): whether one token is more than `share` of more than `least` tokens."""
-    rows = texts.select(F.col(key), F.explode_outer(t.tokens(F.col(column))).alias("token"))
-    counts = rows.groupBy(key, "token").agg(F.count("token").alias("n"))
-    out = counts.groupBy(key).agg(F.sum("n").alias("n_tokens"), F.max("n").alias("top"))
-    top = F.when(F.col("n_tokens") > 0, F.col("top") / F.nullif(F.col("n_tokens"), F.lit(0))).otherwise(0.0)
-    return out.select(key, "n_tokens", top.alias("top_share"), ((F.col("n_tokens") > least) & (top > share)).alias("degenerate"))
+    """(key, n_tokens, top_share, degenerate): whether one token is more than `share` of more than `least` tokens. A text's
+    tokens are counted within its row: sorted, equal ones follow each other."""
+
+    def counted(tokens: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+        def step(acc: Column, token: Column) -> Column:
+            run = F.when(acc["token"] == token, acc["run"] + 1).otherwise(1)
+            return F.struct(token.alias("token"), run.alias("run"), F.greatest(acc["top"], run).alias("top"))
+
+        return F.struct(F.size(tokens).cast("long").alias("n"), F.aggregate(F.array_sort(tokens), start, step, lambda acc: acc["top"]).cast("long").alias("top"))
+
+    found = texts.select(key, t.bound(F.coalesce(t.tokens(F.col(column)), F.array().cast("array<string>")), counted).alias("c"))
+    n_tokens = F.col("c.n")
+    top = F.when(n_tokens > 0, F.col("c.top") / F.nullif(n_tokens, F.lit(0))).otherwise(0.0)
+    return found.select(key, n_tokens.alias("n_tokens"), top.alias("top_share"), ((n_tokens > least) & (top > share)).alias("degenerate"))
 
 
 def check_rows(checks: list[tuple[str, Column, Column]]) -> Column:

@@ -57,25 +57,59 @@ def with_candidates(df: DataFrame, prompt: str, k: int = 8, generate: Callable[[
     return df.mapInPandas(run, schema)
 
 
-def with_replies(df: DataFrame, column: str, judge: Callable[[str], str] = stub_judge, concurrency: int = 10, tries: int = 4, wait: float = 1.0) -> DataFrame:
-    """df with the judge's reply to each text and an error column: a call is tried again after wait * 2**n seconds, and one
-    that fails for good makes a row without reply, never an exception."""
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+class RateLimited(Exception):
+    """The judge asks for fewer calls."""
+
+
+class NoConnection(Exception):
+    """The judge was not reached."""
+
+
+class Refused(Exception):
+    """The judge answered with an HTTP status of 400 or more."""
+
+    def __init__(self, status: int, text: str = ""):
+        super().__init__(text or str(status))
+        self.status = status
+
 
-    def ask(text: str) -> tuple[str | None, str | None]:
-        for k in range(tries):
-            try:
-                return judge(text), None
-            except Exception as e:  # noqa: BLE001  any failure of a remote call becomes a row
-                if k + 1 == tries:
-                    return None, f"{type(e).__name__}: {e}"
-                time.sleep(wait * 2**k)
-        return None, "not tried"
+#: What a call ended with: a reply, or a reason.
+Answer = tuple[str | None, str | None]
+
+
+def ask(judge: Callable[[str], str], text: str, tries: int = 4, wait: Callable[[float], None] = time.sleep) -> Answer:
+    """A reply, or the reason why there is none. Calls that were limited or not connected, and those that a server failed
+    (status 500 or more), are made again after 1, 2, 4, ... seconds; what is refused (status 400 to 499), what a server
+    fails the last time, and every other error is a failed row at once."""
+    for k in range(tries):
+        try:
+            return judge(text), None
+        except (RateLimited, NoConnection):
+            wait(2**k)
+        except Refused as e:
+            if e.status < 500 or k + 1 == tries:
+                return None, f"api_error_{e.status}: {e}"
+            wait(2**k)
+        except Exception as e:  # noqa: BLE001  any other failure of a remote call becomes a row
+            return None, f"error: {type(e).__name__}: {e}"
+    return None, "max_retries_exceeded"
+
+
+def with_replies(df: DataFrame, column: str, judge: Callable[[str], str] = stub_judge, concurrency: int = 10, tries: int = 4, tasks: int | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """df with the judge's reply to each text and an error column (see `ask`): a failed call is a row without reply, never an
+    exception.
+
+    concurrency bounds the calls of all tasks together: rows go to `tasks` partitions (by default as many as can run at
+    once, at most `concurrency`), and each makes its share of calls at a time.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    tasks = max(1, min(tasks or df.sparkSession.sparkContext.defaultParallelism, concurrency))
+    at_once = concurrency // tasks
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(concurrency) as pool:
+        with ThreadPoolExecutor(at_once) as pool:
             for pdf in frames:
-                got = list(pool.map(ask, pdf[column].tolist()))
+                got = list(pool.map(lambda x: ask(judge, x, tries, wait), pdf[column].tolist()))
                 yield pdf.assign(reply=[g[0] for g in got], error=[g[1] for g in got])
 
-    return df.mapInPandas(run, schema)
+    return df.repartition(tasks).mapInPandas(run, schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
-from prefforge.functions.tables import running
+from prefforge.functions.tables import number_rows, running, shared_table
 
 
 def pack_blocks(df: DataFrame, tokens: str, position: str, block: int, batch_rows: int = 1000) -> DataFrame:
@@ -78,10 +80,31 @@ def sweep_best(runs: DataFrame) -> DataFrame:
     return runs.agg(F.min(F.struct("loss", "run")).alias("b")).select("b.run", "b.loss")
 
 
-def hyperband_stop(runs: DataFrame, rung: str = "rung", loss: str = "loss", eta: int = 3) -> DataFrame:
-    """Which runs stop at each rung: all but the best 1/eta."""
-    part = F.ntile(eta).over(Window.partitionBy(rung).orderBy(loss, "run"))
-    return runs.withColumn("stopped", part > 1)
+def hyperband_stop(steps: DataFrame, min_iter: int = 20, eta: int = 3, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
+    """(run, rung, at_step, loss, stopped) by successive halving: rungs are at min_iter, min_iter * eta, ... steps, and at each
+    one the best 1/eta (rounded up; ties: the first name) of the runs that got there without being stopped go on, the others
+    stop. A run's loss at a rung is that of its last step up to it; runs that end before a rung are not decided there.
+
+    Rungs are visited one after the other, as a run that stops takes no part in later ones; places come from range sorts, so
+    there may be any number of runs.
+    """
+    # one row for each run and rung that it reaches, from one pass over the steps
+    last = steps.agg(F.max(step)).first()[0]
+    rungs = []
+    while last is not None and min_iter * eta ** len(rungs) <= last:
+        rungs.append(min_iter * eta ** len(rungs))
+    known = [F.max_by(F.when(F.col(step) <= r, F.col(loss)), F.when(F.col(step) <= r, F.col(step))).alias(f"_{i}") for i, r in enumerate(rungs)]
+    alive = shared_table(steps.groupBy(F.col(run).alias("run")).agg(F.max(step).alias("_last"), *known), "runs")
+    out = []
+    for i, r in enumerate(rungs):
+        here = alive.filter(F.col("_last") >= r).select("run", F.struct(F.col(f"_{i}").alias("loss"), "run").alias("_place"))
+        ranked, n_runs = number_rows(here, "_place")
+        decided = ranked.select("run", F.lit(i).alias("rung"), F.lit(r).cast("long").alias("at_step"), F.col("_place.loss").alias("loss"), (F.col("at") >= -(-n_runs // eta)).alias("stopped"))
+        out.append(shared_table(decided, "rung"))
+        alive = alive.join(out[-1].filter("not stopped").select("run"), "run", "left_semi")
+    if not out:
+        return alive.select("run", F.lit(0).alias("rung"), F.col("_last").cast("long").alias("at_step"), F.lit(None).cast("double").alias("loss"), F.lit(False).alias("stopped")).limit(0)
+    return reduce(DataFrame.unionByName, out)
 
 
 def with_replacement(df: DataFrame, place: str, n_rows: int, draws: DataFrame) -> DataFrame:

@@ -78,6 +78,7 @@ SELECT DISTINCT concat('d', cast(p_partkey % 17 as string)) AS descr, concat('p'
     "label_log": "SELECT o_orderkey AS line_no, concat('prompt ', cast(o_orderkey % 5000 as string)) AS prompt, case when o_orderkey % 7 = 0 then '_no_object' else o_orderpriority end AS description, o_custkey % 100 AS tokens FROM {orders}",
     "token_logps": "SELECT doc_id, cast(0 - (doc_id * 7) % 50 - 1 as double) / 10 AS chosen_logp, cast(0 - (doc_id * 13) % 60 - 1 as double) / 10 AS rejected_logp, cast(0 - (doc_id * 3) % 40 - 1 as double) / 10 AS ref_chosen_logp, cast(0 - (doc_id * 11) % 45 - 1 as double) / 10 AS ref_rejected_logp FROM {documents}",
     "runs": "SELECT concat('run', cast(s_suppkey as string)) AS run, s_suppkey % 4 AS rung, cast((s_suppkey * 37) % 101 as double) / 20 AS loss FROM {supplier}",
+    "run_steps": "SELECT concat('run', cast(s_suppkey as string)) AS run, t.step, cast((s_suppkey * 37 + t.step * 13) % 101 as double) / 20 + 100.0 / t.step AS loss FROM {supplier} CROSS JOIN (VALUES (5), (20), (40), (60), (150), (180), (240), (540)) AS t(step) WHERE t.step <= 5 + (s_suppkey * 53) % 700",
     "review": "SELECT doc_id, concat(source, ' ', split_part(text, '.', 1), '</s>') AS prompt, text AS sft, concat('a ', lang, ' picture of ', text, case when doc_id % 4 = 0 then ' 8k Artstation by greg rutkowski HD' else '' end) AS dpo FROM {documents}",
 }
 _NAMES = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

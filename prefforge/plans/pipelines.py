@@ -23,6 +23,7 @@ from prefforge.plans.registry import QUERIES, SQL, register, scalar
 from prefforge.plans.relational import _rounded
 from prefforge.plans.scalars import _GLUE, _T, _WORDS, _enc, _grams, _hits, _ids, _ratio, one_byte
 from prefforge.sources import files as fs
+from prefforge.sources.onefile import write_one_file
 from prefforge.streaming.score_log import current_scores, read_score_stream, upsert_stream, windowed_means
 
 C = F.col
@@ -141,6 +142,42 @@ register(
     "SELECT prompt_id AS i, concat('## Pair ', cast(prompt_id + 1 as string), chr(10), chr(10), '**Prompt**: `', prompt, '`', chr(10), chr(10), '**Chosen** (', cast(overall as string), '): ', expansion, chr(10), chr(10), '**Rejected** (', cast(fidelity as string), '): ', reason, chr(10), chr(10)) AS block FROM {judged} WHERE candidate_id = 0 AND overall IS NOT NULL AND fidelity IS NOT NULL ORDER BY prompt_id LIMIT 100",
 )
 
+# files: what is written is read back line by line
+def _file(get, blocks, ends="\n"):
+    path = _path(blocks, "one") + ".txt"
+    write_one_file(blocks, "place", "block", path)
+    return fs.read_lines(blocks.sparkSession, path, ends)
+
+
+def _lines_of(blocks: str, head: str = "") -> str:
+    """SQL of the lines of blocks (place, block), each of which ends with a line break."""
+    cut = "string_split(left(block, length(block) - 1), chr(10))"
+    return f"{head} SELECT cast(row_number() OVER (ORDER BY place, k) - 1 AS bigint) AS line_no, line AS value FROM (SELECT place, unnest({cut}) AS line, unnest(range(len({cut}))) AS k FROM ({blocks}))"
+
+
+def _scored_pairs(get):
+    rows = get("judged").filter("candidate_id = 0 and overall is not null")
+    side = lambda *names: F.struct(*[C(c) for c in names])
+    return rows.select(C("prompt_id").alias("i"), "prompt", C("expansion").alias("chosen"), C("overall").alias("chosen_score"), side("fidelity", "style_fit").alias("chosen_scores"), C("reason").alias("rejected"), C("coherence").alias("rejected_score"), side("coherence", "brevity_control").alias("rejected_scores"))
+
+
+def _sql_scores(names: list[str], gap: str) -> str:
+    return "concat('{{', chr(10), " + ", ',', chr(10), ".join(f"""'{gap}  "{c}": ', coalesce(cast({c} as string), 'null')""" for c in names) + f", chr(10), '{gap}}}}}')"
+
+
+_JUDGED_PAIRS = "FROM {judged} WHERE candidate_id = 0 AND overall IS NOT NULL ORDER BY prompt_id LIMIT"
+_JSON_BLOCKS = f"""SELECT prompt_id AS place, concat('{{{{', chr(10), '  "prompt": ', to_json(prompt), ',', chr(10), '  "chosen": ', to_json(expansion), ',', chr(10), '  "chosen_score": ', cast(overall as string), ',', chr(10), '  "chosen_scores": ', {_sql_scores(["fidelity", "style_fit"], "  ")},
+  ',', chr(10), '  "rejected": ', to_json(reason), ',', chr(10), '  "rejected_score": ', cast(coherence as string), ',', chr(10), '  "rejected_scores": ', {_sql_scores(["coherence", "brevity_control"], "  ")}, chr(10), '}}}}', chr(10), chr(10)) AS block {_JUDGED_PAIRS} 50"""
+_MD_BLOCKS = f"""SELECT cast(-1 as bigint) AS place, concat('# DPO Pair Audit Sample', chr(10), chr(10), 'Showing first ', cast(count(*) as string), ' pairs. Manually inspect these before training.', chr(10), chr(10)) AS block FROM (SELECT 1 {_JUDGED_PAIRS} 100)
+UNION ALL SELECT row_number() OVER (ORDER BY prompt_id) - 1, concat('## Pair ', cast(row_number() OVER (ORDER BY prompt_id) as string), chr(10), chr(10), '**Prompt**: `', prompt, '`', chr(10), chr(10), '**Chosen** (', cast(overall as string), '): ', expansion, chr(10), chr(10), '**Rejected** (', cast(coherence as string), '): ', reason, chr(10), chr(10),
+  '**Chosen scores**:', chr(10), chr(10), '```json', chr(10), {_sql_scores(["fidelity", "style_fit"], "")}, chr(10), '```', chr(10), chr(10), '**Rejected scores**:', chr(10), chr(10), '```json', chr(10), {_sql_scores(["coherence", "brevity_control"], "")}, chr(10), '```', chr(10), chr(10)) FROM (SELECT * {_JUDGED_PAIRS} 100)"""
+register("file_audit_json", lambda get: _file(get, fs.audit_json_blocks(_scored_pairs(get), "i", 50)), _lines_of(_JSON_BLOCKS))
+register("file_audit_md", lambda get: _file(get, fs.audit_markdown_blocks(_scored_pairs(get), "i", 100)), _lines_of(_MD_BLOCKS))
+register(
+    "file_text_concat", lambda get: _file(get, lab.sft_strings(get("label_log")).select(C("line_no").alias("place"), C("text").alias("block")), "<endoftext>"),
+    "SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, concat('[BOS]', description, ' = ', prompt) AS value FROM {label_log} WHERE description <> '_no_object'",
+)
+
 # judge replies
 _FLAT = """SELECT doc_id, case (doc_id % 6) when 5 then null else ov end AS score, case (doc_id % 6) when 0 then concat('fine ', cast(doc_id as string)) when 1 then 'fenced' when 2 then 'second' when 3 then 'valid' when 4 then 'prose' else 'parse_failed: no idea at all' end AS reason
 FROM (SELECT doc_id, 1 + (doc_id * doc_id + 3 * cast(floor(doc_id / 8) as bigint)) % 10 AS ov FROM {documents})"""
@@ -323,12 +360,11 @@ _JSON = lambda s: ", ',', chr(10), ".join(f"""'    "{k}": ', cast({s}_{k} as str
 _HEAD = "concat(" + ", chr(10), ".join(f"'{x}'" for x in fs.REVIEW_HEAD.split("\n")) + ")"
 _EXAMPLE = f"""concat('## Example ', cast(place + 1 as string), chr(10), chr(10), '**Prompt**: `', prompt, '`', chr(10), chr(10), '**SFT output**', chr(10), chr(10), '> ', sft, chr(10), chr(10), '**DPO output**', chr(10), chr(10), '> ', dpo, chr(10), chr(10), '**Flags**', chr(10), chr(10), '```json', chr(10),
   '{{{{', chr(10), '  "sft": {{{{', chr(10), {_JSON('sft')}, chr(10), '  }}}},', chr(10), '  "dpo": {{{{', chr(10), {_JSON('dpo')}, chr(10), '  }}}}', chr(10), '}}}}', chr(10), '```', chr(10), chr(10))"""
-register(
-    "snk_layer3_md",
-    _markdown,
-    f"""WITH r AS MATERIALIZED ({_REVIEWED}), o AS (SELECT *, cast(row_number() OVER (ORDER BY round(sft_risk, 6) - round(dpo_risk, 6), -round(dpo_risk, 6), doc_id) - 1 as bigint) AS place FROM r)
-SELECT cast(-1000 as bigint) AS place, {_HEAD} AS block UNION ALL SELECT cast(i - 100 as bigint), concat(printf('| %s | %.3f | %.3f |', metric, sft, dpo), chr(10), case when i = {len(ev.FLAGS) - 1} then chr(10) else '' end) FROM ({_AVG(6)}) UNION ALL SELECT place, {_EXAMPLE} FROM o""",
-)
+_REPORT = f"""WITH r AS MATERIALIZED ({_REVIEWED}), o AS (SELECT *, cast(row_number() OVER (ORDER BY round(sft_risk, 6) - round(dpo_risk, 6), -round(dpo_risk, 6), doc_id) - 1 as bigint) AS place FROM r)
+SELECT cast(-1000 as bigint) AS place, {_HEAD} AS block UNION ALL SELECT cast(i - 100 as bigint), concat(printf('| %s | %.3f | %.3f |', metric, sft, dpo), chr(10), case when i = {len(ev.FLAGS) - 1} then chr(10) else '' end) FROM ({_AVG(6)}) UNION ALL SELECT place, {_EXAMPLE} FROM o"""
+register("snk_layer3_md", _markdown, _REPORT)
+_REPORT_HEAD, _REPORT_ROWS = _REPORT.split("\nSELECT cast(-1000", 1)
+register("file_layer3_md", lambda get: _file(get, _markdown(get)), _lines_of("SELECT cast(-1000" + _REPORT_ROWS, _REPORT_HEAD))
 
 # packing
 def _packed(get):

@@ -284,7 +284,15 @@ def _numbered(get):
 
 register("win_row_index", _numbered, "SELECT image_name, row_number() OVER (ORDER BY image_name) - 1 AS at FROM {img_map}")
 register("win_group_size", lambda get: get("img_map").select("img_idx", F.count(F.lit(1)).over(Window.partitionBy("descr", "prompt")).alias("n")), "SELECT img_idx, count(*) OVER (PARTITION BY descr, prompt) AS n FROM {img_map}")
-register("win_hyperband_stop", lambda get: tr.hyperband_stop(get("runs")).select("run", "stopped"), "SELECT run, ntile(3) OVER (PARTITION BY rung ORDER BY loss, run) > 1 AS stopped FROM {runs}")
+def _rung(i: int) -> str:
+    """SQL of rung i: the runs that are alive and get there, with the loss of their last step up to it, and whether they stop."""
+    at, before = 20 * 3**i, "SELECT run FROM {run_steps}" if i == 0 else f"SELECT run FROM r{i - 1} WHERE NOT stopped"
+    loss = f"(SELECT run, arg_max(loss, step) AS loss FROM {{run_steps}} WHERE step <= {at} GROUP BY run)"
+    ranked = f"SELECT l.run, l.loss, row_number() OVER (ORDER BY l.loss, l.run) AS n, count(*) OVER () AS c FROM {loss} l JOIN (SELECT run FROM {{run_steps}} GROUP BY run HAVING max(step) >= {at}) g ON g.run = l.run WHERE l.run IN ({before})"
+    return f"r{i} AS MATERIALIZED (SELECT run, {i} AS rung, cast({at} as bigint) AS at_step, round(loss, 6) AS loss, n > ceil(c / 3) AS stopped FROM ({ranked}))"
+
+
+register("win_hyperband_stop", lambda get: _rounded(tr.hyperband_stop(get("run_steps")), "loss"), "WITH " + ", ".join(map(_rung, range(4))) + " " + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(4)))
 _KEY = "(img_idx * 7919 + 17) % 1009"
 register("win_group_random", lambda get: rw.one_of_group(get("img_map").withColumn("k", F.expr(_KEY)), "descr", F.struct("k", "img_idx")).select("descr", "prompt"), f"SELECT descr, prompt FROM (SELECT *, row_number() OVER (PARTITION BY descr ORDER BY {_KEY}, img_idx) AS n FROM {{img_map}}) WHERE n = 1")
 

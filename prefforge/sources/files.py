@@ -48,9 +48,11 @@ def read_channels(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return df.drop("channel").join(numbers, "_file").drop("_file").toDF(*[c.lower() for c in df.columns if c not in ("_file", "channel")], "channel")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of the lines of a text, numbered from 0 by file and place; large files are read in splits."""
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i")).alias("place"))
+def read_lines(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
+    """(line_no, value) of the lines of a text, numbered from 0 by file and place; large files are read in splits. ends: what
+    ends a line, if only that does."""
+    reader = spark.read if ends is None else spark.read.option("lineSep", ends)
+    lines = reader.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i")).alias("place"))
     numbered, _ = number_rows(lines, "place")
     return numbered.select(F.col("at").alias("line_no"), "value")
 
@@ -164,6 +166,53 @@ def audit_json(pairs: DataFrame, position: str, n_rows: int = 50) -> DataFrame:
     return first_rows(pairs, position, n_rows).select(position, F.to_json(F.struct(*cols), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
 
 
+def json_value(x: Column) -> Column:
+    """A value as JSON."""
+    text = F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(text, F.lit(6), F.length(text) - 6)
+
+
+def pretty_json(x: Column, kind: T.DataType, level: int = 0) -> Column:
+    """A value as JSON, two blanks a level; a null struct is an empty object."""
+    if not isinstance(kind, T.StructType):
+        return json_value(x)
+    gap = "  " * (level + 1)
+    fields = [F.concat(F.lit(f'{gap}"{f.name}": '), pretty_json(x[f.name], f.dataType, level + 1)) for f in kind.fields]
+    return F.when(x.isNull(), F.lit("{}")).otherwise(F.concat(F.lit("{\n"), F.concat_ws(",\n", *fields), F.lit("\n" + "  " * level + "}")))
+
+
+def audit_json_blocks(pairs: DataFrame, position: str, n_rows: int = 50) -> DataFrame:
+    """(place, block): each of the first pairs as JSON with a blank line behind it; the blocks in order are the file. Letters
+    beyond ASCII are written as they are. position is unique."""
+    cols = [c for c in pairs.columns if c != position]
+    row = F.struct(*cols)
+    kind = T.StructType([pairs.schema[c] for c in cols])
+    return first_rows(pairs, position, n_rows).select(F.col(position).cast("long").alias("place"), F.concat(pretty_json(row, kind), F.lit("\n\n")).alias("block"))
+
+
+#: Heading and prose of the audit file.
+AUDIT_HEAD = """# DPO Pair Audit Sample
+
+Showing first %d pairs. Manually inspect these before training.
+
+"""
+
+
+def audit_markdown_blocks(pairs: DataFrame, position: str, n_rows: int = 100) -> DataFrame:
+    """(place, block): the head and a block for each of the first pairs, with the scores of both sides (chosen_scores and
+    rejected_scores, structs) as JSON; the blocks in order are the file. position is unique."""
+    numbered, total = number_rows(first_rows(pairs, position, n_rows), position)
+
+    scores = lambda side: F.concat(F.lit("```json\n"), pretty_json(F.col(side), pairs.schema[side].dataType), F.lit("\n```\n\n"))
+    c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
+    block = F.concat(
+        F.lit("## Pair "), (F.col("at") + 1).cast("string"), F.lit("\n\n**Prompt**: `"), c("prompt"), F.lit("`\n\n**Chosen** ("), c("chosen_score"), F.lit("): "), c("chosen"),
+        F.lit("\n\n**Rejected** ("), c("rejected_score"), F.lit("): "), c("rejected"), F.lit("\n\n**Chosen scores**:\n\n"), scores("chosen_scores"), F.lit("**Rejected scores**:\n\n"), scores("rejected_scores"),
+    )
+    head = pairs.sparkSession.createDataFrame([(-1, AUDIT_HEAD % total)], "place long, block string")
+    return head.unionByName(numbered.select(F.col("at").alias("place"), block.alias("block")))
+
+
 def audit_markdown(pairs: DataFrame, position: str, n_rows: int = 100) -> DataFrame:
     """(position, block): a Markdown block for each of the first pairs."""
     rows = first_rows(pairs, position, n_rows)

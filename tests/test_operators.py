@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
 
@@ -18,6 +19,7 @@ from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, s
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide, exact_first, least_similar, most_similar, near_dup_greedy
 from prefforge.sources import files
+from prefforge.sources.onefile import write_one_file
 
 
 def one(spark, column, value, kind="string"):
@@ -412,6 +414,31 @@ def test_files(spark, tmp_path):
         files.read_text(spark, "x.parquet")
 
 
+def test_errors_of_the_judge(spark):
+    """How often each class of error is tried, how long it waits, and the reason of the row."""
+    def failing(*answers):
+        """A judge that raises the answers in turn (the last one again and again), and what it was asked and waited."""
+        calls, waits = [], []
+
+        def judge_(text):
+            calls.append(text)
+            answer = answers[min(len(calls), len(answers)) - 1]
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        return (*scorer.ask(judge_, "x", 4, waits.append), len(calls), waits)
+
+    limited, refused, broken = scorer.RateLimited("429"), scorer.Refused(400, "bad request"), scorer.Refused(503, "busy")
+    assert failing(limited) == (None, "max_retries_exceeded", 4, [1, 2, 4, 8])
+    assert failing(scorer.NoConnection(), limited, "fine") == ("fine", None, 3, [1, 2])
+    assert failing(broken) == (None, "api_error_503: busy", 4, [1, 2, 4])
+    assert failing(broken, "fine") == ("fine", None, 2, [1])
+    assert failing(refused) == (None, "api_error_400: bad request", 1, [])
+    assert failing(limited, refused) == (None, "api_error_400: bad request", 2, [1])
+    assert failing(KeyError("choices")) == (None, "error: KeyError: 'choices'", 1, [])
+
+
 def test_scorers(spark):
     def flaky(text):
         if text == "bad":
@@ -419,11 +446,51 @@ def test_scorers(spark):
         return text.upper()
 
     df = spark.createDataFrame([("a",), ("bad",)], "x string")
-    got = {r["x"]: (r["reply"], r["error"]) for r in scorer.with_replies(df, "x", flaky, tries=2, wait=0.0).collect()}
-    assert got == {"a": ("A", None), "bad": (None, "OSError: down")}
+    got = {r["x"]: (r["reply"], r["error"]) for r in scorer.with_replies(df, "x", flaky).collect()}
+    assert got == {"a": ("A", None), "bad": (None, "error: OSError: down")}
+    for concurrency in (1, 3, 50):  # calls of all tasks together
+        asked = scorer.with_replies(spark.range(40).select(F.col("id").cast("string").alias("x")), "x", lambda x: x, concurrency=concurrency)
+        assert asked.rdd.getNumPartitions() * (concurrency // asked.rdd.getNumPartitions()) <= concurrency and asked.count() == 40
     assert all(-1 <= r["rm_score"] < 1 for r in scorer.with_scores(df, "x").collect())
 
 
+def test_one_file(spark, tmp_path):
+    """The file is the texts in order, whatever the partitions; after a failed task it is as it was, and no part is left."""
+    rows = [(i, f"text {i} é\n" if i % 3 else None) for i in random.Random(1).sample(range(500), 500)]
+    df = spark.createDataFrame(rows, "k int, x string").repartition(7)
+    path = f"{tmp_path}/out/report.md"
+    write_one_file(df, "k", "x", path)
+    wanted = "".join(x or "" for _, x in sorted(rows))
+    assert open(path, encoding="utf-8").read() == wanted and os.listdir(f"{tmp_path}/out") == ["report.md"]
+    with pytest.raises(Exception, match="the writer fails"):
+        write_one_file(df.withColumn("x", F.when(F.col("k") == 400, F.raise_error(F.lit("the writer fails")).cast("string")).otherwise(F.col("x"))), "k", "x", path)
+    assert open(path, encoding="utf-8").read() == wanted and os.listdir(f"{tmp_path}/out") == ["report.md"]
+    write_one_file(df.filter("k < 0"), "k", "x", f"file://{path}")
+    assert open(path).read() == ""
+
+
+def test_pretty_json(spark):
+    df = spark.createDataFrame([(1, 'a "b"\n', None, (3, None, [1, 2]))], "k long, a string, b double, s struct<x: int, y: string, z: array<int>>")
+    block = files.audit_json_blocks(df, "k").first()["block"]
+    assert block == json.dumps({"a": 'a "b"\n', "b": None, "s": {"x": 3, "y": None, "z": [1, 2]}}, indent=2).replace("[\n      1,\n      2\n    ]", "[1,2]") + "\n\n"
+
+
+def test_successive_halving(spark):
+    rng = random.Random(3)
+    rows = [(f"r{i}", s, rng.choice([0.5, 1.0, rng.random()])) for i in range(60) for s in range(5, rng.choice([10, 30, 70, 200, 600]), 5)]
+    want, alive, rung = [], {r for r, _, _ in rows}, 20
+    for k in range(5):
+        here = sorted((max((s, x) for r, s, x in rows if r == run and s <= rung)[1], run) for run in alive if max(s for r, s, _ in rows if r == run) >= rung)
+        keep = {run for _, run in here[: -(-len(here) // 3)]}
+        want += [(run, k, rung, x, run not in keep) for x, run in here]
+        alive, rung = keep, rung * 3
+        if rung > max(s for _, s, _ in rows):
+            break
+    got = training.hyperband_stop(spark.createDataFrame(rows, "run string, step int, loss double")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r["rung"] for r in got} == {0, 1, 2, 3}
+    assert training.hyperband_stop(spark.createDataFrame([("a", 3, 1.0)], "run string, step int, loss double")).collect() == []
+
+
 def test_numbered_rows(spark):
     df, total = number_rows(spark.createDataFrame([(x,) for x in random.Random(3).sample(range(1000), 200)], "k int"), "k")
     got = [r["at"] for r in df.orderBy("k").collect()]

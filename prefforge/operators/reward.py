@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
-from prefforge.functions.tables import number_rows
+from prefforge.functions.tables import number_rows, shared_buckets, shared_table
 from prefforge.operators.dedup import exact_first, last_wins
 
+#: Different judgements (winner, loser) of a description that one task fits by itself.
+LOCAL_PAIRS = 1_000_000
+
 
 def join_prompts(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """Annotations with the prompts of their two first images (a later row of an image's name wins). Spark broadcasts the
@@ -34,13 +37,24 @@ def comparisons(annotations: DataFrame) -> DataFrame:
     return annotations.select("descr", F.when(left, F.col("left_prompt")).otherwise(F.col("right_prompt")).alias("winner"), F.when(left, F.col("right_prompt")).otherwise(F.col("left_prompt")).alias("loser"))
 
 
-def bradley_terry(wins: DataFrame, iterations: int = 100, tolerance: float = 0.0) -> DataFrame:
+def bradley_terry(wins: DataFrame, iterations: int = 100, tolerance: float = 0.0, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """(descr, prompt, score) of (descr, winner, loser): strengths that sum to 1 within a description, by the
-    minorise-maximise steps p_i <- W_i / sum_j n_ij / (p_i + p_j).
+    minorise-maximise steps p_i <- W_i / sum_j n_ij / (p_i + p_j), until none of a description moves by `tolerance`.
 
-    Wins are counted in Spark; a task gets the counts of one description, not its judgements.
+    Wins are counted in Spark. Descriptions of at most local_pairs different judgements are fitted in a task each; larger
+    ones together by steps over all their pairs, which need no more memory however many prompts one has. Both give the
+    same. Rows with a null in any column do not count.
     """
-    counts = wins.groupBy("descr", "winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+    counts = wins.filter("descr is not null and winner is not null and loser is not null").groupBy("descr", "winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+    counts = shared_table(counts, "judgements")
+    large = counts.groupBy("descr").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > local_pairs).select("descr")
+    if large.isEmpty():
+        return _fitted(counts, iterations, tolerance)
+    return _fitted(counts.join(large, "descr", "left_anti"), iterations, tolerance).unionByName(_stepped(counts.join(large, "descr", "left_semi"), iterations, tolerance))
+
+
+def _fitted(counts: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    """Each description in a task of its own."""
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         names, code = np.unique(np.concatenate([pdf["winner"], pdf["loser"]]).astype(str), return_inverse=True)
@@ -62,6 +76,41 @@ def bradley_terry(wins: DataFrame, iterations: int = 100, tolerance: float = 0.0
     return counts.groupBy("descr").applyInPandas(fit, "descr string, prompt string, score double")
 
 
+def _stepped(counts: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    """All descriptions together: a step joins the pairs with the strengths of both sides and sums up what each prompt meets.
+    Pairs are written once, dealt by one side; strengths (a number and three values for each prompt) are written at each step,
+    which cuts the lineage. Descriptions that have come to rest leave the pairs."""
+    sides = counts.select("descr", F.col("winner").alias("prompt"), F.col("n").alias("won")).unionByName(counts.select("descr", F.col("loser").alias("prompt"), F.lit(0).cast("long").alias("won")))
+    nodes = sides.groupBy("descr", "prompt").agg(F.sum("won").cast("double").alias("won")).withColumn("id", F.monotonically_increasing_id())
+    nodes = shared_table(nodes, "prompts")
+    number = lambda side, c: nodes.select("descr", F.col("prompt").alias(side), F.col("id").alias(c))
+    pairs = counts.join(number("winner", "w"), ["descr", "winner"]).join(number("loser", "l"), ["descr", "loser"])
+    # a description is known by a number too, that of one of its prompts
+    of = nodes.groupBy("descr").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("m"))
+    pairs = pairs.groupBy("descr", F.least("w", "l").alias("a"), F.greatest("w", "l").alias("b")).agg(F.sum("n").alias("n"))
+    pairs = shared_buckets(pairs.join(of.select("descr", "g"), "descr").select("a", "b", "n", "g"), "judged_pairs", "a")
+    p = shared_table(nodes.join(of, "descr").select("id", "g", "won", (1 / F.col("m")).alias("p"), F.lit(True).alias("moves")), "strengths")
+    for _ in range(iterations):
+        both = pairs.join(p.filter("moves").select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(p.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
+        share = F.col("n") / (F.col("pa") + F.col("pb"))
+        ends = both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), share.alias("s")), F.struct(F.col("b").alias("id"), share.alias("s")))).alias("e"))
+        below = ends.groupBy("e.id").agg(F.sum("e.s").alias("below"))
+        raw = p.filter("moves").join(below, "id").select("id", "g", "won", F.col("p").alias("old"), (F.col("won") / F.col("below")).alias("raw"))
+        raw = shared_table(raw, "raw-strengths")
+        total = raw.groupBy(F.col("g").alias("_g")).agg(F.sum("raw").alias("total"))
+        new = raw.join(total, F.col("g") == F.col("_g")).select("id", "g", "won", "old", (F.col("raw") / F.col("total")).alias("p"))
+        if tolerance <= 0:
+            p = shared_table(new.select("id", "g", "won", "p", F.lit(True).alias("moves")), "strengths")
+            continue
+        new = shared_table(new, "new-strengths")
+        far = new.groupBy(F.col("g").alias("_g")).agg((F.max(F.abs(F.col("p") - F.col("old"))) >= tolerance).alias("moves"))
+        rest = p.filter("not moves")
+        p = shared_table(new.join(far, F.col("g") == F.col("_g")).select("id", "g", "won", "p", "moves").unionByName(rest), "strengths")
+        if p.filter("moves").isEmpty():
+            break
+    return nodes.join(p.select("id", F.col("p").alias("score")), "id").select("descr", "prompt", "score")
+
+
 def all_pairs(scores: DataFrame) -> DataFrame:
     """(descr, left, right, y): every unordered pair of prompts of a description once, and how likely the left one wins."""
     a, b = scores.alias("a"), scores.alias("b")

@@ -7,8 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefforge.functions.tables import number_rows
 from prefforge.operators.dedup import exact_first
 
+#: Tasks that one row is exploded to.
+TASKS_AT_ONCE = 10_000
+
 
 def image_map(prompts: DataFrame, position: str, copies: int = 4, name: Column | None = None) -> DataFrame:
     """`copies` rows of each prompt: img_idx = copies * place + number in the prompt, from 0. position numbers the prompts
@@ -19,7 +23,7 @@ def image_map(prompts: DataFrame, position: str, copies: int = 4, name: Column |
 
 def n_comparisons(n: Column) -> Column:
     """int(3 * n * log2(n)), 0 for a single prompt."""
-    return F.floor(3 * n * F.log2(n)).cast("int")
+    return F.floor(3 * n * F.log2(n)).cast("long")
 
 
 def sample_comparisons(images: DataFrame, draw, order: str = "img_idx") -> DataFrame:
@@ -30,12 +34,17 @@ def sample_comparisons(images: DataFrame, draw, order: str = "img_idx") -> DataF
     images count but are dropped.
     """
     first = exact_first(images, ["descr", "prompt"], order)
-    by_descr = Window.partitionBy("descr")
-    numbered = first.withColumn("i", F.row_number().over(by_descr.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(by_descr)).select("descr", "prompt", "i", "n")
+    # places come from ranges over all descriptions, so that no description is sorted in one task
+    lined, _ = number_rows(first.select("descr", "prompt", F.struct("descr", order, "prompt").alias("_place")), "_place")
+    groups = lined.groupBy("descr").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("n"))
     size = images.groupBy("descr", "prompt").agg(F.count(F.lit(1)).alias("n_images"))
+    numbered = lined.join(groups, "descr").select("descr", "prompt", (F.col("at") - F.col("_first")).alias("i"))
     numbered = numbered.join(size, ["descr", "prompt"])
-    groups = numbered.filter("i = 0").select("descr", "n")
-    tasks = groups.filter("n > 1").withColumn("task", F.explode(F.sequence(F.lit(0), n_comparisons(F.col("n")) - 1)))
+    # tasks are dealt out by number: a row for some of them each, and these in turn to rows
+    many = groups.filter("n > 1").select("descr", "n", n_comparisons(F.col("n")).alias("_tasks"))
+    dealt = many.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_tasks") - 1) / TASKS_AT_ONCE)))).repartition("descr", "_part")
+    begin = F.col("_part") * TASKS_AT_ONCE
+    tasks = dealt.withColumn("task", F.explode(F.sequence(begin, F.least(begin + TASKS_AT_ONCE, F.col("_tasks")) - 1))).drop("_part", "_tasks")
     d = lambda salt: draw(F.col("descr"), F.col("n"), F.col("task"), salt)
     chain = F.col("task") < F.col("n") - 1
     swap = F.pmod(d(0), F.lit(2)) == 1
@@ -43,7 +52,7 @@ def sample_comparisons(images: DataFrame, draw, order: str = "img_idx") -> DataF
     # the second prompt of a drawn pair is one of the others
     other = F.pmod(F.col("a") + 1 + F.pmod(d(2), F.col("n") - 1), F.col("n"))
     b = F.when(chain, F.col("task") + 1 - swap.cast("int")).otherwise(other)
-    tasks = tasks.withColumn("a", a.cast("int")).withColumn("b", b.cast("int"))
+    tasks = tasks.withColumn("a", a.cast("long")).withColumn("b", b.cast("long"))
     side = lambda c, p: numbered.filter("n_images >= 4").select("descr", F.col("i").alias(c), F.col("prompt").alias(p))
     return tasks.join(side("a", "left"), ["descr", "a"]).join(side("b", "right"), ["descr", "b"]).select("descr", "task", "left", "right")
 

@@ -357,6 +357,32 @@ def test_bradley_terry(spark):
     assert got["a"] / got["b"] == pytest.approx(3, rel=1e-3) and got["b"] == pytest.approx(got["c"], rel=1e-3)
 
 
+@pytest.mark.parametrize(("iterations", "tolerance"), [(5, 0.0), (40, 0.02)])
+def test_large_descriptions_step_together(spark, iterations, tolerance):
+    """Strengths of descriptions that no task fits alone are those of the fit, also where some come to rest earlier."""
+    rng = random.Random(iterations)
+    wins = [(d, *rng.sample([f"{d}{i}" for i in range(m)], 2)) for d, m, k in (("x", 3, 20), ("y", 30, 300), ("z", 2, 5)) for _ in range(k)] + [("x", "x0", "x0"), (None, "a", "b"), ("x", None, "x1")]
+    df = spark.createDataFrame(wins, "descr string, winner string, loser string")
+    of = lambda rows: {(r["descr"], r["prompt"]): r["score"] for r in rows.collect()}
+    local = of(reward.bradley_terry(df, iterations, tolerance))
+    for least in (0, 5):  # all of them, and all but the smallest
+        assert of(reward.bradley_terry(df, iterations, tolerance, local_pairs=least)) == pytest.approx(local, abs=1e-9)
+    assert {d for d, _ in local} == {"x", "y", "z"}
+
+
+def test_tasks_are_dealt_by_number(spark):
+    images = [(f"d{i % 2}", f"p{i}", f"{i}_{j}", i * 4 + j) for i in range(60) for j in range(4)]
+    df = spark.createDataFrame(images, "descr string, prompt string, image_name string, img_idx long")
+    draw = lambda d, m, task, salt: F.xxhash64(d, task, F.lit(salt))
+    whole = sorted(map(str, tasks.sample_comparisons(df, draw).collect()))
+    most, tasks.TASKS_AT_ONCE = tasks.TASKS_AT_ONCE, 7
+    try:
+        assert sorted(map(str, tasks.sample_comparisons(df, draw).collect())) == whole
+    finally:
+        tasks.TASKS_AT_ONCE = most
+    assert len(whole) == 2 * tasks.expected_comparisons(30)
+
+
 def test_sampler_counts(spark):
     images = [(f"d{m}", f"d{m}p{i}", f"{m}_{i}_{j}", (m * 100 + i) * 4 + j) for m in (1, 2, 5) for i in range(m) for j in range(3 if (m, i) == (5, 4) else 4)]
     df = spark.createDataFrame(images, "descr string, prompt string, image_name string, img_idx long")

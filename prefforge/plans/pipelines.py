@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.constants import ARTIST_WORDS, MAGIC_WORDS
+from prefforge.functions.generation import register_candidates
 from prefforge.functions.tables import number_rows, shared_folder, shared_table
 from prefforge.operators import cleaning as cl
 from prefforge.operators import evaluate as ev
@@ -24,6 +25,7 @@ from prefforge.plans.relational import _rounded
 from prefforge.plans.scalars import _GLUE, _T, _WORDS, _enc, _grams, _hits, _ids, _ratio, one_byte
 from prefforge.sources import files as fs
 from prefforge.sources.onefile import write_one_file
+from prefforge.streaming.near_dup import near_dup_stream
 from prefforge.streaming.score_log import current_scores, read_score_stream, upsert_stream, windowed_means
 
 C = F.col
@@ -403,6 +405,33 @@ def _stream(get):
 register("stream_score_upsert", _stream, "SELECT prompt_id, candidate_id, coalesce(overall, score) AS overall FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, candidate_id ORDER BY line_no DESC) AS n FROM {score_log}) WHERE n = 1")
 
 
+def _stream_near(get):
+    """The messages as a stream, with a row of another user behind all others, which moves the watermark past them."""
+    rows = get("messages").filter("content is not null").select("pos", C("user_id").cast("long").alias("user"), C("date").cast("timestamp").alias("date"), t.after(C("content"), "/dream prompt:").alias("content"))
+    end = rows.agg(F.lit(-1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("user"), (F.max("date") + F.expr("interval 3 days")).alias("date"), F.lit("end").alias("content"))
+    spark, folder = rows.sparkSession, _path(rows, "messages-in")
+    rows.unionByName(end).write.parquet(folder)
+    out = _path(rows, "messages-out")
+    stream = near_dup_stream(spark.readStream.schema(rows.schema).parquet(folder), "user", "date", "content", "pos")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).filter("pos >= 0").select("pos")
+
+
+_FIRST_STAY = _NEAR.replace("ORDER BY date DESC, pos DESC", "ORDER BY date, pos").replace("b.date - a.date", "a.date - b.date")
+register("stream_near_dup", _stream_near, f"WITH RECURSIVE {_FIRST_STAY.replace('<rows>', _NEAR_ROWS)} SELECT pos FROM kept WHERE pos IN (SELECT pos FROM m WHERE body <> '')")
+
+
+def _generated(get):
+    rows = get("judged").filter("candidate_id < 2").select("prompt_id", "prompt")
+    spark = rows.sparkSession
+    register_candidates(spark, sc.stub_generate)
+    return spark.sql("SELECT prompt_id, prompt, candidate_id, expansion FROM candidates(TABLE(SELECT prompt_id, prompt FROM {rows}), 3, 'prompt', 'prompt_id')", rows=rows)
+
+
+register("udtf_candidates", _generated, "SELECT prompt_id, prompt, cast(i as integer) AS candidate_id, concat(split_part(prompt, '</s>', 1), ' variant ', cast(i as string)) AS expansion FROM (SELECT DISTINCT prompt_id, prompt FROM {judged} WHERE candidate_id < 2) CROSS JOIN range(0, 3) t(i)")
+
+
 def _stream_means(get):
     events = get("events").select(C("ts").cast("timestamp").alias("ts"), "value")
     spark, folder = events.sparkSession, _path(events, "events-in")

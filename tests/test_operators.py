@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from prefforge.functions import constants as k
 from prefforge.functions import numeric as n
 from prefforge.functions import text as t
+from prefforge.functions.generation import register_candidates
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
 from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide, exact_first, least_similar, most_similar, near_dup_greedy
 from prefforge.sources import files
 from prefforge.sources.onefile import write_one_file
+from prefforge.streaming.near_dup import near_dup_stream
 
 
 def one(spark, column, value, kind="string"):
@@ -299,6 +301,45 @@ def test_bounds_decide_about_most_pairs():
     assert pairs > 50 and exact <= pairs / 4
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_near_duplicates_of_a_stream(spark, tmp_path, batches):
+    """The earliest of similar rows stays however rows come in batches, and users leave no state an hour after."""
+    rng = random.Random(5)
+    words = ["a red cat", "a red cap", "blue dog", "a red catt", "the sea", "qwertz", "zzz", "é漢", "xylophone of brass"]
+    rows = sorted(((i, f"u{rng.randint(0, 4)}", rng.randint(0, 20_000), rng.choice(words)) for i in range(200)), key=lambda r: r[2])
+    end = [(9000, "end", 40_000, "end"), (9001, None, 39_000, "x"), (9002, "u1", 39_000, "")]
+    cuts = [rows[k * len(rows) // batches : (k + 1) * len(rows) // batches] for k in range(batches)]
+    schema = near_frame(spark, rows).drop("s").schema
+    for part in (*cuts, end):  # one file after the other
+        near_frame(spark, part).drop("s").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = near_dup_stream(source, "username", "date", "content", "pos")
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if not any(x[1] == r[1] and r[2] - x[2] < 3600 and _jaro(r[3], x[3]) > 0.6 for x in kept):
+            kept.append(r)
+    got = {r["pos"] for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    assert got == {x[0] for x in kept} and 20 < len(got) < 190
+    for name in ("kept", "waiting"):
+        left = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", name).load().select("key.u").distinct().collect()
+        assert {r["u"] for r in left} <= {"end"}
+
+
+def test_candidates_in_sql(spark):
+    register_candidates(spark, lambda prompts, k: [[f"{p} {i}" for i in range(k)] for p in prompts])
+    df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (1, "b", 0.1), (2, "a", 0.2)], "k int, x string, other double")
+    got = spark.sql("SELECT * FROM candidates(TABLE(SELECT * FROM {df}), 2, 'x', 'k')", df=df)
+    assert got.columns == ["k", "x", "other", "candidate_id", "expansion"]
+    rows = [(r["k"], r["candidate_id"], r["expansion"]) for r in got.collect()]
+    assert sorted(r[:2] for r in rows) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+    assert {r[2] for r in rows if r[0] == 1} == {"a 0", "a 1", "b 0", "b 1"}
+    for call, message in (("candidates(TABLE(SELECT * FROM {df}), 2, 'y', 'k')", "y is not one of"), ("candidates(TABLE(SELECT * FROM {df}), 0, 'x', 'k')", "k must be 1"), ("candidates(1, 2, 'x', 'k')", "take a table first")):
+        with pytest.raises(Exception, match=message):
+            spark.sql(f"SELECT * FROM {call}", df=df).collect()
+
+
 def slow_jaro(a: str, b: str) -> float:
     """The definition, place by place."""
     if not a or not b:

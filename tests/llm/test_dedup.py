@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prefforge.llm.catalog import queries
 from prefforge.llm.exact_dedup import drop_exact_copies, exact_dedup
-from prefforge.llm.line_dedup import dedup_lines, remove_lines
+from prefforge.llm.line_dedup import _places, dedup_lines, remove_lines
 from prefforge.llm.queries_exact_dedup import SQL as EXACT_SQL
 from prefforge.llm.queries_line_dedup import SQL as LINE_SQL
 from prefforge.llm.components import connected_components
@@ -223,6 +223,31 @@ def test_lines(spark):
     assert dedup_lines(frame(spark, [])).count() == 0 and remove_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Which of several rows with one id loses its lines does not depend on how they are dealt out."""
+    rows = [(7, f"A\nB\nC\n{x}", "en", "a", 0) for x in "pqrst"] + [(8, "A\nB\nC", "en", "a", 0)] * 3 + [(None, "B\nC\nD", "en", "a", 0), (None, "A\nB\nC\nD", "en", "a", 0)]
+    results = {tuple(sorted((str(r["text"]), r["doc_id"] or -1) for r in remove_lines(frame(spark, rows).repartition(n)).collect())) for n in (1, 2, 5, 9)}
+    assert len(results) == 1
+    digests = {tuple(sorted(map(str, dedup_lines(frame(spark, rows).repartition(n)).collect()))) for n in (1, 2, 5, 9)}
+    assert len(digests) == 1
+
+
+def test_window_minima_thin_out_lines(spark):
+    """Of short lines about every second one is a window minimum, and only these are sent on; each window has its minimum there."""
+    rng = random.Random(3)
+    texts = ["\n".join(f"line {rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(10)] + ["a", "a\nb", ""]
+    df = spark.createDataFrame([(x.split("\n"),) for x in texts], "x array<string>")
+    df = df.select(F.transform("x", lambda v: F.xxhash64(v)).alias("h"), F.transform("x", lambda v: F.size(F.split(v, " "))).alias("c"))
+    got = df.select(F.size("h").alias("n"), _places(F.col("h"), F.col("c"), 3, 20).alias("p"), "h").collect()
+    assert 0.4 < sum(len(r["p"]) for r in got) / sum(r["n"] for r in got) < 0.6
+    for r in got:
+        hashes = r["h"]
+        windows = sorted((p["at"] - k, p[f"m{k}"]) for p in r["p"] for k in range(3) if p[f"m{k}"] is not None)
+        assert windows == [(i, 3) for i in range(len(hashes) - 2)]
+        for p in r["p"]:
+            assert p["print"] == hashes[p["at"]] and all(min(hashes[p["at"] - k : p["at"] - k + 3]) == p["print"] for k in range(3) if p[f"m{k}"] is not None)
+
+
 def plain_strings(rows, length):
     """Results by place in rows, which are in order."""
     seen, out = set(), []

@@ -76,7 +76,7 @@ def _ratio(c: str) -> str:
 register("str_repeat_ngrams", lambda get: get("review").select("doc_id", t.repeated_ngrams(C("dpo"), 3).alias("value")), f"SELECT doc_id, len(g) - len(list_distinct(g)) AS value FROM (SELECT doc_id, {_grams('dpo')} AS g FROM {_WORDS})")
 register("str_copy_ratio", lambda get: get("review").select("doc_id", F.round(t.copy_ratio(C("prompt"), C("dpo")), 6).alias("value")), f"SELECT doc_id, round({_ratio('dpo')}, 6) AS value FROM {_WORDS}")
 scalar("str_round3", "documents", "doc_id", lambda: t.round_half_even((C("doc_id") % 1000).cast("double") / 16), "round_even(cast(doc_id % 1000 as double) / 16, 3)")
-_MIXED = "concat(case (doc_id % 6) when 0 then '' when 1 then '12 3!' when 2 then 'é–à' when 3 then 'a: b' else '' end, case when doc_id % 2 = 0 then substr(text, 1, 30) else '' end)"
+_MIXED = "concat(case (doc_id % 6) when 0 then '' when 1 then '12 3!' when 2 then 'é–à' when 3 then 'a: b' else '' end, case when doc_id % 2 = 0 then text else '' end)"
 scalar(
     "str_char_classes", "documents", "doc_id",
     lambda: {k: f(F.expr(_MIXED)) for k, f in (("non_ascii", t.all_non_ascii), ("not_alpha", t.all_not_alpha), ("odd", t.suspicious), ("some_non_ascii", t.has_non_ascii))},

@@ -92,11 +92,6 @@ def pieces_of(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _runs(first: np.ndarray, last: np.ndarray) -> bytes:
-    """Starts of repeated strings, as pairs of the first and the last of a run."""
-    return np.stack([first, last], axis=1).astype("<i8").tobytes()
-
-
 #: One piece as it travels to its class: class, piece, anchor, text, and how far before the anchor its first and its last
 #: string start.
 _PIECE = np.dtype([("h", "<u8"), ("v", "<u8"), ("x", "<u4"), ("t", "<u4"), ("a", "u1"), ("c", "u1")])
@@ -245,6 +240,67 @@ def _extract(length: int, gram: int):
     return run
 
 
+def _cells(width: int, length: int):
+    """The strings of some pieces in cells of `width` neighbouring offsets from the anchor: each is a piece of a class of its own,
+    that of the bytes which all strings of the cell have."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, order, x, a, c, raw in zip(*[batch.column(k).to_pylist() for k in ("row", "order", "x", "a", "c", "bytes")], strict=True):
+                for cell in range(c // width, a // width + 1):
+                    a_, c_ = min(a, (cell + 1) * width - 1), max(c, cell * width)
+                    # all strings of the whole cell have these bytes; a piece that has not all of the cell has them as well
+                    begin, end = a - (cell * width), a - ((cell + 1) * width - 1) + length
+                    near = raw[max(begin, 0) : min(end, len(raw))]
+                    finer = hashlib.blake2b(near, digest_size=8, salt=cell.to_bytes(4, "little"), person=width.to_bytes(4, "little")).digest()
+                    out.append((row, int.from_bytes(finer, "little", signed=True), order, x, a_, c_, raw[a - a_ : a - c_ + length]))
+            for at in range(0, len(out), 20_000):
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                columns = zip(*out[at : at + 20_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["row", "class", "order", "x", "a", "c", "bytes"])
+
+    return run
+
+
+def _as_runs(batches):
+    """(row, x, a, c) -> (row, runs)."""
+    for batch in batches:
+        x, a, c = (batch.column(k).to_numpy(zero_copy_only=False).astype("<i8") for k in ("x", "a", "c"))
+        pairs = np.stack([x - a, x - c], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([p.tobytes() for p in pairs], pa.binary())], ["row", "runs"])
+
+
+def redealt(pieces: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(row, class, order, x, a, c, bytes) -> (such pieces, of which no class has more than `most`, (row, runs) of repeated ones).
+
+    Classes of more pieces, as of a passage that many documents have in other surroundings each, are dealt to finer ones by
+    ever longer context: cells of 32, 16, ... and at last one offset, whose strings share all but as many bytes. Equal
+    pieces of a class collapse to the earliest at each step, and classes of one piece are done, so that the last step, in
+    which a class is one string, leaves none.
+    """
+    spark = pieces.sparkSession
+    names = ["row", "class", "order", "x", "a", "c", "bytes"]
+    pieces, runs = pieces.select(*names), spark.createDataFrame([], "row long, runs binary")
+    for width in (32, 16, 8, 4, 2, 1):
+        large = shared_table(pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("class"), "large-classes")
+        if large.isEmpty():
+            break
+        hot = pieces.join(large, "class", "left_semi").select(*names)
+        finer = shared_table(hot.mapInArrow(_cells(width, length), "row long, class long, order long, x long, a int, c int, bytes binary"), "finer-pieces")
+        # of equal pieces the earliest goes on; those of a class with several different ones only
+        first = finer.groupBy("class", "a", "c", "bytes").agg(F.min(F.struct("order", "row", "x")).alias("f"))
+        first = shared_table(first, "first-pieces")
+        same = first.select(F.col("class").alias("k"), F.col("a").alias("ka"), F.col("c").alias("kc"), F.col("bytes").alias("kb"), "f")
+        again = finer.join(same, (F.col("class") == F.col("k")) & (F.col("a") == F.col("ka")) & (F.col("c") == F.col("kc")) & (F.col("bytes") == F.col("kb")))
+        again = again.filter(F.struct("order", "row", "x") != F.col("f")).select("row", "x", "a", "c")
+        runs = runs.unionByName(shared_table(again.mapInArrow(_as_runs, "row long, runs binary"), "finer-runs"))
+        several = first.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class")
+        left = first.join(several, "class", "left_semi").select(F.col("f.row").alias("row"), "class", F.col("f.order").alias("order"), F.col("f.x").alias("x"), "a", "c", "bytes")
+        pieces = shared_table(pieces.join(large, "class", "left_anti").select(*names).unionByName(left), "redealt-pieces")
+    return pieces, runs
+
+
 def repeated_strings(a: np.ndarray, c: np.ndarray, parts: list[bytes], order: list[np.ndarray], x: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(piece, start) of each string of some pieces that an earlier one equals. order: arrays that order the pieces' texts,
     the least significant first; x: where the anchors stand; a, c: how far before them the first and last strings start."""
@@ -369,10 +425,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     want = classes.filter("class is not null").groupBy("row").agg(F.collect_list(F.struct("class", "x", "a", "c", "hot")).alias("want"))
     wanted = texts.join(want, texts["_row"] == want["row"]).select("_row", "_order", "_text", "want")
     pieces = shared_table(wanted.mapInArrow(_extract(length, gram), _PIECES), "suffix-pieces")
-    compared = pieces.filter("class is not null")
+    compared, finer_runs = redealt(pieces.filter("class is not null"), length, TASK_PIECES)
     tasks = max(1, -(-compared.count() // TASK_PIECES))
     repeats = shared_table(compared.groupBy(F.pmod(F.xxhash64("class"), F.lit(tasks))).applyInPandas(_compare(length), "row long, runs binary"), "suffix-repeats")
-    runs = classes.filter("runs is not null").select("row", "runs").unionByName(pieces.filter("runs is not null").select("row", "runs")).unionByName(repeats)
+    runs = classes.filter("runs is not null").select("row", "runs").unionByName(pieces.filter("runs is not null").select("row", "runs")).unionByName(repeats).unionByName(finer_runs)
     by_row = runs.groupBy("row").agg(F.collect_list("runs").alias("runs"))
     marked = texts.join(by_row, texts["_row"] == by_row["row"], "left").select("_id", "_text", "runs")
     kind = docs.schema[id_col].dataType.simpleString()

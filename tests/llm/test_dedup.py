@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from prefforge.llm import suffix_dedup as suffix_dedup_module
 from prefforge.llm.catalog import queries
 from prefforge.llm.exact_dedup import drop_exact_copies, exact_dedup
 from prefforge.llm.line_dedup import _places, dedup_lines, remove_lines
@@ -288,6 +289,27 @@ def test_strings_of_hot_classes(spark, monkeypatch):
     assert [tuple(r[1:5]) for r in got] == plain_strings(rows, 100)
 
 
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    """A passage one byte short of a string, in other surroundings each, and one that is long enough: no class stays large."""
+    rng = random.Random(9)
+    short, long = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (99, 130))
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    rows = [(i, own() + (short if i % 5 else long) + own(), "en", "a", 0) for i in range(900)]
+    rows += [(1000 + i, rows[i][1], "en", "a", 0) for i in range(20)] + [(2000 + i, rows[7][1][:90] + own(), "en", "a", 0) for i in range(40)]
+    largest, mine = [], suffix_dedup_module.redealt
+
+    def watched(pieces, length, most):
+        left, runs = mine(pieces, length, 100)
+        for x in (pieces, left):
+            largest.append(max([r["count"] for r in x.groupBy("class").count().collect()], default=0))
+        return left, runs
+
+    monkeypatch.setattr(suffix_dedup_module, "redealt", watched)
+    got = suffix_dedup(frame(spark, rows)).orderBy("doc_id").collect()
+    assert [tuple(r[1:5]) for r in got] == plain_strings(rows, 100)
+    assert largest[0] > 500 and largest[1] <= 100
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=60))
 def test_suffix_order(symbols):

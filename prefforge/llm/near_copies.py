@@ -11,10 +11,11 @@ sets decide about all that go on.
 The texts of a band first meet a pivot. Those that this leaves in different components get finer bands, 80 of 8 least hashes,
 which texts of a similarity of 0.8 all miss once in 2 * 10**6 pairs, while of texts of a similarity of 0.35, which are 38 in
 100 in a band of the first kind, 2 in 100 share one. They meet the pivot of each finer band, and only those that are still
-in different components are compared with each other. A shingle that only one of them has is in no intersection, so texts
-are not compared where their other shingles are too few for 0.8: this, which is exact, keeps texts with many changes of
-their own apart, however many have the same origin. Pairs are dealt to cells of neighbouring texts, so that least hashes and
-sets move once for each cell and not once for each pair.
+in different components are compared with each other, in blocks (see `_crowd_links`), so that there is no row for a pair. A
+shingle that only one of them has is in no intersection, so texts are left out where their other shingles are too few for
+0.8: this, which is exact, keeps texts with many changes of their own apart, however many have the same origin. Pairs with
+pivots are dealt to cells of neighbouring texts, so that least hashes and sets move once for each cell and not once for each
+pair.
 """
 
 from __future__ import annotations
@@ -299,11 +300,87 @@ def similar_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
     fresh = shared_table(fresh.join(tried, ["a", "b"], "left_anti"), "finer-pivot-pairs")
     links = shared_table(links.unionByName(_decided(fresh, texts, sketches, labels, roots)), "finer-pivot-links")
     roots = connected_components(links)
-    met = _apart(met.drop("_root"), roots)
-    others = met.select(F.col("key").alias("k"), *beyond(""))
-    pairs = met.join(others, F.col("key") == F.col("k")).filter(fits & (F.col("_node") < F.col("_other"))).select(*pair).distinct()
-    pairs = shared_table(pairs.join(tried.unionByName(fresh), ["a", "b"], "left_anti"), "pairs-apart")
-    return links.unionByName(_decided(pairs, texts, sketches, labels, roots))
+    return links.unionByName(_crowd_links(_apart(met.drop("_root"), roots), finer))
+
+
+def _crowd_links(met: DataFrame, finer: DataFrame) -> DataFrame:
+    """Links among the nodes of finer bands (key, _node, _root, ...) that are not all connected. Nodes that bands lead to from
+    each other are a crowd, whose nodes are all compared, but never as pairs in rows: a crowd is dealt to blocks of bounded
+    bytes, every two blocks meet in a task, and what leaves it is a forest of links between different components."""
+    spark = met.sparkSession
+    least = met.groupBy("key").agg(F.min("_node").alias("_to")).select(F.col("key").alias("k"), "_to")
+    star = met.join(least, F.col("key") == F.col("k")).select(F.col("_node").alias("a"), F.col("_to").alias("b"))
+    crowds = connected_components(star).select(F.col("node").alias("_c"), F.col("root").alias("_crowd"))
+    nodes = met.select("_node", "_root").distinct().join(crowds, F.col("_node") == F.col("_c")).select(F.col("_node").alias("n"), "_root", "_crowd")
+    nodes = shared_table(nodes.join(finer.select("_node", "_hashes"), F.col("n") == F.col("_node")).select("_node", "_root", "_crowd", "_hashes"), "crowds")
+    weight = F.greatest(8 * F.size("_hashes"), F.lit(LEAST_WEIGHT))
+    blocks = nodes.groupBy("_crowd").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("_blocks")).select(F.col("_crowd").alias("_of"), "_blocks")
+    block = F.pmod(F.xxhash64("_node", F.lit(13)), F.col("_blocks")).cast("int")
+    dealt = nodes.join(blocks, F.col("_crowd") == F.col("_of")).withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cell = F.xxhash64("_crowd", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("cell")
+    cells = dealt.select(cell, (F.col("_own") > F.col("_other")).alias("upper"), (F.col("_own") == F.col("_other")).alias("same"), "_node", "_root", "_hashes")
+    total = nodes.agg(F.sum(weight)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+
+    def run(held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        cell_, node, root = (held.column(c).to_numpy() for c in ("cell", "_node", "_root"))
+        upper, same = (held.column(c).to_numpy(zero_copy_only=False) for c in ("upper", "same"))
+        lists = held.column("_hashes").combine_chunks()
+        by = np.argsort(cell_, kind="stable")
+        line = cell_[by]
+        a, b = [], []
+        for own in np.split(by, np.flatnonzero(line[1:] != line[:-1]) + 1):
+            found = crowd_forest(node[own], root[own], upper[own], same[own], [lists[int(i)].values.to_numpy() for i in own])
+            a += [x for x, _ in found]
+            b += [y for _, y in found]
+        del held, lists
+        release_memory()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy(F.pmod("cell", F.lit(tasks))).applyInArrow(run, "a long, b long")
+
+
+def crowd_forest(node: np.ndarray, root: np.ndarray, upper: np.ndarray, same: np.ndarray, sets: list[np.ndarray], columns: int = 2048) -> list[tuple[int, int]]:
+    """Links that connect all components which similar texts of a cell connect. Texts of a cell of one block (same) are compared
+    with each other, those of two blocks (upper or not) with those of the other one. The numbers of shared shingles of all
+    of them are products of matrices of which shingles each has, some columns at a time; shingles of one text are in no
+    product."""
+    size = np.array([len(x) for x in sets], np.int64)
+    text = np.repeat(np.arange(len(sets)), size)
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    inside = shared[shingle]
+    text, shingle = text[inside], place[shingle[inside]]
+    by = np.argsort(shingle, kind="stable")
+    text, shingle = text[by], shingle[by]
+    one = np.flatnonzero(same) if same.any() else np.flatnonzero(upper)
+    other = one if same.any() else np.flatnonzero(~upper)
+    both = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, int(shared.sum()), columns):
+        low, high = np.searchsorted(shingle, [at, at + columns])
+        has = np.zeros((len(sets), columns), np.float32)
+        has[text[low:high], shingle[low:high] - at] = 1
+        both += has[one] @ has[other].T
+    similar = 9 * both >= 4 * (size[one][:, None] + size[other][None, :])
+    similar &= root[one][:, None] != root[other][None, :]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for i, k in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
+        i, k = int(one[i]), int(other[k])
+        x, y = top(int(root[i])), top(int(root[k]))
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[k])))
+    return out
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

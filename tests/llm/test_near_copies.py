@@ -5,7 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from prefforge.llm import near_copies as near_copies_module
+from prefforge.llm.near_copies import crowd_forest
 from tests.llm.data import documents, frame, words
 from tests.llm.test_dedup import UPPER
 
@@ -61,8 +66,37 @@ def test_near_stage_of_longer_distances(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect()} == {2 * i for i in range(30)}
 
 
-def test_near_stage_of_a_crowd(spark):
+@pytest.mark.parametrize("columns", [1, 7, 2048])
+def test_forest_of_a_cell(columns):
+    """Links of a cell connect what similar sets connect, within one block and between two."""
+    rng = np.random.default_rng(columns)
+    for trial in range(60):
+        n = int(rng.integers(2, 25))
+        base = rng.integers(0, 10**6, 60)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(48, 61))], rng.integers(10**6, 10**6 + 50, int(rng.integers(0, 6)))])) for _ in range(n)]
+        node = np.arange(100, 100 + n)
+        root = node.copy()
+        if n > 4:
+            root[3] = root[1]
+        same = np.full(n, trial % 2 == 0)
+        upper = np.zeros(n, bool) if same[0] else rng.random(n) < 0.5
+        got = crowd_forest(node, root, upper, same, sets, columns)
+        pairs = [(i, k) for i in range(n) for k in range(i) if (same[0] or upper[i] != upper[k]) and 5 * len(np.intersect1d(sets[i], sets[k])) >= 4 * len(np.union1d(sets[i], sets[k]))]
+
+        def components(links):
+            top = {int(r): int(r) for r in root}
+            for x, y in links:
+                old, new = top[int(root[x])], top[int(root[y])]
+                top = {k: new if v == old else v for k, v in top.items()}
+            return [[a for a in top if top[a] == top[b]] for b in top]
+
+        assert components([(a - 100, b - 100) for a, b in got]) == components(pairs) and len(got) < n
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 14, 4 << 20])
+def test_near_stage_of_a_crowd(spark, monkeypatch, block_bytes):
     """Copies of one text with two or three changes of their own: most pairs lie under 0.8, some copies of copies over it."""
+    monkeypatch.setattr(near_copies_module, "BLOCK_BYTES", block_bytes)
     rng = random.Random(5)
     origin, texts = words(rng, 120, 10**6), []
     for _ in range(60):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,40 +99,61 @@ def least_similar(a: Profile, b: Profile) -> float:
 
 
 class Kept:
-    """Texts that stay, latest first, each with its time. Bounds decide about most pairs; `exact` counts the others."""
+    """Texts that stay, latest first, each with its time. Bounds decide about most pairs; `exact` counts the others. A text
+    is looked at when it is compared for the first time."""
 
     def __init__(self, threshold: float, width: int):
         self.threshold, self.width, self.exact, self.pairs = threshold, width, 0, 0
-        self.profiles: list[Profile] = []
+        self.texts: list[str] = []
+        self.profiles: list[Profile | None] = []
+        self.times: list[int] = []
         self.last: dict[str, int] = {}
-        self._counts, self._lengths, self._times = np.zeros((64, 64), np.int64), np.zeros(64), np.zeros(64, np.int64)
+        self._first = 0  # those before are too late for all that comes
+        self._counts, self._lengths = np.zeros((0, 64), np.int64), np.zeros(0)
 
-    def add(self, time: int, profile: Profile) -> None:
-        n = len(self.profiles)
-        if n == len(self._times):
-            self._counts, self._lengths, self._times = (np.concatenate([x, np.zeros_like(x)]) for x in (self._counts, self._lengths, self._times))
-        self._counts[n], self._lengths[n], self._times[n] = profile.counts, profile.n, time
+    def add(self, time: int, text: str, profile: Profile | None = None) -> None:
+        self.texts.append(text)
         self.profiles.append(profile)
-        self.last[profile.text] = time
-
-    def has_similar(self, time: int, text: str, profile: Profile) -> bool:
-        """Whether a text that stays is less than `width` later than `time` and more similar than the threshold."""
+        self.times.append(time)
+        self.last[text] = time
+
+    def _seen(self, low: int) -> None:
+        """Bounds of all texts from `low` on are known."""
+        n = len(self.texts)
+        if n > len(self._lengths):
+            more = max(64, 2 * n) - len(self._lengths)
+            self._counts = np.concatenate([self._counts, np.zeros((more, 64), np.int64)])
+            self._lengths = np.concatenate([self._lengths, np.zeros(more)])
+        for i in range(n - 1, low - 1, -1):
+            if self._lengths[i]:
+                break  # those before are known too, or too late
+            if self.profiles[i] is None:
+                self.profiles[i] = Profile(self.texts[i])
+            self._counts[i], self._lengths[i] = self.profiles[i].counts, self.profiles[i].n
+
+    def similar(self, time: int, text: str) -> tuple[bool, Profile | None]:
+        """Whether a text that stays is less than `width` later than `time` and more similar than the threshold, and the
+        profile if it was needed. Times never rise from call to call."""
+        while self._first < len(self.times) and self.times[self._first] - time >= self.width:
+            self._first += 1
+        low, n = self._first, len(self.texts)
+        if low == n:
+            return False, None
         if self.threshold < 1 and text in self.last and self.last[text] - time < self.width:
-            return True
-        n = len(self.profiles)
-        low = int(np.searchsorted(-self._times[:n], -time - self.width, side="right"))  # those before are too late
+            return True, None
+        self._seen(low)
+        profile = Profile(text)
         most = most_similar(self._counts[low:n], self._lengths[low:n], profile)
         self.pairs += n - low
         for i in np.argsort(-most, kind="stable").tolist():
             if most[i] <= self.threshold - 1e-9:
-                return False
-            other = self.profiles[low + i]
-            if least_similar(other, profile) > self.threshold + 1e-9:
-                return True
+                break
+            if least_similar(self.profiles[low + i], profile) > self.threshold + 1e-9:
+                return True, profile
             self.exact += 1
-            if _jaro(text, other.text) > self.threshold:
-                return True
-        return False
+            if _jaro(text, self.texts[low + i]) > self.threshold:
+                return True, profile
+        return False, profile
 
 
 def decide(times: list[int], texts: list[str], threshold: float, width: int, kept: Kept | None = None) -> list[bool]:
@@ -138,10 +161,10 @@ def decide(times: list[int], texts: list[str], threshold: float, width: int, kep
     kept = kept or Kept(threshold, width)
     stay = []
     for time, text in zip(times, texts, strict=True):
-        profile = Profile(text)
-        stay.append(not kept.has_similar(time, text, profile))
-        if stay[-1]:
-            kept.add(time, profile)
+        gone, profile = kept.similar(time, text)
+        stay.append(not gone)
+        if not gone:
+            kept.add(time, text, profile)
     return stay
 
 
@@ -182,7 +205,7 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
     goes if a row kept before is less than `interval` later and more similar than `threshold`. pos is unique. Rows without a
     user, a date or a text, and empty texts, stay.
 
-    Rows are decided in rounds. A round visits the next block of each session (see `_in_blocks`) in one task, and what stays
+    Rows are decided in rounds. A round visits the next block of each session (see `_in_blocks`), each in one task, and what stays
     of it is compared with all later blocks in reach, each in a task of its own. Sessions of block_rows rows at most, which
     are nearly all, are done after the first round; a task never holds more than two blocks.
     """
@@ -193,15 +216,26 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
     placed = _in_blocks(rows, width, block_rows)
     kind = "session long, block long, d long, p long, t string, stays boolean"
 
-    def first_round(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "p"], ascending=False)
-        return pdf.assign(stays=decide(pdf["d"].tolist(), pdf["t"].tolist(), threshold, width))
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of many sessions, one after the other, each from the latest on."""
+        session, kept = None, None
+        for pdf in frames:
+            stays = []
+            for s, d, t_ in zip(pdf["session"].tolist(), pdf["d"].tolist(), pdf["t"].tolist(), strict=True):
+                if s != session:
+                    session, kept = s, Kept(threshold, width)
+                gone, profile = kept.similar(d, t_)
+                stays.append(not gone)
+                if not gone:
+                    kept.add(d, t_, profile)
+            yield pdf.assign(stays=stays)
 
     def against(key, kept_rows: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         kept = Kept(threshold, width)
         for r in kept_rows.sort_values(["d", "p"], ascending=False).itertuples():
-            kept.add(r.d, Profile(r.t))
-        gone = [kept.has_similar(r.d, r.t, Profile(r.t)) for r in pdf.itertuples()]
+            kept.add(r.d, r.t)
+        pdf = pdf.sort_values(["d", "p"], ascending=False)
+        gone = [kept.similar(r.d, r.t)[0] for r in pdf.itertuples()]
         return pdf.loc[gone, ["p"]]
 
     most = placed.agg(F.max("block")).first()[0] or 0
@@ -212,7 +246,8 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
         todo = placed.filter(F.col("block") == k)
         if gone is not None:
             todo = todo.join(gone, "p", "left_anti")
-        decided = shared_table(todo.groupBy("session").applyInPandas(first_round, kind), "decided")
+        lined = todo.repartition("session").sortWithinPartitions("session", F.desc("d"), F.desc("p"))
+        decided = shared_table(lined.select("session", "block", "d", "p", "t").mapInPandas(visit, kind), "decided")
         out = decided.filter("not stays").select("p")
         if k < most:
             later = placed.filter(F.col("block") > k)

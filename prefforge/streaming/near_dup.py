@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from prefforge.operators.dedup import Kept, Profile, decide
+from prefforge.operators.dedup import Kept, decide
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ROW = "d long, p long, t string"
@@ -49,7 +49,7 @@ class EarliestStay(StatefulProcessor):
         # by their times backwards, so that the earliest is visited first
         kept = Kept(self.threshold, self.width)
         for d, _, t in before:
-            kept.add(-d, Profile(t))
+            kept.add(-d, t)
         stay = decide([-d for d, _, _ in due], [t for _, _, t in due], self.threshold, self.width, kept)
         fresh = [r for r, s in zip(due, stay, strict=True) if s]
         recent = [r for r in before + fresh if r[0] > now - self.width]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -213,10 +214,11 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
     width = df.sparkSession.range(1).select(F.expr(f"unix_micros({begin} + interval {interval}) - unix_micros({begin})")).first()[0]
     col = lambda c: F.col(f"`{c}`")
     rows = df.filter(col(user).isNotNull() & col(date).isNotNull() & (col(text) != "")).select(col(user).alias("u"), F.unix_micros(col(date).cast("timestamp")).alias("d"), col(pos).cast("long").alias("p"), col(text).alias("t"))
-    placed = _in_blocks(rows, width, block_rows)
+    # written once: the range sort looks at its input twice
+    placed = _in_blocks(shared_table(rows, "rows-by-user"), width, block_rows)
     kind = "session long, block long, d long, p long, t string, stays boolean"
 
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
         """Rows of many sessions, one after the other, each from the latest on."""
         session, kept = None, None
         for pdf in frames:
@@ -228,7 +230,7 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
                 stays.append(not gone)
                 if not gone:
                     kept.add(d, t_, profile)
-            yield pdf.assign(stays=stays)
+            yield pdf.assign(stays=stays)[columns]
 
     def against(key, kept_rows: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         kept = Kept(threshold, width)
@@ -247,7 +249,10 @@ def near_dup_greedy(df: DataFrame, user: str, date: str, text: str, pos: str, in
         if gone is not None:
             todo = todo.join(gone, "p", "left_anti")
         lined = todo.repartition("session").sortWithinPartitions("session", F.desc("d"), F.desc("p"))
-        decided = shared_table(lined.select("session", "block", "d", "p", "t").mapInPandas(visit, kind), "decided")
+        # texts go on only where later blocks are compared with them
+        fields = kind if k < most else "p long, stays boolean"
+        columns = [x.split()[0] for x in fields.split(", ")]
+        decided = shared_table(lined.select("session", "block", "d", "p", "t").mapInPandas(partial(visit, columns=columns), fields), "decided")
         out = decided.filter("not stays").select("p")
         if k < most:
             later = placed.filter(F.col("block") > k)

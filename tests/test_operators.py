@@ -424,6 +424,22 @@ def test_tasks_are_dealt_by_number(spark):
     assert len(whole) == 2 * tasks.expected_comparisons(30)
 
 
+def test_tasks_are_made_in_many_partitions(spark):
+    """The few rows that tasks are exploded from stay apart, and images that come along are those that are joined later."""
+    images = [("d", f"p{i}", f"{i}_{j}", i * 4 + j) for i in range(300) for j in range(3 if i == 7 else 5)] + [(None, "p", f"n{i}", 9000 + i) for i in range(8)]
+    df = spark.createDataFrame(images, "descr string, prompt string, image_name string, img_idx long")
+    draw = lambda d, m, task, salt: F.xxhash64(d, task, F.lit(salt))
+    most, tasks.TASKS_AT_ONCE = tasks.TASKS_AT_ONCE, 50
+    try:
+        sampled, wide = tasks.sample_comparisons(df, draw), tasks.sampled_wide_tasks(df, draw, "http://x")
+        plan = sampled._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"RepartitionByExpression \[descr#\d+, _part#\d+L\], 4\b", plan)
+        assert sorted(map(str, wide.collect())) == sorted(map(str, tasks.wide_tasks(sampled, df, "http://x").collect()))
+    finally:
+        tasks.TASKS_AT_ONCE = most
+    assert 0 < sampled.count() < tasks.expected_comparisons(300) and wide.columns[:3] == ["descr", "task", "INPUT:left_0"]
+
+
 def test_sampler_counts(spark):
     images = [(f"d{m}", f"d{m}p{i}", f"{m}_{i}_{j}", (m * 100 + i) * 4 + j) for m in (1, 2, 5) for i in range(m) for j in range(3 if (m, i) == (5, 4) else 4)]
     df = spark.createDataFrame(images, "descr string, prompt string, image_name string, img_idx long")

@@ -19,6 +19,7 @@ from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OB
 from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide, exact_first, least_similar, most_similar, near_dup_greedy
+from prefforge.plans.fixtures import view
 from prefforge.sources import files
 from prefforge.sources.onefile import write_one_file
 from prefforge.streaming.near_dup import near_dup_stream
@@ -591,6 +592,28 @@ def test_first_of_key(spark):
     assert {(r["k"], r["i"]) for r in exact_first(df, ["k"], "i").collect()} == {("a", 1), (None, 3)}
 
 
+def test_steps_are_made_once_and_in_many_tasks(spark):
+    """No step of the cleaning is computed again by the filters behind it, and few events' bytes do not mean few tasks."""
+    messages = view(spark, "/root/testdata/sf0.001", "messages")
+    cleaned = cleaning.filter_characters(cleaning.cut_arguments(cleaning.extract(messages)))
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^prompt") == 1 and plan.count("naughty dreams that had to be popped  ") == 1 and plan.count("cfg _ scale, 1") == 1
+    assert re.search(r"RepartitionByExpression \[event_id#\d+L\], 4\b", plan)
+
+
+@pytest.mark.parametrize("text", ["", "a", "x\n", "a seed", "seed seed", "tail seed", "é漢\U0001f600", "\U0001f600", "a \U0001f600☀ b", "a(b)[c]{d}|e", "k:v", "w k:v\nx", "², –", "a²b", "a^b", "é^", "plain text, it's 4-5!", "a\\b"])
+def test_guards_change_nothing(spark, text):
+    """Patterns with a cheaper question in front give what they gave alone."""
+    wanted = {
+        "last": F.regexp_replace("x", r"(?s).\z", ""), "arguments": F.regexp_replace("x", k.ARGUMENTS, ""), "seed": F.regexp_replace("x", r"(?s)\A((?:(?!seed).)*+)seed\z", "$1"),
+        "emoji": F.regexp_replace("x", t.EMOJI, ""), "brackets": F.translate("x", k.BRACKETS, ""), "odd": F.col("x").rlike(rf"[^\p{{L}}{t.DIGITS}{t.PLAIN}+*_#|]"), "beyond": F.col("x").rlike(rf"[^\x00-\x7F–{t.DIGITS}]"),
+    }
+    x = F.col("x")
+    got = {"last": t.without_last(x), "arguments": t.strip_arguments(x), "seed": t.trailing_seed(x), "emoji": t.strip_emoji(x), "brackets": t.remove_characters(x), "odd": t.suspicious(x), "beyond": t.has_non_ascii(x)}
+    df = spark.createDataFrame([(text,), (None,)], "x string")
+    assert df.select(*[c.alias(n) for n, c in got.items()]).collect() == df.select(*[wanted[n].alias(n) for n in got]).collect()
+
+
 def test_clean_pipeline_drops(spark):
     rows = [(i, c, "2024-01-01 00:00:00") for i, c in enumerate([None, " ", "Dreaming in 1s for @u... /dream prompt:x!", "Dreamt in 1s for @u... /dream prompt:A fine cat , 4 k steps:5!", "Dreamt for @v... /dream prompt:http here!"])]
     df = spark.createDataFrame(rows, "pos int, content string, d string").withColumn("date", F.to_timestamp("d"))

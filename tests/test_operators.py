@@ -559,6 +559,15 @@ def test_pretty_json(spark):
     assert block == json.dumps({"a": 'a "b"\n', "b": None, "s": {"x": 3, "y": None, "z": [1, 2]}}, indent=2).replace("[\n      1,\n      2\n    ]", "[1,2]") + "\n\n"
 
 
+def test_reports_write_no_texts_that_they_do_not_need(spark):
+    """The sorted report of flags keeps ids, and what Markdown is ordered by has no texts."""
+    df = spark.createDataFrame([(1, "p</s>", "a b", "8K Hd"), (2, "q</s>", None, "")], "doc_id long, prompt string, sft string, dpo string")
+    out = evaluate.layer3(df, ["doc_id"])
+    assert not {"prompt", "sft", "dpo"} & set(spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0]).columns)
+    wide = {r["doc_id"]: r for r in evaluate.layer3(df).collect()}
+    assert all(r[c] == wide[r["doc_id"]][c] for r in out.collect() for c in out.columns) and wide[1]["dpo_magic_word_hits"] == 2
+
+
 def test_successive_halving(spark):
     rng = random.Random(3)
     rows = [(f"r{i}", s, rng.choice([0.5, 1.0, rng.random()])) for i in range(60) for s in range(5, rng.choice([10, 30, 70, 200, 600]), 5)]

@@ -16,7 +16,7 @@ from prefforge.functions import numeric as n
 from prefforge.functions import text as t
 from prefforge.functions.generation import register_candidates
 from prefforge.functions.constants import ALLOWED_FAILURE_MODES, CORE_FIELDS, OBJECTIVE_FIELDS, STRICT_GUARDRAILS
-from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_table
+from prefforge.functions.tables import clean_shared, number_rows, prefix_sums, shared_buckets, shared_folder, shared_table
 from prefforge.operators import cleaning, evaluate, judge, labelling, pairs, reward, scorer, tasks, training
 from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide, exact_first, least_similar, most_similar, near_dup_greedy
 from prefforge.plans.fixtures import view
@@ -629,6 +629,12 @@ def test_clean_pipeline_drops(spark):
     assert [(r["pos"], r["content"]) for r in cleaning.clean_messages(df).collect()] == [(3, "A fine cat, 4k")]
 
 
+def test_bucketed_tables_need_no_shared_warehouse(spark):
+    tens = shared_buckets(spark.range(10), "ten", "id")
+    assert sorted(r["id"] for r in tens.collect()) == list(range(10))
+    assert {os.path.dirname(f.removeprefix("file://").removeprefix("file:")).rsplit("/", 1)[0] for f in tens.inputFiles()} == {shared_folder(spark).removeprefix("file://").removeprefix("file:") + "/tables"}
+
+
 def test_shared_tables_go(spark):
     df = shared_table(spark.range(3).toDF("i"), "three")
     assert df.count() == 3

@@ -635,6 +635,26 @@ def test_bucketed_tables_need_no_shared_warehouse(spark):
     assert {os.path.dirname(f.removeprefix("file://").removeprefix("file:")).rsplit("/", 1)[0] for f in tens.inputFiles()} == {shared_folder(spark).removeprefix("file://").removeprefix("file:") + "/tables"}
 
 
+def test_texts_are_cut_and_judged_without_copies(spark):
+    given = ["", "--", "a", "a--b", "a---b", "a--b--c", "----", "é--ü--", None]
+    df = spark.createDataFrame([(x,) for x in given], "x string").select("x", t.after(F.col("x"), "--").alias("after"), t.occurs_once(F.col("x"), "--").alias("once"))
+    assert [r["after"] for r in df.collect()] == [None if x is None else (x.split("--") + [""])[1] for x in given]
+    assert [r["once"] for r in df.collect()] == [None if x is None else x.count("--") == 1 for x in given]
+    assert "split" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rng, odd = random.Random(7), [*"aZ9 .,\"-'!–/;&?+*_#|", *"éß漢٣²³¹⁰⁹₀₉", *"\n\t<>@\U0001f600€"]
+    texts = ["".join(rng.choices(odd[:30], k=rng.randrange(40))) + rng.choice([*odd, ""]) for _ in range(300)]
+    fine = re.compile("[\\w .,\"'!–/;&?+*#|²³¹⁰⁹₀₉-]*")
+    found = spark.createDataFrame([(x,) for x in texts], "x string").select(t.suspicious(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in found] == [fine.fullmatch(x) is None for x in texts]
+
+
+def test_first_rows_are_grouped_by_hashes_first(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), (None, 3), ("b", 4)], "k string, i int")
+    firsts = exact_first(df, ["k"], "i")
+    assert {(r["k"], r["i"]) for r in firsts.collect()} == {("a", 1), (None, 3), ("b", 4)}
+    assert "Aggregate [xxhash64(k" in firsts._jdf.queryExecution().analyzed().toString()
+
+
 def test_shared_tables_go(spark):
     df = shared_table(spark.range(3).toDF("i"), "three")
     assert df.count() == 3

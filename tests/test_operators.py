@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from prefforge.operators.dedup import Kept, Profile, _in_blocks, _jaro, decide,
 from prefforge.plans.fixtures import view
 from prefforge.sources import files
 from prefforge.sources.onefile import write_one_file
-from prefforge.streaming.near_dup import near_dup_stream
+from prefforge.streaming.near_dup import EarliestStay, near_dup_stream
 
 
 def one(spark, column, value, kind="string"):
@@ -328,6 +329,47 @@ def test_near_duplicates_of_a_stream(spark, tmp_path, batches):
         assert {r["u"] for r in left} <= {"end"}
 
 
+class Listed(list):
+    """A list state that counts what it is told."""
+
+    calls = 0
+
+    def appendList(self, entries):
+        self.calls, self[:] = self.calls + len(entries), [*self, *entries]
+
+    def put(self, entries):
+        self.calls, self[:] = self.calls + len(entries), entries
+
+    def get(self):
+        return iter(list(self))
+
+    def clear(self):
+        self.calls, self[:] = self.calls + 1, []
+
+
+def test_stream_states_hold_many_rows_in_an_entry():
+    class Handle:
+        def getListState(self, name, schema):
+            return Listed()
+
+        def registerTimer(self, ms):
+            self.at = ms
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.at
+
+    stay, handle = EarliestStay(3_600_000_000, 0.6), Handle()
+    stay.init(handle)
+    n = 25_000
+    pdf = pd.DataFrame({"d": [i * 7_200_000_000 for i in range(n)], "p": range(n), "t": ["same"] * n})
+    list(stay.handleInputRows(("u",), iter([pdf]), None))
+    assert len(stay.waiting) == stay.waiting.calls == 3
+    out = pd.concat(stay.handleExpiredTimer(("u",), handle, handle))
+    assert out["p"].tolist() == list(range(n)) and out["d"].tolist() == pdf["d"].tolist()
+    assert not stay.waiting and stay.waiting.calls == 4 and [len(e[0]) for e in stay.kept] == [1] and stay.kept.calls == 1
+    list(stay.handleExpiredTimer(("u",), handle, handle))
+    assert not stay.kept and stay.waiting.calls == 4
+
+
 def test_candidates_in_sql(spark):
     register_candidates(spark, lambda prompts, k: [[f"{p} {i}" for i in range(k)] for p in prompts])
     df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (1, "b", 0.1), (2, "a", 0.2)], "k int, x string, other double")

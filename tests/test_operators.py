@@ -697,6 +697,11 @@ def test_first_rows_are_grouped_by_hashes_first(spark):
     assert "Aggregate [xxhash64(k" in firsts._jdf.queryExecution().analyzed().toString()
 
 
+def test_messages_are_made_in_many_tasks(spark):
+    plan = view(spark, "/root/testdata/sf0.001", "messages")._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [conv_id" in plan and "RepartitionByExpression [event_id" in plan
+
+
 def test_shared_tables_go(spark):
     df = shared_table(spark.range(3).toDF("i"), "three")
     assert df.count() == 3

@@ -540,6 +540,19 @@ def test_files(spark, tmp_path):
         files.read_text(spark, "x.parquet")
 
 
+def test_files_with_empty_texts(spark, tmp_path):
+    """Empty and missing texts, NUL characters and texts like the mark of missing values come back as they were."""
+    texts = ["", None, "\\N", "\\\\N", "\\N\n", "N", "\\", '"\\N"', "\0", "a\0\nb", '"\0"\t,\0', " ", "\r\n"] * 3
+    odd = spark.createDataFrame([(i, x, x if i % 2 else "y") for i, x in enumerate(texts)], "i int, x string, `y.z` string")
+    for index in (None, "i"):
+        files.write_tsv(odd.repartition(3), f"{tmp_path}/{index}", index, empty_texts=True)
+        got = files.read_tsv(spark, f"{tmp_path}/{index}", "i int, x string, `y.z` string", empty_texts=True)
+        assert sorted(got.collect()) == sorted(odd.collect())
+    files.write_csv(odd, f"{tmp_path}/plain")
+    got = {r["i"]: r["x"] for r in files.read_csv(spark, f"{tmp_path}/plain", schema="i int, x string, z string").collect()}
+    assert got == {i: x or None for i, x in enumerate(texts)}
+
+
 def test_errors_of_the_judge(spark):
     """How often each class of error is tried, how long it waits, and the reason of the row."""
     def failing(*answers):

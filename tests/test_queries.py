@@ -25,7 +25,7 @@ def test_query(spark, con, name):
         assert len(df.collect()) > 0
 
 
-@pytest.mark.parametrize("name", ["snk_csv", "snk_tsv", "src_csv"])
+@pytest.mark.parametrize("name", ["snk_csv", "snk_tsv", "src_csv", "src_tsv"])
 def test_files_of_odd_texts(spark, tmp_path, name):
     """Texts that files could take for others: empty, missing, with NUL characters, quotes, separators or line breaks."""
     odd = ["", None, "\\N", "\\\\N", "\0", "a\0\nb", '"\0"', " ", "\t", "\r\n", ",", '""', "plain"]
